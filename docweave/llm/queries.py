@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import best_fit_packing, line_dedup, sharding, token_counts
+from docweave.llm import best_fit_packing, decontamination, language_id, line_dedup, lm_scoring, quality_rules, secret_scan, sharding, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_decontamination": decontamination.op2_decontamination,
+    "op3_language_id": language_id.op3_language_id,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_simhash": simhash.op5_simhash,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_sharding": sharding.op7_sharding,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_best_fit_packing": best_fit_packing.op10_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = line_dedup.ORACLE
+ORACLE_SQL: dict[str, str] = decontamination.ORACLE | line_dedup.ORACLE
