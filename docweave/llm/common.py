@@ -39,6 +39,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(value: Column) -> Column:
+    """value, but never moved or repeated by the optimizer: a filter on it stays above it instead of taking a copy of all it is made of."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def bucket_of(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n: how the contracts hold rows out."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import BROADCAST_ROWS, lower_ascii, small, stored, table
+from docweave.llm.common import BROADCAST_ROWS, let, lower_ascii, once, small, stored, table
 
 WINDOW, TERMS = 10, 2
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -120,8 +120,8 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, term
         again = again.alias("d").join(F.broadcast(found.select("doc_id", "text_hash")).alias("f"), keys, "left_semi")
     again = again.dropDuplicates(["doc_id", "text_hash"])
     both = again.alias("d").join(found.alias("f"), keys).select("d.doc_id", "d.text_hash", words(F.col("text")).alias("w"), "found")
-    exact = F.filter("found", lambda x: F.array_join(F.slice("w", x["start"] + 1, x["size"]), " ") == x["phrase"])
-    return both.select("doc_id", "text_hash", F.transform(exact, lambda x: x.dropFields("phrase")).alias("matches")).where(F.size("matches") > 0)
+    exact = let(F.col("w"), lambda w: F.filter("found", lambda x: F.array_join(F.slice(w, x["start"] + 1, x["size"]), " ") == x["phrase"]))
+    return both.select("doc_id", "text_hash", once(F.transform(exact, lambda x: x.dropFields("phrase"))).alias("matches")).where(F.size("matches") > 0)
 
 
 def decontamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, terms: int = TERMS) -> DataFrame:

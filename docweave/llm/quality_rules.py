@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import let, table
+from docweave.llm.common import let, once, table
 
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -191,7 +191,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     })
     a, b = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("common_distance", F.lit(0.0))
     off = (a > LIMIT_CLASSES) | (b > LIMIT_COMMON) | ((a > BOTH_CLASSES) & (b > BOTH_COMMON))
-    return out.drop("__words").withColumn("kept", judged & ~off)
+    return out.drop("__words").withColumn("kept", once(judged & ~off))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
