@@ -188,6 +188,7 @@ def listed(found: Column) -> Column:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan(table(spark, sf_dir, "documents"))
-    n = [F.size(F.filter("spans", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE)]
+    of_rule = lambda k: lambda s: s["rank"] == k
+    n = [F.size(F.filter("spans", of_rule(k))).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE)]
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     return out.select("doc_id", *n, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
