@@ -48,11 +48,13 @@ class Languages:
         import numpy as np
 
         self.names = sorted(counts)
+        self.cache: dict[str, int] = {}
+        if not self.names:
+            return
         grams = sorted({g for c in counts.values() for g in c})
         self.at = {g: k for k, g in enumerate(grams)}
         n = np.array([[counts[lang].get(g, 0) for lang in self.names] for g in grams] + [[0] * len(self.names)], np.float64).reshape(-1, len(self.names))
         self.logs = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * len(n)))
-        self.cache: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.names)))
 
     def word_rows(self, words: set[str]) -> None:
