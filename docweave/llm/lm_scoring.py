@@ -81,7 +81,7 @@ class PieceModel:
         return alpha[n]
 
     def best(self, word: bytes) -> list[str]:
-        """The pieces of the likeliest segmentation."""
+        """The pieces of the likeliest segmentation, from the end of the word."""
         text = MARK + word.decode("utf-8", "replace")
         get, most, n = self.logs.get, self.longest, len(text)
         alpha, back = [0.0] * (n + 1), [0] * (n + 1)
