@@ -11,7 +11,7 @@ guards (at least MIN_WORDS words, few symbols). A word is common if at least a s
 language's words are it, so a language has at most 1 / COMMON_SHARE common words, whatever the corpus.
 Only these bounded tables reach the driver; they come back to the texts as literals.
 
-All expressions are built-in: a word's bin is a look-up in a literal table by its hash, and histograms
+All expressions are built-in: a word's bin is a look-up in a literal table by its hash (64 bits), and histograms
 are arrays within a row, so scoring needs no shuffle.
 
 Defined results: a null or empty text has no words and fails the base rules; rows without a language
@@ -21,88 +21,133 @@ repeated rows get the same result each; other columns stay as they are; an empty
 
 from __future__ import annotations
 
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import let, once, table
+from docweave.llm.common import let, once, stored, table
 
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 MIN_WORDS, WINDOW, REPEATED_PERCENT = 10, 5, 20
+#: Bits for a window's place when windows are sorted as numbers; longer texts are sorted otherwise.
+PLACE_BITS = 20
 #: Lengths from which the comparisons are made, and limits of the distance.
 MIN_CHARS_CLASSES, MIN_WORDS_COMMON = 200, 50
 LIMIT_CLASSES, LIMIT_COMMON = 0.32, 0.45
 #: Limits that a text must be over in both.
 BOTH_CLASSES, BOTH_COMMON = 0.18, 0.30
 COMMON_SHARE = 0.004
-#: Characters of each class; all others are one more class.
-CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "space": r"[\x20\x09-\x0D]", "punctuation": r"[.,;:!?'\"()\-]"}
+#: Characters of each class beside lower-case letters, blanks and line ends, and all others.
+CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{Nd}", "punctuation": r"[.,;:!?'\"()\-]"}
+NAMES = ("lower", "space", *CLASSES, "other")
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT, -1), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT, -1), "")
 
 
-def repeated_words(found: Column, window: int = WINDOW) -> Column:
-    """How many words lie in windows that the text has twice or more; windows are compared by 64-bit hashes."""
-    n = F.size(found)
-    hashes = F.transform(F.sequence(F.lit(0), n - window), lambda i: F.xxhash64(*(F.get(found, i + k) for k in range(window))))
+def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
+    """How many words lie in windows that the text has twice or more, from the words' hashes; windows are compared by 64-bit hashes of those."""
+    n = F.size(hashes)
 
-    def covered(grams: Column) -> Column:
-        ranked = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    def pairs(a: Column, b: Column, apart: int) -> Column:
+        """The hash of a[k] and b[k + apart] for each k; zip_with needs no look-up by index."""
+        m = F.greatest(F.lit(0), F.size(b) - apart)
+        return F.zip_with(F.slice(a, F.lit(1), m), F.slice(b, F.lit(apart + 1), m), lambda x, y: F.xxhash64(x, y))
 
-        def starts(s: Column) -> Column:
-            twice = F.filter(s, lambda x, i: (F.get(s, i - 1)["g"] == x["g"]) | (F.get(s, i + 1)["g"] == x["g"]))
-            return F.array_sort(F.transform(twice, lambda x: x["i"]))
+    def grams(h: Column, size: int) -> Column:
+        """Windows by doubling: of 2k words from two of k, and one word more where size is odd."""
+        if size == 1:
+            return h
+        half = let(grams(h, size // 2), lambda a: pairs(a, a, size // 2))
+        return half if size % 2 == 0 else let(half, lambda a: pairs(a, h, size - 1))
 
-        def union(p: Column) -> Column:
-            steps = F.transform(p, lambda a, k: F.least(F.lit(window), F.coalesce(F.get(p, k + 1), a + window) - a))
-            return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
+    def union(starts: Column) -> Column:
+        """The words in windows at these starts, in order."""
+        steps = F.transform(starts, lambda a, k: F.least(F.lit(window), F.coalesce(F.get(starts, k + 1), a + window) - a))
+        return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
-        return let(let(ranked, starts), union)
+    def by_structs(g: Column) -> Column:
+        """Sorted with their places: right for any text, but slow."""
+        ranked = F.array_sort(F.transform(g, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+        twice = lambda s: F.filter(s, lambda x, i: (F.get(s, i - 1)["g"] == x["g"]) | (F.get(s, i + 1)["g"] == x["g"]))
+        return let(F.array_sort(F.transform(let(ranked, twice), lambda x: x["i"])), union)
 
-    grams = F.when(n >= window, hashes)
-    return F.coalesce(let(grams, lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), covered(g)).otherwise(0)), F.lit(0))
+    def by_numbers(g: Column) -> Column:
+        """Sorted as numbers: a hash's upper bits, then its place. Equal upper bits of unequal hashes are noticed and go the slow way."""
+        low = F.lit((1 << PLACE_BITS) - 1).cast("long")
+        same = lambda x, y: F.shiftrightunsigned(x.bitwiseXOR(y), PLACE_BITS) == 0
+        place = lambda x: x.bitwiseAND(low).cast("int")
+        packed = F.sort_array(F.transform(g, lambda x, i: x.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
+        twice = let(packed, lambda s: F.filter(s, lambda x, i: same(x, F.get(s, i + 1)) | same(x, F.get(s, i - 1))))
+        mixed = lambda t: F.exists(F.transform(t, lambda x, i: same(x, F.get(t, i + 1)) & (F.get(g, place(x)) != F.get(g, place(F.get(t, i + 1))))), lambda b: b)
+        return let(twice, lambda t: F.when(F.coalesce(mixed(t), F.lit(False)), by_structs(g)).otherwise(let(F.sort_array(F.transform(t, place)), union)))
+
+    def covered(g: Column) -> Column:
+        return F.when(F.size(g) < 1 << PLACE_BITS, by_numbers(g)).otherwise(by_structs(g))
+
+    def from_fours(h: Column) -> Column:
+        # Without an equal window of one word less there is none of `window` words; most texts end here.
+        less = window - 1
+        return let(grams(h, less), lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), let(pairs(g, h, less), full)).otherwise(0))
+
+    def full(g: Column) -> Column:
+        return F.when(F.size(F.array_distinct(g)) < F.size(g), covered(g)).otherwise(0)
+
+    return F.when(n >= window, let(hashes, from_fours)).otherwise(0)
+
+
+def rest(text: Column) -> Column:
+    """The text without lower-case letters, blanks and line ends: short, so that counting in it is cheap."""
+    return F.regexp_replace(text, r"[a-z\x20\n\p{Ll}]+", "")
+
+
+def blanks(text: Column) -> Column:
+    """How many blanks and line ends the text has."""
+    return F.char_length(text) - F.char_length(F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")))
 
 
 def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds __words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    """Adds __words, __hashes (of words), __rest, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumns({"__words": words(F.col(text_col)), "__lines": lines})
+    out = docs.withColumns({"__words": words(F.col(text_col)), "__lines": lines, "__rest": rest(text)})
     out = out.withColumns({
+        "__hashes": F.transform("__words", lambda w: F.xxhash64(w)),
         "n_words": F.size("__words").cast("long"),
-        "word_chars": (F.char_length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOL)).cast("long"),
+        "word_chars": F.char_length(F.array_join("__words", "")).cast("long"),
+        "n_symbols": F.regexp_count("__rest", F.lit(SYMBOL)).cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("__words")).cast("long"),
     })
-    return out.drop("__lines").withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words")))
+    out = out.drop("__lines", "__words").withColumn("n_repeat_words", repeated_words(F.col("__hashes")).cast("long"))
+    return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words")))
 
 
-def class_counts(text: Column) -> list[Column]:
-    known = [F.regexp_count(text, F.lit(p)).cast("long") for p in CLASSES.values()]
-    return [*known, (F.char_length(text) - sum(known[1:], known[0])).cast("long")]
+def class_counts(n_chars: Column, n_space: Column, left: Column) -> list[Column]:
+    """Of NAMES, in order; left is rest(text)."""
+    known = [F.regexp_count(left, F.lit(p)) for p in CLASSES.values()]
+    other = F.char_length(left) - sum(known[1:], known[0])
+    return [c.cast("long") for c in (n_chars - n_space - F.char_length(left), n_space, *known, other)]
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = COMMON_SHARE) -> tuple[dict[str, list[float]], dict[str, dict[str, float]]]:
-    """For each language, the shares of the character classes and of its common words."""
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    good = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), words(text).alias("w"))
-    good = good.where((F.size("w") >= MIN_WORDS) & (20 * F.regexp_count("text", F.lit(SYMBOL)) <= F.size("w")))
-    names = [*CLASSES, "other"]
-    totals = good.select("lang", F.size("w").alias("n"), *(c.alias(k) for k, c in zip(names, class_counts(F.col("text")), strict=True))).groupBy("lang").agg(F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in names)).collect()
-    if not totals:
-        return {}, {}
-    classes = {r["lang"]: [r[k] / max(1, sum(r[x] for x in names)) for k in names] for r in totals}
-    n = {r["lang"]: r["n"] for r in totals}
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = COMMON_SHARE) -> tuple[dict[str, list[float]], dict[str, dict[int, float]]]:
+    """For each language, the shares of the character classes, and of its common words by their hash."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    good = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), rest(text).alias("rest"))
+    # Short texts and those with many symbols do not speak for their language.
+    good = good.where((F.char_length("text") >= MIN_CHARS_CLASSES) & (100 * F.regexp_count("rest", F.lit(SYMBOL)) <= F.char_length("text")))
+    counts = class_counts(F.char_length("text"), blanks(F.col("text")), F.col("rest"))
+    totals = good.select("lang", *(c.alias(k) for k, c in zip(NAMES, counts, strict=True))).groupBy("lang").agg(*(F.sum(k).alias(k) for k in NAMES)).collect()
+    classes = {r["lang"]: [r[k] / max(1, sum(r[x] for x in NAMES)) for k in NAMES] for r in totals}
+    counted = stored(good.select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang", F.xxhash64("word").alias("h")).agg(F.count("*").alias("c")))
+    n = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("c").alias("n")).collect()}
+    if not n:
+        return classes, {}
     # A lower bound for each language's words; so at most 1 / share rows of a language pass.
-    least = F.create_map(*(F.lit(x) for r in totals for x in (r["lang"], max(1.0, share * r["n"]))))
-    counted = good.select("lang", F.explode("w").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("c")).where(F.col("c") >= F.element_at(least, F.col("lang")))
-    common: dict[str, dict[str, float]] = {k: {} for k in n}
-    for r in counted.collect():
-        common[r["lang"]][r["word"]] = r["c"] / n[r["lang"]]
+    least = F.create_map(*(F.lit(x) for lang, k in n.items() for x in (lang, max(1.0, share * k))))
+    common: dict[str, dict[int, float]] = {k: {} for k in n}
+    for r in counted.where(F.col("c") >= F.element_at(least, F.col("lang"))).collect():
+        common[r["lang"]][r["h"]] = r["c"] / n[r["lang"]]
     return classes, common
 
 
@@ -111,73 +156,70 @@ def _term(p: Column, q: Column) -> Column:
     return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
 
 
-def class_distance(text: Column, classes: dict[str, list[float]]) -> Column:
-    """The least Jensen-Shannon distance of the text's character classes to a language's."""
-    counts = F.array(*(c.cast("double") for c in class_counts(text)))
-
-    def nearest(h: Column) -> Column:
-        total = F.aggregate(h, F.lit(0.0), lambda a, b: a + b)
+def class_distance(counts: list[Column], classes: dict[str, list[float]]) -> Column:
+    """The least Jensen-Shannon distance of a text's character classes to a language's."""
 
+    def nearest(p: Column) -> Column:
         def to(shares: list[float]) -> Column:
             q = F.array(*(F.lit(float(x)) for x in shares))
-            return F.aggregate(F.transform(h, lambda c, k: (_term(c / total, F.get(q, k)) + _term(F.get(q, k), c / total)) / 2), F.lit(0.0), lambda a, b: a + b)
+            return F.aggregate(F.zip_with(p, q, lambda a, b: (_term(a, b) + _term(b, a)) / 2), F.lit(0.0), lambda a, b: a + b)
+
+        found = [to(x) for _, x in sorted(classes.items())]
+        return F.sqrt(F.greatest(F.lit(0.0), F.least(*found) if len(found) > 1 else found[0]))
 
-        all_ = [to(x) for _, x in sorted(classes.items())]
-        return F.sqrt(F.greatest(F.lit(0.0), F.least(*all_) if len(all_) > 1 else all_[0]))
+    def shares(h: Column) -> Column:
+        return let(F.aggregate(h, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(h, lambda c: c / total))
 
-    return let(counts, nearest)
+    return let(let(F.array(*(c.cast("double") for c in counts)), shares), nearest)
 
 
-def slots(words: list[str]) -> tuple[int, list[str]]:
-    """A table size for which the words' hashes (xxhash64, seed 42) do not meet, and the table, with the words at their hash's place."""
-    size = max(64, 2 * len(words))
-    hashes = [h - (h >> 63 << 64) for h in (xxhash.xxh64_intdigest(w.encode(), 42) for w in words)]
-    while len({h % size for h in hashes}) < len(words):
+def slots(hashes: list[int]) -> list[int]:
+    """A table with each hash at its remainder by the table's size, which is one for which they do not meet. Other places hold numbers that belong elsewhere."""
+    size = max(64, 2 * len(hashes))
+    while len({h % size for h in hashes}) < len(hashes):
         size += 1 + size // 64
-    out = [""] * size
-    for w, h in zip(words, hashes, strict=True):
-        out[h % size] = w
-    return size, out
+    out = [k + 1 for k in range(size)]
+    for h in hashes:
+        out[h % size] = h
+    return out
 
 
-def common_distance(found: Column, common: dict[str, dict[str, float]]) -> Column:
+def common_distance(hashes: Column, common: dict[str, dict[int, float]]) -> Column:
     """The least Jensen-Shannon distance of the words' histogram over common words to a language's.
 
     Of a language's common words that the text lacks, each adds half its share; so only words that the text has are looked at.
     """
-    size, placed = slots(sorted({w for c in common.values() for w in c}))
-    table_ = F.split(F.lit(" ".join(placed)), " ", -1)
-
-    def at(w: Column) -> Column:
-        low = F.lower(w)
-        place = F.pmod(F.xxhash64(low), F.lit(size)).cast("int")
-        return F.when(F.get(table_, place) == low, place)
+    placed = slots(sorted({h for c in common.values() for h in c}))
+    literal = lambda values, kind: F.split(F.lit(" ".join(map(repr, values))), " ", -1).cast(f"array<{kind}>")  # noqa: E731  one literal after folding
+    table_ = literal(placed, "bigint")
+    place = lambda h: F.pmod(h, F.lit(len(placed)).cast("long")).cast("int")
 
-    hits = F.filter(F.transform(found, at), lambda x: x.isNotNull())
+    def nearest(all_: Column) -> Column:
+        n = F.size(all_).cast("double")
+        return let(F.filter(all_, lambda h: F.get(table_, place(h)) == h), lambda hits: with_hits(hits, n))
 
-    def nearest(h: Column) -> Column:
-        n = F.size(found).cast("double")
-        bins = F.transform(F.array_distinct(h), lambda b: F.struct(b.alias("b"), ((F.size(h) - F.size(F.array_remove(h, b))) / n).alias("p")))
+    def with_hits(hits: Column, n: Column) -> Column:
+        bins = F.transform(F.array_distinct(hits), lambda b: F.struct(place(b).alias("b"), ((F.size(hits) - F.size(F.array_remove(hits, b))) / n).alias("p")))
+        rest_p = 1 - F.size(hits) / n
 
         def least(bs: Column) -> Column:
-            def to(shares: dict[str, float]) -> Column:
-                q = F.split(F.lit(" ".join(repr(float(shares.get(w, 0.0))) for w in placed)), " ", -1).cast("array<double>")
-                rest_q, rest_p = 1 - sum(shares.values()), 1 - F.size(h) / n
-                rest = (_term(rest_p, F.lit(float(rest_q))) + _term(F.lit(float(rest_q)), rest_p)) / 2
+            def to(shares: dict[int, float]) -> Column:
+                q = literal([float(shares.get(h, 0.0)) for h in placed], "double")
+                total = float(sum(shares.values()))
+                rest_q = F.lit(1.0 - total)
 
                 def add(a: Column, x: Column) -> Column:
-                    share = F.get(q, x["b"])
-                    return F.struct((a["d"] + (_term(x["p"], share) + _term(share, x["p"])) / 2).alias("d"), (a["q"] + share).alias("q"))
+                    return let(F.get(q, x["b"]), lambda share: F.struct((a["d"] + (_term(x["p"], share) + _term(share, x["p"])) / 2).alias("d"), (a["q"] + share).alias("q")))
 
                 done = F.aggregate(bs, F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q")), add)
-                return let(done, lambda d: d["d"] + (F.lit(float(sum(shares.values()))) - d["q"]) / 2 + rest)
+                return let(done, lambda d: d["d"] + (F.lit(total) - d["q"]) / 2 + (_term(rest_p, rest_q) + _term(rest_q, rest_p)) / 2)
 
-            all_ = [to(c) for _, c in sorted(common.items())]
-            return F.sqrt(F.greatest(F.lit(0.0), F.least(*all_) if len(all_) > 1 else all_[0]))
+            found = [to(c) for _, c in sorted(common.items())]
+            return F.sqrt(F.greatest(F.lit(0.0), F.least(*found) if len(found) > 1 else found[0]))
 
         return let(bins, least)
 
-    return let(hits, nearest)
+    return let(hashes, nearest)
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs: tuple[dict, dict] | None = None) -> DataFrame:
@@ -185,13 +227,14 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     classes, common = refs or references(docs, text_col, lang_col)
     out, none = base_rules(docs, text_col), F.lit(None).cast("double")
     text, judged = F.coalesce(F.col(text_col), F.lit("")), ~F.col("base_failed")
+    counts = class_counts(F.char_length(text), blanks(text), F.col("__rest"))
     out = out.withColumns({
-        "class_distance": F.when(judged & (F.char_length(text) >= MIN_CHARS_CLASSES), class_distance(text, classes)) if classes else none,
-        "common_distance": F.when(judged & (F.col("n_words") >= MIN_WORDS_COMMON), common_distance(F.col("__words"), common)) if any(common.values()) else none,
+        "class_distance": F.when(judged & (F.char_length(text) >= MIN_CHARS_CLASSES), class_distance(counts, classes)) if classes else none,
+        "common_distance": F.when(judged & (F.col("n_words") >= MIN_WORDS_COMMON), common_distance(F.col("__hashes"), common)) if any(common.values()) else none,
     })
     a, b = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("common_distance", F.lit(0.0))
     off = (a > LIMIT_CLASSES) | (b > LIMIT_COMMON) | ((a > BOTH_CLASSES) & (b > BOTH_COMMON))
-    return out.drop("__words").withColumn("kept", once(judged & ~off))
+    return out.drop("__hashes", "__rest").withColumn("kept", once(judged & ~off))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
