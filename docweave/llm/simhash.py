@@ -11,7 +11,8 @@ longer chains before its full distance is taken.
 Hot groups: equal fingerprints are one node from the start (minimum by partial aggregation). Within a
 bucket, a search takes away what it reaches, so a dense group of k fingerprints costs about k steps and
 gives k - 1 links, never all pairs; that loses no connection. A bucket over BUCKET_ROWS is not searched
-but filed anew, losslessly, under chains longer by a segment. Links become components in rounds.
+but filed anew, losslessly, under chains longer by a segment (up to LONGEST; buckets there share 38 bits or
+more and are searched whatever their size). Links become components in rounds.
 
 Defined results: texts without words (null, empty) have fingerprint zero and so are linked with each
 other; repeated rows get the same result each; rows whose doc_id is null have no say in a component's
@@ -31,7 +32,7 @@ from docweave.llm.components import components
 
 WORDS, DISTANCE, SEED = 4, 4, 42
 #: Segments of a chain that rows are filed under at first.
-CHAIN = 2
+CHAIN, LONGEST = 2, 3
 #: From so many distinct fingerprints on, a segment more.
 MANY = 1 << 30
 BUCKET_ROWS = 50_000
@@ -199,8 +200,9 @@ def fingerprint_links(fps: DataFrame, rows: int, distance: int = DISTANCE, chain
     """Links (a, b) that connect all of the distinct fps (fp) that are within the distance."""
     chain += rows >= MANY
     links, todo = [], fps
-    for length in range(min(chain, distance + 1), distance + 2):
-        last = length == distance + 1
+    longest = min(LONGEST, distance + 1)
+    for length in range(min(chain, longest), longest + 1):
+        last = length == longest
         found = stored(search_buckets(filed(todo, length, distance), last, distance, most))
         links.append(found.where("link").select("a", "b"))
         todo = found.where("not link").select("start", F.col("a").alias("fp")).distinct()
