@@ -44,4 +44,4 @@ def test_pipeline_odd(spark, odd, tmp_path):
     for frame in (documents, documents.where("false")):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, frame, str(tmp_path))
-            assert out.count() <= 9
+            assert out.select("doc_id").distinct().count() <= 8
