@@ -5,9 +5,7 @@ into the open sequence with the least room that still holds them. A fixed number
 they are kept by free room in a bitset, so the best one is the lowest set bit at or above the piece's
 length. When one too many is open, the fullest closes.
 
-Map-side, each document is encoded where it is read: a document falls into chunks that no token crosses
-(white space and what follows it), the ids of a chunk come from a bounded cache of the worker, and chunks
-that are not there are encoded by the library. Only five numbers a piece are shuffled, never texts. One
+Map-side, each document is encoded where it is read. Only five numbers a piece are shuffled, never texts. One
 packing task takes some 200,000 pieces, in an order drawn from the ids, so its few sequences that stay
 part empty do not count, and its memory is bounded.
 
@@ -18,6 +16,8 @@ an empty result.
 
 from __future__ import annotations
 
+import base64
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,62 +32,53 @@ SEQUENCE = 1024
 END_ID = 2
 OPEN_BINS = 4096
 PIECES_PER_TASK = 200_000
-#: Chunks whose ids a worker keeps.
-CACHE = 300_000
-#: White space and what follows it. A token never goes on from a character that is no white space into one that is.
-CHUNK = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
-#: Other white space, whose runs a chunk could cut: such a text is encoded as a whole.
-ODD_SPACE = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\r\n") + "]")
-_encoders: dict[str, object] = {}
+#: What the two libraries certainly class alike: Latin letters, ASCII, usual punctuation. Texts with anything else, or with the special string, are encoded by tokenizers.
+OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\u024f\\u2010-\\u2026\\u20ac]|<\\|endoftext\\|>")
+_encoders: dict[tuple, Encoder] = {}
 
 
-class ChunkEncoder:
-    """Token ids of texts, as little-endian bytes."""
+class Encoder:
+    """Token ids of texts, as little-endian bytes. The rank file of the same vocabulary gives the same ids several times as fast."""
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, ranks: str | None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.most = Tokenizer.from_file(path), {}, cache
+        self.tokenizer, self.fast = Tokenizer.from_file(path), None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
 
-    @classmethod
-    def of(cls, path: str) -> ChunkEncoder:
-        if path not in _encoders:
-            import os
-
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            _encoders[path] = cls(path)
-        return _encoders[path]
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    @classmethod
+    def of(cls, path: str, ranks: str | None) -> Encoder:
+        if (path, ranks) not in _encoders:
+            _encoders[path, ranks] = cls(path, ranks)
+        return _encoders[path, ranks]
+
+    def ids(self, text: str) -> bytes:
+        if self.fast is not None and not OTHER.search(text):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
         import numpy as np
 
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if ODD_SPACE.search(t) else CHUNK.findall(t) for t in texts]
-        new = set()
-        for c in chunks:
-            new.update(c or ())
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        new = list(new.difference(self.cache))
-        self.cache.update(zip(new, self._encode(new), strict=True))
-        get = self.cache.__getitem__
-        return [self._encode([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks, strict=True)]
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, path: str, ranks: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32."""
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
         import pyarrow as pa
 
-        encoder = ChunkEncoder.of(tokenizer_path)
+        encoder = Encoder.of(path, ranks)
         for group in groups_of_text(arrow_rows(batches, "doc_id", "text")):
             out: list[list] = [[], [], [], [], []]
-            for (doc, _), ids in zip(group, encoder.ids([t for _, t in group]), strict=True):
-                ids += end
+            for doc, text in group:
+                ids = encoder.ids(text) + end
                 n = len(ids) // 4
                 first = n % sequence or sequence
                 cuts = [0, *range(first, n + 1, sequence)]
@@ -162,9 +153,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def best_fit_packing(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID, open_bins: int = OPEN_BINS) -> DataFrame:
+def best_fit_packing(docs: DataFrame, path: str | None = None, ranks: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID, open_bins: int = OPEN_BINS) -> DataFrame:
     """docs (doc_id, text) as packed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(pieces(docs, path or tokenizer_path(), sequence, end_id), sequence, open_bins)
+    if path is None:
+        path, ranks = tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken")
+    return pack(pieces(docs, path, ranks, sequence, end_id), sequence, open_bins)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
