@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import lower_ascii, table
+from docweave.llm.common import lower_ascii, small, stored, table
 
 MIN_LENGTH = 10
 MIN_DOCUMENTS = 2
@@ -39,7 +39,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         shared = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     else:
         shared = lines.select("id", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_documents).drop("n")
-    return lines.join(shared, ["h1", "h2"]).where("id > first").groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("at")).alias("drop"))
+    # Stored, so that what it costs is known before the join: few keys are broadcast, many are shuffled, where a hot line's rows can be split.
+    shared = stored(shared)
+    return lines.join(small(shared, shared.count()), ["h1", "h2"]).where("id > first").groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("at")).alias("drop"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
