@@ -1,7 +1,7 @@
 """From raw documents to packed sequences: quality rules, line dedup, near-dedup, decontamination, packing.
 
 Every stage works on all that the one before kept and gives the columns of documents (the last one gives
-the packed pieces). A document is a row; rows that share a doc_id are one document from the near-dedup on.
+the packed pieces). A document is a row: rows without an id and rows that share a doc_id are judged each by its own text.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from docweave.llm.common import stored, table
 from docweave.llm.decontamination import phrase_matches
 from docweave.llm.line_dedup import line_dedup
 from docweave.llm.quality_rules import quality_rules
-from docweave.llm.simhash import near_duplicates
+from docweave.llm.simhash import representatives
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +29,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays (rows without an id are one of their group if no row has one)."""
-    groups = near_duplicates(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.alias("d").join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of near duplicates one row stays: that with the smallest id (one without an id if no row has one), of several such rows that with the smallest hash."""
+    whole = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]  # a hash passes over nulls
+    keyed = docs.withColumns({"row_a": F.xxhash64(*whole), "row_b": F.xxhash64(F.lit("b"), *whole)})
+    stay = stored(representatives(keyed, ("row_a", "row_b")))
+    # Rows that are equal in all columns have the same hashes.
+    return keyed.join(stay, ["row_a", "row_b"], "left_semi").dropDuplicates(["row_a", "row_b"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,17 +58,18 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs (doc_id, text) as doc_id, fp (the fingerprint's 64 bits as a signed number)."""
+def fingerprints(docs: DataFrame, words: int = WORDS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text, and keys: columns of whole numbers) as doc_id, fp (the fingerprint's 64 bits as a signed number), keys."""
 
     def run(batches):
         import pyarrow as pa
 
-        for group in groups_of_text(arrow_rows(batches, "doc_id", "text")):
-            fps = [fingerprint(t, words) for _, t in group]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in group], pa.int64()), pa.array([x - (x >> 63 << 64) for x in fps], pa.int64())], ["doc_id", "fp"])
+        for group in groups_of_text(arrow_rows(batches, "doc_id", "text", *keys)):
+            doc_id, texts, *more = zip(*group, strict=True)
+            fps = [fingerprint(t, words) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array([x - (x >> 63 << 64) for x in fps], pa.int64()), *(pa.array(x, pa.int64()) for x in more)], ["doc_id", "fp", *keys])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), *keys).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *keys)))
 
 
 def segments(distance: int = DISTANCE) -> list[int]:
@@ -211,17 +212,30 @@ def fingerprint_links(fps: DataFrame, rows: int, distance: int = DISTANCE, chain
     raise AssertionError
 
 
+def smallest_of(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """nodes (distinct fp, least) as fp, smallest: the smallest least of its component."""
+    labels = components(fingerprint_links(nodes.select("fp"), nodes.count(), distance))
+    linked = labels.join(nodes, F.col("node") == F.col("fp")).select("fp", "label", "least")
+    smallest = linked.groupBy("label").agg(F.min("least").alias("smallest"))
+    return nodes.join(linked.join(smallest, "label").select("fp", "smallest"), "fp", "left").select("fp", F.coalesce("smallest", "least").alias("smallest"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """docs (doc_id, text) as doc_id, fp, component_id."""
     rows = stored(fingerprints(docs, words))
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = components(fingerprint_links(nodes.select("fp"), nodes.count(), distance))
-    linked = labels.join(nodes, F.col("node") == F.col("fp")).select("fp", "label", "least")
-    smallest = linked.groupBy("label").agg(F.min("least").alias("smallest"))
-    found = nodes.join(linked.join(smallest, "label").select("fp", "smallest"), "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
+    found = smallest_of(nodes, distance).withColumnRenamed("smallest", "component_id")
     return rows.join(stored(found), "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, keys: tuple[str, ...], words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """The keys (whole numbers that tell docs' rows apart) of one row of each component: the smallest by doc_id, where null is last, and then by keys."""
+    rows = fingerprints(docs, words, keys)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *keys))
+    nodes = stored(rows.groupBy("fp").agg(least.alias("least")))
+    return smallest_of(nodes, distance).select(*(F.col(f"smallest.{k}").alias(k) for k in keys)).distinct()
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

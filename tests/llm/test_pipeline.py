@@ -45,3 +45,16 @@ def test_pipeline_odd(spark, odd, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, frame, str(tmp_path))
             assert out.select("doc_id").distinct().count() <= 8
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark, docs_of):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    # Groups without ids, a copy without an id of a row that has one, ids on unrelated texts, equal rows.
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (5, text(3)), (7, text(4)), (7, text(5)), (8, text(5)), (9, text(6)), (9, text(6)), (4, text(7)), (9, text(7)), (4, text(8)), (2, None), (None, "")]
+    want = sorted([(None, text(1)), (None, text(2)), (5, text(3)), (7, text(4)), (7, text(5)), (9, text(6)), (4, text(7)), (4, text(8)), (2, None)], key=str)
+    docs = docs_of(*rows)
+    for frame in (docs, docs.repartition(3, "text")):
+        out = corpus_pipeline.near_dedup(spark, frame, "")
+        assert out.columns == docs.columns and sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == want
