@@ -6,8 +6,13 @@ the postings (document, position) of the training texts for the anchors only: a
 could never be asked for. Phrases are answered from the rarest anchor on: its postings less its place in
 the phrase are starts where the phrase could stand, and the list of the next anchor, shifted likewise, is
 intersected with them. What is left is compared word by word with the documents, of which only those with
-a candidate are read again. `proximity_matches` answers the looser question: where the rarest anchors
-stand within some words of where the phrase has them.
+a candidate are read again.
+
+`proximity_matches` answers the looser question: where all but a SPARE-th of a phrase's words stand within
+SLOP words of their places, seen from some start. If so many words may be missing, one more than that
+cannot all be missing, so that many rarest words are the anchors (words that no text has are the rarest
+and have no postings) and each posting of any of them is a candidate. All words are then compared with the
+documents, first within twice the slop of where the anchor puts them, which no match exceeds.
 
 Everything is built-in expressions. The passes over all words are an explode that keeps two numbers and a
 word, joined with broadcast terms and added up before any shuffle; anchors and phrases are broadcast only
@@ -28,6 +33,8 @@ from pyspark.sql import functions as F
 from docweave.llm.common import BROADCAST_ROWS, let, lower_ascii, once, small, stored, table
 
 WINDOW, TERMS = 10, 2
+#: Of proximity matches: how far a word may stand from its place, and of how many words one may be missing.
+SLOP, SPARE = 3, 5
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -68,13 +75,11 @@ def _starts(index: DataFrame, asked: DataFrame, n: int, rank: int) -> DataFrame:
     return index.join(small(own, n), "term").select("phrase_id", "doc_id", "text_hash", (F.col("position") - F.col("at")).alias("start")).where("start >= 0")
 
 
-def candidates(index: DataFrame, asked: DataFrame, n: int, terms: int = TERMS, slop: int = 0) -> DataFrame:
-    """phrase_id, doc_id, text_hash, start: where all anchors stand at their place, or within slop of it as seen from the rarest."""
+def candidates(index: DataFrame, asked: DataFrame, n: int, terms: int = TERMS) -> DataFrame:
+    """phrase_id, doc_id, text_hash, start: where all anchors stand at their place."""
     found = _starts(index, asked, n, 0)
     for rank in range(1, terms):
         more = _starts(index, asked, n, rank)
-        if slop:
-            more = more.select("phrase_id", "doc_id", "text_hash", F.explode(F.array(*(F.col("start") + d for d in range(-slop, slop + 1)))).alias("start"))
         has = asked.where(F.col("rank") == rank).select("phrase_id", F.lit(True).alias("has"))
         found = found.join(small(has, n), "phrase_id", "left")
         keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("phrase_id", "doc_id", "text_hash", "start")]
@@ -83,6 +88,17 @@ def candidates(index: DataFrame, asked: DataFrame, n: int, terms: int = TERMS, s
     return found
 
 
+def spare_anchors(split: DataFrame, phrases: DataFrame, spare: int) -> DataFrame:
+    """For each phrase its size / spare + 1 rarest words as far as texts have them: phrase_id, term, at."""
+    places = phrases.select("phrase_id", "size", F.posexplode(F.split("phrase", " ")).alias("at", "term"))
+    asked = stored(places.select("term").distinct())
+    n = asked.count()
+    seen = split.select(F.explode("w").alias("term")).join(small(asked, n), "term").groupBy("term").agg(F.count("*").alias("n"))
+    ranked = places.join(small(stored(seen), n), "term", "left").groupBy("phrase_id", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))).alias("places"))
+    few = F.slice("places", 1, F.floor(F.col("size") / spare).cast("int") + 1)
+    return ranked.select("phrase_id", F.explode(few).alias("x")).where("x.n > 0").select("phrase_id", F.col("x.term").alias("term"), F.col("x.at").alias("at"))
+
+
 def _asked(split: DataFrame, phrases: DataFrame, terms: int) -> tuple[DataFrame, int, DataFrame, int]:
     """Anchors, how many they are, their distinct terms, how many those are."""
     ids = phrases.select("phrase", "phrase_id")
@@ -96,12 +112,50 @@ def numbered(phrases: DataFrame) -> DataFrame:
     return stored(phrases.withColumn("phrase_id", F.xxhash64("phrase")))
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, window: int = WINDOW, terms: int = TERMS) -> DataFrame:
-    """phrase, doc_id, start: where the rarest terms of a window stand within slop words of their place (distinct)."""
+def read_again(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """found (doc_id, text_hash, found), which is stored, with the documents' words: doc_id, text_hash, w, found."""
+    # Only the documents with a candidate are split again; if the candidates are few, the others are not even shuffled.
+    again = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    keys = [F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), F.col("d.text_hash") == F.col("f.text_hash")]
+    if found.count() <= BROADCAST_ROWS:
+        again = again.alias("d").join(F.broadcast(found.select("doc_id", "text_hash")).alias("f"), keys, "left_semi")
+    again = again.dropDuplicates(["doc_id", "text_hash"])
+    return again.alias("d").join(found.alias("f"), keys).select("d.doc_id", "d.text_hash", words(F.col("text")).alias("w"), "found")
+
+
+def nearby_matches(docs: DataFrame, items: DataFrame, slop: int = SLOP, window: int = WINDOW, spare: int = SPARE) -> DataFrame:
+    """The documents with proximity matches: doc_id, text_hash, matches (start, phrase, items). start is as seen from an anchor, moved as little as need be."""
     split, phrases = text_words(docs), numbered(windows(items, window))
-    asked, n, distinct, n_terms = _asked(split, phrases, terms)
-    found = candidates(positional_index(split, distinct, n_terms), asked, n, terms, slop)
-    return found.join(phrases.select("phrase_id", "phrase"), "phrase_id").select("phrase", "doc_id", "start").distinct()
+    asked = stored(spare_anchors(split, phrases, spare))
+    distinct = stored(asked.select("term").distinct())
+    index = positional_index(split, distinct, distinct.count())
+    found = index.join(small(asked, asked.count()), "term").select("phrase_id", "doc_id", "text_hash", (F.col("position") - F.col("at")).alias("start"))
+    # Candidates are numbers only; the phrases come to the words around each of them, which are not shuffled unless the phrases are many.
+    both = read_again(docs, stored(found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("phrase_id", "start")).alias("found"))))
+
+    def around(x):
+        low = F.greatest(x["start"] - 2 * slop, F.lit(0))
+        return F.struct(x["phrase_id"].alias("phrase_id"), x["start"].alias("start"), low.alias("low"), F.slice("w", low + 1, F.greatest(x["start"] + window + 2 * slop - low, F.lit(0))).alias("near"))
+
+    cases = both.select("doc_id", "text_hash", F.explode(F.transform("found", around)).alias("x")).select("doc_id", "text_hash", "x.*").join(small(phrases, phrases.count()), "phrase_id")
+
+    def fits(start: Column, slop: int) -> Column:
+        def stands(word, k):
+            low, high = F.greatest(start + k - slop - F.col("low"), F.lit(0)), start + k + slop - F.col("low")
+            return F.array_contains(F.slice("near", low + 1, F.greatest(high - low + 1, F.lit(0))), word)
+
+        return F.size(F.filter(F.split("phrase", " "), stands)) >= F.col("size") - F.floor(F.col("size") / spare)
+
+    moves = F.array(*map(F.lit, sorted(range(-slop, slop + 1), key=lambda d: (abs(d), d))))
+    loose = cases.where(once(fits(F.col("start"), 2 * slop)))
+    placed = loose.withColumn("move", once(F.get(F.filter(moves, lambda d: fits(F.col("start") + d, slop)), F.lit(0)))).where("move is not null")
+    return placed.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct((F.col("start") + F.col("move")).alias("start"), "phrase", "items")).alias("matches"))
+
+
+def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, window: int = WINDOW, spare: int = SPARE) -> DataFrame:
+    """phrase, doc_id, start: where all but a spare-th of a window's words stand within slop words of their places (distinct)."""
+    found = nearby_matches(docs, items, slop, window, spare).select("doc_id", F.explode("matches").alias("m"))
+    return found.select("m.phrase", "doc_id", "m.start").distinct()
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, terms: int = TERMS) -> DataFrame:
@@ -111,15 +165,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, term
     index = positional_index(split, distinct, n_terms)
     n_phrases = phrases.count()
     found = candidates(index, asked, n, terms).join(small(phrases, n_phrases), "phrase_id").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "size", "phrase", "items")).alias("found"))
-    found = stored(found)
-    few = found.count()
-    # Only the documents with a candidate are split again; if the candidates are few, the others are not even shuffled.
-    again = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    keys = [F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), F.col("d.text_hash") == F.col("f.text_hash")]
-    if few <= BROADCAST_ROWS:
-        again = again.alias("d").join(F.broadcast(found.select("doc_id", "text_hash")).alias("f"), keys, "left_semi")
-    again = again.dropDuplicates(["doc_id", "text_hash"])
-    both = again.alias("d").join(found.alias("f"), keys).select("d.doc_id", "d.text_hash", words(F.col("text")).alias("w"), "found")
+    both = read_again(docs, stored(found))
     exact = let(F.col("w"), lambda w: F.filter("found", lambda x: F.array_join(F.slice(w, x["start"] + 1, x["size"]), " ") == x["phrase"]))
     return both.select("doc_id", "text_hash", once(F.transform(exact, lambda x: x.dropFields("phrase"))).alias("matches")).where(F.size("matches") > 0)
 
@@ -141,6 +187,22 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def proximity(docs: DataFrame, items: DataFrame, slop: int = SLOP, window: int = WINDOW, spare: int = SPARE) -> DataFrame:
+    """docs (doc_id, text) as doc_id, n_windows (distinct windows with a proximity match), items (their sorted ids)."""
+    docs = docs.select("doc_id", "text")
+    matched = nearby_matches(docs, items, slop, window, spare).select("doc_id", "text_hash", F.size(F.array_distinct("matches.phrase")).alias("n"), F.array_sort(F.array_distinct(F.flatten("matches.items"))).alias("items"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
+    keys = [F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")), F.col("r.text_hash") == F.col("m.text_hash")]
+    joined = rows.alias("r").join(matched.alias("m"), keys, "left")
+    return joined.select("r.doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_windows"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def op2_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside op2_decontamination, whose SQL has the exact matches and no other columns."""
+    out = proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_windows", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_windows") > 0).alias("contaminated"))
+
+
 ORACLE = {
     "op2_decontamination": r"""
 WITH dw AS (

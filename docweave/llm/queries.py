@@ -11,6 +11,7 @@ from docweave.llm import best_fit_packing, decontamination, language_id, line_de
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_decontamination": decontamination.op2_decontamination,
+    "op2_proximity": decontamination.op2_proximity,
     "op3_language_id": language_id.op3_language_id,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_simhash": simhash.op5_simhash,

@@ -105,6 +105,39 @@ def test_proximity(spark, docs_of):
     assert {r["doc_id"] for r in decontamination.phrase_matches(docs, bench).collect()} == {1}
 
 
+def nearby(text, items, slop=3):
+    w, found, n = words(text), set(), set()
+    for item, t in items.items():
+        iw = words(t)
+        for win in {tuple(iw[k : k + 10]) for k in range(max(1, len(iw) - 9))} if iw else ():
+            for s in range(-len(win), len(w) + 1):
+                if sum(x in w[max(0, s + k - slop) : max(0, s + k + slop + 1)] for k, x in enumerate(win)) >= len(win) - len(win) // 5:
+                    n.add(win)
+                    found.add(str(item))
+    return len(n), sorted(found)
+
+
+def test_proximity_of_altered_copies(spark, docs_of):
+    phrase = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    items = {1: phrase, 2: "one two three", 3: None, 4: "the quick brown fox jumps over the lazy dog near a river bank today"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = [(1, phrase), (2, phrase.replace("epsilon", "x epsilon")), (3, "kappa alpha"), (4, f"q {phrase} r".replace("delta", "new")), (5, phrase[11:]), (6, "alpha kappa " + "n " * 8), (7, phrase.replace("zeta", "n").replace("beta", "n").replace("iota", "n")), (8, "one q three two"), (8, "one two"), (9, None), (10, ""), (None, items[4].replace("fox", "cat").replace("river", "lake")), (11, " ".join(phrase.split()[::-1])), (12, "a b c d e f " * 40 + items[4])]
+    # Some words are in no text but as altered; "the" is common.
+    got = sorted((str(r["doc_id"]), r["n_windows"], tuple(r["items"])) for r in decontamination.proximity(docs_of(*rows), bench).collect())
+    assert got == sorted((str(d), nearby(t, items)[0], tuple(nearby(t, items)[1])) for d, t in rows)
+    ids = {r["doc_id"] for r in decontamination.proximity_matches(docs_of(*rows), bench, 3).collect()}
+    assert {1, 2, 4, 5} <= ids and not {3, 6, 7, 9, 10} & ids
+    # A word replaced everywhere is in no text.
+    assert [tuple(r) for r in decontamination.proximity_matches(docs_of((2, phrase.replace("delta", "new")), (3, "kappa alpha")), bench, 3).collect()] == [(phrase, 2, 0)]
+    assert decontamination.proximity(docs_of(*rows), bench.where("false")).where("n_windows > 0").count() == 0
+
+
+def test_proximity_query(spark, texts):
+    exact = {r["doc_id"]: r["n_items"] for r in QUERIES["op2_decontamination"](spark, SF).collect()}
+    rows = QUERIES["op2_proximity"](spark, SF).collect()
+    assert len(rows) == len(texts) and all(r["n_items"] >= exact[r["doc_id"]] and r["contaminated"] == (r["n_windows"] > 0) for r in rows)
+
+
 # 3
 
 
