@@ -6,8 +6,8 @@ whose likelihood under a language is that of their trigrams, estimates the langu
 nested sets of its languages by share, the set with the best likelihood less PENALTY * ln(words) for each
 language after the first is kept, and the language with the largest share in it is the prediction.
 
-Training uses at most about TRAIN_ROWS labelled rows, drawn by a hash of their ids (a documented bound of
-the classifier); a language's trigrams are kept from a share of 1 / TRIGRAMS of its count on, so at most
+Training uses at most about LANGUAGE_ROWS labelled rows of each language, drawn by a hash of the row (a
+documented bound of the classifier), and all rows of a language that has fewer; a language's trigrams are kept from a share of 1 / TRIGRAMS of its count on, so at most
 TRIGRAMS of them. Prediction covers whole texts of all rows, map-side, without a shuffle.
 
 Defined results: a null text or one without a letter is `und` with score 0, and so is every text if no
@@ -18,7 +18,6 @@ training (held_out false); other columns are left out; an empty table gives an e
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 
@@ -28,12 +27,14 @@ from pyspark.sql import functions as F
 from docweave.llm.common import arrow_rows, bucket_of, groups_of_text, table, text_of
 
 FOLDS, HELD_OUT = 4, 2
-TRAIN_ROWS, TRIGRAMS = 20_000, 50_000
+LANGUAGE_ROWS, TRIGRAMS = 10_000, 50_000
 PENALTY = 2.0
 ROUNDS = 12
 CACHE = 300_000
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+#: Number signs that are no decimal digits and no letters, like a half or a Roman twelve in one sign, are no part of words.
+SIGNS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+WORD = re.compile(rf"[^\W\d_{SIGNS}]+")
 
 
 def trigrams(word: str) -> list[str]:
@@ -94,7 +95,7 @@ class Languages:
         like, total = np.exp(logs - top[:, None]), np.add.reduceat(times, starts)
         floor = np.add.reduceat(top * times, starts)
 
-        def fit(mask):
+        def fit(mask, like, times, doc, starts, total, floor):
             """Shares within the mask, and the log likelihood."""
             pi = mask / mask.sum(axis=1, keepdims=True)
             for k in range(ROUNDS + 1):
@@ -106,27 +107,29 @@ class Languages:
 
         n = len(self.names)
         alone = np.add.reduceat(logs * times[:, None], starts, axis=0)
-        first = alone.argmax(axis=1)
-        chosen = np.eye(n)[first]
-        best = alone.max(axis=1)
-        if n > 1:
-            full, _ = fit(np.ones((len(bags), n)))
-            rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
+        chosen, best = np.eye(n)[alone.argmax(axis=1)], alone.max(axis=1)
+        full, most = fit(np.ones((len(bags), n)), like, times, doc, starts, total, floor)
+        # Each document by its own likelihoods: where all languages together do not earn the penalty of one more, no set of them is tried, else all sizes.
+        more = np.flatnonzero(most - PENALTY * np.log(total + 1) > best)
+        if n > 1 and len(more):
+            of = np.isin(doc, more)
+            own = (like[of], times[of], np.repeat(np.arange(len(more)), sizes[more]), np.r_[0, np.cumsum(sizes[more])[:-1]], total[more], floor[more])
+            rank = np.argsort(np.argsort(-full[more], axis=1, kind="stable"), axis=1)
             for k in range(2, n + 1):
-                pi, ll = fit((rank < k).astype(np.float64))
-                ll -= PENALTY * (k - 1) * np.log(total + 1)
-                better = ll > best
-                if not better.any():
-                    break
-                chosen[better], best = pi[better], np.where(better, ll, best)
+                pi, ll = fit((rank < k).astype(np.float64), *own)
+                ll -= PENALTY * (k - 1) * np.log(total[more] + 1)
+                better = ll > best[more]
+                chosen[more[better]], best[more[better]] = pi[better], ll[better]
         return chosen
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRIGRAMS) -> dict[str, dict[str, int]]:
-    """Trigram counts for each language, from at most about `rows` of docs (doc_id, text, lang)."""
+def train(docs: DataFrame, rows: int = LANGUAGE_ROWS, most: int = TRIGRAMS) -> dict[str, dict[str, int]]:
+    """Trigram counts for each language, from at most about `rows` of its docs (doc_id, text, lang); all of a language that has fewer."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = min(1.0, rows / max(1, docs.count()))
-    docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    # A row a language, added up partly before the shuffle.
+    shares = docs.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), rows / F.col("n")).alias("share"))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
+    docs = docs.join(F.broadcast(shares), "lang").where(draw < F.col("share"))
 
     def run(batches):
         import pyarrow as pa
