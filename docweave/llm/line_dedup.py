@@ -8,7 +8,8 @@ the rest by position. Hashes have 128 bits.
 
 Defined results: a null or empty text is one empty line and is kept; rows that share a doc_id count as
 one document, each is cleaned by itself; a null doc_id counts as a document of its own that is larger
-than all others; other columns stay as they are; an empty table gives an empty result.
+than all others; other columns stay as they are, but those named n_lines or n_dropped give way to the
+added ones; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """docs with the lines removed from their text; n_lines and n_dropped are added."""
-    names = docs.columns
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     drops = dropped_lines(docs, id_col, text_col, min_length, min_documents).withColumnsRenamed({"id": "__id", "text_hash": "__hash", "drop": "__drop"})
     keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__hash": F.xxhash64(text_col)})
     joined = keyed.join(drops, ["__id", "__hash"], "left").withColumn("__lines", _lines(F.col(text_col)))

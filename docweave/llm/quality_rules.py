@@ -16,7 +16,8 @@ are arrays within a row, so scoring needs no shuffle.
 
 Defined results: a null or empty text has no words and fails the base rules; rows without a language
 belong to no reference but are judged against all; without any reference nothing fails for divergence;
-repeated rows get the same result each; other columns stay as they are; an empty table gives an empty result.
+repeated rows get the same result each; other columns stay as they are, but those named like an added one
+(ADDED) give way to it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ COMMON_SHARE = 0.004
 #: Characters of each class beside lower-case letters, blanks and line ends, and all others.
 CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{Nd}", "punctuation": r"[.,;:!?'\"()\-]"}
 NAMES = ("lower", "space", *CLASSES, "other")
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", "kept")
 
 
 def words(text: Column) -> Column:
@@ -225,6 +227,7 @@ def common_distance(hashes: Column, common: dict[str, dict[int, float]]) -> Colu
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs: tuple[dict, dict] | None = None) -> DataFrame:
     """docs with the base rules' columns, class_distance and common_distance (null where the text is too short) and kept."""
     classes, common = refs or references(docs, text_col, lang_col)
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ADDED))
     out, none = base_rules(docs, text_col), F.lit(None).cast("double")
     text, judged = F.coalesce(F.col(text_col), F.lit("")), ~F.col("base_failed")
     counts = class_counts(F.char_length(text), blanks(text), F.col("__rest"))
