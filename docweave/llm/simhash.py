@@ -10,9 +10,10 @@ longer chains before its full distance is taken.
 
 Hot groups: equal fingerprints are one node from the start (minimum by partial aggregation). Within a
 bucket, a search takes away what it reaches, so a dense group of k fingerprints costs about k steps and
-gives k - 1 links, never all pairs; that loses no connection. A bucket over BUCKET_ROWS is not searched
-but filed anew, losslessly, under chains longer by a segment (up to LONGEST; buckets there share 38 bits or
-more and are searched whatever their size). Links become components in rounds.
+gives k - 1 links, never all pairs, and none of its members many; that loses no connection. A bucket over BUCKET_ROWS is not searched
+but filed anew, losslessly, under chains longer by a segment (up to LONGEST). A bucket that is too large even
+there is cut into blocks, and each two blocks are searched together in a task of their own. Links become
+components in rounds.
 
 Defined results: texts without words (null, empty) have fingerprint zero and so are linked with each
 other; repeated rows get the same result each; rows whose doc_id is null have no say in a component's
@@ -36,6 +37,8 @@ CHAIN, LONGEST = 2, 3
 #: From so many distinct fingerprints on, a segment more.
 MANY = 1 << 30
 BUCKET_ROWS = 50_000
+#: Links that a fingerprint gives within what one search reaches.
+FAN = 16
 
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -114,7 +117,10 @@ def filed(fps: DataFrame, chain: int, distance: int = DISTANCE) -> DataFrame:
 
 
 def search(fps, start: int, distance: int = DISTANCE) -> Iterator[tuple[int, int]]:
-    """Links that connect what is connected among the fps (an array, unsigned) by pairs within the distance whose chain from this start keeps to the budgets."""
+    """Links that connect what is connected among the fps (an array, unsigned) by pairs within the distance whose chain from this start keeps to the budgets.
+
+    What a search reaches is linked as a tree of FAN branches a node and not with the first one, so that no fingerprint gets very many links.
+    """
     import numpy as np
 
     masks, left = segments(distance), np.unique(fps)
@@ -122,7 +128,7 @@ def search(fps, start: int, distance: int = DISTANCE) -> Iterator[tuple[int, int
     chains = [np.uint64(reduce(lambda a, b: a | b, (masks[(start + k) % n] for k in range(length)))) for length in range(1, n)]
     while len(left) > 1:
         root, left = left[0], left[1:]
-        todo = [root]
+        todo, reached = [root], [int(root)]
         while todo and len(left):
             at = todo.pop()
             differ = left ^ at
@@ -132,22 +138,23 @@ def search(fps, start: int, distance: int = DISTANCE) -> Iterator[tuple[int, int
             near = near[np.bitwise_count(differ[near]) <= distance]
             if len(near):
                 for x in left[near]:
-                    yield int(root), int(x)
+                    yield reached[(len(reached) - 1) // FAN], int(x)
+                    reached.append(int(x))
                     todo.append(x)
                 left = np.delete(left, near)
 
 
-def search_buckets(rows: DataFrame, last: bool, distance: int = DISTANCE, most: int = BUCKET_ROWS) -> DataFrame:
-    """rows of filed() as links a, b; or, of buckets over `most` rows, start and fp to file anew."""
-    rows = rows.repartition("start", "key").sortWithinPartitions("start", "key", F.desc("exact"))
+def search_buckets(rows: DataFrame, distance: int = DISTANCE, most: int = BUCKET_ROWS, all_of_them: bool = False) -> DataFrame:
+    """rows of filed() as links a, b; or, of buckets over `most` rows, start, key and a to file anew, unless all_of_them are to be searched."""
+    rows = rows.repartition("start", "key", *(c for c in ("part",) if c in rows.columns)).sortWithinPartitions("start", "key", *(c for c in ("part",) if c in rows.columns), F.desc("exact"))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def given(kind, start, a, b):
-            cols = [pa.array(kind, pa.bool_()), pa.array(start, pa.int32()), pa.array(np.asarray(a, np.uint64).view(np.int64)), pa.array(np.asarray(b, np.uint64).view(np.int64))]
-            return pa.RecordBatch.from_arrays(cols, ["link", "start", "a", "b"])
+        def given(kind, start, key, a, b):
+            cols = [pa.array(kind, pa.bool_()), pa.array(start, pa.int32()), pa.array(key, pa.int64()), pa.array(np.asarray(a, np.uint64).view(np.int64)), pa.array(np.asarray(b, np.uint64).view(np.int64))]
+            return pa.RecordBatch.from_arrays(cols, ["link", "start", "key", "a", "b"])
 
         held_at, held, over = None, [], False  # the bucket that is not complete yet
 
@@ -156,28 +163,30 @@ def search_buckets(rows: DataFrame, last: bool, distance: int = DISTANCE, most:
                 return None
             fps = np.concatenate(held)
             found = list(search(fps, held_at[0], distance)) if len(fps) > 1 else []
-            return given([True] * len(found), [held_at[0]] * len(found), [a for a, _ in found], [b for _, b in found]) if found else None
+            return given([True] * len(found), [held_at[0]] * len(found), [0] * len(found), [a for a, _ in found], [b for _, b in found]) if found else None
 
         for batch in batches:
-            start, key = batch.column("start").to_numpy(), batch.column("key").to_numpy()
+            names = [c for c in ("start", "key", "part") if c in batch.schema.names]
+            at_of = [batch.column(c).to_numpy() for c in names]
             fp, exact = batch.column("fp").to_numpy().view(np.uint64), batch.column("exact").to_numpy(zero_copy_only=False)
-            if not len(start):
+            if not len(fp):
                 continue
-            edge = np.flatnonzero(np.r_[True, (start[1:] != start[:-1]) | (key[1:] != key[:-1])])
-            ends = np.r_[edge[1:], len(start)]
+            edge = np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in at_of])])
+            ends = np.r_[edge[1:], len(fp)]
             # In the middle of a batch only buckets with an exact row and another one count; the first and the last may go on beyond it.
             count = (ends - edge > 1) & exact[edge]
             count[0] = count[-1] = True
-            links: tuple[list, list, list] = ([], [], [])
+            links: tuple[list, list, list, list] = ([], [], [], [])
             for k in np.flatnonzero(count):
-                i, j, at = edge[k], ends[k], (int(start[edge[k]]), int(key[edge[k]]))
+                i, j = edge[k], ends[k]
+                at = tuple(int(x[i]) for x in at_of)
                 if 0 < k < len(edge) - 1:
-                    if j - i <= most or last:
+                    if j - i <= most or all_of_them:
                         for a, b in search(fp[i:j], at[0], distance):
-                            for column, value in zip(links, (at[0], a, b), strict=True):
+                            for column, value in zip(links, (at[0], 0, a, b), strict=True):
                                 column.append(value)
                     else:
-                        yield given([False] * (j - i), [at[0]] * (j - i), fp[i:j], fp[i:j])
+                        yield given([False] * (j - i), [at[0]] * (j - i), [at[1]] * (j - i), fp[i:j], fp[i:j])
                     continue
                 if at != held_at:
                     if (out := done()) is not None:
@@ -186,15 +195,27 @@ def search_buckets(rows: DataFrame, last: bool, distance: int = DISTANCE, most:
                 if held_at is None:
                     continue
                 held.append(fp[i:j].copy())
-                if not last and (over or sum(map(len, held)) > most):
+                if not all_of_them and (over or sum(map(len, held)) > most):
                     fps, over, held = np.concatenate(held), True, []
-                    yield given([False] * len(fps), [at[0]] * len(fps), fps, fps)
+                    yield given([False] * len(fps), [at[0]] * len(fps), [at[1]] * len(fps), fps, fps)
             if links[0]:
                 yield given([True] * len(links[0]), *links)
         if (out := done()) is not None:
             yield out
 
-    return rows.mapInArrow(run, "link boolean, start int, a long, b long")
+    return rows.mapInArrow(run, "link boolean, start int, key long, a long, b long")
+
+
+def in_parts(large: DataFrame, most: int = BUCKET_ROWS) -> DataFrame:
+    """Buckets (start, key, fp) that are too large for one task, as parts of about `most` rows: blocks by hash, and a part for each two of them (and each one), so that any two rows meet in a part."""
+    half = max(1, most // 2)
+    blocks = large.groupBy("start", "key").agg(F.ceil(F.count("*") / half).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    rows = large.join(blocks, ["start", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # With more than one block, a block's own pairs are in any part that it is in.
+    rows = rows.where((F.col("own") != F.col("other")) | (F.col("blocks") == 1))
+    part = F.least("own", "other") * F.col("blocks").cast("long") + F.greatest("own", "other")
+    return rows.select("start", "key", part.alias("part"), "fp", F.lit(True).alias("exact"))
 
 
 def fingerprint_links(fps: DataFrame, rows: int, distance: int = DISTANCE, chain: int = CHAIN, most: int = BUCKET_ROWS) -> DataFrame:
@@ -203,13 +224,15 @@ def fingerprint_links(fps: DataFrame, rows: int, distance: int = DISTANCE, chain
     links, todo = [], fps
     longest = min(LONGEST, distance + 1)
     for length in range(min(chain, longest), longest + 1):
-        last = length == longest
-        found = stored(search_buckets(filed(todo, length, distance), last, distance, most))
+        found = stored(search_buckets(filed(todo, length, distance), distance, most))
         links.append(found.where("link").select("a", "b"))
-        todo = found.where("not link").select("start", F.col("a").alias("fp")).distinct()
-        if last or todo.isEmpty():
-            return reduce(DataFrame.unionAll, links).distinct()
-    raise AssertionError
+        large = found.where("not link").select("start", "key", F.col("a").alias("fp")).distinct()
+        todo = large.select("start", "fp").distinct()
+        if large.isEmpty():
+            break
+        if length == longest:
+            links.append(stored(search_buckets(in_parts(stored(large), most), distance, most, True)).select("a", "b"))
+    return reduce(DataFrame.unionAll, links).distinct()
 
 
 def smallest_of(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
