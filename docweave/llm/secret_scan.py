@@ -1,17 +1,19 @@
 """Operator 8, secret scans: a trigram inverted index.
 
 From each rule's regular expression a Boolean query over trigrams is derived: what every match must
-contain, in lower case. The index stores the postings (trigram, document) of the trigrams that some query
-asks for; intersecting them by document, as the query's ANDs and ORs say, gives each rule's candidates,
-and only those are searched with the expression. A rule without mandatory trigrams searches all texts.
+contain, in lower case, as clauses (trigrams that must all be there) of which one must hold. The index
+stores the postings (trigram, document) of the trigrams that some clause asks for. Each clause is answered
+from its rarest trigram on: that one's postings, kept as far as the next one's have them, up to TERMS
+trigrams. The documents of any clause are the rule's candidates, and only those are searched with the
+expression. A rule without mandatory trigrams searches all texts.
 
 Spans come from built-in expressions alone: the text between the matches (split) and the matches
-themselves (regexp_extract_all) have lengths whose running sums are the places. Offsets count code points,
+themselves (regexp_extract_all) have lengths whose running sums, taken by doubling, are the places. Offsets count code points,
 the end is exclusive. Matches are leftmost and do not overlap within a rule.
 
 The candidates' ids are broadcast if a count shows that they are few; else texts and candidates are
 shuffled by document. A posting is a few numbers, and a frequent trigram only means many postings, which
-are grouped by document and never by trigram.
+are joined by clause and document and never by trigram alone.
 
 Defined results: a null or empty text has no spans; repeated rows get the same result each; rows that
 share a doc_id are searched each in their own text; a null doc_id is kept; other columns are left out; an
@@ -22,11 +24,12 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import lower_ascii, small, stored, table
+from docweave.llm.common import let, lower_ascii, small, stored, table
 
 _parser = re._parser  # Python's own parser of regular expressions
 
@@ -58,6 +61,10 @@ MORE = (
 )
 #: Strings that a run of pattern elements may stand for, and characters of a class, before it counts as anything.
 MOST_STRINGS, MOST_CHARACTERS = 64, 6
+#: Trigrams of a clause whose postings are intersected; the expression then says the rest.
+TERMS = 3
+#: Clauses of a rule; a query that would have more counts as True.
+MOST_CLAUSES = 256
 
 # A query is True (anything), ("tri", trigram), ("and", queries) or ("or", queries).
 
@@ -121,52 +128,82 @@ def trigrams_of(query: object) -> set[str]:
     return set() if query is True else {query[1]} if query[0] == "tri" else set().union(*map(trigrams_of, query[1]))
 
 
-def _asks(query: object, number: dict[str, int], have: Column) -> Column:
+def clauses_of(query: object) -> list[frozenset[str]]:
+    """The query as sets of trigrams: one of the sets must be in the text as a whole. An empty set stands for any text."""
+    if query is True:
+        return [frozenset()]
     if query[0] == "tri":
-        return F.array_contains(have, number[query[1]])
-    parts = [_asks(q, number, have) for q in query[1]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p if query[0] == "and" else out | p
-    return out
+        return [frozenset([query[1]])]
+    ways = [clauses_of(q) for q in query[1]]
+    if query[0] == "or":
+        found = {c for w in ways for c in w}
+    else:
+        found = {frozenset()}
+        for w in sorted(ways, key=len):
+            if len(found) * len(w) <= MOST_CLAUSES:  # a part that is left out only makes the query ask for less
+                found = {a | b for a in found for b in w}
+    return sorted((c for c in found if not any(d < c for d in found)), key=sorted)
 
 
 def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The postings, stored: trigram (its number), doc_id, text_hash."""
+    """The postings, stored: trigram, doc_id, text_hash."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lower_ascii(F.col("text")).alias("low"))
-    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(k)) for k, t in enumerate(trigrams))))
+    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams))) if trigrams else F.array().cast("array<string>")
     return stored(rows.select("doc_id", "text_hash", F.explode(held).alias("trigram")))
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+def candidates(docs: DataFrame, rules: tuple[Rule, ...], terms: int = TERMS) -> DataFrame:
     """doc_id, text_hash, rules (the numbers of those that may match): of rules with mandatory trigrams."""
-    asked = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not True}
-    trigrams = sorted(set().union(*map(trigrams_of, asked.values()))) if asked else []
-    number = {t: k for k, t in enumerate(trigrams)}
-    have = trigram_index(docs, trigrams).groupBy("doc_id", "text_hash").agg(F.collect_set("trigram").alias("have"))
-    meets = F.array_compact(F.array(*(F.when(_asks(q, number, F.col("have")), F.lit(k)) for k, q in asked.items())))
-    return have.select("doc_id", "text_hash", meets.alias("rules")).where(F.size("rules") > 0)
+    spark = docs.sparkSession
+    asked = [(k, c) for k, r in enumerate(rules) if frozenset() not in (found := clauses_of(trigram_query(r.pattern))) for c in found]
+    index = trigram_index(docs, sorted(set().union(*(c for _, c in asked))) if asked else [])
+    n = {r["trigram"]: r["n"] for r in index.groupBy("trigram").agg(F.count("*").alias("n")).collect()}  # as many as the rules ask for
+    # One trigram without postings answers its clause.
+    ranked = [(no, k, rank, t) for no, (k, c) in enumerate(asked) if c <= n.keys() for rank, t in enumerate(sorted(c, key=lambda t: (n[t], t))[:terms])]
+    plan = F.broadcast(spark.createDataFrame(ranked, "clause int, rule int, rank int, trigram string"))
+    last = {no: rank for no, _, rank, _ in ranked}
+    posting = lambda rank: index.join(plan.where(F.col("rank") == rank), "trigram").select("clause", "rule", "doc_id", "text_hash")
+    left, done = posting(0), []
+    for rank in range(1, max(last.values(), default=0) + 1):
+        longer = F.col("clause").isin([no for no, top in last.items() if top >= rank])
+        done.append(left.where(~longer))
+        keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("clause", "doc_id", "text_hash")]
+        left = left.where(longer).alias("a").join(posting(rank).alias("b"), keys, "left_semi")
+    found = reduce(DataFrame.unionByName, [*done, left])
+    return found.groupBy("doc_id", "text_hash").agg(F.collect_set("rule").alias("rules"))
 
 
 NO_SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
+def running_sums(numbers: Column) -> Column:
+    """Of each number all up to it, by doubling: each round adds the sums that end 1, 2, 4 ... places before."""
+
+    def add(sums: Column, k: Column) -> Column:
+        apart = F.least(F.call_function("shiftleft", F.lit(1), k), F.size(sums))
+        before = F.concat(F.array_repeat(F.lit(0), apart), F.slice(sums, F.lit(1), F.size(sums) - apart))
+        return F.zip_with(sums, before, lambda a, b: a + b)
+
+    rounds = F.ceil(F.log2(F.greatest(F.size(numbers), F.lit(1)))).cast("int")
+    return F.aggregate(F.filter(F.sequence(F.lit(0), rounds), lambda k: k < rounds), numbers, add)
+
+
 def spans(text: Column, rule: Rule, rank: int) -> Column:
     """The rule's spans in the text, in order."""
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     length = found if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    pairs = F.arrays_zip(found.alias("m"), F.split(text, rule.pattern, -1).alias("gap"), length.alias("v"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(NO_SPANS).alias("all"))
+    # The gap before each match, the match and what must be long, as lengths; the gap after the last match is left out.
+    pairs = F.zip_with(F.zip_with(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("m"))), length, lambda p, v: F.struct(p["gap"].alias("gap"), p["m"].alias("m"), F.char_length(v).alias("v")))
+
+    def placed(ps: Column) -> Column:
+        def one(p: Column, end: Column) -> Column:
+            return F.struct((end - p["m"]).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"), p["v"].alias("v"))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["m"])
-        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(F.char_length(x["v"]) >= rule.least, F.concat(a["all"], F.array(one))).otherwise(a["all"]).alias("all"))
+        spans_ = F.zip_with(ps, running_sums(F.transform(ps, lambda p: p["gap"] + p["m"])), one)
+        return F.transform(F.filter(spans_, lambda x: x["v"] >= rule.least), lambda x: x.dropFields("v"))
 
-    matched = F.filter(pairs, lambda x: x["m"].isNotNull())  # the gap after the last match has none
-    return F.when(text.rlike(rule.pattern), F.aggregate(matched, zero, step, lambda a: a["all"])).otherwise(F.array().cast(NO_SPANS))
+    return F.when(text.rlike(rule.pattern), let(pairs, placed)).otherwise(F.array().cast(NO_SPANS))
 
 
 def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
