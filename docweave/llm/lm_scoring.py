@@ -2,13 +2,14 @@
 
 The model gives a text the sum of the probabilities of all ways to spell it with the pieces of an
 existing vocabulary, closed by an end. Pieces never cross white space, so the sum is a product over
-words, and a word's sum is one forward recursion in log space over its lattice. A piece's weight starts
-from its score in the vocabulary (its rank there, as 1 / rank) and is updated with its count in the
-training texts; a character without a piece is spelled by its bytes.
+words, and a word's sum is one forward recursion in log space over its lattice. A piece's weight is a
+mixture: a share SCORES comes from its score in the vocabulary (its rank there, as 1 / rank), the rest from
+its share of the training texts as the vocabulary's own library segments them. The shares of the two are
+the same at every size of the input. A character without a piece is spelled by its bytes.
 
 Training counts words in each task (bounded memory), adds the counts up, and segments each distinct word
 once. Words with at least a share 1 / FREQUENT of all tokens, so never more than FREQUENT of them, are
-broadcast with count and score. The documents are read once more: frequent words are looked up in the
+broadcast with count and score, which executors compute. The documents are read once more: frequent words are looked up in the
 task; the others leave as (row, word, n), each no hotter than that share, and are joined with the word
 table by word. Nothing is cut or sampled.
 
@@ -21,6 +22,7 @@ token, and the model's weights are those of the vocabulary.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,24 +33,31 @@ from docweave.llm.common import arrow_rows, bucket_of, groups_of_text, stored, t
 
 FOLDS, HELD_OUT = 7, 2
 FREQUENT = 1_000_000
-#: Tokens that the vocabulary's own weights count as.
-PRIOR = 10_000.0
+#: The share of the vocabulary's own scores in a piece's weight.
+SCORES = 0.5
 #: Distinct words that a task counts before it gives them on.
 COUNTED = 400_000
 END = "</s>"
 MARK = "▁"
-_models: dict[tuple, PieceModel] = {}
+_models: dict[str, PieceModel] = {}
+_libraries: dict[str, object] = {}
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def library(path: str):
+    if path not in _libraries:
+        import sentencepiece
+
+        _libraries[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+    return _libraries[path]
+
+
 def vocabulary(path: str) -> dict[str, float]:
     """The pieces with their prior probability; bytes are written as single control characters of their own (see spell)."""
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    sp = library(path)
     size = sp.get_piece_size()
     plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) and MARK not in sp.id_to_piece(i)[1:]]
     plain.sort(key=lambda i: (-sp.get_score(i), i))
@@ -63,46 +72,38 @@ class PieceModel:
     """Log probabilities of pieces, and of words by all their spellings."""
 
     def __init__(self, logs: dict[str, float]):
-        self.logs, self.end, self.longest, self.bytes = logs, logs[END], max(map(len, logs)), {}
-        self.bytes = [logs[f"<0x{b:02X}>"] for b in range(256)]
+        self.bytes, self.end = [logs[f"<0x{b:02X}>"] for b in range(256)], logs[END]
+        # Pieces only: the text of a byte's or the end's name is spelled like any other.
+        self.logs = {p: w for p, w in logs.items() if p != END and not (len(p) == 6 and p.startswith("<0x"))}
+        self.longest = max(map(len, self.logs), default=1)
+        self.prefixes = {p[:k] for p in self.logs for k in range(1, len(p))}
 
     def word(self, word: bytes) -> float:
         """The natural logarithm of the sum over all segmentations."""
         text = MARK + word.decode("utf-8", "replace")
-        get, most, n = self.logs.get, self.longest, len(text)
-        alpha = [0.0] * (n + 1)
-        exp, log = math.exp, math.log
-        for i in range(1, n + 1):
-            ways = [alpha[j] + w for j in range(max(0, i - most), i) if (w := get(text[j:i])) is not None]
-            if get(text[i - 1]) is None:
-                ways.append(alpha[i - 1] + sum(self.bytes[b] for b in text[i - 1].encode()))
-            top = max(ways)
-            alpha[i] = top if len(ways) == 1 else top + log(sum([exp(x - top) for x in ways]))
-        return alpha[n]
-
-    def best(self, word: bytes) -> list[str]:
-        """The pieces of the likeliest segmentation, from the end of the word."""
-        text = MARK + word.decode("utf-8", "replace")
-        get, most, n = self.logs.get, self.longest, len(text)
-        alpha, back = [0.0] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            top, at = -math.inf, i - 1
-            if get(text[i - 1]) is None:
-                top = alpha[i - 1] + sum(self.bytes[b] for b in text[i - 1].encode())
-            for j in range(max(0, i - most), i):
-                w = get(text[j:i])
-                if w is not None and alpha[j] + w > top:
-                    top, at = alpha[j] + w, j
-            alpha[i], back[i] = top, at
-        out, i = [], n
-        while i:
-            piece = text[back[i] : i]
-            out += [piece] if piece in self.logs else [f"<0x{b:02X}>" for b in piece.encode()]
-            i = back[i]
-        return out
-
-
-def model_of(key: tuple, logs) -> PieceModel:
+        get, prefixes, n, size = self.logs.get, self.prefixes, len(text), self.longest + 1
+        # From each place on the pieces that start there; a ring holds what ends at the next places, so that a word of any length takes little memory.
+        ring: list[list[float]] = [[] for _ in range(size)]
+        exp, log, at = math.exp, math.log, 0.0
+        for j in range(n + 1):
+            if j:
+                own = ring[j % size]
+                ring[j % size] = []
+                top = max(own)
+                at = top if len(own) == 1 else top + log(sum([exp(x - top) for x in own]))
+                if j == n:
+                    break
+            i, piece = j + 1, text[j]
+            ring[i % size].append(at + (sum([self.bytes[b] for b in piece.encode()]) if (w := get(piece)) is None else w))
+            while piece in prefixes and i < n:
+                i += 1
+                piece = text[j:i]
+                if (w := get(piece)) is not None:
+                    ring[i % size].append(at + w)
+        return at
+
+
+def model_of(key: str, logs) -> PieceModel:
     """The model that a worker has under this key; logs() if it has none."""
     if key not in _models:
         _models.clear()
@@ -132,26 +133,32 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def piece_weights(counts: DataFrame, texts: int, path: str) -> dict[str, float]:
-    """Log probabilities of the pieces: the vocabulary's weights, updated with the best segmentation of each training word. As many numbers as the vocabulary has pieces."""
+def piece_weights(counts: DataFrame, texts: int, path: str, scores: float = SCORES) -> dict[str, float]:
+    """Log probabilities of the pieces: the vocabulary's scores mixed with the pieces' shares of the training words (word, c). As many numbers as the vocabulary has pieces."""
     prior = vocabulary(path)
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        model, found = model_of((path,), lambda: {p: math.log(w) for p, w in vocabulary(path).items()}), Counter()
-        for word, c in arrow_rows(batches, "word", "c"):
-            for piece in model.best(word.encode()):
-                found[piece] += c
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["piece", "n"])
+        sp = library(path)
+        found = np.zeros(sp.get_piece_size(), np.int64)
+        for batch in batches:
+            ids = sp.encode(batch.column("word").to_pylist(), num_threads=1)
+            times = np.repeat(batch.column("c").to_numpy(), np.fromiter(map(len, ids), np.int64, len(ids)))
+            np.add.at(found, np.fromiter((i for w in ids for i in w), np.int64, len(times)), times)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array([sp.id_to_piece(int(i)) for i in at], pa.string()), pa.array(found[at])], ["piece", "n"])
 
-    n = {r["piece"]: r["n"] for r in counts.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
-    n[END] = texts
-    total = sum(n.values()) + PRIOR
-    return {p: math.log((n.get(p, 0) + PRIOR * w) / total) for p, w in prior.items()}
+    found = {r["piece"]: r["n"] for r in counts.select("word", "c").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+    n = {p: k for p, k in found.items() if p in prior} | {END: texts}
+    total = sum(n.values())
+    if not total:
+        return {p: math.log(w) for p, w in prior.items()}
+    return {p: math.log(scores * w + (1 - scores) * n.get(p, 0) / total) for p, w in prior.items()}
 
 
-def lm_scores(docs: DataFrame, path: str | None = None, folds: int = FOLDS, held_out: int = HELD_OUT, frequent: int = FREQUENT) -> DataFrame:
+def lm_scores(docs: DataFrame, path: str | None = None, folds: int = FOLDS, held_out: int = HELD_OUT, frequent: int = FREQUENT, scores: float = SCORES) -> DataFrame:
     """docs (doc_id, text) as doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     path = path or tokenizer_path("piece_bpe_32k.model")
     sc = docs.sparkSession.sparkContext
@@ -161,11 +168,21 @@ def lm_scores(docs: DataFrame, path: str | None = None, folds: int = FOLDS, held
     texts = train.count()
     n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
     n, v = n + texts, v + (texts > 0)
-    logs = piece_weights(counts, texts, path)
-    weights, key = sc.broadcast(logs), (path, n, v)
-    most = counts.where(F.col("c") * F.lit(frequent) >= n).collect()  # at most `frequent` rows: each has that share of n
-    known = PieceModel(logs)
-    tier_one = sc.broadcast({w: (r["c"], known.word(w)) for r in most for w in [r["word"].encode()]})
+    logs = piece_weights(counts, texts, path, scores)
+    weights, key = sc.broadcast(logs), uuid.uuid4().hex
+
+    def scored(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        model = model_of(key, lambda: weights.value)
+        for batch in batches:
+            lns = np.fromiter((model.word(w.encode()) for w in batch.column("word").to_pylist()), np.float64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(lns)], ["word", "c", "ln"])
+
+    with_score = "word string, c long, ln double"
+    most = counts.where(F.col("c") * F.lit(frequent) >= n).mapInArrow(scored, with_score)  # at most `frequent` rows: each has that share of n
+    tier_one = sc.broadcast({r["word"].encode(): (r["c"], r["ln"]) for r in most.toLocalIterator()})
     base, ln10 = math.log10(n + v + 1), math.log(10)
 
     def run(batches):
@@ -200,19 +217,10 @@ def lm_scores(docs: DataFrame, path: str | None = None, folds: int = FOLDS, held
     rows = stored(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, plus double, ln double, words array<string>, times array<int>"))
     rare = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("k"))
 
-    def scored(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        model = model_of(key, lambda: weights.value)
-        for batch in batches:
-            lns = np.fromiter((model.word(w.encode()) for w in batch.column("word").to_pylist()), np.float64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(lns)], ["word", "c", "ln"])
-
     # Each distinct rare word is scored once, whether training has it or only a held-out text.
     rest = counts.where(F.col("c") * F.lit(frequent) < n)
     unseen = rows.where("held_out").select(F.explode("words").alias("word")).distinct().join(rest, "word", "left_anti").withColumn("c", F.lit(0).cast("long"))
-    words = rest.select("word", "c").unionAll(unseen).mapInArrow(scored, "word string, c long, ln double").withColumnRenamed("word", "w")
+    words = rest.select("word", "c").unionAll(unseen).mapInArrow(scored, with_score).withColumnRenamed("word", "w")
     sums = rare.join(words, F.col("word") == F.col("w")).groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("more_plus"), F.sum(F.col("k") * F.col("ln")).alias("more_ln")
     )
