@@ -159,24 +159,36 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, window: int
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, terms: int = TERMS) -> DataFrame:
-    """The documents with exact occurrences: doc_id, text_hash, matches (start, size, items)."""
+    """The documents with exact occurrences, stored: doc_id, text_hash, matches (start, size), phrases (phrase_ids of the distinct ones)."""
     split, phrases = text_words(docs), numbered(windows(items, window))
+    return _phrase_matches(docs, split, phrases, terms)
+
+
+def _phrase_matches(docs: DataFrame, split: DataFrame, phrases: DataFrame, terms: int) -> DataFrame:
     asked, n, distinct, n_terms = _asked(split, phrases, terms)
     index = positional_index(split, distinct, n_terms)
     n_phrases = phrases.count()
-    found = candidates(index, asked, n, terms).join(small(phrases, n_phrases), "phrase_id").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "size", "phrase", "items")).alias("found"))
+    sizes = phrases.select("phrase_id", "size")
+    # A candidate is a few numbers; the words at its place come out of the text once more, and only then the phrase's.
+    found = candidates(index, asked, n, terms).join(small(sizes, n_phrases), "phrase_id").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "size", "phrase_id")).alias("found"))
     both = read_again(docs, stored(found))
-    exact = let(F.col("w"), lambda w: F.filter("found", lambda x: F.array_join(F.slice(w, x["start"] + 1, x["size"]), " ") == x["phrase"]))
-    return both.select("doc_id", "text_hash", once(F.transform(exact, lambda x: x.dropFields("phrase"))).alias("matches")).where(F.size("matches") > 0)
+    shown = let(F.col("w"), lambda w: F.transform("found", lambda x: x.withField("words", F.array_join(F.slice(w, x["start"] + 1, x["size"]), " "))))
+    cases = both.select("doc_id", "text_hash", F.inline(shown)).join(small(phrases.select("phrase_id", "phrase"), n_phrases), "phrase_id").where("words = phrase")
+    return stored(cases.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "size")).alias("matches"), F.collect_set("phrase_id").alias("phrases")))
 
 
 def decontamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, terms: int = TERMS) -> DataFrame:
     """docs (doc_id, text) as doc_id, n_words, n_hit, items (sorted ids of items with occurring windows)."""
     docs = docs.select("doc_id", "text")
+    split, phrases = text_words(docs), numbered(windows(items, window))
+    found = _phrase_matches(docs, split, phrases, terms)
     hit = F.size(F.array_distinct(F.flatten(F.transform("matches", lambda m: F.sequence(m["start"], m["start"] + m["size"] - 1)))))
-    matched = phrase_matches(docs, items, window, terms).select("doc_id", "text_hash", hit.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("matches", lambda m: m["items"])))).alias("items"))
+    held = found.select("doc_id", "text_hash", F.explode("phrases").alias("phrase_id")).join(small(phrases.select("phrase_id", "items"), phrases.count()), "phrase_id")
+    names = held.select("doc_id", "text_hash", F.explode("items").alias("item")).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    same = [F.col("f.doc_id").eqNullSafe(F.col("k.doc_id")), F.col("f.text_hash") == F.col("k.text_hash")]
+    matched = found.select("doc_id", "text_hash", hit.alias("n_hit")).alias("f").join(names.alias("k"), same, "left").select("f.doc_id", "f.text_hash", "n_hit", "items")
     # A row's hash says which text it has, so that rows that share a doc_id get their own result.
-    rows = text_words(docs).select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"))
+    rows = split.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"))
     keys = [F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")), F.col("r.text_hash") == F.col("m.text_hash")]
     joined = rows.alias("r").join(matched.alias("m"), keys, "left")
     return joined.select("r.doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
