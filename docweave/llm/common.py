@@ -50,24 +50,45 @@ def bucket_of(col: str, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder; a temporary one only where none is set and all runs on this machine, as in tests."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="docweave-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
 
 
+#: The tables that stored() wrote and nobody has discarded, oldest first.
+_written: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and what follows reads it as often as it likes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many stored tables there are: a mark for discard()."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, mark: int, keep_last: bool = True) -> None:
+    """Deletes the tables stored since the mark, but the last one: for when that is all that is still read."""
+    gone = _written[mark : -1 if keep_last else None]
+    for path in gone:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _written.remove(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df as reliable checkpoint, partition by partition as it was computed."""
     shared_dir(df.sparkSession)

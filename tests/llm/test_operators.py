@@ -47,11 +47,36 @@ def test_token_counts(spark, texts, clip):
         assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(texts[r["doc_id"]].encode()), n > 2048)
 
 
+@pytest.fixture(scope="module")
+def lengths():
+    return token_counts.Lengths.of(token_counts.tokenizer_path("word_bpe_49k.json"))
+
+
+LATIN = st.one_of(st.sampled_from(list("aB'st \n\t\r.,1é|<>İıŉǅ²½ªº")), st.characters(min_codepoint=0xA1, max_codepoint=0x24F), st.sampled_from(["'ll", "'S ", "don't", "<|endoftext|>"]))
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("aB'st \n\t\r.,1é́ 　 \x1c\x85<|>Σİ\U0001f600")), max_size=40))
-def test_token_counts_by_chunk(clip, text):
-    text += " <|endoftext|>x <|startoftext|>"
-    assert sum(token_counts.lengths(clip, token_counts.chunks(text))) == len(clip.encode(text, add_special_tokens=False).ids)
+@given(st.lists(st.one_of(LATIN, st.sampled_from(list("́　 \x1c\x85ΣΑ\U0001f600"))), max_size=40).map("".join), st.booleans())
+def test_token_counts_by_split(clip, lengths, text, special):
+    text += " <|endoftext|>x <|startoftext|>" if special else ""
+    assert lengths.counts([text]) == [len(clip.encode(text, add_special_tokens=False).ids)] == [sum(lengths.lengths(token_counts.chunks(text)))]
+
+
+def test_token_counts_of_long_words(docs_of, clip):
+    texts = {1: "x" * 300_000, 2: " " * 500_000 + "a", 3: "ab1" * 50_000 + "!" * 50_000, 4: "é" * 1000 + " 中" * 1000}
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs_of(*texts.items()), frequent=2).collect()}
+    assert got == {d: len(clip.encode(t, add_special_tokens=False).ids) for d, t in texts.items()}
+
+
+def test_frequent_tokens(docs_of):
+    docs = docs_of(*[(k, "often seen words" if k % 3 else f"rare{k}") for k in range(90)])
+    path = token_counts.tokenizer_path("word_bpe_49k.json")
+    assert token_counts.frequent_tokens(docs.repartition(40), path, most=3) == ["often", "seen", "words"]
+    small = token_counts.Lengths(path)
+    small.use("t", "", b"")
+    small.held = token_counts.CACHE_BYTES + 1  # a full cache is emptied
+    small.known["stale"] = 99
+    assert small.counts(["stale words"]) == [len(small.tokenizer.encode("stale words", add_special_tokens=False).ids)]
 
 
 def test_token_counts_odd(odd, clip):
@@ -97,12 +122,22 @@ def test_decontamination_query(spark, texts):
         assert r["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
 
 
-def test_proximity(spark, docs_of):
-    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
-    docs = docs_of((1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, "alpha beta gamma delta x epsilon zeta eta theta iota kappa"), (3, "kappa alpha"))
-    found = {r["doc_id"] for r in decontamination.proximity_matches(docs, bench, 3).collect()}
-    assert {1, 2} <= found or {1} <= found
-    assert {r["doc_id"] for r in decontamination.phrase_matches(docs, bench).collect()} == {1}
+def test_exact_matches_are_no_near_ones(spark, docs_of):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (None, "only without an id")], "item_id long, text string")
+    docs = docs_of((1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, "alpha beta gamma delta x epsilon zeta eta theta iota kappa"), (3, "kappa alpha"), (4, "Only without an ID."))
+    # An item without an id marks documents, but no list names it.
+    assert {r["doc_id"] for r in decontamination.phrase_matches(docs, bench).collect()} == {1, 4}
+    assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontamination.decontamination(docs, bench).collect()} == {1: (10, ["1"]), 2: (0, []), 3: (0, []), 4: (4, [])}
+    assert {r["doc_id"] for r in decontamination.proximity_matches(docs, bench, 3).collect()} == {1, 2, 4}
+
+
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_decontamination_with_and_without_broadcasts(spark, docs_of, monkeypatch, rows):
+    from docweave.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", rows)
+    test_decontamination(spark, docs_of)
 
 
 def nearby(text, items, slop=3):
@@ -157,6 +192,83 @@ def test_language_mixture(docs_of, odd):
     assert language_id.train(odd.where("lang is null").select("doc_id", "text", "lang")) == {}
 
 
+def mixture_of_one(text, counts):
+    """The chosen shares of one text, alone: {} without letters."""
+    import unicodedata
+
+    names, found, word = sorted(counts), Counter(), ""
+    for c in text.lower() + " ":
+        if unicodedata.category(c)[0] == "L":
+            word += c
+        elif word:
+            found[word] += 1
+            word = ""
+    if not found:
+        return {}
+    grams = sorted({g for c in counts.values() for g in c})
+    total = {lang: sum(counts[lang].values()) for lang in names}
+    log = lambda w, lang: sum(np.log((counts[lang].get(g, 0) + 0.5) / (total[lang] + 0.5 * (len(grams) + 1))) for g in (f"<{w}>"[k : k + 3] for k in range(len(w))))
+    logs = {w: [log(w, lang) for lang in names] for w in found}
+    n = sum(found.values())
+
+    def fit(chosen):
+        pi = [(lang in chosen) / len(chosen) for lang in names]
+        like = lambda: {w: sum(p * np.exp(x - max(logs[w])) for p, x in zip(pi, logs[w], strict=True)) for w in found}
+        for _ in range(language_id.ROUNDS):
+            mass = like()
+            pi = [sum(k * p * np.exp(logs[w][at] - max(logs[w])) / mass[w] for w, k in found.items()) / n for at, p in enumerate(pi)]
+        return pi, sum(k * (np.log(like()[w]) + max(logs[w])) for w, k in found.items())
+
+    alone = [sum(k * logs[w][at] for w, k in found.items()) for at in range(len(names))]
+    best, chosen = max(alone), {names[int(np.argmax(alone))]: 1.0}
+    full, most = fit(names)
+    if most - language_id.PENALTY * np.log(n + 1) > best:
+        by_share = sorted(range(len(names)), key=lambda at: -full[at])
+        for k in range(2, len(names) + 1):
+            pi, ll = fit([names[at] for at in by_share[:k]])
+            if ll - language_id.PENALTY * (k - 1) * np.log(n + 1) > best:
+                best, chosen = ll - language_id.PENALTY * (k - 1) * np.log(n + 1), {names[at]: pi[at] for at in range(len(names)) if pi[at] > 0}
+    return chosen
+
+
+def test_language_mixture_by_brute_force(spark, texts):
+    rng = np.random.default_rng(3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    counts = language_id.train(docs.select("doc_id", "text", "lang").where("doc_id % 2 = 0"))
+    assert set(counts) == {"de", "en", "es", "fr"}
+    pool = [t for t in texts.values() if 100 < len(t) < 3000][:60]
+    cut = lambda t: t[: int(rng.integers(5, 250))]
+    rows = [(k, " ".join(cut(pool[int(i)]) for i in rng.integers(0, len(pool), k % 4 + 1))) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    shown = lambda found: {r["doc_id"]: {lang: round(x, 6) for lang, x in r["shares"].items()} for r in found.collect()}
+    got = shown(language_id.language_mixture(frame.coalesce(1), counts))
+    assert got == shown(language_id.language_mixture(frame.repartition(17), counts))
+    for d, t in rows:
+        assert got[d] == pytest.approx(mixture_of_one(t, counts), abs=1e-5)
+    # Alone as among others.
+    one = language_id.Languages(counts)
+    bags = [Counter(language_id.WORD.findall(t.lower())) for _, t in rows]
+    together = language_id.Languages(counts).shares([b for b in bags if b])
+    assert np.allclose(together, np.concatenate([one.shares([b]) for b in bags if b]))
+
+
+@pytest.mark.parametrize("text", [None, "", " \n", "½ ²", "Ⅷ ①", "12 34", "_ - ·", "٣٤"])
+def test_language_of_no_letters(docs_of, text):
+    counts = {"aa": {"<ab": 5}, "bb": {"<xy": 5}}
+    assert [tuple(r)[1:3] for r in language_id.language_mixture(docs_of((1, text), (2, "½ab ①")), counts).orderBy("doc_id").collect()] == [("und", 0.0), ("aa", 1.0)]
+
+
+def test_language_training_takes_each_language(docs_of):
+    docs = docs_of(*[(k, f"wort zahl{k}", "de") for k in range(400)], *[(None, f"mot nombre{k}", "fr") for k in range(5)], (1000, "seltsam", None))
+    counts = language_id.train(docs.select("doc_id", "text", "lang"), rows=20)
+    assert counts["fr"]["<mo"] == 5 and 3 <= counts["de"]["<wo"] <= 60 and set(counts) == {"de", "fr"}
+
+
+def test_language_id_odd(odd):
+    counts = {"en": {"<on": 5, "one": 5}, "xx": {"<w0": 3}}
+    assert language_id.language_mixture(odd, counts).count() == 9 and language_id.language_mixture(odd.where("false"), counts).count() == 0
+
+
 # 4
 
 
@@ -184,8 +296,68 @@ def test_quality_windows(docs_of, odd):
     rows = [(k, t) for k, t in enumerate(["a " * 40, "a b c d e " * 9, "a b c d e f g h i j a b c d e z", "a b c d x a b c d y " * 2, " ".join(f"w{k % 50}" for k in range(400))])]
     for r in quality_rules.quality_rules(docs_of(*rows)).collect():
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == base(rows[r["doc_id"]][1])
-    out = quality_rules.quality_rules(odd.drop("kept"))
-    assert out.count() == 9 and not out.where("kept and n_words < 10").count() and quality_rules.quality_rules(odd.drop("kept").where("false")).count() == 0
+    out = quality_rules.quality_rules(odd)  # its columns named like an added one give way, others stay
+    assert out.columns.count("kept") == 1 and out.where("size = '?' and word = '?'").count() == 9
+    assert out.count() == 9 and not out.where("kept and n_words < 10").count() and quality_rules.quality_rules(odd.where("false")).count() == 0
+
+
+def quality_by_hand(rows):
+    """doc_id to (class_distance, common_distance) of rows (doc_id, text, lang)."""
+
+    def classes(text):
+        n = Counter()
+        for c in text:
+            kind = "space" if c in " \n" else "lower" if unicodedata.category(c) == "Ll" else "upper" if unicodedata.category(c) == "Lu" else "digit" if unicodedata.category(c) == "Nd" else "punctuation" if c in ".,;:!?'\"()-" else "other"
+            n[kind] += 1
+        return n
+
+    def distance(p, q):
+        p, q = {k: v / sum(p.values()) for k, v in p.items()}, {k: v / sum(q.values()) for k, v in q.items()}
+        total = 0.0
+        for k in p.keys() | q.keys():
+            a, b = p.get(k, 0), q.get(k, 0)
+            total += sum(x * np.log2(2 * x / (a + b)) for x in (a, b) if x) / 2
+        return np.sqrt(max(0, total))
+
+    import unicodedata
+
+    letters, words_ = defaultdict(Counter), defaultdict(Counter)
+    for _, t, lang in rows:
+        if lang and len(t or "") >= quality_rules.MIN_CHARS_CLASSES and 100 * len(re.findall(quality_rules.SYMBOL, t)) <= len(t):
+            letters[lang].update(classes(t))
+            words_[lang].update(SPACE.findall(t))
+    common = {lang: {w: n for w, n in c.items() if n >= max(1.0, quality_rules.COMMON_SHARE * sum(c.values()))} for lang, c in words_.items()}
+    known, out = set().union(*common.values()), {}
+    for d, t, _ in rows:
+        w, failed = SPACE.findall(t or ""), base(t)[-1]
+        by_class = by_word = None
+        if not failed and len(t) >= quality_rules.MIN_CHARS_CLASSES:
+            by_class = min(distance(classes(t), c) for c in letters.values())
+        if not failed and len(w) >= quality_rules.MIN_WORDS_COMMON:
+            own = Counter(x if x in known else None for x in w)
+            by_word = min(distance(own, Counter(c) + Counter({None: sum(words_[lang].values()) - sum(c.values())})) for lang, c in common.items())
+        out[d] = (by_class, by_word)
+    return out
+
+
+def test_quality_distances_by_hand(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    want, verdicts = quality_by_hand(rows), Counter()
+    for r in QUERIES["op4_quality_rules"](spark, SF).collect():
+        a, b = want[r["doc_id"]]
+        assert r["class_distance"] == pytest.approx(a, abs=1e-6) and r["common_distance"] == pytest.approx(b, abs=1e-6)
+        a, b = a or 0, b or 0
+        off = a > quality_rules.LIMIT_CLASSES or b > quality_rules.LIMIT_COMMON or (a > quality_rules.BOTH_CLASSES and b > quality_rules.BOTH_COMMON)
+        assert r["kept"] == (not r["base_failed"] and not off)
+        verdicts[r["kept"], r["base_failed"]] += 1
+    assert verdicts[False, False] and verdicts[True, False]
+
+
+def test_quality_of_texts_beyond_place_bits(docs_of, monkeypatch):
+    text = " ".join(f"w{k % 700}" for k in range(900)) + " a b c d e " * 3
+    for bits in (quality_rules.PLACE_BITS, 5):
+        monkeypatch.setattr(quality_rules, "PLACE_BITS", bits)
+        assert quality_rules.base_rules(docs_of((1, text))).first()["n_repeat_words"] == base(text)[4]
 
 
 def test_quality_verdict(docs_of):
@@ -243,6 +415,8 @@ def test_links_of_dense_groups(spark, most):
     want = classes(sorted(fps))
     frame = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp long")
     links = simhash.fingerprint_links(frame, len(fps), most=most).collect()
+    per_node = Counter(x for r in links for x in (r["a"], r["b"]))
+    assert most == 5 or max(per_node.values()) < 8 * simhash.FAN
     up = {f: f for f in fps}
 
     def top(f):
@@ -258,6 +432,17 @@ def test_links_of_dense_groups(spark, most):
             assert (top(a) == top(b)) == (want[a] == want[b])
 
 
+def test_links_of_a_large_chain_length(spark):
+    """The longer chains of very many fingerprints."""
+    rng = np.random.default_rng(2)
+    fps = {int(x) for x in rng.integers(0, 1 << 62, 40)}
+    fps |= {f ^ (1 << int(b)) ^ (1 << int(c)) for f in list(fps)[:20] for b, c in rng.integers(0, 62, (1, 2))}
+    frame = spark.createDataFrame([(f,) for f in fps], "fp long")
+    few, many = ({tuple(sorted((r["a"], r["b"]))) for r in simhash.fingerprint_links(frame, n).collect()} for n in (len(fps), simhash.MANY))
+    want = classes(sorted(fps))
+    assert few == many and all(want[a] == want[b] for a, b in few) and len({want[f] for f in fps}) == len(fps) - len(few)
+
+
 def test_simhash_odd(odd):
     got = [tuple(r) for r in simhash.near_duplicates(odd).select("doc_id", "fp", "component_id").collect()]
     assert len(got) == 9 and {r[2] for r in got if r[0] in (1, 2)} == {1} and {r[1] for r in got if r[0] in (1, 2)} == {0}
@@ -282,6 +467,10 @@ def test_line_dedup(docs_of, odd):
     want = deduped(rows)
     for r in line_dedup.line_dedup(docs_of(*rows)).collect():
         assert (r["text"] or "") == "\n".join(want[r["doc_id"]]) and r["n_lines"] - r["n_dropped"] == len(want[r["doc_id"]])
+    from pyspark.sql import functions as F
+
+    out = line_dedup.line_dedup(odd.withColumns({"n_lines": F.lit("?"), "n_dropped": F.lit("?")}))
+    assert dict(out.dtypes)["n_lines"] == "bigint" and out.where("h1 = '?'").count() == 9
     out = line_dedup.line_dedup(odd)
     assert out.count() == 9 and {r["text"] for r in out.where("doc_id is null").collect()} == {"b"} and line_dedup.line_dedup(odd.where("false")).count() == 0
 
@@ -304,6 +493,31 @@ def test_sharding_odd(odd):
     assert len(out) == 9 and sharding.contiguous_shards(sharding.sizes(odd.where("false")), 4).count() == 0
 
 
+def shards_by_hand(sizes, n):
+    total, at, out = sum(sizes), 0, []
+    for s in sizes:
+        out.append(min(n - 1, (2 * at + s) * n // (2 * total)))
+        at += s
+    return out
+
+
+def test_sharding_cuts(spark, texts):
+    rows = sorted(QUERIES["op7_sharding"](spark, SF).collect(), key=lambda r: r["doc_id"])
+    assert [r["shard"] for r in rows] == shards_by_hand([r["size"] for r in rows], 40)
+
+
+def test_write_shards(spark, odd, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = odd.withColumn("shard", F.lit("?"))
+    sharding.write_shards(docs, f"{tmp_path}/out", 4)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    shown = lambda frame: sorted((str(r["doc_id"]), r["text"] or "", r["size"]) for r in frame.collect())
+    assert shown(back) == shown(docs)  # null ids, repeated ids and rows come once each
+    assert {r["shard"] for r in back.select("shard").distinct().collect()} <= {0, 1, 2, 3}
+    sharding.write_shards(docs.where("false"), f"{tmp_path}/none", 4)
+
+
 # 8
 
 
@@ -325,6 +539,36 @@ def test_secret_scan(docs_of, odd):
     assert secret_scan.secret_scan(odd).count() == 9 and secret_scan.secret_scan(odd.where("false")).count() == 0
 
 
+def test_secret_spans_of_all_rules(docs_of):
+    """Every rule against Python's search of whole texts, also where rules overlap and one text has thousands of matches."""
+    parts = ["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "xoxb-1234567890ab", "xoxz-1234567890ab", "AIza" + "a" * 35, "AIza" + "b" * 34, "sk_live_" + "1" * 20, "rk_live_" + "1" * 15, "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12, "ghs_" + "Z9" * 18, "GHP_" + "a1" * 20, "password=longenough1", "AKIA" + "A" * 16, "0f" * 20, "\U0001f600", "é", "token: x", "key"]
+    rng = np.random.default_rng(5)
+    texts = [" ".join(parts[int(i)] for i in rng.integers(0, len(parts), k % 9 + 1)) for k in range(80)]
+    texts += ["token=abcdefgh9 \U0001f600" * 3000, "".join(f"secret:{'v' * (k % 12)} " for k in range(4000)), "0f" * 16 + "g" + "a" * 31]
+    rules = secret_scan.BASE + secret_scan.MORE
+    for r in secret_scan.secret_scan(docs_of(*enumerate(texts))).collect():
+        want = sorted((m.start(), k, m.end(), rule.kind) for k, rule in enumerate(rules) for m in re.finditer(rule.pattern, texts[r["doc_id"]], re.A) if len(m[rule.group]) >= rule.least)
+        assert [tuple(s) for s in r["spans"]] == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 9, 1000])
+def test_running_sums(spark, n):
+    from pyspark.sql import functions as F
+
+    numbers = list(range(n))
+    column = F.array(*map(F.lit, numbers)).cast("array<int>")
+    assert spark.range(1).select(secret_scan.running_sums(column).alias("x")).first()["x"] == np.cumsum(numbers).tolist()
+
+
+def test_clauses_ask_for_no_more_than_the_query():
+    tri = lambda t: ("tri", t)
+    query = ("and", (tri("aaa"), ("or", (tri("bbb"), ("and", (tri("aaa"), tri("ccc")))))))
+    assert secret_scan.clauses_of(query) == [frozenset({"aaa", "bbb"}), frozenset({"aaa", "ccc"})]
+    assert secret_scan.clauses_of(True) == [frozenset()]
+    wide = ("and", tuple(("or", (tri(f"a{k}x"), tri(f"b{k}x"))) for k in range(12)))
+    assert all(len(c) == 8 for c in secret_scan.clauses_of(wide))  # parts beyond the most clauses are not asked
+
+
 def test_secret_query(spark, texts):
     for r in QUERIES["op8_secret_scan"](spark, SF).collect():
         found = secrets(texts[r["doc_id"]])
@@ -376,7 +620,48 @@ def test_lattice_sums_all_spellings():
     model = lm_scoring.PieceModel(logs)
     # _ a b | _ ab | _a b
     assert model.word(b"ab") == pytest.approx(np.log(0.001 + 0.01 + 0.01))
-    assert model.word("é".encode()) == pytest.approx(np.log(0.1 * 0.01**2)) and model.best("aé".encode()) == ["<0xC3>", "<0xA9>", "▁a"]
+    assert model.word("é".encode()) == pytest.approx(np.log(0.1 * 0.01**2))
+    assert model.word(b"") == pytest.approx(np.log(0.1)) and np.isfinite(model.word(b"ab" * 100_000))
+
+
+def marginal(word, logs):
+    """The sum over all ways to spell a word, one by one."""
+    text = "▁" + word
+
+    def ways(at):
+        if at == len(text):
+            return 1.0
+        total = 0.0
+        for end in range(at + 1, len(text) + 1):
+            if (w := logs.get(text[at:end])) is not None:
+                total += np.exp(w) * ways(end)
+        if text[at] not in logs:
+            total += np.exp(sum(logs[f"<0x{b:02X}>"] for b in text[at].encode())) * ways(at + 1)
+        return total
+
+    return np.log(ways(0))
+
+
+@pytest.mark.parametrize("scores", [1.0, 0.5])
+def test_lm_score_by_all_spellings(docs_of, scores):
+    import sentencepiece
+
+    rows = [(k, f"The quick foxes {'jump' * (k % 3)} over été n{k}") for k in range(14)] + [(14, "UNSEEN zebra \U0001f600"), (15, None), (None, "null id")]
+    path = lm_scoring.tokenizer_path("piece_bpe_32k.model")
+    sp, prior = sentencepiece.SentencePieceProcessor(model_file=path), lm_scoring.vocabulary(path)
+    tokens = {d: SPACE.findall((t or "").translate(LOWER)) for d, t in rows}
+    n = Counter()
+    for d, t in tokens.items():
+        if d is None or not held(d, 7):
+            n.update(p for w in t for p in sp.encode(w, out_type=str))
+            n[lm_scoring.END] += 1
+    n = {p: k for p, k in n.items() if p in prior}
+    total = sum(n.values())
+    logs = {p: np.log(scores * w + (1 - scores) * n.get(p, 0) / total) for p, w in prior.items()}
+    pieces = {p: w for p, w in logs.items() if p != lm_scoring.END}
+    for r in lm_scoring.lm_scores(docs_of(*rows), scores=scores, frequent=30).collect():
+        want = sum(marginal(w, pieces) for w in tokens[r["doc_id"]]) + logs[lm_scoring.END]
+        assert r["score"] == pytest.approx(want / np.log(10), rel=1e-9)
 
 
 # 10
@@ -423,13 +708,26 @@ def test_packing_odd(odd, byte_bpe):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=30))
+@given(st.one_of(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=30), st.lists(LATIN, max_size=30).map("".join)))
 def test_packing_ids(byte_bpe, text):
-    encoder = best_fit_packing.Encoder.of(best_fit_packing.tokenizer_path(), best_fit_packing.tokenizer_path("byte_bpe_50k.tiktoken"))
+    encoder = best_fit_packing.Encoder.of(best_fit_packing.tokenizer_path())
     for t in (text, f"It's {text}  été \n\n<x> don't "):
         assert encoder.ids(t) == struct.pack(f"<{(n := len(ids := byte_bpe.encode(t, add_special_tokens=False).ids))}I", *ids) or not n
 
 
+@pytest.mark.parametrize("text", ["a" + "\n" * 1_000_000 + "b", " " * 2_000_000, " \n" * 700_000, "\t" * 1_000_000 + " x", "x" * 500_000, "\x0b" * 300_000, "!" * 300_000])
+def test_packing_of_long_runs(byte_bpe, text):
+    encoder = best_fit_packing.Encoder(best_fit_packing.tokenizer_path())
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == byte_bpe.encode(text, add_special_tokens=False).ids
+    assert all(len(k) <= best_fit_packing.LONGEST for k in encoder.ids_of)
+
+
+def test_packing_cache_is_bounded():
+    encoder = best_fit_packing.Encoder(best_fit_packing.tokenizer_path())
+    encoder.ids_of.most = 1000
+    assert encoder.ids(" ".join(f"w{k}" for k in range(100))) and len(encoder.ids_of) < 10
+
+
 def test_open_bins_close_the_fullest():
     bins = best_fit_packing.OpenBins(10, 2)
     assert [bins.put(n) for n in (6, 7, 8)] == [(0, 0), (1, 0), (2, 0)]  # the third bin is the fullest and closes

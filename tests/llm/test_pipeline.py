@@ -36,15 +36,41 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == now.count()
 
 
+CLASHING = ("n_words", "kept", "base_failed", "n_lines", "n_dropped", "class_distance", "size", "fp", "row", "text_hash", "matches", "h1", "id", "key", "shard", "lang_pred", "component_id", "row_a")
+
+
 def test_pipeline_odd(spark, odd, tmp_path):
     import corpus_pipeline
+    from pyspark.sql import functions as F
 
     spark.createDataFrame([(1, "nothing of this")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    documents = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    documents = odd.withColumns({c: F.lit(f"mine {c}") for c in CLASHING})
     for frame in (documents, documents.where("false")):
-        for _, stage in corpus_pipeline.STAGES:
+        now, ids = frame, {r["doc_id"] for r in frame.select("doc_id").collect()}
+        for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, frame, str(tmp_path))
-            assert out.select("doc_id").distinct().count() <= 8
+            assert {r["doc_id"] for r in out.select("doc_id").collect()} <= ids
+            if name != "packing":
+                assert out.columns == frame.columns and not out.where(" or ".join(f"{c} <> 'mine {c}'" for c in CLASHING)).count()
+                now = stage(spark, now, str(tmp_path))
+        assert now.columns == frame.columns
+    want = {"quality": [4], "line_dedup": [1, 2, 3, 3, 4, 5, 6, 7, None], "near_dedup": [1, 3, 4, 5, 6, 7], "decontamination": [1, 2, 3, 3, 4, 5, 6, 7, None]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = [r["doc_id"] for r in stage(spark, documents, str(tmp_path)).collect()]
+        if name == "near_dedup":  # null and empty texts are one group, the repeated rows another, two texts share a few words only
+            assert set(got) - {None} == set(want[name])
+        else:
+            assert sorted(got, key=lambda d: (d is None, d)) == want[name]
+
+
+def test_run_deletes_what_it_stored(spark, tmp_path):
+    import corpus_pipeline
+    from docweave.llm import common
+
+    mark = common.written()
+    corpus_pipeline.run(spark, SF).count()
+    left = common._written[mark:]
+    assert len(left) <= 3  # the last stage's input and its own
 
 
 def test_near_dedup_keeps_one_row_of_each_group(spark, docs_of):
