@@ -16,15 +16,10 @@ from pyspark.sql import functions as F
 
 FENCE = re.compile(r"\A```[^\n]*\n(.*?)\n```\s*\Z", re.S)
 ANY_FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.S | re.I)
-#: In this order: curly quotes, line comments, block comments, bare keys, quoted by ', commas before a closing bracket.
-QUOTES = {0x201C: '"', 0x201D: '"', 0x2018: "'", 0x2019: "'"}
-REPAIRS = (
-    (re.compile(r"(^|[^:])//[^\n]*"), r"\1"),
-    (re.compile(r"/\*.*?\*/", re.S), ""),
-    (re.compile(r"([{,\s])([A-Za-z_][A-Za-z0-9_]*)\s*:"), r'\1"\2":'),
-    (re.compile(r"'((?:\\.|[^'\\])*)'"), lambda m: '"' + m[1].replace('"', '\\"') + '"'),
-    (re.compile(r",(\s*[}\]])"), r"\1"),
-)
+#: Marks that open and close strings as models write them.
+DOUBLE, SINGLE = "\"\u201c\u201d", "'\u2018\u2019"
+NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+GAP = re.compile(r"\s*")
 
 
 def _no_constant(name: str):
@@ -43,11 +38,46 @@ def outermost(text: str) -> str | None:
     return text[min(starts) : end + 1] if starts and end > min(starts) else None
 
 
+def _string(text: str, at: int) -> tuple[str, int]:
+    """The string that begins at a mark, as JSON writes it, and where it ends. A plain mark is closed by its like only, a curly one by any of its kind."""
+    opened = text[at]
+    kind = DOUBLE if opened in DOUBLE else SINGLE
+    closing = opened if opened in "\"'" else kind
+    out, at = ['"'], at + 1
+    while at < len(text) and text[at] not in closing:
+        if text[at] == "\\" and at + 1 < len(text):
+            out.append(text[at + 1] if text[at + 1] == "'" else text[at : at + 2])
+            at += 2
+        else:
+            out.append('\\"' if text[at] == '"' else text[at])
+            at += 1
+    return "".join(out) + '"', at + 1
+
+
 def repaired(text: str) -> str:
-    text = text.translate(QUOTES)
-    for pattern, by in REPAIRS:
-        text = pattern.sub(by, text)
-    return text
+    """The text with what models get wrong put right, outside of strings only: other quotes, comments, bare keys, a comma before a closing bracket."""
+    out, at, comma, before = [], 0, None, ""  # comma: where out has one that nothing but blanks follow; before: the last sign that counts
+    while at < len(text):
+        c = text[at]
+        if c in DOUBLE or c in SINGLE:
+            part, at = _string(text, at)
+        elif text.startswith("//", at):
+            end = text.find("\n", at)
+            part, at = "", len(text) if end < 0 else end
+        elif text.startswith("/*", at) and (end := text.find("*/", at)) >= 0:
+            part, at = "", end + 2
+        elif (m := NAME.match(text, at)) and before in ("{", ",") and text[GAP.match(text, m.end()).end() : GAP.match(text, m.end()).end() + 1] == ":":
+            part, at = f'"{m[0]}"', m.end()
+        elif m:
+            part, at = m[0], m.end()
+        else:
+            part, at = c, at + 1
+        if part in ("}", "]") and comma is not None:
+            out[comma] = ""
+        if part.strip():
+            comma, before = len(out) if part == "," else None, part[-1]
+        out.append(part)
+    return "".join(out)
 
 
 def parse_fixing(text: str):

@@ -34,15 +34,18 @@ def yuan(prompt: Column, completion: Column, image: Column) -> Column:
     return F.coalesce(round_half_up(F.when(F.col("currency") == "USD", cost * USD_TO_CNY).otherwise(cost), 4), F.lit(0.0))
 
 
+def finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+
+
 def confidence(raw: Column) -> Column:
     """Between 0 and 1; percentages become shares; null if it is no number."""
-    finite = raw.isNotNull() & ~F.isnan(raw) & (F.abs(raw) != float("inf"))
-    return F.when(finite, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(raw > 1, raw / 100).otherwise(raw))))
+    return F.when(finite(raw), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(raw > 1, raw / 100).otherwise(raw))))
 
 
 def mean_confidence(values: Column) -> Column:
     """Of the numbers among the values, to three digits; null if there is none."""
-    good = F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v))
+    good = F.filter(values, finite)
     return F.when(F.size(good) > 0, round_half_up(F.aggregate(good, F.lit(0.0), lambda a, b: a + b) / F.size(good), 3))
 
 

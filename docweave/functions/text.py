@@ -43,14 +43,14 @@ def escape_table_cell(s: Column) -> Column:
 
 
 def truncate(s: Column, most: int = DOCX_MAX_CHARS, head: int | None = None, tail: int | None = None) -> Column:
-    """The head and the tail of a long text, with a mark between that says how much is gone: struct(text, truncated, original_length)."""
+    """The head and the tail of a long text, with a mark between that says how much is gone: struct(text, truncated, original_length, head_count, tail_count)."""
     head = most * 7 // 10 if head is None else head
     tail = most * 3 // 10 if tail is None else tail
     n = F.char_length(s)
     mark = F.concat(F.lit("\n\n[... truncated "), (n - head - tail).cast("string"), F.lit(" chars ...]\n\n"))
     long = n > most
     text = F.when(long, F.concat(F.left(s, F.lit(head)), mark, F.right(s, F.lit(tail)))).otherwise(s)
-    return F.struct(text.alias("text"), long.alias("truncated"), n.alias("original_length"))
+    return F.struct(text.alias("text"), long.alias("truncated"), n.alias("original_length"), F.when(long, head).otherwise(n).alias("head_count"), F.when(long, tail).otherwise(0).alias("tail_count"))
 
 
 def paragraphs(s: Column) -> Column:
@@ -65,6 +65,17 @@ def strip_fence(s: Column) -> Column:
     return F.when(t.rlike(fence), trim(F.regexp_extract(t, fence, 1))).otherwise(t)
 
 
+def peel_envelope(s: Column) -> Column:
+    """A reply without a code fence, and without the JSON object that some models put around their text."""
+
+    def peeled(t: Column) -> Column:
+        value = F.try_variant_get(F.try_parse_json(t), "$.text", "variant")
+        inside = F.startswith(t, F.lit("{")) & F.endswith(t, F.lit("}")) & (F.schema_of_variant(value) == "STRING")
+        return F.when(inside, trim(F.try_variant_get(value, "$", "string"))).otherwise(t)
+
+    return F.transform(F.array(strip_fence(s)), peeled)[0]
+
+
 def seal_marks(s: Column) -> Column:
     """The seal marks of a text in order: array<struct(seal_no, owner, color, shape)>."""
     parts = F.transform(F.regexp_extract_all(s, F.lit(SEAL_MARK), F.lit(1)), lambda m: F.filter(F.transform(F.split(m, "\\|", -1), trim), lambda p: p != ""))
@@ -112,19 +123,32 @@ def starts_paragraph(previous: Column, current: Column) -> Column:
 
 
 def group_lines(lines: Column) -> Column:
-    """Lines of a page as Markdown: headings, lists and paragraphs. A fold, as each line looks at what was put out last."""
-    empty = F.array().cast("array<string>")
-
-    def step(out: Column, raw: Column) -> Column:
-        line = trim(raw)
-        last = F.get(out, F.size(out) - 1)
-        blank = F.array(F.lit(""))
-        heading = F.concat(F.when((F.size(out) > 0) & (last != ""), F.concat(out, blank)).otherwise(out), F.array(F.concat(F.lit("## "), F.regexp_replace(line, r"^#+\s*", ""))), blank)
-        item = F.concat(out, F.array(F.concat(F.lit("- "), F.regexp_replace(line, BULLET + r"\s*", ""))))
-        gap = F.when((F.size(out) > 0) & starts_paragraph(last, line), F.concat(out, blank)).otherwise(out)
-        return F.when(line == "", out).when(is_heading(line), heading).when(is_list_item(line), item).otherwise(F.concat(gap, F.array(line)))
-
-    return trim(F.regexp_replace(F.array_join(F.aggregate(lines, empty, step), "\n"), "\n{3,}", "\n\n"))
+    """Lines of a page as Markdown: headings, lists and paragraphs.
+
+    What a line becomes depends on the line put out before it, and that on its own line alone (a heading ends
+    in a blank line, all else in itself), so each line looks at its neighbour and nothing is carried along.
+    """
+
+    def shown(line: Column) -> Column:
+        heading = F.concat(F.lit("## "), F.regexp_replace(line, r"^#+\s*", ""))
+        item = F.concat(F.lit("- "), F.regexp_replace(line, BULLET + r"\s*", ""))
+        return F.when(is_heading(line), heading).when(is_list_item(line), item).otherwise(line)
+
+    def ended(kept: Column) -> Column:
+        """For each line: a blank line before it if it needs one, itself, a blank line after a heading."""
+
+        def with_gaps(line: Column, i: Column) -> Column:
+            before = F.get(kept, i - 1)
+            first, after_heading = i == 0, F.coalesce(is_heading(before), F.lit(False))
+            plain = ~is_heading(line) & ~is_list_item(line)
+            gap = ~first & ~after_heading & (is_heading(line) | (plain & starts_paragraph(shown(before), line)))
+            return F.concat(F.when(gap, F.lit("\n")).otherwise(""), shown(line), F.when(is_heading(line), F.lit("\n")).otherwise(""))
+
+        return F.transform(kept, with_gaps)
+
+    kept = F.filter(F.transform(lines, trim), lambda line: line != "")
+    joined = F.array_join(F.transform(F.array(kept), ended)[0], "\n")
+    return trim(F.regexp_replace(joined, "\n{3,}", "\n\n"))
 
 
 def user_prompt(body: Column, text: Column) -> Column:

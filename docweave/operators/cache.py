@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.sources.store import exists, stored
+
 
 def split_by_cache(rows: DataFrame, cache: DataFrame, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:
     """rows that the cache has (with its columns; one row a key), and rows that it lacks."""
     return rows.join(cache, key), rows.join(cache.select(key), key, "left_anti")
 
 
-def through_cache(rows: DataFrame, path: str, compute: Callable[[DataFrame], DataFrame], key: str = "cache_key", force: bool = False) -> DataFrame:
-    """compute(rows) with what an earlier run kept at path (Parquet; the latest row of a key wins). What is new is appended.
+def through_cache(rows: DataFrame, path: str, compute: Callable[[DataFrame], DataFrame], key: str = "cache_key", force: bool = False, good: Column | None = None) -> DataFrame:
+    """compute(rows) with what an earlier run kept at path (Parquet; the latest row of a key wins), and cache_hit.
 
-    compute gives key and result columns, one row a key; it sees each key once. A result's file columns are
-    the caller's to join again, so a hit shows the name of this run's file and not that of an earlier one.
+    compute gives key and result columns, one row a key; it sees each key once. What is new is appended; of
+    an earlier run only rows that are good (all without a condition) are hits, so a failed call is made again.
+    If the cache cannot be written, what was computed is given all the same, with cache_failed true. A
+    result's file columns are the caller's to join again, so a hit shows the name of this run's file and not
+    that of an earlier one.
     """
-    spark = rows.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    if force or not exists:
-        todo = rows.dropDuplicates([key])
-    else:
-        todo = split_by_cache(rows, spark.read.parquet(path), key)[1].dropDuplicates([key])
-    compute(todo).withColumn("kept_at", F.current_timestamp()).write.mode("append").parquet(path)
-    kept = spark.read.parquet(path)
-    values = [c for c in kept.columns if c not in (key, "kept_at")]
-    return kept.join(rows.select(key).distinct(), key, "left_semi").groupBy(key).agg(*(F.max_by(c, "kept_at").alias(c) for c in values))
+    spark, run = rows.sparkSession, uuid.uuid4().hex
+    good = F.lit(True) if good is None else good
+    earlier = spark.read.parquet(path).where(good) if not force and exists(spark, path) else None
+    todo = (rows if earlier is None else split_by_cache(rows, earlier.select(key).distinct(), key)[1]).dropDuplicates([key])
+    new, failed = stored(compute(todo).withColumns({"kept_at": F.current_timestamp(), "run": F.lit(run)})), False
+    try:
+        new.write.mode("append").parquet(path)
+    except Exception:
+        failed = True
+    values = [c for c in new.columns if c not in (key, "kept_at", "run")]
+    found = new if earlier is None else earlier.join(rows.select(key).distinct(), key, "left_semi").unionByName(new)
+    latest = found.groupBy(key).agg(F.max_by(F.struct(*values, "run"), F.struct("kept_at", "run")).alias("v"))
+    return latest.select(key, *(F.col(f"v.{c}").alias(c) for c in values), (F.col("v.run") != run).alias("cache_hit"), F.lit(failed).alias("cache_failed"))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.errors import ConfigInvalid, DocweaveError
 from docweave.functions.jsonfix import extracted
 
 R = TypeVar("R")
@@ -97,25 +98,35 @@ def hedged(call: Callable[[], R], after_ms: float = HEDGE_MS) -> R:
 
 
 class OcrBackend(Protocol):
-    def recognize(self, image: bytes, mime: str, detect: bool) -> dict: ...
+    model: str
+    provider: str
+
+    def recognize(self, image: bytes | None, mime: str, detect: bool) -> dict:
+        """reply (the model's text, or the vendor's JSON), prompt_tokens, completion_tokens."""
+        ...
 
 
 class LlmBackend(Protocol):
     model: str
 
-    def extract(self, prompt: str) -> dict:
-        """text, prompt_tokens, completion_tokens."""
+    def extract(self, prompt: str, **request) -> dict:
+        """text, prompt_tokens, completion_tokens. request may have system, model, temperature, enable_thinking."""
         ...
 
 
+OCR_REPLY = "[mock-ocr] recognized text"
+
+
 @dataclass
 class MockOcr:
     """Looks at nothing and says always the same."""
 
     model: str = "mock-ocr"
+    provider: str = "mock-ocr"
+    reply: str = OCR_REPLY
 
-    def recognize(self, image: bytes, mime: str = "image/jpeg", detect: bool = False) -> dict:
-        return {"text": "[mock-ocr] recognized text", "blocks": [{"id": "b1", "text": "[mock-ocr] recognized text", "confidence": 0.9}], "seals": [], "signatures": []}
+    def recognize(self, image: bytes | None, mime: str = "image/jpeg", detect: bool = False) -> dict:
+        return {"reply": self.reply, "prompt_tokens": 0, "completion_tokens": 0}
 
 
 @dataclass
@@ -124,7 +135,7 @@ class MockLlm:
     record: bool = False
     asked: list[str] = field(default_factory=list)
 
-    def extract(self, prompt: str) -> dict:
+    def extract(self, prompt: str, **request) -> dict:
         if self.record:
             self.asked.append(prompt)
         return {"text": json.dumps({"mockField": "mock"}), "prompt_tokens": len(prompt) // 4, "completion_tokens": 4}
@@ -141,9 +152,10 @@ class ChatLlm:
     extra: dict = field(default_factory=dict)
     json_mode: bool = True
 
-    def body(self, prompt: str, **request) -> dict:
-        """The request's own settings win over the backend's extra ones."""
-        out = {"model": self.model, "temperature": 0.1, "stream": False, "messages": [{"role": "user", "content": prompt}]}
+    def body(self, prompt: str, system: str | None = None, **request) -> dict:
+        """The request's own settings win over the backend's extra ones. enable_thinking is sent whenever it is given, also if false: models take it as true otherwise."""
+        said = [{"role": "system", "content": system}] if system else []
+        out = {"model": self.model, "temperature": 0.1, "stream": False, "messages": [*said, {"role": "user", "content": prompt}]}
         if self.json_mode:
             out["response_format"] = {"type": "json_object"}
         return self.extra | out | {k: v for k, v in request.items() if v is not None}
@@ -161,39 +173,159 @@ class ChatLlm:
         except URLError as e:
             raise CallError(f"no answer: {type(e.reason).__name__}") from None
 
-    def extract(self, prompt: str) -> dict:
-        answer = self.post(self.body(prompt))
-        used = answer.get("usage", {})
-        return {"text": answer["choices"][0]["message"]["content"], "prompt_tokens": used.get("prompt_tokens", 0), "completion_tokens": used.get("completion_tokens", 0)}
+    def extract(self, prompt: str, **request) -> dict:
+        return said(self.post(self.body(prompt, **request)), "text")
 
 
-BACKENDS: dict[str, Callable[..., object]] = {"mock": MockLlm, "chat": ChatLlm, "mock-ocr": MockOcr}
+def said(answer: dict, name: str) -> dict:
+    """The content of a chat answer under a name, and its tokens."""
+    used = answer.get("usage") or {}
+    content = ((answer.get("choices") or [{}])[0].get("message") or {}).get("content")
+    if not content:
+        raise CallError("the answer has no content", 422)
+    return {name: content, "prompt_tokens": used.get("prompt_tokens") or 0, "completion_tokens": used.get("completion_tokens") or 0}
 
 
-def backend(name: str, **options):
-    from docweave.errors import ConfigInvalid
+OCR_PROMPT = """Read all text in the image in reading order and write it as Markdown: headings with #, tables as pipe tables with a rule below their head, lists with - or numbers, a blank line between paragraphs.
+Write the Markdown alone, without a code fence, JSON, coordinates or remarks."""
+#: The marks are fixed spellings that functions.text reads.
+MARKS_PROMPT = """
+Where there is a seal, write 【印章:owner | colour (红, 蓝 or 黑) | shape (圆形, 椭圆 or 方形)】 at its place; where there is a signature, write 【签名:name】. Write 未知 for what cannot be read. Without a seal or signature write no marks."""
+OCR_QUESTION = "Write down the text of this image."
+
+
+@dataclass
+class ChatOcr:
+    """A chat endpoint that reads images."""
+
+    url: str
+    key: str
+    model: str
+    timeout_s: float = 45.0
+    extra: dict = field(default_factory=dict)
+    provider: str = "openai-compat"
+
+    def body(self, image: bytes, mime: str, detect: bool) -> dict:
+        from base64 import b64encode
+
+        data = f"data:{mime};base64,{b64encode(image).decode()}"
+        content = [{"type": "text", "text": OCR_QUESTION}, {"type": "image_url", "image_url": {"url": data}}]
+        messages = [{"role": "system", "content": OCR_PROMPT + (MARKS_PROMPT if detect else "")}, {"role": "user", "content": content}]
+        return {"model": self.model, "messages": messages, "temperature": 0, "stream": False} | self.extra
+
+    def recognize(self, image: bytes | None, mime: str = "image/png", detect: bool = False) -> dict:
+        if image is None:
+            raise CallError("the page has no image that could be sent", 422)
+        return said(ChatLlm(self.url, self.key, self.model, self.timeout_s).post(self.body(image, mime, detect)), "reply")
+
+
+@dataclass
+class CloudOcr:
+    """The vendor's general recognition with tables. client (anything with recognize(bytes, options) that gives the reply's JSON text) takes the place of its optional package."""
+
+    access_key_id: str = field(repr=False)
+    access_key_secret: str = field(repr=False)
+    endpoint: str = "ocr-api.cn-hangzhou.aliyuncs.com"
+    region_id: str = "cn-hangzhou"
+    timeout_s: float = 45.0
+    output_table: bool = True
+    row: bool | None = None
+    paragraph: bool | None = None
+    model: str = "RecognizeAdvanced"
+    provider: str = "aliyun-ocr"
+    client: object = None
+
+    def options(self) -> dict:
+        """Rotation is always asked for."""
+        given = {"output_table": self.output_table, "row": self.row, "paragraph": self.paragraph}
+        return {k: v for k, v in given.items() if v is not None} | {"need_rotate": True}
+
+    def recognize(self, image: bytes | None, mime: str = "image/png", detect: bool = False) -> dict:
+        if image is None:
+            raise CallError("the page has no image that could be sent", 422)
+        try:
+            reply = (self.client or VendorClient(self)).recognize(image, self.options())
+        except Exception as error:
+            if hasattr(error, "status") or isinstance(error, DocweaveError):
+                raise
+            raise CallError(safe_message(error), getattr(error, "status_code", getattr(error, "statusCode", None))) from None
+        return {"reply": reply, "prompt_tokens": 0, "completion_tokens": 0}
+
+
+class VendorClient:
+    """The vendor's package, which is optional."""
+
+    def __init__(self, ocr: CloudOcr):
+        try:
+            from alibabacloud_ocr_api20210707 import client, models
+            from alibabacloud_tea_openapi import models as openapi
+            from alibabacloud_tea_util import models as util
+        except ImportError:
+            raise ConfigInvalid("the cloud OCR needs the package alibabacloud_ocr_api20210707") from None
+        self.models, self.runtime = models, util.RuntimeOptions(read_timeout=int(ocr.timeout_s * 1000), connect_timeout=min(10_000, int(ocr.timeout_s * 1000)), autoretry=False)
+        self.client = client.Client(openapi.Config(access_key_id=ocr.access_key_id, access_key_secret=ocr.access_key_secret, endpoint=ocr.endpoint, region_id=ocr.region_id))
+
+    def recognize(self, image: bytes, options: dict) -> str:
+        import io
+
+        answer = self.client.recognize_advanced_with_options(self.models.RecognizeAdvancedRequest(body=io.BytesIO(image), **options), self.runtime)
+        return json.dumps({"Data": answer.body.data})
 
+
+def safe_message(error: Exception) -> str:
+    """Code, status and message of an error, and nothing else of it: the rest may hold credentials."""
+    parts = [getattr(error, "code", None), getattr(error, "status_code", getattr(error, "statusCode", None)), getattr(error, "message", None) or str(error)]
+    return " ".join(str(p) for p in parts if p not in (None, "")) or type(error).__name__
+
+
+BACKENDS: dict[str, Callable[..., object]] = {"mock": MockLlm, "chat": ChatLlm, "mock-ocr": MockOcr, "openai-compat": ChatOcr, "aliyun-ocr": CloudOcr}
+
+
+def backend(name: str, **options):
     if name not in BACKENDS:
         raise ConfigInvalid(f"unknown provider: {name}")
     return BACKENDS[name](**options)
 
 
+# Fixed endpoints and models of the presets.
+QWEN_URL, OPENAI_URL = "https://dashscope.aliyuncs.com/compatible-mode/v1", "https://api.openai.com/v1"
+PRESETS = {
+    "qwen-ocr": ("openai-compat", QWEN_URL, "qwen-vl-ocr-latest"),
+    "qwen-vision": ("openai-compat", QWEN_URL, "qwen-vl-max"),
+    "qwen-llm": ("chat", QWEN_URL, "qwen3.6-plus"),
+    "openai-ocr": ("openai-compat", OPENAI_URL, "gpt-4o"),
+    "openai-llm": ("chat", OPENAI_URL, "gpt-4o-mini"),
+}
+
+
+def preset(name: str, key: str, url: str | None = None, model: str | None = None, **options):
+    """A backend with a well-known endpoint and model."""
+    if name not in PRESETS:
+        raise ConfigInvalid(f"unknown preset: {name}")
+    kind, own_url, own_model = PRESETS[name]
+    return backend(kind, url=url or own_url, key=key, model=model or own_model, **options)
+
+
 CALL_FIELDS = "model string, prompt_tokens long, completion_tokens long, ms long, retries int, extracted string, parse_failed boolean, error string"
 
 
-def call_llm(prompts: DataFrame, llm: LlmBackend, keep: list[str], pool: int = POOL, retries: int = RETRIES, hedge_ms: float | None = None) -> DataFrame:
-    """prompts (keep, prompt) with the fields of CALL_FIELDS: a row for each prompt, also where the call failed."""
+def _asked(call: Callable[[], R], retries: int, hedge_ms: float | None) -> tuple[R, int]:
+    return retry((lambda: hedged(call, hedge_ms)) if hedge_ms else call, retries)
+
+
+def call_llm(prompts: DataFrame, llm: LlmBackend, keep: list[str], pool: int = POOL, retries: int = RETRIES, hedge_ms: float | None = None, request: dict | None = None) -> DataFrame:
+    """prompts (keep, prompt) with the fields of CALL_FIELDS: a row for each prompt, also where the call failed. request goes with each call."""
+    request = request or {}
     schema = T.StructType([*(prompts.schema[c] for c in keep), *T._parse_datatype_string(CALL_FIELDS).fields])
 
     def one(prompt: str) -> tuple:
         began = time.monotonic()
         ms = lambda: int((time.monotonic() - began) * 1000)
         try:
-            ask = (lambda: hedged(lambda: llm.extract(prompt), hedge_ms)) if hedge_ms else (lambda: llm.extract(prompt))
-            answer, tries = retry(ask, retries)
+            answer, tries = _asked(lambda: llm.extract(prompt, **request), retries, hedge_ms)
         except Exception as error:
-            return llm.model, 0, 0, ms(), retries, None, True, f"{type(error).__name__}: {error}"
-        return llm.model, answer["prompt_tokens"], answer["completion_tokens"], ms(), tries, *extracted(answer["text"]), None
+            return request.get("model") or llm.model, 0, 0, ms(), retries, None, True, f"{type(error).__name__}: {safe_message(error)}"
+        return request.get("model") or llm.model, answer["prompt_tokens"], answer["completion_tokens"], ms(), tries, *extracted(answer["text"]), None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.name for f in schema.fields[len(keep) :]]
@@ -203,3 +335,43 @@ def call_llm(prompts: DataFrame, llm: LlmBackend, keep: list[str], pool: int = P
                 yield pd.concat([pdf[keep].reset_index(drop=True), out], axis=1)
 
     return prompts.select(*keep, "prompt").mapInPandas(run, schema)
+
+
+OCR_FIELDS = "ocr_model string, ocr_provider string, prompt_tokens long, completion_tokens long, started_ms long, ms long, retries int, reply string, ocr_error string"
+
+
+def call_ocr(images: DataFrame, ocr: OcrBackend, keep: list[str], pool: int = POOL, retries: int = RETRIES, hedge_ms: float | None = None) -> DataFrame:
+    """images (keep, image, mime, detect) with the fields of OCR_FIELDS: a row for each image, also where the call failed. reply is what functions.text and functions.vendor read."""
+    schema = T.StructType([*(images.schema[c] for c in keep), *T._parse_datatype_string(OCR_FIELDS).fields])
+
+    def one(image: bytes | None, mime: str, detect: bool) -> tuple:
+        began, started = time.monotonic(), int(time.time() * 1000)
+        ms = lambda: int((time.monotonic() - began) * 1000)
+        try:
+            answer, tries = _asked(lambda: ocr.recognize(image, mime, detect), retries, hedge_ms)
+        except Exception as error:
+            return ocr.model, ocr.provider, 0, 0, started, ms(), retries, None, f"{type(error).__name__}: {safe_message(error)}"
+        return ocr.model, ocr.provider, answer["prompt_tokens"], answer["completion_tokens"], started, ms(), tries, answer["reply"], None
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        types = to_arrow_schema(schema)
+        with ThreadPoolExecutor(pool) as threads:
+            for batch in batches:
+                found = list(threads.map(one, *(batch.column(c).to_pylist() for c in ("image", "mime", "detect"))))
+                made = [pa.array(c, types.field(len(keep) + k).type) for k, c in enumerate(zip(*found, strict=True))] if found else [pa.array([], f.type) for f in list(types)[len(keep) :]]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], types.names)
+
+    return images.select(*keep, *(c for c in ("image", "mime", "detect") if c not in keep)).mapInArrow(run, schema)
+
+
+def seal_detector(images: DataFrame, ocr: OcrBackend, keep: list[str], **options) -> DataFrame:
+    """images (keep, image, mime) as keep, seals, signatures, ms, ocr_error: what a vision backend finds, whatever the text."""
+    from docweave.functions.text import peel_envelope, seal_marks, signature_marks
+
+    called = call_ocr(images.withColumn("detect", F.lit(True)), ocr, keep, **options)
+    body = F.coalesce(peel_envelope(F.col("reply")), F.lit(""))
+    return called.select(*keep, seal_marks(body).alias("seals"), signature_marks(body).alias("signatures"), "ms", "ocr_error")

@@ -3,47 +3,56 @@
 from __future__ import annotations
 
 import re
-from bisect import insort
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.functions.text import escape_markdown, escape_table_cell, trim
+from docweave.functions import vendor
+from docweave.functions.numbers import mean_confidence
+from docweave.functions.text import escape_markdown, group_lines, trim
 
 #: A line takes words whose top is within this share of the mean height of its median top, at least MIN_STEP.
 HEIGHT_SHARE, MIN_STEP = 0.65, 8.0
 WIDTH_SHARE, MIN_GAP = 0.8, 24.0
 WHITE = " \t\n\r\f\v\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+LINE_END, BLANK_RUN, ODD = re.compile(r"\r?\n"), re.compile(rf"[{WHITE}]+"), re.compile(rf"[|{WHITE}]")
+
+
+def line_starts(tops: list[float], reach: float) -> list[int]:
+    """Where the lines begin among words in order of their top. A word joins the line whose upper median top is within reach; as the order is by top, that median is the line's middle word."""
+    starts, start = [], 0
+    for i, top in enumerate(tops):
+        if i == 0 or abs(top - tops[start + (i - start) // 2]) > reach:
+            starts.append(start := i)
+    return starts
 
 
 def lines_of(words: list[tuple[float, float, float, float, str]]) -> list[list[tuple]]:
-    """words (x, y, w, h, text) of a page as its lines, top to bottom. A fold by top and left: a line's upper median top decides who joins it."""
+    """words (x, y, w, h, text) of a page as its lines, top to bottom, each from left to right. Words without a text or a full box are in none."""
+    words = sorted((b for b in words if b[4] and None not in b), key=lambda b: (b[1], b[0]))
     if not words:
         return []
-    reach = max(MIN_STEP, HEIGHT_SHARE * sum(max(1.0, b[3]) for b in words) / len(words))
-    lines: list[list[tuple]] = []
-    tops: list[float] = []
-    for word in sorted(words, key=lambda b: (b[1], b[0])):
-        if lines and abs(word[1] - tops[len(tops) // 2]) <= reach:
-            lines[-1].append(word)
-            insort(tops, word[1])
-        else:
-            lines.append([word])
-            tops = [word[1]]
-    return lines
-
-
-def shown(line: list[tuple]) -> str:
-    """A line's words from left to right, with a blank where the gap is wide."""
-    wide = max(MIN_GAP, WIDTH_SHARE * sum(max(1.0, b[2]) for b in line) / len(line))
-    out, right = "", None
-    for x, _, w, _, text in sorted(line, key=lambda b: b[0]):
-        text = re.sub(r"\r?\n", " ", text.replace("|", "\\|")).strip(WHITE)
+    reach = max(MIN_STEP, HEIGHT_SHARE * sum([b[3] if b[3] > 1 else 1.0 for b in words]) / len(words))
+    starts = line_starts([b[1] for b in words], reach)
+    return [sorted(words[a:z], key=itemgetter(0)) for a, z in zip(starts, [*starts[1:], len(words)], strict=True)]
+
+
+def shown(line: list[tuple], plain: bool = False) -> str:
+    """A line's words from left to right, with a blank where the gap is wide. plain: no word holds white space, a bar or nothing."""
+    wide = max(MIN_GAP, WIDTH_SHARE * sum([b[2] if b[2] > 1 else 1.0 for b in line]) / len(line))
+    out, right = [], 0.0
+    for x, _, w, _, text in line:
+        if not plain:
+            text = LINE_END.sub(" ", text.strip(WHITE).replace("|", "\\|")).strip(WHITE)
         if text:
-            out += (" " if out and x - right > wide else "") + text
+            if out and x - right > wide:
+                out.append(" ")
+            out.append(text)
             right = x + w
-    return re.sub(r"\s+", " ", out).strip(WHITE)
+    joined = "".join(out)
+    return joined if plain else BLANK_RUN.sub(" ", joined).strip(WHITE)
 
 
 def page_lines(pages: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,26 +69,38 @@ def page_lines(pages: DataFrame, keys: list[str]) -> DataFrame:
         for batch in batches:
             at, no, n, text = [], [], [], []
             for k, words in enumerate(zip(*(batch.column(c).to_pylist() for c in ("x", "y", "w", "h", "text")), strict=True)):
+                plain = None not in words[4] and ODD.search("\x00".join(words[4])) is None
                 for i, line in enumerate(lines_of(list(zip(*words, strict=True))), 1):
-                    at.append(k), no.append(i), n.append(len(line)), text.append(shown(line))
+                    at.append(k), no.append(i), n.append(len(line)), text.append(shown(line, plain))
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in keys), pa.array(no, pa.int32()), pa.array(n, pa.int64()), pa.array(text, pa.string())], schema.names)
 
     return pages.select(*keys, "x", "y", "w", "h", "text").mapInArrow(run, schema)
 
 
+def block_lines(found: Column) -> Column:
+    """The words of blocks as x, y, w, h, text arrays in one struct, for page_lines; blocks without a box are left out."""
+    placed = F.filter(found, lambda b: b["bbox"].isNotNull())
+    part = lambda k: F.transform(placed, lambda b: F.get(b["bbox"], F.lit(k)))
+    return F.struct(part(0).alias("x"), part(1).alias("y"), part(2).alias("w"), part(3).alias("h"), F.transform(placed, lambda b: b["text"]).alias("text"))
+
+
+def vendor_pages(replies: DataFrame, keys: list[str], reply: str = "reply") -> DataFrame:
+    """Replies of the cloud OCR (a row each, told apart by keys) as keys, text, blocks, avg_confidence."""
+    read = replies.withColumn("__data", vendor.reply_data(F.col(reply))).withColumn("blocks", vendor.blocks(F.col("__data")))
+    read = read.withColumns({"__tables": vendor.tables(F.col("__data")), "__structured": vendor.structured(F.col("__data")), "__content": F.col("__data.content")})
+    lines = page_lines(read.select(*keys, F.inline(F.array(block_lines(F.col("blocks"))))), keys).where("line <> ''")
+    placed = lines.groupBy(*keys).agg(group_lines(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])).alias("__placed"))
+    both = read.select(*keys, "blocks", "__tables", "__structured", "__content").join(placed, keys, "left")
+    text = extracted_text(F.col("__tables"), F.col("__structured"), F.col("__placed"), F.col("__content"), F.transform("blocks", lambda b: b["text"]))
+    return both.select(*keys, text.alias("text"), "blocks", mean_confidence(F.transform("blocks", lambda b: b["confidence"])).alias("avg_confidence"))
+
+
 def table_markdown(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """cells (keys, row_start, col_start, text; seq breaks ties) as keys, body: a Markdown table of the rows and columns that hold something; the first row is the head. Spans stay blank."""
-    put = cells.groupBy(*keys, F.greatest(F.lit(0), "row_start").alias("r"), F.greatest(F.lit(0), "col_start").alias("c")).agg(F.max_by(escape_table_cell(F.coalesce("text", F.lit(""))), "seq").alias("text"))
-    put = put.where("text <> ''")
-    columns = put.groupBy(*keys).agg(F.array_sort(F.collect_set("c")).alias("cols"))
-    rows = put.groupBy(*keys, "r").agg(F.map_from_entries(F.collect_list(F.struct("c", "text"))).alias("row"))
-    first = put.groupBy(*keys).agg(F.min("r").alias("head"))
-    line = lambda a: F.concat(F.lit("| "), F.array_join(a, " | "), F.lit(" |"))
-    cell = F.transform("cols", lambda c, i: F.coalesce(F.element_at("row", c), F.when(F.col("r") == F.col("head"), F.concat(F.lit("Column "), (i + 1).cast("string"))).otherwise("")))
-    ruled = F.when(F.col("r") == F.col("head"), F.concat(line(cell), F.lit("\n"), line(F.transform("cols", lambda c: F.lit("---"))))).otherwise(line(cell))
-    shown = rows.join(columns, keys).join(first, keys).withColumn("line", ruled)
-    return shown.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    """cells (keys, row_start, col_start, text; seq breaks ties) as keys, body: the table of each group, see vendor.grid_markdown. Cells are put together once; a table is part of a page."""
+    at = lambda c: F.greatest(F.lit(0), F.coalesce(c, F.lit(0)))
+    whole = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", at("row_start").alias("r"), at("col_start").alias("c"), "text"))).alias("cells"))
+    return whole.select(*keys, vendor.grid_markdown(F.col("cells")).alias("body")).where("body <> ''")
 
 
 def extracted_text(tables: Column, structured: Column, positioned: Column, content: Column, plain: Column) -> Column:

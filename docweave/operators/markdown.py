@@ -9,6 +9,8 @@ from docweave.functions.files import column_number
 from docweave.functions.text import escape_cell, trim
 
 CELL = r"^([A-Z]+)(\d+)\z"
+#: What stands for a sheet without cells.
+EMPTY_SHEET = "_(empty)_"
 
 
 def in_order(order: str, text: str) -> Column:
@@ -54,10 +56,11 @@ def sheet_lists(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.withColumn("line", line).groupBy(*keys).agg(join_in_order("seq", "line", "\n").alias("body"))
 
 
-def sheets_markdown(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, body: table or list, as the density says."""
+def sheets_markdown(cells: DataFrame, keys: list[str], sheets: DataFrame | None = None) -> DataFrame:
+    """keys, body: table or list, as the density says. Of sheets (keys), if given, those without cells are shown as empty."""
     judged = cells.join(sheet_density(cells, keys), keys)
-    return sheet_tables(judged.where("as_table"), keys).unionByName(sheet_lists(judged.where("not as_table"), keys))
+    bodies = sheet_tables(judged.where("as_table"), keys).unionByName(sheet_lists(judged.where("not as_table"), keys))
+    return bodies if sheets is None else sheets.select(*keys).join(bodies, keys, "left").withColumn("body", F.coalesce("body", F.lit(EMPTY_SHEET)))
 
 
 def to_markdown(title: Column, pages: Column, sheets: Column, sections: Column, full_text: Column) -> Column:

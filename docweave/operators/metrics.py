@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docweave.functions.numbers import price_table, round_half_up, yuan
 
@@ -23,3 +24,40 @@ def calls_by_model(calls: DataFrame) -> DataFrame:
 def total_cost(calls: DataFrame) -> DataFrame:
     """total_yuan (each call is rounded before the sum, the sum once more), calls."""
     return priced(calls).agg(round_half_up(F.sum("yuan"), 4).alias("total_yuan"), F.count("*").alias("calls"))
+
+
+def peak_in_flight(calls: DataFrame, keys: list[str], began: str = "started_ms", ms: str = "ms") -> DataFrame:
+    """keys, peak: the most calls (from began on, for ms) that were open at once; one that ends when another begins is not open with it."""
+    edges = calls.select(*keys, F.explode(F.array(F.struct(F.col(began).alias("at"), F.lit(1).alias("d")), F.struct((F.col(began) + F.col(ms)).alias("at"), F.lit(-1).alias("d")))).alias("e")).select(*keys, "e.at", "e.d")
+    steps = edges.groupBy(*keys, "at").agg(F.sum("d").alias("d"))  # equal times become one step before they are put in order
+    open_ = F.sum("d").over(Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return steps.withColumn("n", open_).groupBy(*keys).agg(F.max("n").alias("peak"))
+
+
+def quality(field_count: Column, full_text: Column, seals: Column, signatures: Column, warnings: Column) -> Column:
+    """What a result holds. The reference values of confidence are 0 unless a caller computes them (confidence_quality)."""
+    n = lambda a: F.coalesce(F.size(a), F.lit(0)).cast("long")
+    zero = F.lit(0.0)
+    return F.struct(
+        field_count.cast("long").alias("field_count"), F.lit(0).cast("long").alias("fields_above_confidence"), zero.alias("avg_confidence"), zero.alias("locator_resolve_rate"),
+        F.coalesce(F.char_length(full_text), F.lit(0)).cast("long").alias("ocr_chars"), n(seals).alias("seals"), n(signatures).alias("signatures"), n(warnings).alias("warnings"),
+    )
+
+
+def field_count(extracted: Column) -> Column:
+    """The top keys of an object in JSON; 0 without one."""
+    return F.coalesce(F.size(F.json_object_keys(extracted)), F.lit(0)).cast("long")
+
+
+def performance(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """calls (keys, stage: extract, ocr, seal or llm; ms, retries) as keys and the sums of each stage, retries and images (calls of ocr and seal)."""
+    of = lambda stage: F.sum(F.when(F.col("stage") == stage, F.col("ms")).otherwise(0)).cast("long").alias(f"{stage}_ms")
+    return calls.groupBy(*keys).agg(
+        F.sum("ms").cast("long").alias("total_ms"), *(of(s) for s in ("extract", "ocr", "seal", "llm")),
+        F.sum(F.coalesce("retries", F.lit(0))).cast("long").alias("retries"), F.count_if(F.col("stage").isin("ocr", "seal")).alias("images"),
+    )
+
+
+def rolled_up(perf: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """The sums of columns for each value of by, and for all (by is null there, and total true)."""
+    return perf.rollup(by).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in columns), (F.grouping(by) == 1).alias("total"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import deque
+from collections.abc import Iterable, Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.functions.text import user_prompt
 
@@ -15,32 +19,47 @@ title (string), documentType (string), parties (list of strings), keyAmount (str
 Use null where the documents say nothing. Do not guess."""
 
 
-def batch_numbers(sizes: Column, most: int = MAX_INPUT_CHARS) -> Column:
-    """For each size in order the batch it falls into, from 1: a new batch begins when this one has something and would grow over `most`.
+def batch_numbers(sizes: Iterable[int], most: int = MAX_INPUT_CHARS) -> Iterator[int]:
+    """For each size in order the batch it falls into, from 1: a new batch begins when this one has something and would grow over `most`."""
+    no, used, some = 1, 0, False
+    for size in sizes:
+        if some and used + size > most:
+            no, used = no + 1, 0
+        used, some = used + size, True
+        yield no
 
-    A fold, because where a batch begins depends on where the last one did; a running sum does not tell.
-    """
-    state = F.struct(F.lit(1).alias("no"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
-    def step(s: Column, size: Column) -> Column:
-        new = (s["n"] > 0) & (s["used"] + size > most)
-        no = s["no"] + new.cast("int")
-        return F.struct(no.alias("no"), (F.when(new, F.lit(0)).otherwise(s["used"]) + size).alias("used"), (F.when(new, 0).otherwise(s["n"]) + 1).alias("n"), F.concat(s["out"], F.array(no)).alias("out"))
+def pack_sources(sources: DataFrame, keys: list[str], most: int = MAX_INPUT_CHARS) -> DataFrame:
+    """sources (keys, seq, name, text) with batch_no; seq tells a job's sources apart.
+
+    Where a batch begins depends on where the last one did, which no window frame can say. So the sizes
+    alone, without the texts, run in order through one task a job, which holds one job's state and no rows;
+    the texts are joined with their batch afterwards.
+    """
+    sizes = sources.select(*keys, "seq", F.char_length("text").cast("long").alias("__n")).repartition(*keys).sortWithinPartitions(*keys, "seq")
+    schema = T.StructType([*(sources.schema[k] for k in [*keys, "seq"]), T.StructField("batch_no", T.IntegerType())])
 
-    return F.aggregate(F.transform(sizes, lambda x: x.cast("long")), state, step, lambda s: s["out"])
+    def run(batches):
+        import pyarrow as pa
 
+        job, sizes_of_job, numbers = None, deque(), iter(())
+        for batch in batches:
+            out = []
+            for *now, size in zip(*(batch.column(k).to_pylist() for k in keys), batch.column("__n").to_pylist(), strict=True):
+                if now != job:
+                    job, sizes_of_job = now, deque()
+                    numbers = batch_numbers(iter(sizes_of_job.popleft, None), most)
+                sizes_of_job.append(size or 0)
+                out.append(next(numbers))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in [*keys, "seq"]), pa.array(out, pa.int32())], schema.names)
 
-def pack_sources(sources: DataFrame, keys: list[str], most: int = MAX_INPUT_CHARS) -> DataFrame:
-    """sources (keys, seq, name, text) with batch_no. Only sizes are put together for each job; texts are joined with their batch afterwards."""
-    jobs = sources.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", F.char_length("text").alias("n")))).alias("all"))
-    numbered = jobs.select(*keys, F.explode(F.arrays_zip(F.col("all.seq").alias("seq"), batch_numbers(F.col("all.n"), most).alias("batch_no"))).alias("x")).select(*keys, "x.seq", "x.batch_no")
-    return sources.join(numbered, [*keys, "seq"])
+    return sources.join(sizes.mapInArrow(run, schema), [*keys, "seq"])
 
 
 def batch_texts(packed: DataFrame, keys: list[str]) -> DataFrame:
     """keys, batch_no, n_sources, text: the sources of each batch, one after the other."""
     both = F.array_sort(F.collect_list(F.struct("seq", "name", "text")))
-    joined = F.transform(both, lambda s: F.concat(F.lit("# "), s["name"], F.lit("\n\n"), s["text"]))
+    joined = F.transform(both, lambda s: F.concat(F.lit("# File: "), s["name"], F.lit("\n\n"), s["text"]))
     return packed.groupBy(*keys, "batch_no").agg(F.count("*").alias("n_sources"), F.array_join(joined, SEPARATOR).alias("text"))
 
 
@@ -54,6 +73,12 @@ def merge_last_wins(fields: DataFrame, keys: list[str], batch: str = "batch_no",
     return fields.groupBy(*keys, name).agg(F.max_by(value, batch).alias(value), F.min(batch).alias("first_batch"))
 
 
+def batch_stats(batches: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, batches: what each answered batch took, in order."""
+    one = F.struct("batch_no", F.col("n_sources").alias("sources"), "chars", F.col("ms").alias("llm_ms"), "prompt_tokens", "completion_tokens", "parse_failed")
+    return batches.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("batches"))
+
+
 def structure_totals(batches: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n_batches, n_sources, chars, ms, prompt_tokens, completion_tokens, any_failed of answered batches."""
     return batches.groupBy(*keys).agg(

@@ -1,76 +1,269 @@
-"""The engine: paths to Markdown, Markdown to structured fields."""
+"""The engine: paths to results and Markdown, Markdown to structured fields."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.config import Config, Prompt, resolve
-from docweave.functions import files, text
-from docweave.operators import markdown, structure
+from docweave.config import SCHEMA_VERSION, Config, Prompt, llm_backend, ocr_backend, prompt_name, request_of, resolve, vision_backend
+from docweave.errors import DocweaveError
+from docweave.functions import files, text, vendor
+from docweave.functions.numbers import round_half_up
+from docweave.operators import layout, markdown, marks, metrics, structure
 from docweave.operators.cache import through_cache
-from docweave.operators.external import MockLlm, backend, call_llm
-from docweave.sources.scan import binary_files, expand_archives, missing, parse_files
+from docweave.operators.external import call_llm, call_ocr
+from docweave.plans import result
+from docweave.sources.scan import ParseOptions, binary_files, expand_archives, missing, parse_files
+from docweave.sources.store import stored
+
+OCR_FAILED = "ERR_OCR_FAILED"
+FALLBACK, CACHE_FAILED = "llm-json-parse-failed-fallback-to-text", "cache-write-failed"
+#: A call that a file made, whatever its stage.
+CALL = "struct<stage:string,model:string,provider:string,prompt_tokens:bigint,completion_tokens:bigint,image_tokens:bigint,started_ms:bigint,ms:bigint,retries:int>"
+
+
+def page_action(kind, layer, detect: bool):
+    """ocr, seal or none: pages without enough text and all images are read, other pages and images in documents are looked at for seals only if they are asked for."""
+    seal = F.lit("seal" if detect else "none")
+    return F.when((kind == "image") | ((kind == "page") & text.needs_ocr(F.coalesce(layer, F.lit("")))), F.lit("ocr")).when(kind.isin("page", "embedded"), seal).otherwise("none")
 
 
 class DocEngine:
-    def __init__(self, spark: SparkSession, config: Config | None = None):
+    """Scans, reads, renders, structures. Backends come from the configuration unless they are given."""
+
+    def __init__(self, spark: SparkSession, config: Config | None = None, ocr=None, vision=None, llm=None, renderer=None):
         self.spark, self.config = spark, config or resolve()
+        self._ocr, self._vision, self._llm, self.renderer = ocr, vision or ocr, llm, renderer
+
+    @property
+    def ocr(self):
+        return self._ocr or ocr_backend(self.config)
+
+    @property
+    def vision(self):
+        return self._vision or vision_backend(self.config)
+
+    @property
+    def llm(self):
+        return self._llm or llm_backend(self.config)
 
     def scan(self, paths: list[str]) -> DataFrame:
-        """The files at the paths with archives opened: path, entry, sub, content, error."""
+        """The files at the paths with archives opened: path, origin, entry, sub, content, file_hash, length, error."""
         return expand_archives(binary_files(self.spark, *paths))
 
-    def parts(self, paths: list[str], full_pages: bool = False) -> DataFrame:
-        scanned = self.scan(paths)
-        parsed = parse_files(scanned.where("error_code is null"), full_pages)
-        failed = scanned.where("error_code is not null").select("path", F.lit("error").alias("kind"), "error_code", "error_message")
-        return parsed.unionByName(failed, allowMissingColumns=True)
+    def options(self, full_pages: bool, detect: bool) -> ParseOptions:
+        c = self.config
+        return ParseOptions(full_pages, c.max_pages, (c.head_ratio, c.tail_ratio), detect, c.image_max_long_edge, self.renderer)
+
+    # Pages and images to text, blocks, seals and signatures.
+
+    def read(self, parts: DataFrame, detect: bool) -> DataFrame:
+        """The pages and images of PARTS with action, text, blocks, seals, signatures and the call that was made."""
+        c, keys = self.config, ["path", "kind", "number"]
+        looked = parts.where(F.col("kind").isin("page", "image", "embedded")).withColumn("action", page_action(F.col("kind"), F.col("text"), detect)).withColumn("detect", F.lit(detect))
+        looked = looked.select(*keys, "action", F.col("text").alias("layer"), "total", "image", "mime", "detect")
+        keep = [*keys, "action", "layer", "total"]
+
+        def called(action: str, backend) -> DataFrame:
+            rows = call_ocr(looked.where(F.col("action") == action), backend, keep, c.max_concurrency, c.retries, c.hedge_ms or None)
+            if backend.provider != "aliyun-ocr":
+                return rows.withColumns({"said": F.coalesce(text.peel_envelope(F.col("reply")), F.lit("")), "blocks": F.lit(None).cast(vendor.BLOCKS)}).drop("reply")
+            rows = stored(rows)  # a call costs: it is made once, though two branches read it
+            pages = layout.vendor_pages(rows.select(*keys, "reply"), keys).select(*keys, F.col("text").alias("said"), "blocks")
+            return rows.drop("reply").join(pages, keys)
+
+        none = looked.where("action = 'none'").select(*keep)
+        rows = called("ocr", self.ocr)
+        rows = (rows.unionByName(called("seal", self.vision)) if detect else rows).unionByName(none, allowMissingColumns=True)
+        is_page, page = F.col("kind") == "page", F.col("number")
+        blocks = F.when(is_page, vendor.numbered_blocks(F.col("blocks"), page)).otherwise(vendor.numbered_blocks(F.col("blocks")))
+        marked = lambda read, norm: F.when(is_page, norm(read, page, *reversed(marks.PDF))).otherwise(norm(read, page, *reversed(marks.IMAGE)))
+        said = F.when(F.lit(detect), F.coalesce("said", F.lit(""))).otherwise("")
+        call = F.struct(F.col("action").alias("stage"), F.col("ocr_model").alias("model"), F.col("ocr_provider").alias("provider"), "prompt_tokens", "completion_tokens", F.lit(0).cast("long").alias("image_tokens"), "started_ms", "ms", "retries").cast(CALL)
+        return rows.select(
+            *keys, "action", "total", F.when(F.col("action") == "ocr", F.coalesce(F.nullif("said", F.lit("")), "layer")).otherwise(F.col("layer")).alias("text"), F.when(F.col("action") == "ocr", blocks).alias("blocks"),
+            text.seal_marks(said).alias("seal_marks"), text.signature_marks(said).alias("signature_marks"), marked(text.seal_marks(said), marks.normalise_seals).alias("seals"),
+            marked(text.signature_marks(said), marks.normalise_signatures).alias("signatures"), F.when(F.col("action") != "none", call).alias("call"), "ocr_error",
+        )
+
+    # Parts to one row a file.
 
-    def extract(self, paths: list[str], full_pages: bool = False) -> DataFrame:
-        """path, ok, markdown, truncated, error_code, error_message: a row for each file, entry or path that does not exist."""
+    def assemble(self, parts: DataFrame, detect: bool) -> DataFrame:
+        """PARTS as path, raw, total, truncated, sheets_shown, calls, error_code, error_message: a row a file. parts is read several times; it should be stored."""
+        c, read = self.config, stored(self.read(parts, detect))
+        some = lambda a: F.when(F.size(a) > 0, a)
+        shown = read.where("kind <> 'embedded'")
+        pages = shown.groupBy("path").agg(
+            F.array_sort(F.collect_list(F.struct(F.col("number").alias("page_no"), F.coalesce("text", F.lit("")).alias("text"), "blocks"))).cast(f"array<{result.PAGE}>").alias("pages"),
+            F.transform(F.array_sort(F.collect_list(F.struct("number", "seals"))), lambda x: x["seals"]).alias("page_seals"), F.transform(F.array_sort(F.collect_list(F.struct("number", "signatures"))), lambda x: x["signatures"]).alias("page_signatures"),
+            F.max("total").alias("page_total"), F.bool_or(F.col("kind") == "page").alias("has_pages"),
+        )
+        calls = read.groupBy("path").agg(F.collect_list("call").alias("calls"), F.min("ocr_error").alias("ocr_error"))
+        inside = read.where("kind = 'embedded'")
+        in_images = lambda f, marked, name: f(inside.select("path", F.col("number").alias("image_no"), F.col(marked).alias(name)), ["path"])
+        listed = lambda df, name: df.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(*(x for x in df.columns if x != "path")))).alias(name))
+        docx_seals, docx_signatures = listed(in_images(marks.seals_in_images, "seal_marks", "seals"), "docx_seals"), listed(in_images(marks.signatures_in_images, "signature_marks", "signatures"), "docx_signatures")
+        cut = text.truncate(F.col("text"), c.docx_max_chars)
+        other = parts.groupBy("path").agg(
+            F.max(F.when(F.col("kind") == "document", cut)).alias("document"), F.max(F.when(F.col("kind") == "text", F.col("text"))).alias("plain"), F.sum("ms").alias("extract_ms"),
+            F.max("error_code").alias("error_code"), F.max("error_message").alias("error_message"), F.bool_or(F.col("kind") == "error").alias("failed"),
+        )
+        # Sheets: cells are put together by sheet before they are by file.
+        cells = parts.where("kind = 'cell'").groupBy("path", "sheet").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("number", "ref", F.col("text").alias("value"), "value_type", "formula"))), lambda x: F.struct(x["ref"].alias("ref"), x["value"].alias("value"), x["value_type"].alias("value_type"), x["formula"].alias("formula"))).alias("cells")
+        )
+        merged = parts.where("kind = 'merge'").groupBy("path", "sheet").agg(F.array_sort(F.collect_list("ref")).alias("merged"))
+        bodies = markdown.sheets_markdown(parts.where("kind = 'cell'").select("path", "sheet", "ref", F.col("number").alias("seq"), F.col("text").alias("value")), ["path", "sheet"])
+        sheets = parts.where("kind = 'sheet'").select("path", "sheet", F.col("number").alias("no")).join(cells, ["path", "sheet"], "left").join(merged, ["path", "sheet"], "left").join(bodies, ["path", "sheet"], "left")
+        lines = F.transform(F.coalesce("cells", F.array().cast(f"array<{result.CELL}>")), lambda x: F.concat(F.col("sheet"), F.lit("!"), x["ref"], F.lit(": "), x["value"]))
+        by_file = sheets.groupBy("path").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("no", "sheet", F.coalesce("cells", F.array().cast(f"array<{result.CELL}>")).alias("cells"), "merged"))), lambda s: F.struct(s["sheet"].alias("sheet_name"), s["cells"].alias("cells"), s["merged"].alias("merged_ranges"))).alias("sheets"),
+            F.transform(F.array_sort(F.collect_list(F.struct("no", F.col("sheet").alias("name"), F.coalesce("body", F.lit(markdown.EMPTY_SHEET)).alias("body")))), lambda s: F.struct(s["name"].alias("name"), s["body"].alias("body"))).alias("sheets_shown"),
+            F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", lines.alias("lines")))), lambda s: s["lines"])), "\n").alias("sheet_text"),
+        )
+        out = other
+        for more in (pages, calls, docx_seals, docx_signatures, by_file):
+            out = out.join(more, "path", "left")
+        sections = F.transform(text.paragraphs(F.col("document.text")), lambda p, i: F.struct(F.concat(F.lit("p-"), (i + 1).cast("string")).alias("section_id"), p.alias("text")))
+        page_text = F.when(F.col("has_pages"), F.array_join(F.transform("pages", lambda p: F.concat(F.lit("--- Page "), p["page_no"].cast("string"), F.lit(" ---\n"), p["text"])), "\n\n")).otherwise(F.get("pages", F.lit(0))["text"])
+        seals = some(F.coalesce("docx_seals", F.flatten("page_seals"))).cast(f"array<{result.SEAL}>")
+        signatures = some(F.coalesce("docx_signatures", F.flatten("page_signatures"))).cast(f"array<{result.SIGNATURE}>")
+        full = F.coalesce(F.col("document.text"), page_text, F.col("sheet_text"), F.col("plain"), F.lit(""))
+        raw = F.struct(F.col("pages"), F.col("sheets"), F.when(F.col("document").isNotNull(), sections).alias("sections"), full.alias("full_text"), seals.alias("seals"), signatures.alias("signatures")).cast(result.RAW)
+        included = F.when(F.col("has_pages"), F.transform("pages", lambda p: p["page_no"]))
+        count = F.when(F.col("has_pages"), F.col("page_total")).when(F.col("document").isNotNull(), files.page_count(F.col("document.original_length")))
+        truncated = F.coalesce(F.col("document.truncated"), F.size(included) < F.col("page_total"), F.lit(False))
+        first = F.struct(F.lit("extract").alias("stage"), F.lit("").alias("model"), F.lit("").alias("provider"), *(F.lit(0).cast("long").alias(n) for n in ("prompt_tokens", "completion_tokens", "image_tokens", "started_ms")), F.coalesce("extract_ms", F.lit(0)).cast("long").alias("ms"), F.lit(0).alias("retries")).cast(CALL)
+        failed, bad_page = F.col("failed"), F.col("ocr_error").isNotNull()
+        return out.select(
+            "path", (~failed & ~bad_page).alias("ok"), raw.alias("raw"), "plain", "sheets_shown", count.cast("int").alias("page_count"), included.alias("pages_included"), truncated.alias("truncated"),
+            F.concat(F.array(first), F.coalesce("calls", F.array().cast(f"array<{CALL}>"))).alias("calls"), F.when(failed, F.col("error_code")).when(bad_page, F.lit(OCR_FAILED)).alias("error_code"), F.when(failed, F.col("error_message")).otherwise(F.col("ocr_error")).alias("error_message"),
+        )
+
+    def shown(self, title):
+        """A file's Markdown, over a row of assemble()."""
+        raw = F.col("raw")
+        return F.coalesce("plain", markdown.to_markdown(title, raw["pages"], F.col("sheets_shown"), raw["sections"], raw["full_text"]))
+
+    def parsed(self, scanned: DataFrame, full_pages: bool = False, detect: bool | None = None, force: bool = False) -> DataFrame:
+        """Scanned files (path, content, file_hash, length) with the columns of assemble(), cache_hit and cache_failed; through the cache if there is one."""
+        detect = self.config.detect_seals and detect is not False
+        options = self.options(full_pages, detect)
+        if not self.config.cache_dir:
+            good = scanned.where("error_message is null")
+            return good.drop("content", "error_code", "error_message").join(self.assemble(stored(parse_files(good, options)), detect), "path").withColumns({"cache_hit": F.lit(False), "cache_failed": F.lit(False)})
+        # What a call sets belongs to the key, and the name too as far as it says the format.
+        shape = files.fingerprint({"config": self.config.fingerprint, "full_pages": full_pages, "detect": detect})
+        keyed = scanned.where("error_message is null").withColumn("cache_key", files.cache_key(F.col("file_hash"), F.concat_ws("|", F.lit(shape), files.extension(F.col("path")))))
+
+        def compute(todo: DataFrame) -> DataFrame:
+            one = todo.select(F.concat("cache_key", files.extension(F.col("path"))).alias("path"), "content")
+            return self.assemble(stored(parse_files(one, options)), detect).withColumn("cache_key", F.regexp_replace("path", r"\.[^.]*\z", "")).drop("path")
+
+        found = through_cache(keyed, f"{self.config.cache_dir.rstrip(chr(47))}/results", compute, force=force, good=F.col("ok"))
+        return keyed.drop("content", "error_code", "error_message").join(found, "cache_key").drop("cache_key")
+
+    def results(self, paths: list[str], prompt: Prompt | None = None, full_pages: bool = False, detect: bool | None = None, force: bool = False) -> DataFrame:
+        """path, ok, the columns of result.RESULT, markdown, error_code, error_message: a row for each file, entry, bad archive and missing path. With a prompt, each file's fields are asked for."""
         absent = missing(self.spark, paths)
         there = [p for p in paths if p not in absent]
-        out = self.render(self.parts(there, full_pages)) if there else None
-        if not absent:
-            return out
-        lost = self.spark.createDataFrame([(p, False, "ERR_FILE_NOT_FOUND", f"File not found: {p}") for p in absent], "path string, ok boolean, error_code string, error_message string")
-        return lost.withColumns({"markdown": F.lit(None).cast("string"), "truncated": F.lit(False)}).select("path", "ok", "markdown", "truncated", "error_code", "error_message") if out is None else out.unionByName(lost, allowMissingColumns=True)
-
-    def render(self, parts: DataFrame) -> DataFrame:
-        """Parts as one Markdown text a file."""
-        cut = text.truncate(F.col("text"), self.config.docx_max_chars)
-        parts = parts.withColumn("text", F.when((F.col("kind") == "page") & text.needs_ocr(F.col("text")) & (F.col("text") == ""), F.lit("[mock-ocr] recognized text") if self.config.ocr_provider == "mock-ocr" else F.col("text")).otherwise(F.col("text")))
-        parts = parts.withColumn("cut", F.when(F.col("kind") == "document", cut))
-        cells = parts.where("kind = 'cell'").select("path", "sheet", "ref", F.col("number").alias("seq"), F.col("text").alias("value"))
-        order = cells.groupBy("path", "sheet").agg(F.min("seq").alias("first"))
-        bodies = markdown.sheets_markdown(cells, ["path", "sheet"]).join(order, ["path", "sheet"]).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("first", F.col("sheet").alias("name"), "body"))).alias("sheets"))
-        other = parts.where("kind <> 'cell'").groupBy("path").agg(
-            F.array_sort(F.collect_list(F.when(F.col("kind").isin("page", "image"), F.struct(F.col("number").alias("page_no"), F.coalesce("text", F.lit("[mock-ocr] recognized text")).alias("text"))))).alias("pages"),
-            F.max(F.when(F.col("kind") == "document", F.col("cut.text"))).alias("document"), F.max(F.when(F.col("kind") == "text", F.col("text"))).alias("plain"),
-            F.bool_or(F.coalesce("cut.truncated", (F.col("kind") == "page") & (F.col("total") > self.config.max_pages))).alias("truncated"), F.max("error_code").alias("error_code"), F.max("error_message").alias("error_message"),
+        none = F.lit(None).cast("string")
+        lost = self.spark.createDataFrame([(p, "ERR_FILE_NOT_FOUND", f"File not found: {p}") for p in absent], "path string, error_code string, error_message string").withColumn("ok", F.lit(False))
+        if not there:
+            empty = self.spark.createDataFrame([], f"path string, ok boolean, {result.RESULT}, markdown string, error_code string, error_message string")
+            return empty.unionByName(lost, allowMissingColumns=True)
+        scanned = self.scan(there)
+        rows = self.parsed(scanned, full_pages, detect, force)
+        name = files.base_name(F.regexp_replace("path", "^.*!", ""))
+        rows = rows.withColumns({"markdown": self.shown(name), "extracted": none, "parse_failed": F.lit(False)})
+        if prompt is not None:
+            rows = self._with_fields(stored(rows), prompt)
+        warnings = F.array_compact(F.array(F.when(F.col("parse_failed"), F.lit(FALLBACK)), F.when(F.col("cache_failed"), F.lit(CACHE_FAILED))))
+        rows = rows.withColumn("warnings", warnings)
+        measured = self._measured(stored(rows))
+        now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        source = F.struct(
+            F.col("path").alias("file_path"), name.alias("file_name"), files.detect_format(F.col("path")).alias("file_format"), files.size_mb(F.col("length")).alias("file_size_mb"), "file_hash", "page_count",
+            F.transform(F.col("raw.sheets"), lambda s: s["sheet_name"]).alias("sheet_names"), "truncated", "pages_included", now.alias("uploaded_at"),
+        ).cast(result.SOURCE)
+        whole = measured.select(
+            "path", "ok", F.lit(SCHEMA_VERSION).alias("schema_version"), now.alias("parsed_at"), F.lit(self.config.parser_version).alias("parser_version"), source.alias("source"), "raw", "extracted", "metrics",
+            F.when(F.size("warnings") > 0, F.col("warnings")).alias("warnings"), F.when(F.col("ok"), F.col("markdown")).alias("markdown"), "error_code", "error_message",
         )
-        both = other.join(bodies, "path", "full")
-        sections = F.when(F.col("document").isNotNull(), F.transform(text.paragraphs(F.col("document")), lambda p, i: F.struct(F.concat(F.lit("p-"), (i + 1).cast("string")).alias("section_id"), p.alias("text"))))
-        shown = markdown.to_markdown(files.base_name(F.regexp_replace("path", "^.*!", "")), F.col("pages"), F.col("sheets"), sections, F.lit(""))
-        ok = F.col("error_code").isNull()
-        return both.select("path", ok.alias("ok"), F.when(ok, F.coalesce("plain", shown)).alias("markdown"), F.coalesce("truncated", F.lit(False)).alias("truncated"), "error_code", "error_message")
+        failed = scanned.where("error_message is not null").select("path", F.lit(False).alias("ok"), "error_code", "error_message")
+        return whole.unionByName(failed, allowMissingColumns=True).unionByName(lost, allowMissingColumns=True)
 
-    def llm(self):
-        c = self.config
-        return MockLlm() if c.llm_provider == "mock" else backend(c.llm_provider, url=c.base_url, key=c.api_key, model=c.text_model, timeout_s=c.llm_timeout_ms / 1000)
+    def _with_fields(self, rows: DataFrame, prompt: Prompt) -> DataFrame:
+        asked = rows.where("ok").select("path", text.user_prompt(F.lit(prompt.body), self.shown(F.lit(""))).alias("prompt"))
+        answers = call_llm(asked, self.llm, ["path"], self.config.max_concurrency, self.config.retries, None, request_of(prompt, self.config))
+        call = F.struct(F.lit("llm").alias("stage"), F.col("a_model").alias("model"), F.lit("openai-compat").alias("provider"), "a_prompt_tokens", "a_completion_tokens", F.lit(0).cast("long"), F.lit(0).cast("long"), "a_ms", "a_retries").cast(CALL)
+        answers = stored(answers.select("path", *(F.col(c).alias(f"a_{c}") for c in ("model", "prompt_tokens", "completion_tokens", "ms", "retries", "extracted", "parse_failed", "error"))))
+        both = rows.drop("extracted", "parse_failed").join(answers, "path", "left").withColumns({"extracted": F.col("a_extracted"), "parse_failed": F.coalesce("a_parse_failed", F.lit(False)) & F.col("a_error").isNull()})
+        lost = F.col("a_error").isNotNull()  # a call that failed fails its file
+        both = both.withColumns({"calls": F.when(F.col("a_model").isNotNull(), F.concat("calls", F.array(call))).otherwise(F.col("calls")), "ok": F.col("ok") & ~lost, "error_message": F.coalesce("error_message", "a_error")})
+        return both.drop(*(c for c in both.columns if c.startswith("a_")))
+
+    def _measured(self, rows: DataFrame) -> DataFrame:
+        """rows with metrics: quality, performance, cost."""
+        calls = rows.select("path", F.explode("calls").alias("c")).select("path", "c.*")
+        models = metrics.priced(calls.where("stage <> 'extract'")).groupBy("path", "model").agg(
+            F.count("*").alias("calls"), *(F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "image_tokens")), F.sum("yuan").alias("yuan")
+        )
+        cost = models.groupBy("path").agg(
+            round_half_up(F.sum("yuan"), 4).alias("total_yuan"),
+            F.map_from_entries(F.collect_list(F.struct("model", F.struct("calls", "prompt_tokens", "completion_tokens", "image_tokens", "yuan").alias("v")))).alias("calls_by_model"),
+        )
+        perf, peak = metrics.performance(calls, ["path"]), metrics.peak_in_flight(calls.where("stage in ('ocr', 'seal')"), ["path"])
+        raw = F.col("raw")
+        quality = metrics.quality(metrics.field_count(F.col("extracted")), raw["full_text"], raw["seals"], raw["signatures"], F.col("warnings")).cast(result.QUALITY)
+        # A hit took no time and made no calls this time; what it cost then is not counted again.
+        hit = F.col("cache_hit")
+        performance = F.struct(*(F.when(hit, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c) for c in ("total_ms", "extract_ms", "ocr_ms", "seal_ms", "llm_ms")), hit.alias("cache_hit"), F.coalesce("peak", F.lit(0)).cast("long").alias("ocr_concurrency_peak"), "retries", "images").cast(result.PERFORMANCE)
+        both = rows.join(perf, "path", "left").join(peak, "path", "left").join(cost, "path", "left")
+        spent = F.struct(F.coalesce("total_yuan", F.lit(0.0)).alias("total_yuan"), F.coalesce("calls_by_model", F.create_map().cast(result.COST[result.COST.index("map<") : -1])).alias("calls_by_model")).cast(result.COST)
+        return both.withColumn("metrics", F.struct(quality.alias("quality"), performance.alias("performance"), spent.alias("cost")))
+
+    def extract(self, paths: list[str], full_pages: bool = False, detect: bool | None = None, force: bool = False) -> DataFrame:
+        """path, ok, markdown, truncated, total_ms, error_code, error_message: a row for each file, entry, bad archive or path that does not exist."""
+        found = self.results(paths, None, full_pages, detect, force)
+        return found.select("path", "ok", "markdown", F.coalesce("source.truncated", F.lit(False)).alias("truncated"), F.coalesce("metrics.performance.total_ms", F.lit(0)).alias("total_ms"), "error_code", "error_message")
 
     def structure(self, sources: DataFrame, prompt: Prompt | None = None, job: str = "job") -> DataFrame:
         """sources (job, seq, name, text) as answered batches: job, batch_no, n_sources, chars and the fields of a call."""
-        packed = structure.batch_texts(structure.pack_sources(sources, [job], self.config.max_input_chars), [job])
+        c, request = self.config, request_of(prompt, self.config)
+        packed = structure.batch_texts(structure.pack_sources(sources, [job], c.max_input_chars), [job])
         asked = structure.prompts(packed, prompt.body if prompt else structure.DEFAULT_PROMPT)
-        if not self.config.cache_dir:
-            return call_llm(asked, self.llm(), [job, "batch_no", "n_sources", "chars"], self.config.max_concurrency, self.config.retries)
-        keyed = asked.withColumn("cache_key", files.cache_key(F.sha2("prompt", 256), self.config.fingerprint))
-        answers = through_cache(keyed, self.config.cache_dir, lambda todo: call_llm(todo, self.llm(), ["cache_key"], self.config.max_concurrency, self.config.retries))
-        return keyed.drop("prompt", "text").join(answers, "cache_key").drop("cache_key")
+        call = lambda todo, keep: call_llm(todo, self.llm, keep, c.max_concurrency, c.retries, None, request)
+        if not c.cache_dir:
+            return call(asked, [job, "batch_no", "n_sources", "chars"])
+        shape = files.fingerprint({"config": c.fingerprint, **{k: str(v) for k, v in request.items()}})
+        keyed = asked.withColumn("cache_key", files.cache_key(F.sha2("prompt", 256), shape))
+        answers = through_cache(keyed, f"{c.cache_dir.rstrip('/')}/answers", lambda todo: call(todo, ["cache_key"]), good=F.col("error").isNull())
+        return keyed.drop("prompt", "text").join(answers, "cache_key").drop("cache_key", "cache_hit", "cache_failed")
 
     def fields(self, answered: DataFrame, job: str = "job") -> DataFrame:
         """job, k, v (JSON text), first_batch: what all batches say, the last one's word for each key."""
         pairs = answered.where("extracted is not null").select(job, "batch_no", F.explode(F.from_json("extracted", "map<string,string>")).alias("k", "v"))
         return structure.merge_last_wins(pairs, [job])
+
+    def structured(self, sources: list[tuple[str, str]] | DataFrame, prompt: Prompt | None = None) -> dict:
+        """Sources, as (name, text) in order or a frame (seq, name, text), as one answer: extracted, warnings, batches, totalLlmMs, tokenUsage, promptName. Without any source the model is asked all the same."""
+        if not isinstance(sources, DataFrame):
+            sources = self.spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(sources)], "seq long, name string, text string")
+        if sources.isEmpty():
+            sources = self.spark.createDataFrame([(0, "document", "")], "seq long, name string, text string")
+        answered = stored(self.structure(sources.withColumn("job", F.lit(1)), prompt))
+        rows = answered.orderBy("batch_no").select("n_sources", "chars", "ms", "prompt_tokens", "completion_tokens", "parse_failed", "extracted", "error").toLocalIterator()
+        merged, batches, failed = {}, [], False
+        for r in rows:  # a row a batch, each bounded by the size of a prompt's answer
+            if r["error"]:
+                raise DocweaveError("ERR_LLM_JSON_PARSE" if "no content" in r["error"] else "ERR_LLM_TIMEOUT", r["error"])
+            batches.append({"sources": r["n_sources"], "chars": r["chars"], "llmMs": r["ms"], "promptTokens": r["prompt_tokens"], "completionTokens": r["completion_tokens"], **({"parseFailed": True} if r["parse_failed"] else {})})
+            merged |= json.loads(r["extracted"])
+            failed |= r["parse_failed"]
+        warnings = [f"input split into {len(batches)} batches (maxInputChars={self.config.max_input_chars})"] if len(batches) > 1 else []
+        warnings += ["at least one batch returned non-JSON content; see `extracted.text`"] if failed else []
+        total = lambda k: sum(b[k] for b in batches)
+        return {"extracted": merged, "warnings": warnings, "batches": batches, "totalLlmMs": total("llmMs"), "tokenUsage": {"prompt": total("promptTokens"), "completion": total("completionTokens")}, "promptName": prompt_name(prompt)}

@@ -66,7 +66,7 @@ def pack_batches(spark, sf_dir):
     return _packed(spark, sf_dir).select("source", F.col("seq").alias("doc_id"), "batch_no")
 
 
-TEXTS_SQL = f"(SELECT source, batch_no, count(*) AS n_sources, string_agg(concat('# doc_', doc_id, E'\\n\\n', text), E'\\n\\n---\\n\\n' ORDER BY doc_id) AS text FROM {PACKED_SQL} GROUP BY source, batch_no)"
+TEXTS_SQL = f"(SELECT source, batch_no, count(*) AS n_sources, string_agg(concat('# File: doc_', doc_id, E'\\n\\n', text), E'\\n\\n---\\n\\n' ORDER BY doc_id) AS text FROM {PACKED_SQL} GROUP BY source, batch_no)"
 
 
 @query("join_sources", f"SELECT * FROM {TEXTS_SQL}")

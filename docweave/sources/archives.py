@@ -6,8 +6,8 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-#: The most bytes that an entry may unpack to.
-MAX_BYTES = 512 << 20
+#: The most bytes that an entry may unpack to: what a value in an Arrow batch can hold.
+MAX_BYTES = (1 << 31) - (1 << 20)
 
 
 class UnsafeEntry(ValueError):
@@ -23,14 +23,18 @@ def junk(name: str) -> bool:
     return name.startswith("__MACOSX/") or base.startswith(".DS_Store") or base == "Thumbs.db"
 
 
-def entries(content: bytes, max_bytes: int = MAX_BYTES) -> Iterator[tuple[str, bytes]]:
-    """Names and contents in order of name. One unsafe name fails the whole archive, before anything is given out."""
+def entries(content: bytes, max_bytes: int = MAX_BYTES) -> Iterator[tuple[str, bytes | None, str | None]]:
+    """Names, contents and errors in order of name. One unsafe name fails the whole archive, before anything is given out; an entry that is too large or broken fails alone."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         infos = sorted((i for i in z.infolist() if not i.is_dir() and not junk(i.filename)), key=lambda i: i.filename)
         for i in infos:
             if unsafe(i.filename):
                 raise UnsafeEntry(f"unsafe entry name: {i.filename}")
-            if i.file_size > max_bytes:
-                raise ValueError(f"entry too large: {i.filename}")
         for i in infos:
-            yield i.filename, z.read(i)
+            if i.file_size > max_bytes:
+                yield i.filename, None, f"entry too large: {i.file_size} bytes"
+                continue
+            try:
+                yield i.filename, z.read(i), None
+            except Exception as e:
+                yield i.filename, None, f"{type(e).__name__}: {e}"

@@ -1,8 +1,12 @@
-"""Image headers and the size that an image is shown in."""
+"""Images: headers, the size that an image is shown in, pixels turned upright and made smaller."""
 
 from __future__ import annotations
 
 import struct
+import zlib
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LONG_EDGE = 2000
 
@@ -40,4 +44,118 @@ def fitted(width: int, height: int, turn: int = 1, edge: int = LONG_EDGE) -> tup
     if turn >= 5:
         width, height = height, width
     scale = min(1.0, edge / max(width, height))
-    return max(1, round(width * scale)), max(1, round(height * scale))
+    return max(1, int(width * scale + 0.5)), max(1, int(height * scale + 0.5))
+
+
+def png_pixels(content: bytes):
+    """The pixels (height, width, channels) of a PNG of 8 bits a channel without interlacing; None for others."""
+    import numpy as np
+
+    if content[:8] != b"\x89PNG\r\n\x1a\n":
+        return None
+    width, height, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", content[16:29])
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(kind)
+    if depth != 8 or interlaced or channels is None:
+        return None
+    at, data = 8, []
+    while at + 8 <= len(content):
+        n, mark = struct.unpack(">I", content[at : at + 4])[0], content[at + 4 : at + 8]
+        if mark == b"IDAT":
+            data.append(content[at + 8 : at + 8 + n])
+        at += 12 + n
+    raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, 1 + width * channels)
+    out, above = np.zeros((height, width * channels), np.uint8), np.zeros(width * channels, np.uint8)
+    for y in range(height):
+        above = out[y] = _unfiltered(int(raw[y, 0]), raw[y, 1:], above, channels)
+    return out.reshape(height, width, channels)
+
+
+def _unfiltered(kind: int, line, above, step: int):
+    """A line of a PNG without its filter."""
+    import numpy as np
+
+    if kind in (0, 2):
+        return line + above if kind else line
+    out = np.zeros(len(line) + step, np.int64)
+    up, corner = above.astype(np.int64), np.r_[np.zeros(step, np.int64), above[:-step].astype(np.int64)]
+    for k in range(len(line)):
+        left = out[k]
+        if kind == 1:
+            guess = left
+        elif kind == 3:
+            guess = (left + up[k]) // 2
+        else:
+            near = left + up[k] - corner[k]
+            guess = min((abs(near - left), 0, left), (abs(near - up[k]), 1, up[k]), (abs(near - corner[k]), 2, corner[k]))[2]
+        out[k + step] = (line[k] + guess) & 255
+    return out[step:].astype(np.uint8)
+
+
+def turned(pixels, turn: int):
+    """Upright, by the EXIF orientation."""
+    import numpy as np
+
+    if turn >= 5:
+        pixels = pixels.transpose(1, 0, 2)
+    if turn in (3, 4, 7, 8):
+        pixels = np.flip(pixels, 0)
+    if turn in (2, 3, 6, 7):
+        pixels = np.flip(pixels, 1)
+    return pixels
+
+
+def shrunk(pixels, edge: int = LONG_EDGE):
+    """Within the long edge, as means over areas; never enlarged."""
+    import numpy as np
+
+    height, width = pixels.shape[:2]
+    new_width, new_height = fitted(width, height, 1, edge)
+    for axis, (old, new) in enumerate(((height, new_height), (width, new_width))):
+        if new < old:
+            cuts = np.arange(new) * old // new
+            total = np.add.reduceat(pixels.astype(np.float64), cuts, axis=axis)
+            size = np.diff(np.r_[cuts, old]).reshape([-1 if k == axis else 1 for k in range(3)])
+            pixels = np.floor(total / size + 0.5)
+    return pixels.astype(np.uint8)
+
+
+def prepared(content: bytes, edge: int = LONG_EDGE) -> tuple[bytes, str]:
+    """An image as it is sent: a PNG within the long edge, its kind beside it. What cannot be decoded here (JPEG, rare PNGs) is sent as it is; see decoded()."""
+    from docweave.sources.writers import png
+
+    width, height, turn = size(content)
+    mime = "image/png" if content[:4] == b"\x89PNG" else "image/jpeg"
+    if max(width, height) <= edge and turn == 1:
+        return content, mime
+    pixels = png_pixels(content)
+    if pixels is None or pixels.shape[2] == 2:
+        return content, mime
+    pixels = shrunk(turned(pixels, turn), edge)
+    return png(pixels.shape[1], pixels.shape[0], pixels.tobytes(), pixels.shape[2]), "image/png"
+
+
+def decoded(spark: SparkSession, *paths: str, edge: int = LONG_EDGE) -> DataFrame:
+    """path, width, height, image of PNG and JPEG files, upright and within the long edge, as PNG. Spark's image source decodes; the orientation comes from the file's head."""
+    found = spark.read.format("image").option("dropInvalid", True).load(list(paths)).select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
+    heads = spark.read.format("binaryFile").load(list(paths)).select("path", F.substring("content", 1, 1 << 16).alias("head"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from docweave.sources.writers import png
+
+        for batch in batches:
+            out: list[tuple] = []
+            for path, height, width, channels, data, head in zip(*(batch.column(c).to_pylist() for c in ("path", "height", "width", "nChannels", "data", "head")), strict=True):
+                pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)[..., [2, 1, 0, 3][:channels] if channels > 1 else [0]]
+                try:
+                    turn = size(head)[2]
+                except ValueError:
+                    turn = 1
+                pixels = shrunk(turned(pixels, turn), edge)
+                out.append((path, pixels.shape[1], pixels.shape[0], png(pixels.shape[1], pixels.shape[0], pixels.tobytes(), channels)))
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["path", "width", "height", "image"])
+
+    return found.join(heads.withColumnRenamed("path", "head_path"), F.regexp_replace("path", "^file:/+", "/") == F.regexp_replace("head_path", "^file:/+", "/")).drop("head_path").mapInArrow(run, "path string, width int, height int, image binary")

@@ -22,6 +22,10 @@ class NoPdf(ValueError):
     pass
 
 
+class Protected(ValueError):
+    """The document is encrypted."""
+
+
 def _inflate(head: bytes, body: bytes) -> bytes:
     if b"FlateDecode" not in head:
         return body
@@ -36,7 +40,7 @@ class Pdf:
         if b"%PDF-" not in content[:1024]:
             raise NoPdf("no PDF header")
         if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", content):
-            raise NoPdf("encrypted")
+            raise Protected("the document is encrypted")
         self.objects = {int(n): body for n, _, body in OBJECT.findall(content)}
         for body in list(self.objects.values()):
             if b"/ObjStm" in body and (s := STREAM.search(body)):
@@ -159,5 +163,19 @@ def pages(content: bytes, wanted=None) -> Iterator[tuple[int, int, str]]:
 
 
 def select_pages(total: int, most: int = 10, ratio: tuple[int, int] = (7, 3)) -> list[int]:
+    """The pages that functions.files.select_pages names, for a reader that must know them before it decodes any."""
     head = -(-most * ratio[0] // sum(ratio))
     return list(range(1, total + 1)) if total <= most else [*range(1, head + 1), *range(total - (most - head) + 1, total + 1)]
+
+
+def page_image(pdf: Pdf, page: int, edge: int) -> tuple[bytes, str] | None:
+    """The default renderer: a scanned page's own picture (its largest JPEG), None for a page without one. Another renderer with this signature may draw pages."""
+    _, resources = pdf.pages[page]
+    m = re.search(rb"/Resources\s+" + REF, resources)
+    held = pdf.objects.get(int(m[1]), b"") if m else resources
+    found = []
+    for n in re.findall(REF, (re.search(rb"/XObject\s*<<(.*?)>>", held, re.S) or [b"", b""])[1]):
+        body = pdf.objects.get(int(n), b"")
+        if b"/DCTDecode" in body and (s := STREAM.search(body)):
+            found.append(s[1])
+    return (max(found, key=len), "image/jpeg") if found else None

@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from docweave.functions import files
+from docweave.sources.store import exists
 
 ERROR = "error_code string, error_message string"
-#: What a parsed part is: a page, a cell, a paragraph or an image; number is its place (page, or running number in the file).
-PARTS = f"path string, kind string, number int, sheet string, ref string, text string, value_type string, formula string, total int, {ERROR}"
+#: What a parsed part is: a page, an image, an image in a document, a cell, a sheet, merged cells, a document's text or a text; number is its place (page, or running number in the file).
+PARTS = f"path string, kind string, number int, sheet string, ref string, text string, value_type string, formula string, total int, image binary, mime string, ms long, {ERROR}"
+NAMES = [p.split()[0] for p in PARTS.split(", ")]
+PROTECTED = "ERR_PROTECTED_FILE"
+
+
+@dataclass(frozen=True)
+class ParseOptions:
+    """What files are parsed by. renderer(pdf, page from 0, long edge) draws a page as bytes and kind, or None."""
+
+    full_pages: bool = False
+    max_pages: int = files.MAX_PAGES
+    page_ratio: tuple[int, int] = files.PAGE_RATIO
+    detect: bool = False
+    long_edge: int = 2000
+    renderer: Callable | None = None
 
 
 def binary_files(spark: SparkSession, *paths: str, pattern: str | None = None) -> DataFrame:
@@ -25,79 +42,106 @@ def binary_files(spark: SparkSession, *paths: str, pattern: str | None = None) -
 
 def missing(spark: SparkSession, paths: list[str]) -> list[str]:
     """Those of the paths that do not exist, in their store."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    out = []
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        if not path.getFileSystem(conf).exists(path):
-            out.append(p)
-    return out
+    return [p for p in paths if not exists(spark, p)]
 
 
 def expand_archives(found: DataFrame) -> DataFrame:
-    """Files with the entries of ZIP archives in their place: path (archive!entry), entry, sub, content, error. A bad archive is one row with an error."""
+    """Files with the entries of ZIP archives in their place: path (archive!entry), origin (the path of the file), entry, sub (the entry's place by name), content, file_hash, length, error. A bad archive is one row with an error, a bad entry another."""
 
     def run(batches) -> Iterator:
+        import hashlib
+
         import pyarrow as pa
 
         from docweave.sources import archives
 
+        names = ["path", "origin", "entry", "sub", "content", "file_hash", "length", "error_code", "error_message"]
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows: list[tuple] = []
                 if not path.lower().endswith(files.ARCHIVE_EXTENSION):
-                    rows.append((path, None, 0, content, None, None))
+                    opened = iter([(None, content, None)])
                 else:
                     try:
-                        rows += [(f"{path}!{name}", name, k, data, None, None) for k, (name, data) in enumerate(archives.entries(content), 1)]
+                        opened = archives.entries(content)
+                        first = next(opened, None)
+                        opened = chain([first], opened) if first else iter(())
                     except Exception as e:
-                        rows = [(path, None, 0, None, files.UNSUPPORTED, str(e))]
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-                kinds = (pa.string(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "entry", "sub", "content", "error_code", "error_message"])
+                        opened = iter([(None, None, str(e))])
+                for k, (name, data, error) in enumerate(opened, 1):  # one entry is unpacked at a time
+                    row = (f"{path}!{name}" if name else path, path, name, k if name else 0, data, hashlib.sha256(data).hexdigest() if data is not None else None, len(data) if data is not None else None, files.UNSUPPORTED if error else None, error)
+                    yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)], names)
 
-    return found.select("path", "content").mapInArrow(run, f"path string, entry string, sub int, content binary, {ERROR}")
+    return found.select("path", "content").mapInArrow(run, f"path string, origin string, entry string, sub int, content binary, file_hash string, length long, {ERROR}")
 
 
-def parse_one(path: str, content: bytes, full_pages: bool = False) -> Iterator[tuple]:
+def _row(path: str, kind: str, number: int = 0, **given) -> tuple:
+    return tuple({"path": path, "kind": kind, "number": number, **given}.get(n) for n in NAMES)
+
+
+def parse_one(path: str, content: bytes, options: ParseOptions = ParseOptions()) -> Iterator[tuple]:
     """The parts of a file (see PARTS)."""
-    from docweave.sources import docx, images, pdf, xlsx
+    from docweave.functions.text import OCR_TEXT_THRESHOLD
+    from docweave.sources import doc, docx, images, pdf, xls, xlsx
 
-    ext = "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    ext = "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1].rsplit("!", 1)[-1].lstrip(".") else ""
     try:
         if ext in files.TEXT_EXTENSIONS:
-            yield path, "text", 1, None, None, content.decode("utf-8", "replace"), None, None, 1, None, None
+            yield _row(path, "text", 1, text=content.decode("utf-8", "replace"), total=1)
         elif ext == ".pdf":
-            for no, total, text in pdf.pages(content, (lambda n: range(1, n + 1)) if full_pages else pdf.select_pages):
-                yield path, "page", no, None, None, text, None, None, total, None, None
-        elif ext == ".xlsx":
-            for k, c in enumerate(xlsx.cells(content), 1):
-                yield path, "cell", k, c.sheet, c.ref, c.text, c.kind, c.formula, None, None, None
+            read, draw = pdf.Pdf(content), options.renderer or pdf.page_image
+            total = len(read.pages)
+            for no in range(1, total + 1) if options.full_pages else pdf.select_pages(total, options.max_pages, options.page_ratio):
+                text = read.text(no - 1)
+                drawn = draw(read, no - 1, options.long_edge) if options.detect or len(text) < OCR_TEXT_THRESHOLD else None
+                yield _row(path, "page", no, text=text, total=total, image=drawn and drawn[0], mime=drawn and drawn[1])
+        elif ext in (".xlsx", ".xls"):
+            read = xlsx if ext == ".xlsx" else xls
+            for k, name in enumerate(read.sheet_names(content), 1):
+                yield _row(path, "sheet", k, sheet=name)
+            for name, ref in read.merged_ranges(content):
+                yield _row(path, "merge", sheet=name, ref=ref)
+            for k, c in enumerate(read.cells(content), 1):
+                yield _row(path, "cell", k, sheet=c.sheet, ref=c.ref, text=c.text, value_type=c.kind, formula=c.formula)
         elif ext == ".docx":
-            yield path, "document", 1, None, None, docx.raw_text(content), None, None, None, None, None
+            yield _row(path, "document", 1, text=docx.raw_text(content))
+            for no, image in docx.images(content) if options.detect else ():
+                yield _row(path, "embedded", no, image=image, mime="image/png")
+        elif ext == ".doc":
+            try:
+                yield _row(path, "document", 1, text=doc.raw_text(content))
+            except Exception as e:
+                yield _row(path, "error", error_code=files.UNSUPPORTED, error_message=f"Failed to parse legacy .doc file: {e}")
         elif ext in (".jpg", ".jpeg", ".png"):
-            width, height = images.fitted(*images.size(content))
-            yield path, "image", 1, None, f"{width}x{height}", None, None, None, 1, None, None
-        elif ext in (".doc", ".xls"):
-            yield path, "error", 0, None, None, None, None, None, None, files.UNSUPPORTED, f"Failed to parse legacy {ext} file"
+            width, height = images.fitted(*images.size(content), edge=options.long_edge)
+            sent, mime = images.prepared(content, options.long_edge)
+            yield _row(path, "image", 1, ref=f"{width}x{height}", total=1, image=sent, mime=mime)
         else:
-            yield path, "error", 0, None, None, None, None, None, None, files.UNSUPPORTED, f"Unsupported file extension: {ext or '(none)'}"
-    except Exception as e:
-        yield path, "error", 0, None, None, None, None, None, None, files.UNSUPPORTED, f"{type(e).__name__}: {e}"
+            yield _row(path, "error", error_code=files.UNSUPPORTED, error_message=f"Unsupported file extension: {ext or '(none)'}")
+    except pdf.Protected as e:
+        yield _row(path, "error", error_code=PROTECTED, error_message=str(e))
+    except Exception as e:  # a broken file has no code of its own
+        yield _row(path, "error", error_message=f"{type(e).__name__}: {e}")
 
 
-def parse_files(found: DataFrame, full_pages: bool = False) -> DataFrame:
-    """found (path, content) as PARTS. A file is parsed in one piece; large ones are dealt out by the scan."""
+def parse_files(found: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
+    """found (path, content) as PARTS; ms is a file's time, on its first part. A file is parsed in one piece; large ones are dealt out by the scan."""
 
     def run(batches) -> Iterator:
+        import time
+
         import pyarrow as pa
 
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
-        names = [p.split()[0] for p in PARTS.split(", ")]
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = list(parse_one(path, content or b"", full_pages))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names)
+                began, rows = time.monotonic(), list(parse_one(path, content or b"", options))
+                if any(r[1] == "error" for r in rows):  # a file that fails has no other parts
+                    rows = [r for r in rows if r[1] == "error"]
+                if rows:
+                    rows[0] = (*rows[0][:11], int((time.monotonic() - began) * 1000), *rows[0][12:])
+                for k in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[k : k + 10_000], strict=True), kinds, strict=True)], NAMES)
 
     return found.select("path", "content").mapInArrow(run, PARTS)
 
@@ -122,13 +166,13 @@ def images_of(found: DataFrame) -> DataFrame:
 
 
 class ZipEntries:
-    """UDTF: entry and size of an archive's entries."""
+    """UDTF: entry and size of an archive's entries; -1 for one that cannot be read."""
 
     def eval(self, content: bytes):
         from docweave.sources import archives
 
-        for name, data in archives.entries(bytes(content)):
-            yield name, len(data)
+        for name, data, error in archives.entries(bytes(content)):
+            yield name, -1 if error else len(data)
 
 
 class XlsxCells:
@@ -159,7 +203,7 @@ def register(spark: SparkSession) -> None:
 
 
 class XlsxSource(DataSource):
-    """spark.read.format("xlsx_cells").load(file): for a workbook that every executor can open by its path."""
+    """spark.read.format("xlsx_cells").load(file): the cells of a workbook, wherever pyarrow's file systems reach."""
 
     @classmethod
     def name(cls) -> str:
@@ -182,6 +226,10 @@ class XlsxReader(DataSourceReader):
     def read(self, partition):
         from docweave.sources import xlsx
 
-        with open(partition.value.removeprefix("file://"), "rb") as f:
-            for c in xlsx.cells(f.read()):
+        from pyarrow import fs
+
+        path = partition.value
+        system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        with system.open_input_file(inner) as f:
+            for c in xlsx.cells(f.readall()):
                 yield c.sheet, c.ref, c.kind, c.text, c.formula

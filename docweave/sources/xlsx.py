@@ -94,6 +94,11 @@ def cells(content: bytes) -> Iterator[Cell]:
                     row.clear()
 
 
+def sheet_names(content: bytes) -> list[str]:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        return [name for name, _ in sheets(z)]
+
+
 def merged_ranges(content: bytes) -> Iterator[tuple[str, str]]:
     """Sheet names and ranges."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from docweave.sources.store import shared_folder
+
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -31,14 +31,6 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, key: str = "file_has
     return stream.writeStream.foreachBatch(lambda b, _: keep_new(b, target, key, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="docweave-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def ingest_once(spark: SparkSession, documents: str) -> DataFrame:
     """file_hash and first_doc of a documents table that is read as a stream."""
     work = shared_folder(spark)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.streaming.ingest import shared_folder
+from docweave.sources.store import shared_folder
 
 
 def counts(events: DataFrame, width: str = "1 day", late: str = "10 minutes") -> DataFrame:

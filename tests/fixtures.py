@@ -1,63 +1,5 @@
-"""Small files of each format, made with the standard library."""
+"""Small files of each format."""
 
-import io
-import struct
-import zipfile
-import zlib
-
-
-def zipped(entries):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, data in entries.items():
-            z.writestr(name, data)
-    return out.getvalue()
-
-
-def xlsx(sheets):
-    """sheets: name to rows of values."""
-    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    parts = {
-        "xl/workbook.xml": f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(sheets, 1)) + "</sheets></workbook>",
-        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{k}" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets) + 1)) + "</Relationships>",
-    }
-    shared = []
-    for k, rows in enumerate(sheets.values(), 1):
-        body = ""
-        for r, row in enumerate(rows, 1):
-            body += f'<row r="{r}">'
-            for c, v in enumerate(row):
-                ref = f"{chr(65 + c)}{r}"
-                if isinstance(v, bool):
-                    body += f'<c r="{ref}" t="b"><v>{int(v)}</v></c>'
-                elif isinstance(v, (int, float)):
-                    body += f'<c r="{ref}"><v>{v}</v></c>'
-                elif v:
-                    shared.append(v)
-                    body += f'<c r="{ref}" t="s"><v>{len(shared) - 1}</v></c>'
-            body += "</row>"
-        parts[f"xl/worksheets/sheet{k}.xml"] = f'<worksheet {ns}><sheetData>{body}</sheetData><mergeCells><mergeCell ref="A1:B1"/></mergeCells></worksheet>'
-    parts["xl/sharedStrings.xml"] = f"<sst {ns}>" + "".join(f"<si><t>{s}</t></si>" for s in shared) + "</sst>"
-    return zipped(parts)
-
-
-def docx(paragraphs):
-    body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
-    return zipped({"word/document.xml": f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>'})
-
-
-def pdf(pages, compress=True):
-    """pages: a text each."""
-    objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{' '.join(f'{3 + 2 * k} 0 R' for k in range(len(pages)))}] /Count {len(pages)} >>"]
-    out = [o.encode() for o in objects]
-    for k, text in enumerate(pages):
-        body = b"BT /F1 12 Tf 72 700 Td (" + text.replace("(", "\\(").replace(")", "\\)").encode("cp1252") + b") Tj ET" if text else b""
-        data, head = (zlib.compress(body), b"/Filter /FlateDecode ") if compress else (body, b"")
-        out.append(f"<< /Type /Page /Parent 2 0 R /Contents {4 + 2 * k} 0 R >>".encode())
-        out.append(b"<< " + head + b"/Length " + str(len(data)).encode() + b" >>\nstream\n" + data + b"\nendstream")
-    return b"%PDF-1.4\n" + b"".join(f"{n} 0 obj\n".encode() + o + b"\nendobj\n" for n, o in enumerate(out, 1)) + b"%%EOF"
-
-
-def png(width, height):
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0" * (3 * width + 1) * height)) + chunk(b"IEND", b"")
+from docweave.sources.doc import doc  # noqa: F401
+from docweave.sources.writers import docx, pdf, png, xlsx, zipped  # noqa: F401
+from docweave.sources.xls import xls  # noqa: F401

@@ -123,12 +123,17 @@ def test_numbers(spark):
 
 @pytest.mark.parametrize("sizes, most, want", [([50_000] * 10, 500_000, [1] * 10), ([1000] * 3, 1500, [1, 2, 3]), ([600, 600], 500, [1, 2]), ([], 10, []), ([3, 3, 9, 1], 6, [1, 1, 2, 3])])
 def test_batches(spark, sizes, most, want):
-    assert value(spark, structure.batch_numbers(F.array(*map(F.lit, sizes)).cast("array<int>"), most)) == want
+    assert list(structure.batch_numbers(sizes, most)) == want
+    rows = spark.createDataFrame([(job, k, f"s{k}", "x" * (n // 100)) for job in ("a", "b") for k, n in enumerate(sizes)], "job string, seq int, name string, text string")
+    got = structure.pack_sources(rows.repartition(3), ["job"], most // 100).orderBy("job", "seq").collect()
+    assert [r["batch_no"] for r in got] == 2 * list(structure.batch_numbers([n // 100 for n in sizes], most // 100))
 
 
 def test_lines_from_boxes():
     words = [(100.0, 2.0, 40.0, 10.0, "b"), (0.0, 0.0, 40.0, 10.0, "a|"), (145.0, 3.0, 40.0, 10.0, "c"), (0.0, 30.0, 40.0, 10.0, "d")]
     assert [layout.shown(x) for x in layout.lines_of(words)] == ["a\\| bc", "d"] and layout.lines_of([]) == []
+    # Without a text or a box a word is in no line and moves none.
+    assert layout.lines_of([*words, (0.0, 0.0, 1.0, 9000.0, ""), (None, 0.0, 1.0, 1.0, "x")]) == layout.lines_of(words)
 
 
 def test_retry_and_hedge():

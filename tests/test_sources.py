@@ -1,5 +1,5 @@
 import pytest
-from fixtures import docx, pdf, png, xlsx, zipped
+from fixtures import doc, docx, pdf, png, xls, xlsx, zipped
 
 from docweave.sources import archives, images
 from docweave.sources import docx as docx_
@@ -14,7 +14,7 @@ def test_xlsx_cells():
     found = list(xlsx_.cells(xlsx({"Data": ROWS})))
     assert len(found) == 8 and found[7].ref == "B4" and found[7].number == 300
     assert "Data!B4: 300" in xlsx_.full_text(found)
-    assert list(xlsx_.merged_ranges(xlsx({"Data": ROWS}))) == [("Data", "A1:B1")]
+    assert list(xlsx_.merged_ranges(xlsx({"Data": ROWS}, {"Data": ["A1:B1"]}))) == [("Data", "A1:B1")] and xlsx_.sheet_names(xlsx({"a": [], "b": ROWS})) == ["a", "b"]
 
 
 def test_xlsx_skips_empty_and_keeps_kinds():
@@ -42,8 +42,13 @@ def test_docx_text():
 
 
 def test_archive_entries():
-    found = dict(archives.entries(zipped({"b.md": "b", "a.txt": "a", "__MACOSX/a.txt": "", "x/.DS_Store": "", "Thumbs.db": ""})))
-    assert list(found) == ["a.txt", "b.md"]
+    found = [(n, d) for n, d, _ in archives.entries(zipped({"b.md": "b", "a.txt": "a", "__MACOSX/a.txt": "", "x/.DS_Store": "", "Thumbs.db": ""}))]
+    assert found == [("a.txt", b"a"), ("b.md", b"b")]
+
+
+def test_a_large_entry_fails_alone():
+    found = {n: (d, e) for n, d, e in archives.entries(zipped({"a.txt": "x" * 100, "b.txt": "small"}), max_bytes=50)}
+    assert found["b.txt"] == (b"small", None) and found["a.txt"][0] is None and "too large" in found["a.txt"][1]
 
 
 @pytest.mark.parametrize("name", ["../x.md", "/x.md", "a..b.txt"])
@@ -104,4 +109,4 @@ def test_structure_with_cache(spark, tmp_path):
     for _ in range(2):
         answered = engine.structure(sources)
         assert answered.count() == 3 and {(r["k"], r["v"]) for r in engine.fields(answered).collect()} == {("mockField", "mock")}
-    assert spark.read.parquet(str(tmp_path / "cache")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "cache" / "answers")).count() == 3
