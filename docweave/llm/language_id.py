@@ -32,9 +32,18 @@ PENALTY = 2.0
 ROUNDS = 12
 CACHE = 300_000
 UNKNOWN = "und"
-#: Number signs that are no decimal digits and no letters, like a half or a Roman twelve in one sign, are no part of words.
-SIGNS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-WORD = re.compile(rf"[^\W\d_{SIGNS}]+")
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def bag(text: str) -> Counter:
+    """The words of a text in lower case, which are runs of letters, with how often they occur."""
+    found = Counter(WORD.findall(text.lower()))
+    # Number signs that are no decimal digits, like a half or a Roman twelve in one sign, are word characters to the pattern but no letters.
+    for w in [w for w in found if not w.isalpha()]:
+        n = found.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            found[part] += n
+    return found
 
 
 def trigrams(word: str) -> list[str]:
@@ -136,7 +145,7 @@ def train(docs: DataFrame, rows: int = LANGUAGE_ROWS, most: int = TRIGRAMS) -> d
 
         counts: dict[str, Counter] = defaultdict(Counter)
         for lang, text in arrow_rows(batches, "lang", "text"):
-            for word, n in Counter(WORD.findall(text.lower())).items():
+            for word, n in bag(text).items():
                 for g in trigrams(word):
                     counts[lang][g] += n
         flat = [(lang, g, n) for lang, c in counts.items() for g, n in c.items()]
@@ -162,7 +171,7 @@ def language_mixture(docs: DataFrame, counts: dict[str, dict[str, int]]) -> Data
 
         languages = Languages(model.value)
         for group in groups_of_text(arrow_rows(batches, "doc_id", "text")):
-            bags = [Counter(WORD.findall(t.lower())) if languages.names else Counter() for _, t in group]
+            bags = [bag(t) if languages.names else Counter() for _, t in group]
             full = [b for b in bags if b]
             shares = iter(languages.shares(full) if full else ())
             pred, score, maps = [], [], []
