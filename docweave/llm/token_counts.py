@@ -21,7 +21,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.best_fit_packing import tokenizer_path
+from docweave.llm.best_fit_packing import NUMBERS, tokenizer_path
 from docweave.llm.common import arrow_rows, groups_of_text, stored, table, text_of
 
 LIMIT = 2048
@@ -31,11 +31,11 @@ LONGEST = 64
 #: Pre-tokens that a summary holds and gives on.
 SUMMARY, GIVEN = 100_000, 8_192
 #: What a worker's cache may hold, in bytes.
-CACHE_BYTES = 128 << 20
-#: Pre-tokens as word_bpe_49k.json splits a text in lower case (a fixed pattern of that vocabulary).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-#: A text with anything but Latin letters, ASCII and usual punctuation, or with a special string, is split at blanks instead: the library drops white space, so no token crosses that either.
+CACHE_BYTES = 256 << 20
+#: Texts of Latin letters, ASCII and usual punctuation alone are split into pre-tokens here. Others, and those with a special string, are split at blanks instead: the library drops white space, so no token crosses that either.
 OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\u024f\\u2010-\\u2026\\u20ac]|<\\|(?:start|end)oftext\\|>")
+#: Pre-tokens of such texts in lower case as word_bpe_49k.json splits them: letters, single numbers, contractions, other signs.
+PATTERN = rf"[^\W_{NUMBERS}]+|[{NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+"
 _state: dict[tuple, Lengths] = {}
 
 
@@ -50,10 +50,9 @@ class Lengths:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.find = Tokenizer.from_file(path), pattern and regex.compile(pattern).findall
+        self.tokenizer, self.find = Tokenizer.from_file(path), pattern and re.compile(pattern).findall
         self.known: dict[str, int] = {"": 0}
         self.tier_one: dict[str, int] = {}
         self.held, self.of_table = 0, None
@@ -134,7 +133,7 @@ def frequent_tokens(docs: DataFrame, path: str, pattern: str | None = PATTERN, m
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, frequent: int = FREQUENT, pattern: str | None = PATTERN) -> DataFrame:
-    """docs (doc_id, text) as doc_id, n_bytes, n_tokens, over_limit. pattern must be the tokenizer's; without one texts are split at blanks."""
+    """docs (doc_id, text) as doc_id, n_bytes, n_tokens, over_limit. pattern must split like the tokenizer; without one texts are split at blanks."""
     path = path or tokenizer_path("word_bpe_49k.json")
     docs = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     known = frequent_tokens(docs, path, pattern, frequent)
