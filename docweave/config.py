@@ -43,7 +43,7 @@ class Config:
     tail_ratio: int = 3
     docx_max_chars: int = 5000
     max_input_chars: int = 500_000
-    file_concurrency: int = 20
+    file_concurrency: int = 0  # 0: as many files at once as the cluster has room for
     hedge_ms: int = 8_000
     thinking: bool = False
     cache_dir: str = ""
@@ -86,7 +86,7 @@ def resolve(environ: dict[str, str] | None = None, **given) -> Config:
     out = replace(out, aliyun_ocr_endpoint=out.aliyun_ocr_endpoint.removeprefix("https://").removeprefix("http://").rstrip("/"), parser_version=out.parser_version or f"{out.mode}-{__version__}")
     for f in fields(Config):
         value = getattr(out, f.name)
-        if f.type == "int" and (not isinstance(value, int) or isinstance(value, bool) or value < (0 if f.name in ("retries", "hedge_ms") else 1)):
+        if f.type == "int" and (not isinstance(value, int) or isinstance(value, bool) or value < (0 if f.name in ("retries", "hedge_ms", "file_concurrency") else 1)):
             raise ConfigInvalid(f"{f.name} must be a positive whole number")
     if not 0 <= out.temperature <= 2:
         raise ConfigInvalid("temperature must be between 0 and 2")

@@ -98,5 +98,21 @@ def column_letters(n: Column) -> Column:
     return F.concat(F.when(top > 0, letter(top - 1)).otherwise(""), F.when(rest > 0, letter(middle)).otherwise(""), letter(low))
 
 
+#: Fixed words of file names and the prompts that they ask for, in this order.
+ROUTES = (("contract", ("合同", "contract")), ("account-certificate", ("账户", "证明", "请款")), ("payment-summary", ("汇总", "进度款")))
+SHEET_ROUTE, OTHER_ROUTE = "payment-summary", "generic"
+
+
+def prompt_route(name: Column) -> Column:
+    """The prompt for a file by its name."""
+    low, out = F.lower(name), F.when(extension(name).isin(".xls", ".xlsx"), F.lit(SHEET_ROUTE)).otherwise(F.lit(OTHER_ROUTE))
+    for prompt, parts in reversed(ROUTES):
+        has = F.contains(low, F.lit(parts[0]))
+        for p in parts[1:]:
+            has = has | F.contains(low, F.lit(p))
+        out = F.when(has, F.lit(prompt)).otherwise(out)
+    return out
+
+
 def file_concurrency(files: Column, cap: int = FILE_CONCURRENCY) -> Column:
     return F.greatest(F.lit(1), F.least(F.when(files < 1, 1).otherwise(files), F.lit(cap)))

@@ -1,7 +1,8 @@
 """Calls to models from executors: limits, retries, hedges, backends and their mocks.
 
-A call is made in mapInPandas, several at a time in a pool of threads for each task; with T tasks at once
-and a pool of n, at most T * n calls are open. Speculation must be off (a task that runs twice pays
+Calls are made in Arrow batches, several at a time in a pool of threads for each task. A limit is for the
+whole cluster: it is dealt to the tasks that can run at once, and fewer tasks are made if it is smaller
+than they are. Speculation must be off (a task that runs twice pays
 twice), and results belong into the cache (operators.cache), so that a retried task does not ask again.
 """
 
@@ -313,9 +314,16 @@ def _asked(call: Callable[[], R], retries: int, hedge_ms: float | None) -> tuple
     return retry((lambda: hedged(call, hedge_ms)) if hedge_ms else call, retries)
 
 
+def limited(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """rows and the size of a task's pool, such that at most `most` calls are open in all tasks that can run at once."""
+    slots = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    return (rows.coalesce(max(1, most)), 1) if most < slots else (rows, most // slots)
+
+
 def call_llm(prompts: DataFrame, llm: LlmBackend, keep: list[str], pool: int = POOL, retries: int = RETRIES, hedge_ms: float | None = None, request: dict | None = None) -> DataFrame:
-    """prompts (keep, prompt) with the fields of CALL_FIELDS: a row for each prompt, also where the call failed. request goes with each call."""
+    """prompts (keep, prompt) with the fields of CALL_FIELDS: a row for each prompt, also where the call failed. request goes with each call; pool is the most calls that are open at once."""
     request = request or {}
+    prompts, pool = limited(prompts, pool)
     schema = T.StructType([*(prompts.schema[c] for c in keep), *T._parse_datatype_string(CALL_FIELDS).fields])
 
     def one(prompt: str) -> tuple:
@@ -341,7 +349,8 @@ OCR_FIELDS = "ocr_model string, ocr_provider string, prompt_tokens long, complet
 
 
 def call_ocr(images: DataFrame, ocr: OcrBackend, keep: list[str], pool: int = POOL, retries: int = RETRIES, hedge_ms: float | None = None) -> DataFrame:
-    """images (keep, image, mime, detect) with the fields of OCR_FIELDS: a row for each image, also where the call failed. reply is what functions.text and functions.vendor read."""
+    """images (keep, image, mime, detect) with the fields of OCR_FIELDS: a row for each image, also where the call failed. reply is what functions.text and functions.vendor read; pool is the most calls that are open at once."""
+    images, pool = limited(images, pool)
     schema = T.StructType([*(images.schema[c] for c in keep), *T._parse_datatype_string(OCR_FIELDS).fields])
 
     def one(image: bytes | None, mime: str, detect: bool) -> tuple:

@@ -27,8 +27,8 @@ def total_cost(calls: DataFrame) -> DataFrame:
 
 
 def peak_in_flight(calls: DataFrame, keys: list[str], began: str = "started_ms", ms: str = "ms") -> DataFrame:
-    """keys, peak: the most calls (from began on, for ms) that were open at once; one that ends when another begins is not open with it."""
-    edges = calls.select(*keys, F.explode(F.array(F.struct(F.col(began).alias("at"), F.lit(1).alias("d")), F.struct((F.col(began) + F.col(ms)).alias("at"), F.lit(-1).alias("d")))).alias("e")).select(*keys, "e.at", "e.d")
+    """keys, peak: the most calls (from began on, for ms, a call of no time for one) that were open at once; one that ends when another begins is not open with it."""
+    edges = calls.select(*keys, F.explode(F.array(F.struct(F.col(began).alias("at"), F.lit(1).alias("d")), F.struct((F.col(began) + F.greatest(F.col(ms), F.lit(1))).alias("at"), F.lit(-1).alias("d")))).alias("e")).select(*keys, "e.at", "e.d")
     steps = edges.groupBy(*keys, "at").agg(F.sum("d").alias("d"))  # equal times become one step before they are put in order
     open_ = F.sum("d").over(Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     return steps.withColumn("n", open_).groupBy(*keys).agg(F.max("n").alias("peak"))

@@ -51,7 +51,10 @@ class DocEngine:
 
     def scan(self, paths: list[str]) -> DataFrame:
         """The files at the paths with archives opened: path, origin, entry, sub, content, file_hash, length, error."""
-        return expand_archives(binary_files(self.spark, *paths))
+        found = binary_files(self.spark, *paths)
+        if self.config.file_concurrency:
+            found = found.coalesce(self.config.file_concurrency)
+        return expand_archives(found)
 
     def options(self, full_pages: bool, detect: bool) -> ParseOptions:
         c = self.config
@@ -230,6 +233,10 @@ class DocEngine:
         found = self.results(paths, None, full_pages, detect, force)
         return found.select("path", "ok", "markdown", F.coalesce("source.truncated", F.lit(False)).alias("truncated"), F.coalesce("metrics.performance.total_ms", F.lit(0)).alias("total_ms"), "error_code", "error_message")
 
+    def sources(self, results: DataFrame) -> DataFrame:
+        """Results as sources for structure(): path, name, text. Their order is the caller's."""
+        return results.where("ok").select("path", files.base_name(F.regexp_replace("path", "^.*!", "")).alias("name"), F.col("markdown").alias("text"))
+
     def structure(self, sources: DataFrame, prompt: Prompt | None = None, job: str = "job") -> DataFrame:
         """sources (job, seq, name, text) as answered batches: job, batch_no, n_sources, chars and the fields of a call."""
         c, request = self.config, request_of(prompt, self.config)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docweave.functions import files, text
 from docweave.operators.archives import classify_entries, slots
@@ -119,21 +118,21 @@ SLICES_SQL = f"(SELECT doc_id, p, trim(substr(text, CAST((p - 1) * 500 + 1 AS IN
 
 
 def _slices(spark, sf_dir):
-    pages = _pages(spark, sf_dir).select("doc_id", "text", F.explode(files.numbers(F.lit(1), F.col("pages"))).alias("page_no"))
-    return pages.select("doc_id", "page_no", text.trim(F.substring("text", (F.col("page_no") - 1) * 500 + 1, F.lit(500))).alias("text"))
+    """A page for each 500 characters; a text is cut in its row, so that it is not copied for each page."""
+    pages = _pages(spark, sf_dir)
+    cut = F.transform(files.numbers(F.lit(1), F.col("pages")), lambda p: F.struct(p.alias("page_no"), text.trim(F.substring(F.col("text"), (p - 1) * 500 + 1, F.lit(500))).alias("text")))
+    return pages.select("doc_id", cut.alias("slices"))
 
 
 @query("pdf_pages_text", f"SELECT doc_id, CAST(p AS INTEGER) AS page_no, t AS text FROM {SLICES_SQL}")
 def pdf_pages_text(spark, sf_dir):
-    return _slices(spark, sf_dir)
+    return _slices(spark, sf_dir).select("doc_id", F.inline("slices"))
 
 
 @query("pdf_full_text", f"SELECT doc_id, string_agg(concat('--- Page ', p, ' ---', chr(10), t), E'\\n\\n' ORDER BY p) AS full_text FROM {SLICES_SQL} GROUP BY doc_id")
 def pdf_full_text(spark, sf_dir):
-    from docweave.operators.markdown import join_in_order
-
-    shown = F.concat(F.lit("--- Page "), F.col("page_no").cast("string"), F.lit(" ---\n"), F.col("text"))
-    return _slices(spark, sf_dir).withColumn("shown", shown).groupBy("doc_id").agg(join_in_order("page_no", "shown", "\n\n").alias("full_text"))
+    shown = F.transform("slices", lambda p: F.concat(F.lit("--- Page "), p["page_no"].cast("string"), F.lit(" ---\n"), p["text"]))
+    return _slices(spark, sf_dir).select("doc_id", F.array_join(shown, "\n\n").alias("full_text"))
 
 
 @query("text_layer", "SELECT doc_id, trim(string_agg(concat(w, CASE WHEN i % 5 = 0 THEN chr(10) ELSE ' ' END), '' ORDER BY i), E' \\n') AS layer FROM (SELECT doc_id, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i, unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' GROUP BY doc_id")
@@ -142,10 +141,13 @@ def text_layer(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.text_layer(items).alias("layer"))
 
 
-@query("needs_ocr_dispatch", f"SELECT CASE WHEN length(t) < 20 THEN 'ocr' WHEN p % 2 = 0 THEN 'seal' ELSE 'none' END AS page_action, count(*) AS n FROM {SLICES_SQL} GROUP BY 1")
+@query("needs_ocr_dispatch", f"SELECT CASE WHEN length(t) < 20 THEN 'ocr' ELSE 'seal' END AS page_action, CASE WHEN length(t) < 20 THEN 'ocr' ELSE 'none' END AS without_seals, count(*) AS n FROM {SLICES_SQL} GROUP BY 1, 2")
 def needs_ocr_dispatch(spark, sf_dir):
-    action = F.when(text.needs_ocr(F.col("text")), "ocr").when(F.col("page_no") % 2 == 0, "seal").otherwise("none")
-    return _slices(spark, sf_dir).groupBy(action.alias("page_action")).agg(F.count("*").alias("n"))
+    from docweave.plans.engine import page_action
+
+    pages = _slices(spark, sf_dir).select(F.inline("slices"))
+    action = lambda detect: page_action(F.lit("page"), F.col("text"), detect)
+    return pages.groupBy(action(True).alias("page_action"), action(False).alias("without_seals")).agg(F.count("*").alias("n"))
 
 
 ENTRIES_SQL = """(SELECT page_id, CASE page_id % 7 WHEN 0 THEN '__MACOSX/' WHEN 1 THEN '../' WHEN 2 THEN '/' ELSE '' END || 'f' || page_id ||
@@ -186,9 +188,13 @@ def batch_summary(spark, sf_dir):
     return documents(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.sum("n_chars").alias("total_ms"))
 
 
-@query("quality_metrics", "SELECT doc_id, length(text) AS ocr_chars, count(*) OVER (PARTITION BY source) AS n_in_source FROM documents")
+@query("quality_metrics", "SELECT doc_id, length(text) AS ocr_chars, CAST(1 AS BIGINT) AS seals, CAST(0 AS BIGINT) AS signatures, CAST(doc_id % 2 AS BIGINT) AS warnings, CAST(2 AS BIGINT) AS field_count FROM documents")
 def quality_metrics(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("ocr_chars"), F.count("*").over(Window.partitionBy("source")).alias("n_in_source"))
+    from docweave.operators import metrics
+
+    warnings = F.when(F.col("doc_id") % 2 == 1, F.array(F.lit("w")))
+    q = metrics.quality(metrics.field_count(F.lit('{"a":1,"b":{"c":2}}')), F.col("text"), F.array(F.lit("s")), F.lit(None).cast("array<string>"), warnings)
+    return table(spark, sf_dir, "documents").select("doc_id", q.alias("q")).select("doc_id", "q.ocr_chars", "q.seals", "q.signatures", "q.warnings", "q.field_count")
 
 
 @query("perf_metrics", "SELECT event_type, sum(CAST(floor(value) AS BIGINT))::BIGINT AS extract_ms, max(CAST(floor(value) AS BIGINT)) AS peak, count(*) AS images FROM events GROUP BY event_type")

@@ -106,14 +106,14 @@ def structure_end_to_end(spark, sf_dir):
     return totals.join(merged, "source").select("source", "n_batches", "n_sources", "chars", F.col("v").alias("mock_field"), "any_failed")
 
 
-FORMATS_SQL = "(SELECT doc_id, text, path, CASE doc_id % 10 WHEN 0 THEN 'pdf' WHEN 1 THEN 'jpg' WHEN 2 THEN 'png' WHEN 3 THEN 'xlsx' WHEN 4 THEN 'xls' WHEN 5 THEN 'doc' WHEN 6 THEN 'docx' END AS format FROM " + DOCS_SQL + ")"
+FORMATS_SQL = "(SELECT doc_id, text, path, list_extract(['pdf', 'jpg', 'png', 'xlsx', 'xls', 'doc', 'docx', 'text', 'error', 'error'], CAST(doc_id % 10 + 1 AS INTEGER)) AS format FROM " + DOCS_SQL + ")"
 
 
-@query("extract_end_to_end", f"""SELECT format, count(*) AS files, sum(CASE WHEN length(text) > 5000 THEN 1 ELSE 0 END)::BIGINT AS truncated, sum(n)::BIGINT AS sections,
-  sum(strlen(md))::BIGINT AS md_bytes, CAST(sum(floor(CAST(strlen(md) AS DOUBLE) / 1000 * CAST(0.0008 AS DOUBLE) * 10000 + 0.5)) AS BIGINT) AS yuan_e4, min(file_hash) AS first_hash
-  FROM (SELECT format, text, sha256(text) AS file_hash, (SELECT count(*) FROM (SELECT unnest(l) AS x) WHERE trim(x) <> '') AS n,
-    concat('# ', substr(path, 5), E'\\n\\n', (SELECT string_agg(trim(x, E' \\t\\r'), E'\\n\\n' ORDER BY i) FROM (SELECT unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i) WHERE trim(x) <> ''), chr(10)) AS md
-    FROM (SELECT *, string_split(CASE WHEN length(text) > 5000 THEN concat(left(text, 3500), E'\\n\\n[... truncated ', length(text) - 5000, E' chars ...]\\n\\n', right(text, 1500)) ELSE text END, chr(10)) AS l FROM {FORMATS_SQL} WHERE format IS NOT NULL)) GROUP BY format""")
+@query("extract_end_to_end", f"""SELECT format, count(*) AS files, sum(CASE WHEN cut THEN 1 ELSE 0 END)::BIGINT AS truncated, sum(n)::BIGINT AS sections,
+  sum(md)::BIGINT AS md_bytes, CAST(sum(floor(CAST(md AS DOUBLE) / 1000 * CAST(0.0008 AS DOUBLE) * 10000 + 0.5)) AS BIGINT) AS yuan_e4, min(file_hash) AS first_hash
+  FROM (SELECT format, cut, sha256(text) AS file_hash, CASE WHEN format IN ('text', 'error') THEN 0 ELSE (SELECT count(*) FROM (SELECT unnest(l) AS x) WHERE trim(x) <> '') END AS n,
+    CASE format WHEN 'error' THEN 0 WHEN 'text' THEN strlen(text) ELSE strlen(concat('# ', substr(path, 5), E'\n\n', (SELECT string_agg(trim(x, E' \t\r'), E'\n\n' ORDER BY i) FROM (SELECT unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i) WHERE trim(x) <> ''), chr(10))) END AS md
+    FROM (SELECT *, string_split(CASE WHEN cut THEN concat(left(text, 3500), E'\n\n[... truncated ', length(text) - 5000, E' chars ...]\n\n', right(text, 1500)) ELSE text END, chr(10)) AS l FROM (SELECT *, format IN ('doc', 'docx') AND length(text) > 5000 AS cut FROM {FORMATS_SQL}))) GROUP BY format""")
 def extract_end_to_end(spark, sf_dir):
     from docweave.plans.flagship import extract_costs
 

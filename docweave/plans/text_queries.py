@@ -195,11 +195,6 @@ def render_lines(spark, sf_dir):
     return layout.page_lines(_words(spark, sf_dir), ["doc_id"]).select("doc_id", "line_no", "line")
 
 
-@query("group_lines")  # a fold over lines: tests compare it with a loop
-def group_lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.group_lines(F.concat(F.array(F.lit("2024合同"), F.lit("• item one")), F.split("text", "\n", -1))).alias("md"))
-
-
 GRID_SQL = "(SELECT l_orderkey, l_linenumber AS r, k AS c, CASE k WHEN 0 THEN CAST(l_partkey AS VARCHAR) WHEN 2 THEN concat(l_returnflag, '|', l_linestatus) END AS text FROM (SELECT *, unnest([0, 2]) AS k FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2)))"
 
 
@@ -232,7 +227,7 @@ def confidence_norm(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", numbers.confidence(F.col("value") - 5).alias("confidence"))
 
 
-@query("avg_confidence", "SELECT user_id, floor(CAST(sum(k) AS DOUBLE) / 100 / count(*) * 1000 + 0.5) / 1000 AS avg_confidence, count(*) AS n FROM (SELECT user_id, event_id % 100 AS k FROM events) GROUP BY user_id")
+@query("avg_confidence", "SELECT user_id, floor(CAST(sum(k) FILTER (k % 10 > 1) AS DOUBLE) / 128 / count(*) FILTER (k % 10 > 1) * 1000 + 0.5) / 1000 AS avg_confidence, count(*) AS n FROM (SELECT user_id, event_id % 100 AS k FROM events) GROUP BY user_id")
 def avg_confidence(spark, sf_dir):
-    k = F.sum(F.col("event_id") % 100).cast("double") / 100 / F.count("*")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(numbers.round_half_up(k, 3).alias("avg_confidence"), F.count("*").alias("n"))
+    k = F.collect_list(F.when(F.col("event_id") % 10 == 0, F.lit(float("inf"))).when(F.col("event_id") % 10 == 1, F.lit(float("nan"))).otherwise((F.col("event_id") % 100).cast("double") / 128))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(numbers.mean_confidence(k).alias("avg_confidence"), F.count("*").alias("n"))

@@ -114,9 +114,8 @@ def shrunk(pixels, edge: int = LONG_EDGE):
         if new < old:
             cuts = np.arange(new) * old // new
             total = np.add.reduceat(pixels.astype(np.float64), cuts, axis=axis)
-            size = np.diff(np.r_[cuts, old]).reshape([-1 if k == axis else 1 for k in range(3)])
-            pixels = np.floor(total / size + 0.5)
-    return pixels.astype(np.uint8)
+            pixels = total / np.diff(np.r_[cuts, old]).reshape([-1 if k == axis else 1 for k in range(3)])
+    return np.floor(pixels + 0.5).astype(np.uint8)
 
 
 def prepared(content: bytes, edge: int = LONG_EDGE) -> tuple[bytes, str]:
