@@ -17,7 +17,7 @@ from docweave.operators.archives import archive_summaries, input_slots
 from docweave.plans import result, sinks
 from docweave.plans.engine import DocEngine
 from docweave.sources.scan import missing
-from docweave.sources.store import hadoop_path, stored
+from docweave.sources.store import clear, hadoop_path, stored
 
 log = logging.getLogger("docweave")  # silent unless --verbose
 log.addHandler(logging.NullHandler())
@@ -132,7 +132,10 @@ def main(argv: list[str] | None = None) -> int:
     config = resolve(**given)
     spark = SparkSession.builder.config("spark.speculation", "false").getOrCreate()
     log.info("%s of %d inputs, %s", args.command, len(args.paths), config.mode)
-    summary, failed = (extract if args.command == "extract" else structure)(DocEngine(spark, config), args)
+    try:
+        summary, failed = (extract if args.command == "extract" else structure)(DocEngine(spark, config), args)
+    finally:
+        clear(spark)
     print(json.dumps(summary, indent=2, ensure_ascii=False))
     return 3 if failed else 0
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -17,12 +16,23 @@ def shared_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="docweave-")
+    return f"{tempfile.gettempdir()}/docweave"
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Where this application keeps what it stores on its way."""
+    return f"{shared_root(spark)}/docweave-{spark.sparkContext.applicationId}"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new name in the shared folder."""
-    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+    """A new name in the application's part of the shared folder."""
+    return f"{run_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what the application stored on its way; for when all results are written."""
+    there, system = hadoop_path(spark, run_folder(spark))
+    system.delete(there, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -72,8 +82,3 @@ def write_files(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "size"])
 
     return files.select(F.col("path"), F.col("content").cast("binary").alias("content")).mapInArrow(run, "path string, size long")
-
-
-def file_folder(path: str) -> str:
-    """The folder of a path as tasks write it: without the scheme of local files."""
-    return os.path.dirname(path.removeprefix("file://").removeprefix("file:"))
