@@ -151,22 +151,27 @@ class DocEngine:
         return F.coalesce("plain", markdown.to_markdown(title, raw["pages"], F.col("sheets_shown"), raw["sections"], raw["full_text"]))
 
     def parsed(self, scanned: DataFrame, full_pages: bool = False, detect: bool | None = None, force: bool = False) -> DataFrame:
-        """Scanned files (path, content, file_hash, length) with the columns of assemble(), cache_hit and cache_failed; through the cache if there is one."""
+        """A scan's files with file_hash, length, the columns of assemble(), cache_hit and cache_failed; through the cache if there is one. What could not be opened is a failed row."""
         detect = self.config.detect_seals and detect is not False
         options = self.options(full_pages, detect)
         if not self.config.cache_dir:
-            good = scanned.where("error_message is null")
-            return good.drop("content", "error_code", "error_message").join(self.assemble(stored(parse_files(good, options)), detect), "path").withColumns({"cache_hit": F.lit(False), "cache_failed": F.lit(False)})
+            parts = stored(parse_files(scanned, options))
+            seen = parts.where("kind = 'file'").select("path", F.col("text").alias("file_hash"), F.col("ref").cast("long").alias("length"))
+            return self.assemble(parts, detect).join(seen, "path", "left").withColumns({"cache_hit": F.lit(False), "cache_failed": F.lit(False)})
         # What a call sets belongs to the key, and the name too as far as it says the format.
         shape = files.fingerprint({"config": self.config.fingerprint, "full_pages": full_pages, "detect": detect})
-        keyed = scanned.where("error_message is null").withColumn("cache_key", files.cache_key(F.col("file_hash"), F.concat_ws("|", F.lit(shape), files.extension(F.col("path")))))
+        key = files.cache_key(F.col("file_hash"), F.concat_ws("|", F.lit(shape), files.extension(F.col("path"))))
+        seen = stored(scanned.drop("content").withColumn("cache_key", key))
+        keyed = scanned.where("error_message is null").withColumn("cache_key", key)
 
         def compute(todo: DataFrame) -> DataFrame:
             one = todo.select(F.concat("cache_key", files.extension(F.col("path"))).alias("path"), "content")
             return self.assemble(stored(parse_files(one, options)), detect).withColumn("cache_key", F.regexp_replace("path", r"\.[^.]*\z", "")).drop("path")
 
-        found = through_cache(keyed, f"{self.config.cache_dir.rstrip(chr(47))}/results", compute, force=force, good=F.col("ok"))
-        return keyed.drop("content", "error_code", "error_message").join(found, "cache_key").drop("cache_key")
+        found = through_cache(keyed, f"{self.config.cache_dir.rstrip('/')}/results", compute, force=force, good=F.col("ok"))
+        good = seen.where("error_message is null").select("path", "file_hash", "length", "cache_key").join(found, "cache_key").drop("cache_key")
+        bad = seen.where("error_message is not null").select("path", F.lit(False).alias("ok"), "error_code", "error_message", F.lit(False).alias("truncated"), F.lit(False).alias("cache_hit"), F.lit(False).alias("cache_failed"), F.array().cast(f"array<{CALL}>").alias("calls"))
+        return good.unionByName(bad, allowMissingColumns=True)
 
     def results(self, paths: list[str], prompt: Prompt | None = None, full_pages: bool = False, detect: bool | None = None, force: bool = False) -> DataFrame:
         """path, ok, the columns of result.RESULT, markdown, error_code, error_message: a row for each file, entry, bad archive and missing path. With a prompt, each file's fields are asked for."""
@@ -177,8 +182,7 @@ class DocEngine:
         if not there:
             empty = self.spark.createDataFrame([], f"path string, ok boolean, {result.RESULT}, markdown string, error_code string, error_message string")
             return empty.unionByName(lost, allowMissingColumns=True)
-        scanned = self.scan(there)
-        rows = self.parsed(scanned, full_pages, detect, force)
+        rows = self.parsed(self.scan(there), full_pages, detect, force)
         name = files.base_name(F.regexp_replace("path", "^.*!", ""))
         rows = rows.withColumns({"markdown": self.shown(name), "extracted": none, "parse_failed": F.lit(False)})
         if prompt is not None:
@@ -192,11 +196,10 @@ class DocEngine:
             F.transform(F.col("raw.sheets"), lambda s: s["sheet_name"]).alias("sheet_names"), "truncated", "pages_included", now.alias("uploaded_at"),
         ).cast(result.SOURCE)
         whole = measured.select(
-            "path", "ok", F.lit(SCHEMA_VERSION).alias("schema_version"), now.alias("parsed_at"), F.lit(self.config.parser_version).alias("parser_version"), source.alias("source"), "raw", "extracted", "metrics",
+            "path", "ok", F.lit(SCHEMA_VERSION).alias("schema_version"), now.alias("parsed_at"), F.lit(self.config.parser_version).alias("parser_version"), source.alias("source"), F.when(F.col("ok"), F.col("raw")).alias("raw"), "extracted", "metrics",
             F.when(F.size("warnings") > 0, F.col("warnings")).alias("warnings"), F.when(F.col("ok"), F.col("markdown")).alias("markdown"), "error_code", "error_message",
         )
-        failed = scanned.where("error_message is not null").select("path", F.lit(False).alias("ok"), "error_code", "error_message")
-        return whole.unionByName(failed, allowMissingColumns=True).unionByName(lost, allowMissingColumns=True)
+        return whole.unionByName(lost, allowMissingColumns=True)
 
     def _with_fields(self, rows: DataFrame, prompt: Prompt) -> DataFrame:
         asked = rows.where("ok").select("path", text.user_prompt(F.lit(prompt.body), self.shown(F.lit(""))).alias("prompt"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -125,25 +126,36 @@ def parse_one(path: str, content: bytes, options: ParseOptions = ParseOptions())
 
 
 def parse_files(found: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
-    """found (path, content) as PARTS; ms is a file's time, on its first part. A file is parsed in one piece; large ones are dealt out by the scan."""
+    """found (path, content) as PARTS; ms is a file's time, on its first part. A file is parsed in one piece; large ones are dealt out by the scan.
+
+    Where found is a scan with file_hash, length and errors, each file has a part of kind file besides, with
+    its hash as text and its length as ref, and what could not be opened is a part of kind error: so that
+    contents are read once.
+    """
+    scanned = "file_hash" in found.columns and "error_message" in found.columns
+
+    def parts(row: tuple) -> list[tuple]:
+        path, content, *more = row
+        if scanned and more[3] is not None:
+            return [_row(path, "error", error_code=more[2], error_message=more[3])]
+        began, rows = time.monotonic(), list(parse_one(path, content or b"", options))
+        if any(r[1] == "error" for r in rows):  # a file that fails has no other parts
+            rows = [r for r in rows if r[1] == "error"]
+        if rows:
+            rows[0] = (*rows[0][:11], int((time.monotonic() - began) * 1000), *rows[0][12:])
+        return [*([_row(path, "file", text=more[0], ref=str(more[1]))] if scanned else []), *rows]
 
     def run(batches) -> Iterator:
-        import time
-
         import pyarrow as pa
 
         kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                began, rows = time.monotonic(), list(parse_one(path, content or b"", options))
-                if any(r[1] == "error" for r in rows):  # a file that fails has no other parts
-                    rows = [r for r in rows if r[1] == "error"]
-                if rows:
-                    rows[0] = (*rows[0][:11], int((time.monotonic() - began) * 1000), *rows[0][12:])
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = parts(row)
                 for k in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[k : k + 10_000], strict=True), kinds, strict=True)], NAMES)
 
-    return found.select("path", "content").mapInArrow(run, PARTS)
+    return found.select("path", "content", *(("file_hash", "length", "error_code", "error_message") if scanned else ())).mapInArrow(run, PARTS)
 
 
 def images_of(found: DataFrame) -> DataFrame:
