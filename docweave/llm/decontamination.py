@@ -10,9 +10,11 @@ a candidate are read again.
 
 `proximity_matches` answers the looser question: where all but a SPARE-th of a phrase's words stand within
 SLOP words of their places, seen from some start. If so many words may be missing, one more than that
-cannot all be missing, so that many rarest words are the anchors (words that no text has are the rarest
-and have no postings) and each posting of any of them is a candidate. All words are then compared with the
-documents, first within twice the slop of where the anchor puts them, which no match exceeds.
+cannot all be missing, so that many rarest words of each window are the anchors (words that no text has are
+the rarest and have no postings). A posting of an anchor lays its whole item on the document, so it is one
+candidate for all windows around that word. A posting is kept in the index with the words around it if
+enough of the item's are among them; all words are then compared, first within twice the slop of where the
+anchor puts them, which no match exceeds. Words are compared by hashes of 64 bits here.
 
 Everything is built-in expressions. The passes over all words are an explode that keeps two numbers and a
 word, joined with broadcast terms and added up before any shuffle; anchors and phrases are broadcast only
@@ -88,15 +90,38 @@ def candidates(index: DataFrame, asked: DataFrame, n: int, terms: int = TERMS) -
     return found
 
 
-def spare_anchors(split: DataFrame, phrases: DataFrame, spare: int) -> DataFrame:
-    """For each phrase its size / spare + 1 rarest words as far as texts have them: phrase_id, term, at."""
-    places = phrases.select("phrase_id", "size", F.posexplode(F.split("phrase", " ")).alias("at", "term"))
+def hashes(w: Column) -> Column:
+    """A number for each word (64 bits)."""
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def item_words(items: DataFrame) -> DataFrame:
+    """The distinct texts of items (item_id, text), stored: item_no (a hash of 64 bits, which only brings rows together), w (words), h (their hashes)."""
+    split = items.select(words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    return stored(split.groupBy(F.array_join("w", " ").alias("whole")).agg(F.first("w").alias("w")).select(F.xxhash64("whole").alias("item_no"), "w", hashes(F.col("w")).alias("h")))
+
+
+def spare_anchors(split: DataFrame, texts: DataFrame, window: int, spare: int) -> DataFrame:
+    """Of item_words() the words that are among the size / spare + 1 rarest of some window, as far as texts have them: item_no, term, at (its place in the item), need (of the distinct words of any window around it, so many at least must be near)."""
+    places = texts.select("item_no", F.posexplode("w").alias("at", "term"))
     asked = stored(places.select("term").distinct())
     n = asked.count()
     seen = split.select(F.explode("w").alias("term")).join(small(asked, n), "term").groupBy("term").agg(F.count("*").alias("n"))
-    ranked = places.join(small(stored(seen), n), "term", "left").groupBy("phrase_id", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))).alias("places"))
-    few = F.slice("places", 1, F.floor(F.col("size") / spare).cast("int") + 1)
-    return ranked.select("phrase_id", F.explode(few).alias("x")).where("x.n > 0").select("phrase_id", F.col("x.term").alias("term"), F.col("x.at").alias("at"))
+    ranked = places.join(small(stored(seen), n), "term", "left").groupBy("item_no").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("ws"))
+
+    def rarest(j: Column) -> Column:
+        own = F.transform(F.slice("ws", j + 1, window), lambda x: F.struct(x["n"].alias("n"), x["at"].alias("at"), x["term"].alias("term")))
+        return F.slice(F.array_sort(own), F.lit(1), F.floor(F.size(own) / spare).cast("int") + 1)
+
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("ws") - window))
+    def needed(j: Column) -> Column:
+        own = F.slice(F.col("ws.term"), j + 1, window)
+        return F.size(F.array_distinct(own)) - F.floor(F.size(own) / spare).cast("int")
+
+    few = ranked.select("item_no", F.transform(starts, needed).alias("needs"), F.explode(F.array_distinct(F.flatten(F.transform(starts, rarest)))).alias("x")).where("x.n > 0")
+    first = F.least(F.greatest(F.lit(0), F.col("x.at") - (window - 1)), F.size("needs") - 1)
+    need = F.array_min(F.slice("needs", first + 1, F.least(F.col("x.at") + 1, F.size("needs")) - first))
+    return few.select("item_no", F.col("x.term").alias("term"), F.col("x.at").alias("at"), need.alias("need"))
 
 
 def _asked(split: DataFrame, phrases: DataFrame, terms: int) -> tuple[DataFrame, int, DataFrame, int]:
@@ -123,39 +148,69 @@ def read_again(docs: DataFrame, found: DataFrame) -> DataFrame:
     return again.alias("d").join(found.alias("f"), keys).select("d.doc_id", "d.text_hash", words(F.col("text")).alias("w"), "found")
 
 
-def nearby_matches(docs: DataFrame, items: DataFrame, slop: int = SLOP, window: int = WINDOW, spare: int = SPARE) -> DataFrame:
-    """The documents with proximity matches: doc_id, text_hash, matches (start, phrase, items). start is as seen from an anchor, moved as little as need be."""
-    split, phrases = text_words(docs), numbered(windows(items, window))
-    asked = stored(spare_anchors(split, phrases, spare))
-    distinct = stored(asked.select("term").distinct())
-    index = positional_index(split, distinct, distinct.count())
-    found = index.join(small(asked, asked.count()), "term").select("phrase_id", "doc_id", "text_hash", (F.col("position") - F.col("at")).alias("start"))
-    # Candidates are numbers only; the phrases come to the words around each of them, which are not shuffled unless the phrases are many.
-    both = read_again(docs, stored(found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("phrase_id", "start")).alias("found"))))
+def near_postings(docs: DataFrame, asked: DataFrame, n: int, reach: int) -> DataFrame:
+    """The postings of the anchors (th, the hash of the word, and others) with the words around them, as hashes: the columns of asked, doc_id, text_hash, position, low (where near begins), near; of those only where enough of the words beside the anchor (beside, need) are near.
 
-    def around(x):
-        low = F.greatest(x["start"] - 2 * slop, F.lit(0))
-        return F.struct(x["phrase_id"].alias("phrase_id"), x["start"].alias("start"), low.alias("low"), F.slice("w", low + 1, F.greatest(x["start"] + window + 2 * slop - low, F.lit(0))).alias("near"))
+    Few anchors are broadcast, and a posting is judged where its text is read. Many are joined with the
+    postings by word, and only what is found goes back to its text.
+    """
+    rows = text_words(docs).select("doc_id", "text_hash", hashes(F.col("w")).alias("h"))
+    low = F.greatest(F.col("position") - reach, F.lit(0))
+    near = F.slice("h", low + 1, F.col("position") + reach + 1 - low)
+    if n <= BROADCAST_ROWS // 4:  # an anchor is about as large as four rows of numbers
+        met = rows.select("doc_id", "text_hash", "h", F.posexplode("h").alias("position", "th")).join(F.broadcast(asked), "th")
+    else:
+        met = rows.select("doc_id", "text_hash", F.posexplode("h").alias("position", "th")).join(asked.select("th").distinct(), "th").join(asked, "th")
+        both = read_again(docs, stored(met.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("item_no", "at", "position")).alias("found"))))
+        met = both.select("doc_id", "text_hash", hashes(F.col("w")).alias("h"), F.explode("found").alias("x")).select("doc_id", "text_hash", "h", "x.*").join(asked.drop("th"), ["item_no", "at"])
+    return met.where(F.size(F.array_intersect("beside", near)) >= F.col("need")).select("doc_id", "text_hash", "item_no", "at", "position", low.alias("low"), near.alias("near"))
 
-    cases = both.select("doc_id", "text_hash", F.explode(F.transform("found", around)).alias("x")).select("doc_id", "text_hash", "x.*").join(small(phrases, phrases.count()), "phrase_id")
 
-    def fits(start: Column, slop: int) -> Column:
+def nearby_matches(docs: DataFrame, items: DataFrame, slop: int = SLOP, window: int = WINDOW, spare: int = SPARE) -> DataFrame:
+    """The proximity matches, stored: doc_id, text_hash, item_no, j (where the window begins in the item), start (where in the document), distinct. start is as seen from an anchor, moved as little as need be."""
+    split, texts = text_words(docs), item_words(items)
+    asked = spare_anchors(split, texts, window, spare)
+    begin = F.greatest(F.lit(0), F.col("at") - (window - 1))
+    beside = F.slice("h", begin + 1, F.least(F.lit(2 * window - 1), F.size("h") - begin))
+    asked = stored(asked.join(texts, "item_no").select("item_no", "at", "need", F.xxhash64("term").alias("th"), beside.alias("beside")))
+    # A posting is a candidate for all windows around its word in the item at once; most have too few of the item's words near them.
+    index = stored(near_postings(docs, asked, asked.count(), window - 1 + 2 * slop))
+    sizes = texts.select("item_no", F.size("w").alias("n"))
+    own = stored(asked.select("item_no", "at", F.col("beside").alias("own")).distinct())
+    cases = index.join(small(sizes, texts.count()), "item_no").join(small(own, 4 * own.count()), ["item_no", "at"])
+    size, first = F.least(F.lit(window), F.col("n")), F.greatest(F.lit(0), F.col("at") - (window - 1))
+    cases = cases.withColumns({"size": size, "first": first, "last": F.least(F.col("at"), F.col("n") - size)})
+    need = F.col("size") - F.floor(F.col("size") / spare).cast("int")
+
+    def fitting(move: Column, slop: int) -> Column:
+        """The windows of which enough words stand near their places, if the item is laid on the document as the anchor says and then moved."""
+
         def stands(word, k):
-            low, high = F.greatest(start + k - slop - F.col("low"), F.lit(0)), start + k + slop - F.col("low")
-            return F.array_contains(F.slice("near", low + 1, F.greatest(high - low + 1, F.lit(0))), word)
+            at = F.col("position") - F.col("at") + F.col("first") + k + move - F.col("low")
+            low, high = F.greatest(at - slop, F.lit(0)), at + slop
+            return F.array_contains(F.slice("near", low + 1, F.greatest(high - low + 1, F.lit(0))), word).cast("int")
 
-        return F.size(F.filter(F.split("phrase", " "), stands)) >= F.col("size") - F.floor(F.col("size") / spare)
+        enough = lambda there: F.filter(F.sequence("first", "last"), lambda j: F.aggregate(F.slice(there, j - F.col("first") + 1, F.col("size")), F.lit(0), lambda a, b: a + b) >= need)
+        return let(F.transform("own", stands), enough)
 
     moves = F.array(*map(F.lit, sorted(range(-slop, slop + 1), key=lambda d: (abs(d), d))))
-    loose = cases.where(once(fits(F.col("start"), 2 * slop)))
-    placed = loose.withColumn("move", once(F.get(F.filter(moves, lambda d: fits(F.col("start") + d, slop)), F.lit(0)))).where("move is not null")
-    return placed.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct((F.col("start") + F.col("move")).alias("start"), "phrase", "items")).alias("matches"))
+    loose = cases.where(once(F.size(fitting(F.lit(0), 2 * slop)) > 0))
+    placed = loose.select("doc_id", "text_hash", "item_no", (F.col("position") - F.col("at")).alias("base"), F.explode(F.transform(moves, lambda d: F.struct(d.alias("move"), fitting(d, slop).alias("js")))).alias("x"))
+    each = placed.select("doc_id", "text_hash", "item_no", "base", "x.move", F.explode("x.js").alias("j"))
+    nearest = each.groupBy("doc_id", "text_hash", "item_no", "j", "base").agg(F.min_by("move", F.struct(F.abs("move"), "move")).alias("move"))
+    return stored(nearest.select("doc_id", "text_hash", "item_no", "j", (F.col("base") + F.col("j") + F.col("move")).alias("start")).distinct())
+
+
+def window_phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Of the windows of item_words() the phrases: item_no, j, phrase."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - window))
+    return item_words(items).select("item_no", F.explode(F.transform(starts, lambda j: F.struct(j.alias("j"), F.array_join(F.slice("w", j + 1, window), " ").alias("phrase")))).alias("x")).select("item_no", "x.j", "x.phrase")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, window: int = WINDOW, spare: int = SPARE) -> DataFrame:
     """phrase, doc_id, start: where all but a spare-th of a window's words stand within slop words of their places (distinct)."""
-    found = nearby_matches(docs, items, slop, window, spare).select("doc_id", F.explode("matches").alias("m"))
-    return found.select("m.phrase", "doc_id", "m.start").distinct()
+    phrases = stored(window_phrases(items, window))
+    return nearby_matches(docs, items, slop, window, spare).join(small(phrases, phrases.count()), ["item_no", "j"]).select("phrase", "doc_id", "start").distinct()
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, terms: int = TERMS) -> DataFrame:
@@ -202,10 +257,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def proximity(docs: DataFrame, items: DataFrame, slop: int = SLOP, window: int = WINDOW, spare: int = SPARE) -> DataFrame:
     """docs (doc_id, text) as doc_id, n_windows (distinct windows with a proximity match), items (their sorted ids)."""
     docs = docs.select("doc_id", "text")
-    matched = nearby_matches(docs, items, slop, window, spare).select("doc_id", "text_hash", F.size(F.array_distinct("matches.phrase")).alias("n"), F.array_sort(F.array_distinct(F.flatten("matches.items"))).alias("items"))
+    phrases, of = stored(window_phrases(items, window)), numbered(windows(items, window)).select("phrase", "items")
+    found = nearby_matches(docs, items, slop, window, spare).select("doc_id", "text_hash", "item_no", "j").distinct()
+    seen = stored(found.join(small(phrases, phrases.count()), ["item_no", "j"]).select("doc_id", "text_hash", "phrase").distinct())
+    counts = seen.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    names = seen.join(small(of, of.count()), "phrase").select("doc_id", "text_hash", F.explode("items").alias("item")).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
-    keys = [F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")), F.col("r.text_hash") == F.col("m.text_hash")]
-    joined = rows.alias("r").join(matched.alias("m"), keys, "left")
+    same = lambda a, b: [F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")), F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash")]
+    joined = rows.alias("r").join(counts.alias("c"), same("r", "c"), "left").join(names.alias("k"), same("r", "k"), "left")
     return joined.select("r.doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_windows"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 

@@ -138,6 +138,7 @@ def test_decontamination_with_and_without_broadcasts(spark, docs_of, monkeypatch
     monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
     monkeypatch.setattr(decontamination, "BROADCAST_ROWS", rows)
     test_decontamination(spark, docs_of)
+    test_proximity_of_altered_copies(spark, docs_of)
 
 
 def nearby(text, items, slop=3):
