@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from docweave.functions import files
-from docweave.sources.store import exists
+from docweave.sources.store import exists, hadoop_path
 
 ERROR = "error_code string, error_message string"
 #: What a parsed part is: a page, an image, an image in a document, a cell, a sheet, merged cells, a document's text or a text; number is its place (page, or running number in the file).
@@ -33,12 +33,22 @@ class ParseOptions:
     renderer: Callable | None = None
 
 
+#: Bytes that a task should have at least to read, where files are many and small.
+TASK_BYTES = 64 << 20
+
+
 def binary_files(spark: SparkSession, *paths: str, pattern: str | None = None) -> DataFrame:
-    """path, length, content, file_hash. Columns that nobody asks for are not read."""
+    """path, length, content, file_hash. Columns that nobody asks for are not read. Small files are put together: a task for each of many would cost more than what it does."""
     reader = spark.read.format("binaryFile")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(list(paths)).select("path", "length", "content", F.sha2("content", 256).alias("file_hash"))
+    found = reader.load(list(paths))
+    places = (hadoop_path(spark, p) for p in paths)
+    total = sum(system.getContentSummary(there).getLength() for there, system in places if system.exists(there))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    if found.rdd.getNumPartitions() > tasks:
+        found = found.coalesce(int(tasks))
+    return found.select("path", "length", "content", F.sha2("content", 256).alias("file_hash"))
 
 
 def missing(spark: SparkSession, paths: list[str]) -> list[str]:
