@@ -39,20 +39,18 @@ def lines_of(words: list[tuple[float, float, float, float, str]]) -> list[list[t
     return [sorted(words[a:z], key=itemgetter(0)) for a, z in zip(starts, [*starts[1:], len(words)], strict=True)]
 
 
-def shown(line: list[tuple], plain: bool = False) -> str:
-    """A line's words from left to right, with a blank where the gap is wide. plain: no word holds white space, a bar or nothing."""
+def shown(line: list[tuple]) -> str:
+    """A line's words from left to right, with a blank where the gap is wide."""
     wide = max(MIN_GAP, WIDTH_SHARE * sum([b[2] if b[2] > 1 else 1.0 for b in line]) / len(line))
     out, right = [], 0.0
     for x, _, w, _, text in line:
-        if not plain:
-            text = LINE_END.sub(" ", text.strip(WHITE).replace("|", "\\|")).strip(WHITE)
+        text = LINE_END.sub(" ", text.strip(WHITE).replace("|", "\\|")).strip(WHITE)
         if text:
             if out and x - right > wide:
                 out.append(" ")
             out.append(text)
             right = x + w
-    joined = "".join(out)
-    return joined if plain else BLANK_RUN.sub(" ", joined).strip(WHITE)
+    return BLANK_RUN.sub(" ", "".join(out)).strip(WHITE)
 
 
 def page_lines(pages: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,14 +62,44 @@ def page_lines(pages: DataFrame, keys: list[str]) -> DataFrame:
     schema = T.StructType([*(pages.schema[k] for k in keys), T.StructField("line_no", T.IntegerType()), T.StructField("n_words", T.LongType()), T.StructField("line", T.StringType())])
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
+        def plain_lines(x, y, w, h, words):
+            """The lines of a page without odd words: their sizes and texts. Numbers are numpy arrays."""
+            order = np.lexsort((x, y))
+            reach = max(MIN_STEP, HEIGHT_SHARE * float(np.maximum(h, 1.0).mean()))
+            starts = np.array(line_starts(y[order].tolist(), reach))
+            line = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
+            order = order[np.lexsort((np.arange(len(order)), x[order], line))]
+            wide = np.maximum(MIN_GAP, WIDTH_SHARE * np.add.reduceat(np.maximum(w[order], 1.0), starts) / np.diff(np.r_[starts, len(order)]))
+            right = x[order] + w[order]
+            gap = np.r_[False, x[order][1:] - right[:-1] > wide[line[1:]]]
+            gap[starts] = False
+            parts = [f" {words[k]}" if g else words[k] for k, g in zip(order.tolist(), gap.tolist(), strict=True)]
+            ends = [*starts.tolist(), len(parts)]
+            return [b - a for a, b in zip(ends, ends[1:])], ["".join(parts[a:b]) for a, b in zip(ends, ends[1:])]
+
         for batch in batches:
             at, no, n, text = [], [], [], []
-            for k, words in enumerate(zip(*(batch.column(c).to_pylist() for c in ("x", "y", "w", "h", "text")), strict=True)):
-                plain = None not in words[4] and ODD.search("\x00".join(words[4])) is None
-                for i, line in enumerate(lines_of(list(zip(*words, strict=True))), 1):
-                    at.append(k), no.append(i), n.append(len(line)), text.append(shown(line, plain))
+            # Of arrays without missing numbers the values are taken as they lie; the k-th page's begin at its offset.
+            cut = batch.column("text").offsets.to_numpy()
+            words = batch.column("text").values.to_pylist()
+            numbers = {c: batch.column(c) for c in "xywh"}
+            whole = all(v.null_count == 0 and v.values.null_count == 0 and (v.offsets.to_numpy() == cut).all() for v in numbers.values())
+            values = {c: v.values.to_numpy(zero_copy_only=False) for c, v in numbers.items()} if whole else {}
+            for k in range(batch.num_rows):
+                a, z = int(cut[k]), int(cut[k + 1])
+                own = words[a:z]
+                if whole and own and None not in own and "" not in own and ODD.search("\x00".join(own)) is None:
+                    sizes, lines = plain_lines(*(values[c][a:z] for c in "xywh"), own)
+                else:
+                    found = lines_of(list(zip(*(v[k].as_py() or [] for v in numbers.values()), own, strict=True)))
+                    sizes, lines = [len(line) for line in found], [shown(line) for line in found]
+                at += [k] * len(sizes)
+                no += range(1, len(sizes) + 1)
+                n += sizes
+                text += lines
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in keys), pa.array(no, pa.int32()), pa.array(n, pa.int64()), pa.array(text, pa.string())], schema.names)
 

@@ -136,6 +136,29 @@ def test_lines_from_boxes():
     assert layout.lines_of([*words, (0.0, 0.0, 1.0, 9000.0, ""), (None, 0.0, 1.0, 1.0, "x")]) == layout.lines_of(words)
 
 
+def test_page_lines_by_hand(spark):
+    """The arrays' way against the tuples' way, with ties, wide gaps, odd and missing words."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    pages = []
+    for k in range(60):
+        n = int(rng.integers(0, 40))
+        words = [f"w{j}" for j in range(n)]
+        if k % 3 == 0 and n:
+            words[0] = "a|b  c"
+        if k % 5 == 0 and n > 1:
+            words[1] = ""
+        x, y, w, h = (rng.integers(0, m, n).astype(float).tolist() for m in (300, 60, 50, 20))
+        if k % 7 == 0 and n:
+            y[0] = None
+        pages.append((k, x, y, w, h, words))
+    frame = spark.createDataFrame(pages, "k int, x array<double>, y array<double>, w array<double>, h array<double>, text array<string>")
+    got = sorted(tuple(r) for r in layout.page_lines(frame, ["k"]).collect())
+    want = [(k, no, len(line), layout.shown(line)) for k, *arrays in pages for no, line in enumerate(layout.lines_of(list(zip(*arrays, strict=True))), 1)]
+    assert got == want
+
+
 def test_retry_and_hedge():
     calls, slept = [], []
 
