@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import best_fit_packing, decontamination, language_id, line_dedup, lm_scoring, quality_rules, secret_scan, sharding, simhash, token_counts
+from docweave.llm import best_fit_packing, decontamination, filter_audit, language_id, line_dedup, lm_scoring, quality_rules, secret_scan, sharding, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -20,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_best_fit_packing": best_fit_packing.op10_best_fit_packing,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
-ORACLE_SQL: dict[str, str] = decontamination.ORACLE | line_dedup.ORACLE
+ORACLE_SQL: dict[str, str] = decontamination.ORACLE | line_dedup.ORACLE | filter_audit.ORACLE
