@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import best_fit_packing, decontamination, filter_audit, language_id, line_dedup, lm_scoring, quality_rules, secret_scan, sharding, simhash, token_counts
+from docweave.llm import best_fit_packing, decontamination, filter_audit, importance_resampling, language_id, line_dedup, lm_scoring, pii, quality_rules, secret_scan, sharding, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -21,5 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_best_fit_packing": best_fit_packing.op10_best_fit_packing,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_pii": pii.op12_pii,
+    "op13_importance_resampling": importance_resampling.op13_importance_resampling,
 }
 ORACLE_SQL: dict[str, str] = decontamination.ORACLE | line_dedup.ORACLE | filter_audit.ORACLE
