@@ -104,12 +104,12 @@ def test_patterns_discover_identifiers(spark, docs_of):
     found = {(pii.KINDS[x[1]], TEXTS[d][x[2] : x[3]]) for d, spans in got.items() for x in spans if x[0] == "like"}
     assert found == {("phone", "555 0142"), ("email", "jane.roe(at)example.org")}
     assert {d: [s for s in x if s[0] != "like"] for d, x in got.items()} == {d: plain_base(t) for d, t in enumerate(TEXTS)}
-    for support, high, rounds in ((3, 0.5, 1), (3, 0.5, 3), (2, 0.3, 4), (1, 0.2, 3)):
+    for support, high, rounds in ((3, 0.5, 1), (3, 0.5, 3), (2, 0.3, 4), (0.5, 0.1, 3)):
         scored = pii.scored_patterns(docs.select("doc_id", "text"), pii.found_in(docs), support, high, rounds)
         got = {r["pattern"]: (r["kind"], round(r["score"], 4)) for r in scored.collect()}
         want = plain_scores(TEXTS, support, high, rounds)
         assert got == {p: (k, round(s, 4)) for p, (k, s) in want.items()}
-    assert "line" in plain_scores(TEXTS, 1, 0.2, 3) and "line" not in plain_scores(TEXTS, 1, 0.2, 1)  # a pattern without seeds, by a found instance
+    assert "line" in got and "line" not in plain_scores(TEXTS, 0.5, 0.1, 1)  # a pattern without seeds, by a found instance
 
 
 def test_query(spark):
