@@ -268,5 +268,6 @@ def listed(spans: Column, names: list[str]) -> Column:
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii(table(spark, sf_dir, "documents"))
     base, more = listed(F.col("base"), list(KINDS)), listed(F.col("more"), [f"{k}_like" for k in KINDS])
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of_kind = lambda k: lambda s: s["kind"] == k
+    n = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return out.select("doc_id", *n, F.sha2(base.cast("binary"), 256).alias("base_sha256"), F.concat_ws(",", F.nullif(base, F.lit("")), F.nullif(more, F.lit(""))).alias("spans"))
