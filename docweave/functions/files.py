@@ -47,6 +47,20 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]*)$", 1)
 
 
+#: The path of an archive's entry: archives end in .zip, and no entry that is given out begins with a slash. Other exclamation marks in a path mean nothing.
+ENTRY = r"(?is)^(.*?\.zip)!(?!/)(.+)$"
+
+
+def inner_name(path: Column) -> Column:
+    """An entry's name in its archive; of any other file the path."""
+    return F.when(path.rlike(ENTRY), F.regexp_extract(path, ENTRY, 2)).otherwise(path)
+
+
+def archive_path(path: Column, entry: Column) -> Column:
+    """The archive that an entry of this path and name is in."""
+    return F.left(path, F.char_length(path) - F.char_length(entry) - 1)
+
+
 def stem(path: Column) -> Column:
     """The name without its last extension."""
     return F.regexp_replace(base_name(path), r"(?<=.)\.[^.]*\z", "")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docweave.functions.files import base_name, file_class
+from docweave.functions.files import archive_path, base_name, file_class
 
 
 def classify_entries(entries: DataFrame, entry: str = "entry") -> DataFrame:
@@ -24,23 +24,23 @@ def slots(classified: DataFrame, origin: str = "origin", entry: str = "entry") -
 
 
 def input_slots(paths: DataFrame, entries: DataFrame) -> DataFrame:
-    """paths (origin: the place among the inputs, path) and entries of their archives (path, entry, sub, error_code, error_message) as origin, sub, path, kind (parse, passthrough or archive-failed), error_code, error_message, in that order.
+    """paths (origin: the place among the inputs, path) and entries of their archives (path, entry, sub, error_code, error_message) as origin, sub, path, kind (parse, passthrough or archive-failed), error_code, error_message.
 
     An archive's entries take its place, numbered among those that are files or texts; one that cannot be
     opened is one failed slot.
     """
     opened = classify_entries(entries.where("entry is not null")).where(F.col("kind").isin("file", "text"))
-    inside = paths.withColumnRenamed("path", "archive").join(opened.withColumn("archive", F.regexp_extract("path", "^(.*?)!", 1)), "archive")
+    inside = paths.withColumnRenamed("path", "archive").join(opened.withColumn("archive", archive_path(F.col("path"), F.col("entry"))), "archive")
     inside = inside.withColumn("sub", F.row_number().over(Window.partitionBy("origin").orderBy("entry"))).select("origin", "sub", "path", F.when(F.col("kind") == "text", "passthrough").otherwise("parse").alias("kind"), "error_code", "error_message")
     failed = paths.join(entries.where("entry is null and error_message is not null").select("path", "error_code", "error_message"), "path")
     failed = failed.select("origin", F.lit(0).alias("sub"), "path", F.lit("archive-failed").alias("kind"), "error_code", "error_message")
     of = file_class(F.col("path"))
     own = paths.where(of != "archive").select("origin", F.lit(0).alias("sub"), "path", F.when(of == "text", "passthrough").otherwise("parse").alias("kind"), F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_message"))
-    return own.unionByName(inside).unionByName(failed).orderBy("origin", "sub")
+    return own.unionByName(inside).unionByName(failed)
 
 
 def archive_summaries(entries: DataFrame) -> DataFrame:
     """Of each opened archive: archive, expanded, passthrough, warnings (of nested archives, which are not opened)."""
-    of = classify_entries(entries.where("entry is not null")).withColumn("archive", F.regexp_extract("path", "^(.*?)!", 1))
+    of = classify_entries(entries.where("entry is not null")).withColumn("archive", archive_path(F.col("path"), F.col("entry")))
     warning = F.when(F.col("kind") == "nested", F.concat(F.lit("nested archive "), "entry", F.lit(" was not opened")))
     return of.groupBy("archive").agg(F.count_if(F.col("kind") == "file").alias("expanded"), F.count_if(F.col("kind") == "text").alias("passthrough"), F.array_sort(F.collect_set(warning)).alias("warnings"))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterable, Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docweave.functions.text import user_prompt
+from docweave.operators.packing import batch_numbers, numbered  # noqa: F401
 
 MAX_INPUT_CHARS = 500_000
 SEPARATOR = "\n\n---\n\n"
@@ -19,41 +16,10 @@ title (string), documentType (string), parties (list of strings), keyAmount (str
 Use null where the documents say nothing. Do not guess."""
 
 
-def batch_numbers(sizes: Iterable[int], most: int = MAX_INPUT_CHARS) -> Iterator[int]:
-    """For each size in order the batch it falls into, from 1: a new batch begins when this one has something and would grow over `most`."""
-    no, used, some = 1, 0, False
-    for size in sizes:
-        if some and used + size > most:
-            no, used = no + 1, 0
-        used, some = used + size, True
-        yield no
-
-
-def pack_sources(sources: DataFrame, keys: list[str], most: int = MAX_INPUT_CHARS) -> DataFrame:
-    """sources (keys, seq, name, text) with batch_no; seq tells a job's sources apart.
-
-    Where a batch begins depends on where the last one did, which no window frame can say. So the sizes
-    alone, without the texts, run in order through one task a job, which holds one job's state and no rows;
-    the texts are joined with their batch afterwards.
-    """
-    sizes = sources.select(*keys, "seq", F.char_length("text").cast("long").alias("__n")).repartition(*keys).sortWithinPartitions(*keys, "seq")
-    schema = T.StructType([*(sources.schema[k] for k in [*keys, "seq"]), T.StructField("batch_no", T.IntegerType())])
-
-    def run(batches):
-        import pyarrow as pa
-
-        job, sizes_of_job, numbers = None, deque(), iter(())
-        for batch in batches:
-            out = []
-            for *now, size in zip(*(batch.column(k).to_pylist() for k in keys), batch.column("__n").to_pylist(), strict=True):
-                if now != job:
-                    job, sizes_of_job = now, deque()
-                    numbers = batch_numbers(iter(sizes_of_job.popleft, None), most)
-                sizes_of_job.append(size or 0)
-                out.append(next(numbers))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in [*keys, "seq"]), pa.array(out, pa.int32())], schema.names)
-
-    return sources.join(sizes.mapInArrow(run, schema), [*keys, "seq"])
+def pack_sources(sources: DataFrame, keys: list[str], most: int = MAX_INPUT_CHARS, **sizes_of_tasks) -> DataFrame:
+    """sources (keys, seq, name, text) with batch_no; seq tells a job's sources apart. Only the sizes are put in order (operators.packing), the texts are joined with their batch afterwards."""
+    sizes = sources.select(*keys, "seq", F.char_length("text").alias("__n"))
+    return sources.join(numbered(sizes, keys, "seq", most, **sizes_of_tasks), [*keys, "seq"])
 
 
 def batch_texts(packed: DataFrame, keys: list[str]) -> DataFrame:

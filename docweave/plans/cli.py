@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docweave.config import parse_prompt, resolve
 from docweave.errors import ConfigInvalid
+from docweave.functions.files import base_name, inner_name
 from docweave.operators.archives import archive_summaries, input_slots
 from docweave.plans import result, sinks
 from docweave.plans.engine import DocEngine
@@ -76,7 +77,7 @@ def structure(engine: DocEngine, args) -> tuple[dict, int]:
     slots, archives = inputs(engine, paths)
     rows = stored(engine.results(paths, None, args.full_pages, args.detect_seals, args.force))
     both = slots.join(rows.select("path", "ok", "markdown", F.col("error_code").alias("code"), F.col("error_message").alias("error")), "path", "left")
-    name = F.regexp_extract(F.regexp_replace("path", "^.*!", ""), "([^/]*)$", 1)
+    name = base_name(inner_name(F.col("path")))
     # The slots say the order: an input's place, then an entry's.
     seq = F.struct("origin", "sub")
     good = stored(both.where("ok").select(seq.alias("seq"), name.alias("name"), F.col("markdown").alias("text")))

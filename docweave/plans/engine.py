@@ -183,7 +183,7 @@ class DocEngine:
             empty = self.spark.createDataFrame([], f"path string, ok boolean, {result.RESULT}, markdown string, error_code string, error_message string")
             return empty.unionByName(lost, allowMissingColumns=True)
         rows = self.parsed(self.scan(there), full_pages, detect, force)
-        name = files.base_name(F.regexp_replace("path", "^.*!", ""))
+        name = files.base_name(files.inner_name(F.col("path")))
         rows = rows.withColumns({"markdown": self.shown(name), "extracted": none, "parse_failed": F.lit(False)})
         if prompt is not None:
             rows = self._with_fields(stored(rows), prompt)
@@ -238,7 +238,7 @@ class DocEngine:
 
     def sources(self, results: DataFrame) -> DataFrame:
         """Results as sources for structure(): path, name, text. Their order is the caller's."""
-        return results.where("ok").select("path", files.base_name(F.regexp_replace("path", "^.*!", "")).alias("name"), F.col("markdown").alias("text"))
+        return results.where("ok").select("path", files.base_name(files.inner_name(F.col("path"))).alias("name"), F.col("markdown").alias("text"))
 
     def structure(self, sources: DataFrame, prompt: Prompt | None = None, job: str = "job") -> DataFrame:
         """sources (job, seq, name, text) as answered batches: job, batch_no, n_sources, chars and the fields of a call."""

@@ -36,7 +36,7 @@ def _made(rows: DataFrame, make: Callable[..., bytes], columns: list[str], name:
 
 def _id(path: str = "path", kind: str = "long") -> Column:
     """The number in a file's name."""
-    return F.regexp_extract(F.regexp_replace(path, "!.*$", ""), r"([0-9]+)\.[^./]*$", 1).cast(kind)
+    return F.regexp_extract(F.regexp_replace(path, r"(?s)\.zip!(?!/).*$", ".zip"), r"([0-9]+)\.[^./]*$", 1).cast(kind)
 
 
 def _named(key: str, ending: str) -> Column:
@@ -299,6 +299,7 @@ KIND_SQL = "CASE page_id % 5 WHEN 0 THEN 'file' WHEN 2 THEN 'nested' WHEN 3 THEN
 
 
 def _zips(spark: SparkSession, sf_dir: str, unsafe: bool = False) -> str:
+    """The folder has a name with an exclamation mark, which parts archives from entries elsewhere in a path."""
     pick = lambda n, values, other: F.coalesce(F.get(F.array(*map(F.lit, values)), (F.col("page_id") % n).cast("int")), F.lit(other))
     name = F.concat(pick(7, ("__MACOSX/", "sub/"), ""), F.lit("f"), F.col("page_id").cast("string"), pick(5, (".pdf", ".md", ".zip", ".bin", ".txt"), ""))
     entries = table(spark, sf_dir, "pages").groupBy((F.col("page_id") % 20).alias("origin")).agg(F.collect_list(F.struct(name.alias("name"), "html")).alias("entries"))
@@ -308,7 +309,7 @@ def _zips(spark: SparkSession, sf_dir: str, unsafe: bool = False) -> str:
 
         return zipped({e["name"]: e["html"] or "" for e in entries} | ({"../out.md": "x"} if unsafe and origin % 4 == 0 else {}))
 
-    return _made(entries, make, ["origin", "entries"], _named("origin", ".zip"))
+    return _made(entries, make, ["origin", "entries"], F.concat(F.lit("new!/"), _named("origin", ".zip"))) + "/new!"
 
 
 @query("zip_scan", f"SELECT origin, entry, CAST(row_number() OVER (PARTITION BY origin ORDER BY entry) AS INTEGER) AS sub, {KIND_SQL} AS kind, CAST(strlen(html) AS BIGINT) AS length, sha256(html) AS file_hash FROM {ZIP_SQL} WHERE NOT starts_with(entry, '__MACOSX/')")
@@ -339,7 +340,7 @@ def archive_slots(spark, sf_dir):
     files_ = binary_files(spark, _zips(spark, sf_dir))
     given = files_.select(_id().alias("origin"), "path")
     found = input_slots(given, expand_archives(files_).select("path", "entry", "error_code", "error_message"))
-    return found.select("origin", "sub", F.regexp_extract("path", "!(.*)$", 1).alias("entry"), "kind")
+    return found.select("origin", "sub", files.inner_name(F.col("path")).alias("entry"), "kind")
 
 
 @query("archive_summary", f"SELECT origin, count(*) FILTER (page_id % 5 = 0) AS expanded, count(*) FILTER (page_id % 5 IN (1, 4)) AS passthrough, count(*) FILTER (page_id % 5 = 2) AS warnings FROM {ZIP_SQL} WHERE NOT starts_with(entry, '__MACOSX/') GROUP BY origin")

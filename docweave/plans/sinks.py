@@ -13,13 +13,13 @@ from docweave.sources.store import stored, write_files
 def _folder(path: Column) -> Column:
     """The folder of a path, without a local file's scheme; entries of an archive belong to a folder with the archive's name beside it."""
     plain = F.regexp_replace(path, "^file:(//)?", "")
-    opened = F.regexp_replace(plain, r"\.[^./!]*!", "/")
+    opened = F.regexp_replace(plain, files.ENTRY.replace(r"\.zip)!", r")\.zip!"), "$1/$2")
     return F.regexp_extract(opened, "^(.*)/[^/]*$", 1)
 
 
 def output_names(slots: DataFrame, out: str | None = None, ending: str = ".md", whole_name: bool = False) -> DataFrame:
     """slots (origin, sub, path) with out_file: the input's stem (or whole name) and the ending, in the folder out or beside the input. Of inputs that would share a file, the later ones get a number."""
-    name = F.regexp_replace("path", "^.*!", "")
+    name = files.inner_name(F.col("path"))
     base = files.base_name(name) if whole_name else files.stem(name)
     folder = F.lit(out.rstrip("/")) if out else _folder(F.col("path"))
     named = slots.withColumns({"__folder": folder, "__base": base})

@@ -66,6 +66,13 @@ def pack_batches(spark, sf_dir):
     return _packed(spark, sf_dir).select("source", F.col("seq").alias("doc_id"), "batch_no")
 
 
+@query("pack_one_job", f"SELECT doc_id, batch_no FROM {PACKED_SQL.replace('PARTITION BY source ORDER', 'ORDER').replace('SELECT source, doc_id, text', 'SELECT 0 AS source, doc_id, text')}")
+def pack_one_job(spark, sf_dir):
+    """All documents as one job, whose ranges are packed side by side."""
+    sources = table(spark, sf_dir, "documents").select(F.lit(0).alias("job"), F.col("doc_id").alias("seq"), F.lit("").alias("name"), "text")
+    return structure.pack_sources(sources, ["job"], 20_000, in_task=0).select(F.col("seq").alias("doc_id"), "batch_no")
+
+
 TEXTS_SQL = f"(SELECT source, batch_no, count(*) AS n_sources, string_agg(concat('# File: doc_', doc_id, E'\\n\\n', text), E'\\n\\n---\\n\\n' ORDER BY doc_id) AS text FROM {PACKED_SQL} GROUP BY source, batch_no)"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -95,7 +96,9 @@ def parse_one(path: str, content: bytes, options: ParseOptions = ParseOptions())
     from docweave.functions.text import OCR_TEXT_THRESHOLD
     from docweave.sources import doc, docx, images, pdf, xls, xlsx
 
-    ext = "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1].rsplit("!", 1)[-1].lstrip(".") else ""
+    inner = re.match(files.ENTRY, path)
+    name = (inner[2] if inner else path).rsplit("/", 1)[-1]
+    ext = "." + name.rsplit(".", 1)[-1].lower() if "." in name.lstrip(".") else ""
     try:
         if ext in files.TEXT_EXTENSIONS:
             yield _row(path, "text", 1, text=content.decode("utf-8", "replace"), total=1)
