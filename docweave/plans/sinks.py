@@ -1,4 +1,4 @@
-"""What a run leaves: Markdown files, results as JSON files, written by the tasks that hold them."""
+"""What a run leaves: Markdown files, results as JSON files, written by the tasks that hold them and shown by one commit."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docweave.functions import files
-from docweave.sources.store import stored, write_files
+from docweave.sources.sink import commit_files
+from docweave.sources.store import stored
 
 
 def _folder(path: Column) -> Column:
@@ -31,8 +32,8 @@ def output_names(slots: DataFrame, out: str | None = None, ending: str = ".md",
 def write_markdown(rows: DataFrame, out: str | None = None) -> DataFrame:
     """rows (origin, sub, path, markdown) as .md files; gives path, out_file of those written."""
     named = stored(output_names(rows, out))
-    written = write_files(named.select(F.col("out_file").alias("path"), F.col("markdown").alias("content")))
-    return named.join(stored(written.select(F.col("path").alias("out_file"))), "out_file").select("path", "out_file")
+    commit_files(named.select(F.col("out_file").alias("path"), F.col("markdown").alias("content")))
+    return named.select("path", "out_file")
 
 
 def write_results(results: DataFrame, out: str) -> DataFrame:
@@ -43,5 +44,5 @@ def write_results(results: DataFrame, out: str) -> DataFrame:
     whole = F.when(F.col("extracted").isNull(), whole).otherwise(F.concat(F.left(whole, F.char_length(whole) - 1), F.lit(',"extracted":'), "extracted", F.lit("}")))
     rows = results.where("ok").select(F.col("path").alias("origin"), F.lit(0).alias("sub"), "path", whole.alias("content"))
     named = stored(output_names(rows, out, ".parsed.json", True))
-    written = write_files(named.select(F.col("out_file").alias("path"), "content"))
-    return named.join(stored(written.select(F.col("path").alias("out_file"))), "out_file").select("path", "out_file")
+    commit_files(named.select(F.col("out_file").alias("path"), "content"))
+    return named.select("path", "out_file")
