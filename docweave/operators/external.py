@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from docweave.errors import ConfigInvalid, DocweaveError
 from docweave.functions.jsonfix import extracted
+from docweave.operators.journal import Journal, attempt, call_key
 
 R = TypeVar("R")
 BASE_MS, MOST_MS, RETRIES, HEDGE_MS, POOL = 500, 15_000, 2, 8_000, 24
@@ -125,6 +126,7 @@ class MockOcr:
     model: str = "mock-ocr"
     provider: str = "mock-ocr"
     reply: str = OCR_REPLY
+    free: bool = True  # nothing is kept of calls that cost nothing
 
     def recognize(self, image: bytes | None, mime: str = "image/jpeg", detect: bool = False) -> dict:
         return {"reply": self.reply, "prompt_tokens": 0, "completion_tokens": 0}
@@ -135,6 +137,7 @@ class MockLlm:
     model: str = "mock-llm"
     record: bool = False
     asked: list[str] = field(default_factory=list)
+    free: bool = True
 
     def extract(self, prompt: str, **request) -> dict:
         if self.record:
@@ -314,32 +317,46 @@ def _asked(call: Callable[[], R], retries: int, hedge_ms: float | None) -> tuple
     return retry((lambda: hedged(call, hedge_ms)) if hedge_ms else call, retries)
 
 
+def _journaled(call: Callable[[], dict], key: Callable[[], str], backend, journal: Journal | None, owner: str, retries: int, hedge_ms: float | None) -> tuple[dict, int]:
+    """The call's answer and the retries that it took, those of the first time if the journal has it."""
+    if journal is None or getattr(backend, "free", False):
+        return _asked(call, retries, hedge_ms)
+
+    def once() -> dict:
+        answer, tries = _asked(call, retries, hedge_ms)
+        return {"answer": answer, "tries": tries}
+
+    kept = journal.ask(key(), once, owner)
+    return kept["answer"], kept["tries"]
+
+
 def limited(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
     """rows and the size of a task's pool, such that at most `most` calls are open in all tasks that can run at once."""
     slots = max(1, rows.sparkSession.sparkContext.defaultParallelism)
     return (rows.coalesce(max(1, most)), 1) if most < slots else (rows, most // slots)
 
 
-def call_llm(prompts: DataFrame, llm: LlmBackend, keep: list[str], pool: int = POOL, retries: int = RETRIES, hedge_ms: float | None = None, request: dict | None = None) -> DataFrame:
-    """prompts (keep, prompt) with the fields of CALL_FIELDS: a row for each prompt, also where the call failed. request goes with each call; pool is the most calls that are open at once."""
+def call_llm(prompts: DataFrame, llm: LlmBackend, keep: list[str], pool: int = POOL, retries: int = RETRIES, hedge_ms: float | None = None, request: dict | None = None, journal: Journal | None = None) -> DataFrame:
+    """prompts (keep, prompt) with the fields of CALL_FIELDS: a row for each prompt, also where the call failed. request goes with each call; pool is the most calls that are open at once. What a journal has is not asked again."""
     request = request or {}
     prompts, pool = limited(prompts, pool)
     schema = T.StructType([*(prompts.schema[c] for c in keep), *T._parse_datatype_string(CALL_FIELDS).fields])
 
-    def one(prompt: str) -> tuple:
+    def one(prompt: str, owner: str) -> tuple:
         began = time.monotonic()
         ms = lambda: int((time.monotonic() - began) * 1000)
         try:
-            answer, tries = _asked(lambda: llm.extract(prompt, **request), retries, hedge_ms)
+            key = lambda: call_key("llm", llm.model, request, prompt)
+            answer, tries = _journaled(lambda: llm.extract(prompt, **request), key, llm, journal, owner, retries, hedge_ms)
         except Exception as error:
             return request.get("model") or llm.model, 0, 0, ms(), retries, None, True, f"{type(error).__name__}: {safe_message(error)}"
         return request.get("model") or llm.model, answer["prompt_tokens"], answer["completion_tokens"], ms(), tries, *extracted(answer["text"]), None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.name for f in schema.fields[len(keep) :]]
+        names, owner = [f.name for f in schema.fields[len(keep) :]], attempt()
         with ThreadPoolExecutor(pool) as threads:
             for pdf in batches:
-                out = pd.DataFrame(list(threads.map(one, pdf["prompt"])), columns=names)
+                out = pd.DataFrame(list(threads.map(one, pdf["prompt"], [owner] * len(pdf))), columns=names)
                 yield pd.concat([pdf[keep].reset_index(drop=True), out], axis=1)
 
     return prompts.select(*keep, "prompt").mapInPandas(run, schema)
@@ -348,16 +365,17 @@ def call_llm(prompts: DataFrame, llm: LlmBackend, keep: list[str], pool: int = P
 OCR_FIELDS = "ocr_model string, ocr_provider string, prompt_tokens long, completion_tokens long, started_ms long, ms long, retries int, reply string, ocr_error string"
 
 
-def call_ocr(images: DataFrame, ocr: OcrBackend, keep: list[str], pool: int = POOL, retries: int = RETRIES, hedge_ms: float | None = None) -> DataFrame:
-    """images (keep, image, mime, detect) with the fields of OCR_FIELDS: a row for each image, also where the call failed. reply is what functions.text and functions.vendor read; pool is the most calls that are open at once."""
+def call_ocr(images: DataFrame, ocr: OcrBackend, keep: list[str], pool: int = POOL, retries: int = RETRIES, hedge_ms: float | None = None, journal: Journal | None = None) -> DataFrame:
+    """images (keep, image, mime, detect) with the fields of OCR_FIELDS: a row for each image, also where the call failed. reply is what functions.text and functions.vendor read; pool is the most calls that are open at once. What a journal has is not asked again."""
     images, pool = limited(images, pool)
     schema = T.StructType([*(images.schema[c] for c in keep), *T._parse_datatype_string(OCR_FIELDS).fields])
 
-    def one(image: bytes | None, mime: str, detect: bool) -> tuple:
+    def one(image: bytes | None, mime: str, detect: bool, owner: str) -> tuple:
         began, started = time.monotonic(), int(time.time() * 1000)
         ms = lambda: int((time.monotonic() - began) * 1000)
         try:
-            answer, tries = _asked(lambda: ocr.recognize(image, mime, detect), retries, hedge_ms)
+            key = lambda: call_key("ocr", ocr.provider, ocr.model, detect, mime, image or b"")
+            answer, tries = _journaled(lambda: ocr.recognize(image, mime, detect), key, ocr, journal, owner, retries, hedge_ms)
         except Exception as error:
             return ocr.model, ocr.provider, 0, 0, started, ms(), retries, None, f"{type(error).__name__}: {safe_message(error)}"
         return ocr.model, ocr.provider, answer["prompt_tokens"], answer["completion_tokens"], started, ms(), tries, answer["reply"], None
@@ -367,10 +385,10 @@ def call_ocr(images: DataFrame, ocr: OcrBackend, keep: list[str], pool: int = PO
 
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        types = to_arrow_schema(schema)
+        types, owner = to_arrow_schema(schema), attempt()
         with ThreadPoolExecutor(pool) as threads:
             for batch in batches:
-                found = list(threads.map(one, *(batch.column(c).to_pylist() for c in ("image", "mime", "detect"))))
+                found = list(threads.map(one, *(batch.column(c).to_pylist() for c in ("image", "mime", "detect")), [owner] * len(batch)))
                 made = [pa.array(c, types.field(len(keep) + k).type) for k, c in enumerate(zip(*found, strict=True))] if found else [pa.array([], f.type) for f in list(types)[len(keep) :]]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], types.names)
 

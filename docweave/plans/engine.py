@@ -14,9 +14,10 @@ from docweave.functions.numbers import round_half_up
 from docweave.operators import layout, markdown, marks, metrics, structure
 from docweave.operators.cache import through_cache
 from docweave.operators.external import call_llm, call_ocr
+from docweave.operators.journal import Journal
 from docweave.plans import result
 from docweave.sources.scan import ParseOptions, binary_files, expand_archives, missing, parse_files
-from docweave.sources.store import stored
+from docweave.sources.store import run_folder, stored
 
 OCR_FAILED = "ERR_OCR_FAILED"
 FALLBACK, CACHE_FAILED = "llm-json-parse-failed-fallback-to-text", "cache-write-failed"
@@ -37,6 +38,11 @@ class DocEngine:
         self.spark, self.config = spark, config or resolve()
         self._ocr, self._vision, self._llm, self.renderer = ocr, vision or ocr, llm, renderer
 
+    @property
+    def journal(self) -> Journal:
+        """Answers of calls that cost, kept with the cache, else as long as what this application stores."""
+        return Journal(f"{self.config.cache_dir.rstrip('/') if self.config.cache_dir else run_folder(self.spark)}/journal")
+
     @property
     def ocr(self):
         return self._ocr or ocr_backend(self.config)
@@ -70,7 +76,7 @@ class DocEngine:
         keep = [*keys, "action", "layer", "total"]
 
         def called(action: str, backend) -> DataFrame:
-            rows = call_ocr(looked.where(F.col("action") == action), backend, keep, c.max_concurrency, c.retries, c.hedge_ms or None)
+            rows = call_ocr(looked.where(F.col("action") == action), backend, keep, c.max_concurrency, c.retries, c.hedge_ms or None, self.journal)
             if backend.provider != "aliyun-ocr":
                 return rows.withColumns({"said": F.coalesce(text.peel_envelope(F.col("reply")), F.lit("")), "blocks": F.lit(None).cast(vendor.BLOCKS)}).drop("reply")
             rows = stored(rows)  # a call costs: it is made once, though two branches read it
@@ -203,7 +209,7 @@ class DocEngine:
 
     def _with_fields(self, rows: DataFrame, prompt: Prompt) -> DataFrame:
         asked = rows.where("ok").select("path", text.user_prompt(F.lit(prompt.body), self.shown(F.lit(""))).alias("prompt"))
-        answers = call_llm(asked, self.llm, ["path"], self.config.max_concurrency, self.config.retries, None, request_of(prompt, self.config))
+        answers = call_llm(asked, self.llm, ["path"], self.config.max_concurrency, self.config.retries, None, request_of(prompt, self.config), self.journal)
         call = F.struct(F.lit("llm").alias("stage"), F.col("a_model").alias("model"), F.lit("openai-compat").alias("provider"), "a_prompt_tokens", "a_completion_tokens", F.lit(0).cast("long"), F.lit(0).cast("long"), "a_ms", "a_retries").cast(CALL)
         answers = stored(answers.select("path", *(F.col(c).alias(f"a_{c}") for c in ("model", "prompt_tokens", "completion_tokens", "ms", "retries", "extracted", "parse_failed", "error"))))
         both = rows.drop("extracted", "parse_failed").join(answers, "path", "left").withColumns({"extracted": F.col("a_extracted"), "parse_failed": F.coalesce("a_parse_failed", F.lit(False)) & F.col("a_error").isNull()})
@@ -245,7 +251,7 @@ class DocEngine:
         c, request = self.config, request_of(prompt, self.config)
         packed = structure.batch_texts(structure.pack_sources(sources, [job], c.max_input_chars), [job])
         asked = structure.prompts(packed, prompt.body if prompt else structure.DEFAULT_PROMPT)
-        call = lambda todo, keep: call_llm(todo, self.llm, keep, c.max_concurrency, c.retries, None, request)
+        call = lambda todo, keep: call_llm(todo, self.llm, keep, c.max_concurrency, c.retries, None, request, self.journal)
         if not c.cache_dir:
             return call(asked, [job, "batch_no", "n_sources", "chars"])
         shape = files.fingerprint({"config": c.fingerprint, **{k: str(v) for k, v in request.items()}})
