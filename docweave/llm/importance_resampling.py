@@ -36,7 +36,7 @@ BUCKETS = 10_000
 #: The longest run of words that is a feature.
 RUN = 3
 #: Bytes that a chunk owns; a longer text is cut.
-CHUNK = 1 << 18
+CHUNK = 1 << 15
 LEAST_WORDS, PER_CENT, SEED = 20, 5, 42
 #: A-Z in lower case, what is no word (of ASCII) as a blank.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
