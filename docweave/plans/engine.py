@@ -17,7 +17,7 @@ from docweave.operators.external import call_llm, call_ocr
 from docweave.operators.journal import Journal
 from docweave.plans import result
 from docweave.sources.scan import ParseOptions, binary_files, expand_archives, missing, parse_files
-from docweave.sources.store import run_folder, stored
+from docweave.sources.store import shared_folder, stored
 
 OCR_FAILED = "ERR_OCR_FAILED"
 FALLBACK, CACHE_FAILED = "llm-json-parse-failed-fallback-to-text", "cache-write-failed"
@@ -37,11 +37,11 @@ class DocEngine:
     def __init__(self, spark: SparkSession, config: Config | None = None, ocr=None, vision=None, llm=None, renderer=None):
         self.spark, self.config = spark, config or resolve()
         self._ocr, self._vision, self._llm, self.renderer = ocr, vision or ocr, llm, renderer
+        self.journal = self._journal_of()
 
-    @property
-    def journal(self) -> Journal:
-        """Answers of calls that cost, kept with the cache, else as long as what this application stores."""
-        return Journal(f"{self.config.cache_dir.rstrip('/') if self.config.cache_dir else run_folder(self.spark)}/journal")
+    def _journal_of(self, force: bool = False) -> Journal:
+        """Answers of calls that cost: kept with the cache, without one or past it for this run alone."""
+        return Journal(f"{self.config.cache_dir.rstrip('/')}/journal" if self.config.cache_dir and not force else shared_folder(self.spark))
 
     @property
     def ocr(self):
@@ -158,7 +158,7 @@ class DocEngine:
 
     def parsed(self, scanned: DataFrame, full_pages: bool = False, detect: bool | None = None, force: bool = False) -> DataFrame:
         """A scan's files with file_hash, length, the columns of assemble(), cache_hit and cache_failed; through the cache if there is one. What could not be opened is a failed row."""
-        detect = self.config.detect_seals and detect is not False
+        detect, self.journal = self.config.detect_seals and detect is not False, self._journal_of(force)
         options = self.options(full_pages, detect)
         if not self.config.cache_dir:
             parts = stored(parse_files(scanned, options))

@@ -230,6 +230,18 @@ def ocr_seals_off(spark, sf_dir):
     return found.select(_id().alias("s_suppkey"), F.col("metrics.performance.images").alias("images"), F.col("raw.seals").isNull().alias("no_seals"))
 
 
+@query("cached_texts", f"SELECT doc_id, sha256(text) AS text_hash, CAST(length(text) AS BIGINT) AS n_chars, text IN (SELECT text FROM documents WHERE doc_id % 3 = 0) AS cache_hit FROM documents")
+def cached_texts(spark, sf_dir):
+    """All texts, of which an earlier run has kept those of some; what is kept is found by content, under any name."""
+    from docweave.plans.engine import DocEngine
+
+    engine = DocEngine(spark, resolve({}, mode="mock", cache_dir=shared_folder(spark)))
+    scanned = engine.scan([_texts(spark, sf_dir)])
+    engine.parsed(scanned.where(_id() % 3 == 0)).write.format("noop").mode("overwrite").save()
+    found = engine.parsed(scanned)
+    return found.select(_id().alias("doc_id"), F.sha2(F.col("raw.full_text").cast("binary"), 256).alias("text_hash"), F.char_length("raw.full_text").cast("long").alias("n_chars"), "cache_hit")
+
+
 @query("cached_results", "SELECT s_suppkey, true AS first_ok, true AS cache_hit, CAST(0 AS BIGINT) AS total_ms FROM supplier")
 def cached_results(spark, sf_dir):
     folder, cache = _scans(spark, sf_dir), shared_folder(spark)
