@@ -1,8 +1,9 @@
 """Results by content: look up, compute what is missing, keep.
 
 The cache is a Parquet table in a folder for each prefix of the key. A lookup reads the folders of the asked
-keys alone (partition pruning), and of their files the row groups that may hold one: each file carries a Bloom
-filter of its keys, which the reader asks where the keys are few. Rows are appended; compaction leaves the
+keys alone (partition pruning), and of their files the row groups that may hold one: files are in order of the
+key and carry a Bloom filter of their keys, which the reader asks where the keys are few (many random keys are
+in all folders anyway). Rows are appended; compaction leaves the
 latest row of each key. Readers take the latest row too, so both see the same before, while and after.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from docweave.sources.store import exists, hadoop_path, stored
 
 #: Leading characters of a key that name its folder, and the folder's column.
-PREFIX, FOLDER = 2, "key_prefix"
+PREFIX, FOLDER = 1, "key_prefix"
 #: The most keys that a filter on the scan names, so that Bloom filters are asked; more are joined alone.
 NAMED = 10
 
@@ -44,8 +45,8 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "cache_ke
 
 
 def append(rows: DataFrame, path: str, key: str = "cache_key") -> None:
-    """Keeps rows, with a file a folder and a Bloom filter a file."""
-    filed = rows.withColumn(FOLDER, folder_of(F.col(key))).repartition(FOLDER)
+    """Keeps rows, a file a folder, in order of the key and with a Bloom filter of them."""
+    filed = rows.withColumn(FOLDER, folder_of(F.col(key))).repartition(FOLDER).sortWithinPartitions(FOLDER, key)
     filed.write.mode("append").partitionBy(FOLDER).option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
 
 
