@@ -16,7 +16,7 @@ from docweave.operators.cache import through_cache
 from docweave.operators.external import call_llm, call_ocr
 from docweave.operators.journal import Journal
 from docweave.plans import result
-from docweave.sources.scan import ParseOptions, binary_files, expand_archives, missing, parse_files
+from docweave.sources.scan import ParseOptions, missing, parse_files, scan_files
 from docweave.sources.store import shared_folder, stored
 
 OCR_FAILED = "ERR_OCR_FAILED"
@@ -57,10 +57,8 @@ class DocEngine:
 
     def scan(self, paths: list[str]) -> DataFrame:
         """The files at the paths with archives opened: path, origin, entry, sub, content, file_hash, length, error."""
-        found = binary_files(self.spark, *paths)
-        if self.config.file_concurrency:
-            found = found.coalesce(self.config.file_concurrency)
-        return expand_archives(found)
+        found = scan_files(self.spark, *paths)
+        return found.coalesce(self.config.file_concurrency) if self.config.file_concurrency else found
 
     def options(self, full_pages: bool, detect: bool) -> ParseOptions:
         c = self.config

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from docweave.plans.file_queries import PAGES_SQL
 from docweave.plans.registry import query, table
 from docweave.sources.scan import ParseOptions, binary_files, expand_archives, images_of, parse_files
 from docweave.sources.store import shared_folder, write_files
+from docweave.sources.zip_source import archives_at, read_archives
 
 
 def _made(rows: DataFrame, make: Callable[..., bytes], columns: list[str], name: Column) -> str:
@@ -91,6 +93,18 @@ def _cells(spark, folder):
 
 @query("xlsx_scan", XLSX_SQL)
 def xlsx_scan(spark, sf_dir):
+    """Through the source whose partitions are sheets."""
+    from docweave.sources.scan import register
+
+    register(spark)
+    paths = [r["path"] for r in binary_files(spark, _books(spark, sf_dir)).select("path").toLocalIterator()]
+    found = spark.read.format("xlsx_cells").option("found", json.dumps(paths)).load()
+    return found.select(_id().alias("region"), "sheet", "ref", "value_type", F.col("text").alias("value"))
+
+
+@query("xlsx_parts", XLSX_SQL)
+def xlsx_parts(spark, sf_dir):
+    """As parts of files, which the engine reads."""
     return _cells(spark, _books(spark, sf_dir))
 
 
@@ -326,10 +340,17 @@ def _zips(spark: SparkSession, sf_dir: str, unsafe: bool = False) -> str:
 
 @query("zip_scan", f"SELECT origin, entry, CAST(row_number() OVER (PARTITION BY origin ORDER BY entry) AS INTEGER) AS sub, {KIND_SQL} AS kind, CAST(strlen(html) AS BIGINT) AS length, sha256(html) AS file_hash FROM {ZIP_SQL} WHERE NOT starts_with(entry, '__MACOSX/')")
 def zip_scan(spark, sf_dir):
-    found = classify_entries(expand_archives(binary_files(spark, _zips(spark, sf_dir))))
+    found = classify_entries(read_archives(spark, archives_at(spark, _zips(spark, sf_dir)), task_bytes=16_384))
     return found.select(_id("origin").alias("origin"), "entry", "sub", "kind", "length", "file_hash")
 
 
+@query("zip_texts", f"SELECT origin, entry, html AS text FROM {ZIP_SQL} WHERE NOT starts_with(entry, '__MACOSX/') AND entry LIKE '%.txt'")
+def zip_texts(spark, sf_dir):
+    """The entries of one kind: the source reads no others."""
+    found = read_archives(spark, archives_at(spark, _zips(spark, sf_dir)), entry="*.txt")
+    return found.select(_id("origin").alias("origin"), "entry", F.col("content").cast("string").alias("text"))
+
+
 @query("zip_entries_function", f"SELECT origin, count(*) AS n, CAST(sum(strlen(html)) AS BIGINT) AS bytes FROM {ZIP_SQL} WHERE NOT starts_with(entry, '__MACOSX/') GROUP BY origin")
 def zip_entries_function(spark, sf_dir):
     from docweave.sources.scan import register

@@ -23,18 +23,27 @@ def junk(name: str) -> bool:
     return name.startswith("__MACOSX/") or base.startswith(".DS_Store") or base == "Thumbs.db"
 
 
+def listing(z: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+    """The entries in order of name, without folders and junk. One unsafe name fails the whole archive, before anything is given out."""
+    infos = sorted((i for i in z.infolist() if not i.is_dir() and not junk(i.filename)), key=lambda i: i.filename)
+    for i in infos:
+        if unsafe(i.filename):
+            raise UnsafeEntry(f"unsafe entry name: {i.filename}")
+    return infos
+
+
+def content_of(z: zipfile.ZipFile, info: zipfile.ZipInfo, max_bytes: int = MAX_BYTES) -> tuple[bytes | None, str | None]:
+    """An entry's content, or why it has none: an entry that is too large or broken fails alone."""
+    if info.file_size > max_bytes:
+        return None, f"entry too large: {info.file_size} bytes"
+    try:
+        return z.read(info), None
+    except Exception as e:
+        return None, f"{type(e).__name__}: {e}"
+
+
 def entries(content: bytes, max_bytes: int = MAX_BYTES) -> Iterator[tuple[str, bytes | None, str | None]]:
-    """Names, contents and errors in order of name. One unsafe name fails the whole archive, before anything is given out; an entry that is too large or broken fails alone."""
+    """Names, contents and errors in order of name."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        infos = sorted((i for i in z.infolist() if not i.is_dir() and not junk(i.filename)), key=lambda i: i.filename)
-        for i in infos:
-            if unsafe(i.filename):
-                raise UnsafeEntry(f"unsafe entry name: {i.filename}")
-        for i in infos:
-            if i.file_size > max_bytes:
-                yield i.filename, None, f"entry too large: {i.file_size} bytes"
-                continue
-            try:
-                yield i.filename, z.read(i), None
-            except Exception as e:
-                yield i.filename, None, f"{type(e).__name__}: {e}"
+        for i in listing(z):
+            yield i.filename, *content_of(z, i, max_bytes)

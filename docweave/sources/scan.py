@@ -6,14 +6,15 @@ import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from docweave.functions import files
 from docweave.sources.store import exists, hadoop_path
+from docweave.sources.xlsx_source import XlsxSource
+from docweave.sources.zip_source import archives_at, read_archives
 
 ERROR = "error_code string, error_message string"
 #: What a parsed part is: a page, an image, an image in a document, a cell, a sheet, merged cells, a document's text or a text; number is its place (page, or running number in the file).
@@ -34,6 +35,8 @@ class ParseOptions:
     renderer: Callable | None = None
 
 
+#: Parts that are held before they are given on.
+BATCH = 10_000
 #: Bytes that a task should have at least to read, where files are many and small.
 TASK_BYTES = 64 << 20
 
@@ -87,6 +90,15 @@ def expand_archives(found: DataFrame) -> DataFrame:
     return found.select("path", "content").mapInArrow(run, f"path string, origin string, entry string, sub int, content binary, file_hash string, length long, {ERROR}")
 
 
+def scan_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """Files at the paths with the entries of archives in their place, as expand_archives() gives them; archives are read by their entries."""
+    zips = archives_at(spark, *paths)
+    none, archive = F.lit(None).cast("string"), F.lower("path").endswith(files.ARCHIVE_EXTENSION)
+    found = binary_files(spark, *paths).where(~archive)
+    own = found.select("path", F.col("path").alias("origin"), none.alias("entry"), F.lit(0).alias("sub"), "content", "file_hash", "length", none.alias("error_code"), none.alias("error_message"))
+    return own.unionByName(read_archives(spark, zips)) if zips else own
+
+
 def _row(path: str, kind: str, number: int = 0, **given) -> tuple:
     return tuple({"path": path, "kind": kind, "number": number, **given}.get(n) for n in NAMES)
 
@@ -139,7 +151,7 @@ def parse_one(path: str, content: bytes, options: ParseOptions = ParseOptions())
 
 
 def parse_files(found: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
-    """found (path, content) as PARTS; ms is a file's time, on its first part. A file is parsed in one piece; large ones are dealt out by the scan.
+    """found (path, content) as PARTS; ms is a file's time, on its last part. A file's parts are given on as they are found. One that fails has an error as its only part, or, after so many parts that some are given on already, as its last.
 
     Where found is a scan with file_hash, length and errors, each file has a part of kind file besides, with
     its hash as text and its length as ref, and what could not be opened is a part of kind error: so that
@@ -147,16 +159,24 @@ def parse_files(found: DataFrame, options: ParseOptions = ParseOptions()) -> Dat
     """
     scanned = "file_hash" in found.columns and "error_message" in found.columns
 
-    def parts(row: tuple) -> list[tuple]:
+    def parts(row: tuple) -> Iterator[tuple]:
         path, content, *more = row
         if scanned and more[3] is not None:
-            return [_row(path, "error", error_code=more[2], error_message=more[3])]
-        began, rows = time.monotonic(), list(parse_one(path, content or b"", options))
-        if any(r[1] == "error" for r in rows):  # a file that fails has no other parts
-            rows = [r for r in rows if r[1] == "error"]
-        if rows:
-            rows[0] = (*rows[0][:11], int((time.monotonic() - began) * 1000), *rows[0][12:])
-        return [*([_row(path, "file", text=more[0], ref=str(more[1]))] if scanned else []), *rows]
+            yield _row(path, "error", error_code=more[2], error_message=more[3])
+            return
+        if scanned:
+            yield _row(path, "file", text=more[0], ref=str(more[1]))
+        began, held, given = time.monotonic(), [], False
+        for r in parse_one(path, content or b"", options):
+            if r[1] == "error" and not given:
+                held.clear()
+            held.append(r)
+            if len(held) > BATCH:  # one is held back, for the time
+                yield from held[:-1]
+                held, given = held[-1:], True
+        if held:
+            held[-1] = (*held[-1][:11], int((time.monotonic() - began) * 1000), *held[-1][12:])
+        yield from held
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -164,9 +184,9 @@ def parse_files(found: DataFrame, options: ParseOptions = ParseOptions()) -> Dat
         kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = parts(row)
-                for k in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[k : k + 10_000], strict=True), kinds, strict=True)], NAMES)
+                made = parts(row)
+                while rows := list(islice(made, BATCH)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], NAMES)
 
     return found.select("path", "content", *(("file_hash", "length", "error_code", "error_message") if scanned else ())).mapInArrow(run, PARTS)
 
@@ -225,36 +245,3 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("xlsx_cells", F.udtf(XlsxCells, returnType="sheet: string, ref: string, value_type: string, text: string"))
     spark.udtf.register("pdf_pages", F.udtf(PdfPages, returnType="page_no: int, total: int, text: string"))
     spark.dataSource.register(XlsxSource)
-
-
-class XlsxSource(DataSource):
-    """spark.read.format("xlsx_cells").load(file): the cells of a workbook, wherever pyarrow's file systems reach."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "xlsx_cells"
-
-    def schema(self) -> str:
-        return "sheet string, ref string, value_type string, text string, formula string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return XlsxReader(self.options["path"])
-
-
-class XlsxReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self):
-        return [InputPartition(self.path)]
-
-    def read(self, partition):
-        from docweave.sources import xlsx
-
-        from pyarrow import fs
-
-        path = partition.value
-        system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-        with system.open_input_file(inner) as f:
-            for c in xlsx.cells(f.readall()):
-                yield c.sheet, c.ref, c.kind, c.text, c.formula

@@ -10,6 +10,7 @@ Of rows with the same path one stays. The driver holds one journal name a task;
 
 from __future__ import annotations
 
+import io
 import json
 import time
 import uuid
@@ -36,6 +37,41 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
+class InPlace(io.RawIOBase):
+    """A file of any store, read where it is asked for; a place before its beginning is an OSError, as readers expect."""
+
+    def __init__(self, path: str):
+        system, inner = file_system(path)
+        self.file = system.open_input_file(inner)
+
+    def readable(self) -> bool:
+        return True
+
+    seekable = readable
+
+    def readinto(self, buffer) -> int:
+        data = self.file.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+    def seek(self, place: int, whence: int = io.SEEK_SET) -> int:
+        place += {io.SEEK_SET: 0, io.SEEK_CUR: self.file.tell(), io.SEEK_END: self.file.size()}[whence]
+        if place < 0:
+            raise OSError("before the beginning")
+        return self.file.seek(place)
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def close(self) -> None:
+        self.file.close()
+        super().close()
+
+
+def in_place(path: str) -> io.BufferedReader:
+    return io.BufferedReader(InPlace(path), 1 << 18)
+
+
 def put(path: str, content: bytes) -> None:
     system, inner = file_system(path)
     system.create_dir(inner.rpartition("/")[0] or ".", recursive=True)
