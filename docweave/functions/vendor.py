@@ -80,18 +80,24 @@ def grid_markdown(cells: Column) -> Column:
     def final(s: Column) -> Column:
         return F.filter(s, lambda x, i: (x["text"] != "") & (F.get(s, i + 1).isNull() | (F.get(s, i + 1)["r"] != x["r"]) | (F.get(s, i + 1)["c"] != x["c"])))
 
+    # Cells are in order of row and column, so a row is a slice between two beginnings, and all is read once.
     def table(put: Column) -> Column:
-        rows, cols = (F.array_sort(F.array_distinct(F.transform(put, lambda x: x[k]))) for k in ("r", "c"))
+        cols = F.array_sort(F.array_distinct(F.transform(put, lambda x: x["c"])))
+        begins = F.filter(F.transform(put, lambda x, i: F.when((i == 0) | (F.get(put, i - 1)["r"] != x["r"]), i)), lambda i: i.isNotNull())
 
-        def shown(cs: Column) -> Column:
-            def row(r: Column, i: Column) -> Column:
+        def shown(both: Column) -> Column:
+            cs, starts = both["cs"], both["starts"]
+
+            def row(start: Column, i: Column) -> Column:
                 blank = lambda k: F.when(i == 0, F.concat(F.lit("Column "), (k + 1).cast("string"))).otherwise("")
-                texts = let(F.filter(put, lambda x: x["r"] == r), lambda own: F.transform(cs, lambda c, k: F.coalesce(F.get(F.filter(own, lambda x: x["c"] == c), F.lit(0))["text"], blank(k))))
-                return F.when(i == 0, F.concat(line(texts), F.lit("\n"), line(F.transform(cs, lambda c: F.lit("---"))))).otherwise(line(texts))
+                own = F.slice(put, start + 1, F.coalesce(F.get(starts, i + 1), F.size(put)) - start)
+                placed = F.struct(own.alias("own"), F.transform(own, lambda x: x["c"]).alias("at"))
+                texts = let(placed, lambda o: F.transform(cs, lambda c, k: F.coalesce(F.get(o["own"], F.array_position(o["at"], c).cast("int") - 1)["text"], blank(k))))
+                return let(texts, lambda t: F.when(i == 0, F.concat(line(t), F.lit("\n"), line(F.transform(cs, lambda c: F.lit("---"))))).otherwise(line(t)))
 
-            return F.array_join(F.transform(rows, row), "\n")
+            return F.array_join(F.transform(starts, row), "\n")
 
-        return F.when(F.size(put) > 0, let(cols, shown)).otherwise("")
+        return F.when(F.size(put) > 0, let(F.struct(cols.alias("cs"), begins.alias("starts")), shown)).otherwise("")
 
     return let(let(ranked, final), table)
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docweave.functions.numbers import price_table, round_half_up, yuan
+from docweave.operators.ranges import highest_sum
 
 
 def priced(calls: DataFrame) -> DataFrame:
@@ -30,8 +30,14 @@ def peak_in_flight(calls: DataFrame, keys: list[str], began: str = "started_ms",
     """keys, peak: the most calls (from began on, for ms, a call of no time for one) that were open at once; one that ends when another begins is not open with it."""
     edges = calls.select(*keys, F.explode(F.array(F.struct(F.col(began).alias("at"), F.lit(1).alias("d")), F.struct((F.col(began) + F.greatest(F.col(ms), F.lit(1))).alias("at"), F.lit(-1).alias("d")))).alias("e")).select(*keys, "e.at", "e.d")
     steps = edges.groupBy(*keys, "at").agg(F.sum("d").alias("d"))  # equal times become one step before they are put in order
-    open_ = F.sum("d").over(Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    return steps.withColumn("n", open_).groupBy(*keys).agg(F.max("n").alias("peak"))
+    return highest_sum(steps, keys, "at", "d", "peak")
+
+
+def peak_of(calls: Column) -> Column:
+    """The same of one array of calls."""
+    edges = F.flatten(F.transform(calls, lambda c: F.array(F.struct(c["started_ms"].alias("at"), F.lit(1).alias("d")), F.struct((c["started_ms"] + F.greatest(c["ms"], F.lit(1))).alias("at"), F.lit(-1).alias("d")))))
+    none = F.struct(F.lit(0).alias("now"), F.lit(0).alias("peak"))  # ends come before beginnings at the same time
+    return F.aggregate(F.array_sort(edges), none, lambda a, e: F.struct((a["now"] + e["d"]).alias("now"), F.greatest(a["peak"], a["now"] + e["d"]).alias("peak")))["peak"].cast("long")
 
 
 def quality(field_count: Column, full_text: Column, seals: Column, signatures: Column, warnings: Column) -> Column:
@@ -58,6 +64,13 @@ def performance(calls: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def performance_of(calls: Column) -> dict[str, Column]:
+    """The same of one array of calls, by name."""
+    add = lambda of, c: F.aggregate(of, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x[c], F.lit(0)))
+    of = lambda *stages: F.filter(calls, lambda x: x["stage"].isin(*stages))
+    return {"total_ms": add(calls, "ms"), **{f"{s}_ms": add(of(s), "ms") for s in ("extract", "ocr", "seal", "llm")}, "retries": add(calls, "retries"), "images": F.size(of("ocr", "seal")).cast("long")}
+
+
 def rolled_up(perf: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """The sums of columns for each value of by, and for all (by is null there, and total true)."""
     return perf.rollup(by).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in columns), (F.grouping(by) == 1).alias("total"))

@@ -20,11 +20,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from docweave.operators.ranges import group_of
 from docweave.sources.store import checkpointed, stored
 
 #: Sources of a job that one task takes in order, and sources of a range of a larger job.
@@ -41,10 +42,6 @@ def batch_numbers(sizes: Iterable[int], most: int) -> Iterator[int]:
         yield no
 
 
-def _job(keys: list[str]) -> Column:
-    return F.xxhash64(*(x for k in keys for x in (F.col(k), F.col(k).isNull()))) if keys else F.lit(0).cast("long")
-
-
 def _within(a: int, b: int, incl, excl, most: int):
     """Of each source of a job in a range, from a to b, the next beginning (b if it is beyond)."""
     import numpy as np
@@ -162,7 +159,7 @@ def numbered(sizes: DataFrame, keys: list[str], order: str, most: int, in_task:
     """sizes (keys, order, __n) as keys, order, batch_no. order tells a job's sources apart; a null size counts as 0."""
     by = [*keys, order]
     schema = T.StructType([*(sizes.schema[k] for k in by), T.StructField("batch_no", T.IntegerType())])
-    rows = sizes.select(*by, _job(keys).alias("__job"), F.coalesce(F.col("__n").cast("long"), F.lit(0)).alias("__n"))
+    rows = sizes.select(*by, group_of(keys).alias("__job"), F.coalesce(F.col("__n").cast("long"), F.lit(0)).alias("__n"))
     large = {r["__job"]: r["n"] for r in rows.groupBy("__job").agg(F.count("*").alias("n")).where(F.col("n") > in_task).collect()}  # each has over in_task sources
     in_one = lambda few: _in_order(few.repartition("__job").sortWithinPartitions("__job", order).withColumn("__part", F.lit(0)), by, schema, most, {})
     if not large:

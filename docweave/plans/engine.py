@@ -101,16 +101,19 @@ class DocEngine:
         """PARTS as path, raw, total, truncated, sheets_shown, calls, error_code, error_message: a row a file. parts is read several times; it should be stored."""
         c, read = self.config, stored(self.read(parts, detect))
         some = lambda a: F.when(F.size(a) > 0, a)
-        shown = read.where("kind <> 'embedded'")
-        pages = shown.groupBy("path").agg(
-            F.array_sort(F.collect_list(F.struct(F.col("number").alias("page_no"), F.coalesce("text", F.lit("")).alias("text"), "blocks"))).cast(f"array<{result.PAGE}>").alias("pages"),
-            F.transform(F.array_sort(F.collect_list(F.struct("number", "seals"))), lambda x: x["seals"]).alias("page_seals"), F.transform(F.array_sort(F.collect_list(F.struct("number", "signatures"))), lambda x: x["signatures"]).alias("page_signatures"),
-            F.max("total").alias("page_total"), F.bool_or(F.col("kind") == "page").alias("has_pages"),
+        # One aggregate over all that was read; of embedded images only the calls count here, so a file without pages and images has none.
+        shown, own = F.col("kind") != "embedded", lambda *c: F.collect_list(F.when(F.col("kind") != "embedded", F.struct(*c)))
+        filled = lambda a: F.when(F.size(a) > 0, a)
+        pages = read.groupBy("path").agg(
+            filled(F.array_sort(own(F.col("number").alias("page_no"), F.coalesce("text", F.lit("")).alias("text"), "blocks"))).cast(f"array<{result.PAGE}>").alias("pages"),
+            filled(F.transform(F.array_sort(own("number", "seals")), lambda x: x["seals"])).alias("page_seals"), filled(F.transform(F.array_sort(own("number", "signatures")), lambda x: x["signatures"])).alias("page_signatures"),
+            F.max(F.when(shown, F.col("total"))).alias("page_total"), F.bool_or(F.when(shown, F.col("kind") == "page")).alias("has_pages"),
+            F.collect_list("call").alias("calls"), F.min("ocr_error").alias("ocr_error"),
         )
-        calls = read.groupBy("path").agg(F.collect_list("call").alias("calls"), F.min("ocr_error").alias("ocr_error"))
         inside = read.where("kind = 'embedded'")
         in_images = lambda f, marked, name: f(inside.select("path", F.col("number").alias("image_no"), F.col(marked).alias(name)), ["path"])
         listed = lambda df, name: df.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(*(x for x in df.columns if x != "path")))).alias(name))
+        none = F.lit(None)
         docx_seals, docx_signatures = listed(in_images(marks.seals_in_images, "seal_marks", "seals"), "docx_seals"), listed(in_images(marks.signatures_in_images, "signature_marks", "signatures"), "docx_signatures")
         cut = text.truncate(F.col("text"), c.docx_max_chars)
         other = parts.groupBy("path").agg(
@@ -131,7 +134,9 @@ class DocEngine:
             F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", lines.alias("lines")))), lambda s: s["lines"])), "\n").alias("sheet_text"),
         )
         out = other
-        for more in (pages, calls, docx_seals, docx_signatures, by_file):
+        if not detect:  # then no embedded image was looked at
+            out = out.withColumns({"docx_seals": none.cast(f"array<{result.SEAL}>"), "docx_signatures": none.cast(f"array<{result.SIGNATURE}>")})
+        for more in (pages, by_file, *((docx_seals, docx_signatures) if detect else ())):
             out = out.join(more, "path", "left")
         sections = F.transform(text.paragraphs(F.col("document.text")), lambda p, i: F.struct(F.concat(F.lit("p-"), (i + 1).cast("string")).alias("section_id"), p.alias("text")))
         page_text = F.when(F.col("has_pages"), F.array_join(F.transform("pages", lambda p: F.concat(F.lit("--- Page "), p["page_no"].cast("string"), F.lit(" ---\n"), p["text"])), "\n\n")).otherwise(F.get("pages", F.lit(0))["text"])
@@ -225,13 +230,14 @@ class DocEngine:
             round_half_up(F.sum("yuan"), 4).alias("total_yuan"),
             F.map_from_entries(F.collect_list(F.struct("model", F.struct("calls", "prompt_tokens", "completion_tokens", "image_tokens", "yuan").alias("v")))).alias("calls_by_model"),
         )
-        perf, peak = metrics.performance(calls, ["path"]), metrics.peak_in_flight(calls.where("stage in ('ocr', 'seal')"), ["path"])
+        # A file's calls are one array: what is added up of them needs no shuffle.
+        perf, peak = metrics.performance_of(F.col("calls")), metrics.peak_of(F.filter("calls", lambda c: c["stage"].isin("ocr", "seal")))
         raw = F.col("raw")
         quality = metrics.quality(metrics.field_count(F.col("extracted")), raw["full_text"], raw["seals"], raw["signatures"], F.col("warnings")).cast(result.QUALITY)
         # A hit took no time and made no calls this time; what it cost then is not counted again.
         hit = F.col("cache_hit")
-        performance = F.struct(*(F.when(hit, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c) for c in ("total_ms", "extract_ms", "ocr_ms", "seal_ms", "llm_ms")), hit.alias("cache_hit"), F.coalesce("peak", F.lit(0)).cast("long").alias("ocr_concurrency_peak"), "retries", "images").cast(result.PERFORMANCE)
-        both = rows.join(perf, "path", "left").join(peak, "path", "left").join(cost, "path", "left")
+        performance = F.struct(*(F.when(hit, F.lit(0)).otherwise(perf[c]).cast("long").alias(c) for c in ("total_ms", "extract_ms", "ocr_ms", "seal_ms", "llm_ms")), hit.alias("cache_hit"), peak.alias("ocr_concurrency_peak"), perf["retries"].alias("retries"), perf["images"].alias("images")).cast(result.PERFORMANCE)
+        both = rows.join(cost, "path", "left")
         spent = F.struct(F.coalesce("total_yuan", F.lit(0.0)).alias("total_yuan"), F.coalesce("calls_by_model", F.create_map().cast(result.COST[result.COST.index("map<") : -1])).alias("calls_by_model")).cast(result.COST)
         return both.withColumn("metrics", F.struct(quality.alias("quality"), performance.alias("performance"), spent.alias("cost")))
 

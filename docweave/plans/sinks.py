@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docweave.functions import files
+from docweave.operators.ranges import numbered_within
 from docweave.sources.sink import commit_files
 from docweave.sources.store import stored
 
@@ -24,9 +24,9 @@ def output_names(slots: DataFrame, out: str | None = None, ending: str = ".md",
     base = files.base_name(name) if whole_name else files.stem(name)
     folder = F.lit(out.rstrip("/")) if out else _folder(F.col("path"))
     named = slots.withColumns({"__folder": folder, "__base": base})
-    nth = F.row_number().over(Window.partitionBy("__folder", "__base").orderBy("origin", "sub"))
-    numbered = F.when(nth > 1, F.concat(F.lit("."), nth.cast("string"))).otherwise("")
-    return named.withColumn("out_file", F.concat("__folder", F.lit("/"), "__base", numbered, F.lit(ending))).drop("__folder", "__base")
+    placed = numbered_within(named, ["__folder", "__base"], ["origin", "sub", "path"], "__nth")  # very many may share a name
+    numbered = F.when(F.col("__nth") > 1, F.concat(F.lit("."), F.col("__nth").cast("string"))).otherwise("")
+    return placed.withColumn("out_file", F.concat("__folder", F.lit("/"), "__base", numbered, F.lit(ending))).drop("__folder", "__base", "__nth")
 
 
 def write_markdown(rows: DataFrame, out: str | None = None) -> DataFrame:
