@@ -7,8 +7,8 @@ the smallest document; the places to drop go back to their document, which is pu
 the rest by position. Hashes have 128 bits.
 
 Defined results: a null or empty text is one empty line and is kept; rows that share a doc_id count as
-one document, each is cleaned by itself; a null doc_id counts as a document of its own that is larger
-than all others; other columns stay as they are, but those named n_lines or n_dropped give way to the
+one document, each is cleaned by itself; all rows without a doc_id count together as one document that is
+larger than all others, so a line that only they share stays; other columns stay as they are, but those named n_lines or n_dropped give way to the
 added ones; an empty table gives an empty result.
 """
 

@@ -2,14 +2,15 @@
 
 The model gives a text the sum of the probabilities of all ways to spell it with the pieces of an
 existing vocabulary, closed by an end. Pieces never cross white space, so the sum is a product over
-words, and a word's sum is one forward recursion in log space over its lattice. A piece's weight is a
-mixture: a share SCORES comes from its score in the vocabulary (its rank there, as 1 / rank), the rest from
-its share of the training texts as the vocabulary's own library segments them. The shares of the two are
-the same at every size of the input. A character without a piece is spelled by its bytes.
+words, and a word's sum is one forward recursion in log space over its lattice. The vocabulary's scores alone
+say which piece weighs more than which: its scores are ranks, and a weight is rank ** -exponent. The exponent,
+one number, is the likeliest for the pieces of the training texts as the vocabulary's own library segments
+them. (With a smaller share SCORES, the rest of a weight comes from the pieces' shares of the training texts.)
+A character without a piece is spelled by its bytes, which weigh as little as the last piece.
 
 Training counts words in each task (bounded memory), adds the counts up, and segments each distinct word
-once. Words with at least a share 1 / FREQUENT of all tokens, so never more than FREQUENT of them, are
-broadcast with count and score, which executors compute. The documents are read once more: frequent words are looked up in the
+once. Words with at least a share 1 / FREQUENT of all tokens, so never more than FREQUENT of them, and of at most
+FREQUENT_BYTES each, are broadcast with count and score, which executors compute. The documents are read once more: frequent words are looked up in the
 task; the others leave as (row, word, n), each no hotter than that share, and are joined with the word
 table by word. Nothing is cut or sampled.
 
@@ -32,9 +33,11 @@ from docweave.llm.best_fit_packing import tokenizer_path
 from docweave.llm.common import arrow_rows, bucket_of, groups_of_text, stored, table, text_of
 
 FOLDS, HELD_OUT = 7, 2
-FREQUENT = 1_000_000
+FREQUENT, FREQUENT_BYTES = 100_000, 64
 #: The share of the vocabulary's own scores in a piece's weight.
-SCORES = 0.5
+SCORES = 1.0
+#: Exponents that are possible.
+EXPONENTS = (0.0, 8.0)
 #: Distinct words that a task counts before it gives them on.
 COUNTED = 400_000
 END = "</s>"
@@ -55,19 +58,37 @@ def library(path: str):
     return _libraries[path]
 
 
-def vocabulary(path: str) -> dict[str, float]:
-    """The pieces with their prior probability; bytes are written as single control characters of their own (see spell)."""
+def ranks(path: str) -> dict[str, int]:
+    """The rank of each piece by its score, from 2; of the end that of the first, of bytes that of the last."""
     sp = library(path)
     size = sp.get_piece_size()
     plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) and MARK not in sp.id_to_piece(i)[1:]]
     plain.sort(key=lambda i: (-sp.get_score(i), i))
-    weights = {sp.id_to_piece(i): 1 / (k + 2) for k, i in enumerate(plain)}
-    least = min(weights.values(), default=1.0)
-    weights |= {f"<0x{b:02X}>": least for b in range(256)} | {END: max(weights.values(), default=1.0)}
+    found = {sp.id_to_piece(i): k + 2 for k, i in enumerate(plain)}
+    return found | {f"<0x{b:02X}>": len(found) + 1 for b in range(256)} | {END: 2}
+
+
+def vocabulary(path: str, exponent: float = 1.0) -> dict[str, float]:
+    """The pieces with their prior probability."""
+    weights = {p: k**-exponent for p, k in ranks(path).items()}
     total = math.fsum(weights.values())
     return {p: w / total for p, w in weights.items()}
 
 
+def fitted_exponent(counts: dict[str, int], of_piece: dict[str, int]) -> float:
+    """The exponent under which the counted pieces are likeliest: where the mean logarithm of a rank is what it is in the counts."""
+    total = sum(counts.values())
+    if not total:
+        return 1.0
+    seen = math.fsum(n * math.log(of_piece[p]) for p, n in counts.items()) / total
+    logs, (low, high) = [math.log(k) for k in of_piece.values()], EXPONENTS
+    for _ in range(60):  # the mean falls as the exponent grows
+        middle = (low + high) / 2
+        weights = [math.exp(-middle * x) for x in logs]
+        low, high = (middle, high) if math.fsum(w * x for w, x in zip(weights, logs, strict=True)) > seen * math.fsum(weights) else (low, middle)
+    return (low + high) / 2
+
+
 class PieceModel:
     """Log probabilities of pieces, and of words by all their spellings."""
 
@@ -133,9 +154,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def piece_weights(counts: DataFrame, texts: int, path: str, scores: float = SCORES) -> dict[str, float]:
-    """Log probabilities of the pieces: the vocabulary's scores mixed with the pieces' shares of the training words (word, c). As many numbers as the vocabulary has pieces."""
-    prior = vocabulary(path)
+def piece_weights(counts: DataFrame, texts: int, path: str, scores: float = SCORES, exponent: float | None = None) -> dict[str, float]:
+    """Log probabilities of the pieces: by the vocabulary's scores, whose exponent is fitted to the training words (word, c) unless it is given, mixed with the pieces' shares of these words if scores is less than 1. As many numbers as the vocabulary has pieces."""
+    of_piece = ranks(path)
 
     def run(batches):
         import numpy as np
@@ -151,14 +172,14 @@ def piece_weights(counts: DataFrame, texts: int, path: str, scores: float = SCOR
         yield pa.RecordBatch.from_arrays([pa.array([sp.id_to_piece(int(i)) for i in at], pa.string()), pa.array(found[at])], ["piece", "n"])
 
     found = {r["piece"]: r["n"] for r in counts.select("word", "c").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
-    n = {p: k for p, k in found.items() if p in prior} | {END: texts}
-    total = sum(n.values())
-    if not total:
+    n = {p: k for p, k in found.items() if p in of_piece} | {END: texts}
+    total, prior = sum(n.values()), vocabulary(path, fitted_exponent(n, of_piece) if exponent is None else exponent)
+    if not total or scores == 1:
         return {p: math.log(w) for p, w in prior.items()}
     return {p: math.log(scores * w + (1 - scores) * n.get(p, 0) / total) for p, w in prior.items()}
 
 
-def lm_scores(docs: DataFrame, path: str | None = None, folds: int = FOLDS, held_out: int = HELD_OUT, frequent: int = FREQUENT, scores: float = SCORES) -> DataFrame:
+def lm_scores(docs: DataFrame, path: str | None = None, folds: int = FOLDS, held_out: int = HELD_OUT, frequent: int = FREQUENT, scores: float = SCORES, exponent: float | None = None) -> DataFrame:
     """docs (doc_id, text) as doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     path = path or tokenizer_path("piece_bpe_32k.model")
     sc = docs.sparkSession.sparkContext
@@ -168,7 +189,7 @@ def lm_scores(docs: DataFrame, path: str | None = None, folds: int = FOLDS, held
     texts = train.count()
     n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
     n, v = n + texts, v + (texts > 0)
-    logs = piece_weights(counts, texts, path, scores)
+    logs = piece_weights(counts, texts, path, scores, exponent)
     weights, key = sc.broadcast(logs), uuid.uuid4().hex
 
     def scored(batches):
@@ -181,7 +202,8 @@ def lm_scores(docs: DataFrame, path: str | None = None, folds: int = FOLDS, held
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(lns)], ["word", "c", "ln"])
 
     with_score = "word string, c long, ln double"
-    most = counts.where(F.col("c") * F.lit(frequent) >= n).mapInArrow(scored, with_score)  # at most `frequent` rows: each has that share of n
+    is_frequent = (F.col("c") * F.lit(frequent) >= n) & (F.octet_length("word") <= FREQUENT_BYTES)
+    most = counts.where(is_frequent).mapInArrow(scored, with_score)  # at most `frequent` rows: each has that share of n
     tier_one = sc.broadcast({r["word"].encode(): (r["c"], r["ln"]) for r in most.toLocalIterator()})
     base, ln10 = math.log10(n + v + 1), math.log(10)
 
@@ -218,7 +240,7 @@ def lm_scores(docs: DataFrame, path: str | None = None, folds: int = FOLDS, held
     rare = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("k"))
 
     # Each distinct rare word is scored once, whether training has it or only a held-out text.
-    rest = counts.where(F.col("c") * F.lit(frequent) < n)
+    rest = counts.where(~is_frequent)
     unseen = rows.where("held_out").select(F.explode("words").alias("word")).distinct().join(rest, "word", "left_anti").withColumn("c", F.lit(0).cast("long"))
     words = rest.select("word", "c").unionAll(unseen).mapInArrow(scored, with_score).withColumnRenamed("word", "w")
     sums = rare.join(words, F.col("word") == F.col("w")).groupBy("row").agg(

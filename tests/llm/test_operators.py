@@ -660,11 +660,34 @@ def test_lm_score_by_all_spellings(docs_of, scores):
     total = sum(n.values())
     logs = {p: np.log(scores * w + (1 - scores) * n.get(p, 0) / total) for p, w in prior.items()}
     pieces = {p: w for p, w in logs.items() if p != lm_scoring.END}
-    for r in lm_scoring.lm_scores(docs_of(*rows), scores=scores, frequent=30).collect():
+    for r in lm_scoring.lm_scores(docs_of(*rows), scores=scores, frequent=30, exponent=1.0).collect():
         want = sum(marginal(w, pieces) for w in tokens[r["doc_id"]]) + logs[lm_scoring.END]
         assert r["score"] == pytest.approx(want / np.log(10), rel=1e-9)
 
 
+def test_lm_weights_follow_the_scores(spark, docs_of):
+    """The vocabulary's order is the weights' order, so of two spellings with as many pieces, one with better pieces weighs more; the fitted exponent is the likeliest."""
+    path = lm_scoring.tokenizer_path("piece_bpe_32k.model")
+    of_piece = lm_scoring.ranks(path)
+    words = spark.createDataFrame([("the", 50), ("quick", 3), ("jumped", 2), ("\U0001f600", 1)], "word string, c long")
+    logs = lm_scoring.piece_weights(words, 9, path)
+    by_rank = sorted(of_piece, key=of_piece.get)
+    assert all(logs[a] >= logs[b] for a, b in zip(by_rank, by_rank[1:], strict=False)) and np.exp(list(logs.values())).sum() == pytest.approx(1)
+    pairs = [(by_rank[a], by_rank[b]) for a in (3, 50, 700) for b in (9, 1000, 20_000)]
+    assert sorted(pairs, key=lambda p: -logs[p[0]] - logs[p[1]]) == sorted(pairs, key=lambda p: np.log(of_piece[p[0]]) + np.log(of_piece[p[1]]))
+    counts = {by_rank[5]: 40, by_rank[60]: 25, by_rank[9000]: 5, lm_scoring.END: 9, "<0xF0>": 2}
+    likelihood = lambda s: sum(n * np.log(lm_scoring.vocabulary(path, s)[p]) for p, n in counts.items())
+    best = lm_scoring.fitted_exponent(counts, of_piece)
+    assert 0 < best < 8 and likelihood(best) > max(likelihood(best + 0.01), likelihood(best - 0.01)) and lm_scoring.fitted_exponent({}, of_piece) == 1
+
+
+def test_lm_score_odd(odd):
+    rows = lm_scoring.lm_scores(odd, frequent=3).collect()
+    assert len(rows) == 9 and all(np.isfinite(r["score"]) and np.isfinite(r["base_score"]) for r in rows)
+    assert {r["doc_id"]: r["n_tokens"] for r in rows if r["doc_id"] in (1, 2, 4)} == {1: 1, 2: 1, 4: 30_001}
+    assert lm_scoring.lm_scores(odd.where("false")).count() == 0
+
+
 # 10
 
 
