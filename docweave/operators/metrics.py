@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docweave.functions.numbers import price_table, round_half_up, yuan
@@ -71,6 +71,15 @@ def performance_of(calls: Column) -> dict[str, Column]:
     return {"total_ms": add(calls, "ms"), **{f"{s}_ms": add(of(s), "ms") for s in ("extract", "ocr", "seal", "llm")}, "retries": add(calls, "retries"), "images": F.size(of("ocr", "seal")).cast("long")}
 
 
+def observed(results: DataFrame) -> tuple[DataFrame, Observation]:
+    """Results (ok, metrics) and what will be known of them with the action that writes or counts them: files, ok, failed, total_ms, retries, images, yuan."""
+    seen, of = Observation(), lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return results.observe(
+        seen, F.count("*").alias("files"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"), of("metrics.performance.total_ms").alias("total_ms"),
+        of("metrics.performance.retries").alias("retries"), of("metrics.performance.images").alias("images"), of("metrics.cost.total_yuan").alias("yuan"),
+    ), seen
+
+
 def rolled_up(perf: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """The sums of columns for each value of by, and for all (by is null there, and total true)."""
     return perf.rollup(by).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in columns), (F.grouping(by) == 1).alias("total"))

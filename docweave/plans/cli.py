@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docweave.config import parse_prompt, resolve
 from docweave.errors import ConfigInvalid
 from docweave.functions.files import base_name, inner_name
+from docweave.operators import metrics
 from docweave.operators.archives import archive_summaries, input_slots
 from docweave.plans import result, sinks
 from docweave.plans.engine import DocEngine
@@ -47,7 +48,9 @@ def inputs(engine: DocEngine, paths: list[str]) -> tuple[DataFrame, list[dict]]:
 def extract(engine: DocEngine, args) -> tuple[dict, int]:
     paths = [whole(engine.spark, p) for p in args.paths]
     slots, archives = inputs(engine, paths)
-    rows = stored(engine.results(paths, None, args.full_pages, args.detect_seals, args.force))
+    results, seen = metrics.observed(engine.results(paths, None, args.full_pages, args.detect_seals, args.force))
+    rows = stored(results)
+    log.info("results: %s", seen.get)  # known with the action that stored them
     both = slots.join(rows.select("path", "ok", "markdown", F.col("error_code").alias("code"), F.col("error_message").alias("error"), F.col("metrics.performance.total_ms").alias("ms")), "path", "left")
     written = sinks.write_markdown(both.where("ok and kind = 'parse'").select("origin", "sub", "path", "markdown"), args.out)
     if args.results:
@@ -61,6 +64,7 @@ def extract(engine: DocEngine, args) -> tuple[dict, int]:
         items.append(item)
     failed = sum(not i["ok"] for i in items)
     summary = {"total": len(items), "ok": len(items) - failed, "failed": failed, "totalMs": sum(i["durationMs"] for i in items), "items": items}
+    summary["metrics"] = {k: seen.get[k] for k in ("files", "retries", "images", "yuan")}
     return summary | ({"archives": archives} if archives else {}), failed
 
 

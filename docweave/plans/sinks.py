@@ -39,9 +39,9 @@ def write_markdown(rows: DataFrame, out: str | None = None) -> DataFrame:
 def write_results(results: DataFrame, out: str) -> DataFrame:
     """Results of DocEngine (path and the columns of result.RESULT) as <name>.parsed.json in a folder; gives path, out_file."""
     body = [c for c in ("schema_version", "parsed_at", "parser_version", "source", "raw", "metrics", "warnings") if c in results.columns]
-    whole = F.to_json(F.struct(*body))
-    # What was extracted is JSON already and goes in as it is.
-    whole = F.when(F.col("extracted").isNull(), whole).otherwise(F.concat(F.left(whole, F.char_length(whole) - 1), F.lit(',"extracted":'), "extracted", F.lit("}")))
+    whole = F.to_json(F.struct(*body), {"pretty": "true"})
+    # What was extracted is JSON already and goes in as it is, before the last line.
+    whole = F.when(F.col("extracted").isNull(), whole).otherwise(F.concat(F.left(whole, F.char_length(whole) - 2), F.lit(',\n  "extracted" : '), "extracted", F.lit("\n}")))
     rows = results.where("ok").select(F.col("path").alias("origin"), F.lit(0).alias("sub"), "path", whole.alias("content"))
     named = stored(output_names(rows, out, ".parsed.json", True))
     commit_files(named.select(F.col("out_file").alias("path"), "content"))

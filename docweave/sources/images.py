@@ -118,6 +118,12 @@ def shrunk(pixels, edge: int = LONG_EDGE):
     return np.floor(pixels + 0.5).astype(np.uint8)
 
 
+def kind_of(content: bytes) -> str:
+    """By its first bytes; what is not known counts as PNG."""
+    heads = {b"\xff\xd8\xff": "image/jpeg", b"GIF8": "image/gif", b"BM": "image/bmp", b"II*\0": "image/tiff", b"MM\0*": "image/tiff"}
+    return next((kind for head, kind in heads.items() if content.startswith(head)), "image/webp" if content[:4] == b"RIFF" and content[8:12] == b"WEBP" else "image/png")
+
+
 def prepared(content: bytes, edge: int = LONG_EDGE) -> tuple[bytes, str]:
     """An image as it is sent: a PNG within the long edge, its kind beside it. What cannot be decoded here (JPEG, rare PNGs) is sent as it is; see decoded()."""
     from docweave.sources.writers import png

@@ -132,7 +132,7 @@ def parse_one(path: str, content: bytes, options: ParseOptions = ParseOptions())
         elif ext == ".docx":
             yield _row(path, "document", 1, text=docx.raw_text(content))
             for no, image in docx.images(content) if options.detect else ():
-                yield _row(path, "embedded", no, image=image, mime="image/png")
+                yield _row(path, "embedded", no, image=image, mime=images.kind_of(image))
         elif ext == ".doc":
             try:
                 yield _row(path, "document", 1, text=doc.raw_text(content))
