@@ -14,8 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FENCE = re.compile(r"\A```[^\n]*\n(.*?)\n```\s*\Z", re.S)
-ANY_FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.S | re.I)
+TICKS, BRACKET = "```", re.compile(r"[\[\]{}]")
 #: Marks that open and close strings as models write them.
 DOUBLE, SINGLE = "\"\u201c\u201d", "'\u2018\u2019"
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
@@ -33,9 +32,25 @@ def strict(text: str):
 
 def outermost(text: str) -> str | None:
     """From the first opening bracket to the last closing one."""
-    starts = [k for k in (text.find("{"), text.find("[")) if k >= 0]
-    end = max(text.rfind("}"), text.rfind("]"))
-    return text[min(starts) : end + 1] if starts and end > min(starts) else None
+    found = [(m.start(), m[0] in "[{") for m in BRACKET.finditer(text)]
+    begin = next((place for place, opens in found if opens), len(text))
+    end = next((place for place, opens in reversed(found) if not opens), -1)
+    return text[begin : end + 1] if begin < end else None
+
+
+def fenced(text: str) -> str | None:
+    """What stands between the first line and the last one, if these are a fence."""
+    first, *body, last = text.split("\n") if text.count("\n") > 1 else ("", "")
+    return "\n".join(body) if first.startswith(TICKS) and last.rstrip() == TICKS else None
+
+
+def fenced_anywhere(text: str) -> str:
+    """What stands between the first two fences, without the name of the format; empty without two."""
+    _, *inside = text.split(TICKS, 2)
+    if len(inside) < 2:
+        return ""
+    named = inside[0][:4].lower() == "json"
+    return inside[0][4 if named else 0 :].strip()
 
 
 def _string(text: str, at: int) -> tuple[str, int]:
@@ -84,8 +99,8 @@ def parse_fixing(text: str):
     """The first of these that is JSON: the text, what its fence holds, its outermost brackets, those repaired."""
     inner = text.strip()
     tries = [inner]
-    if m := FENCE.match(inner):
-        tries.append(inner := m[1].strip())
+    if (body := fenced(inner)) is not None:
+        tries.append(inner := body.strip())
     sliced = outermost(inner)
     tries += [x for x in (sliced, repaired(sliced or inner)) if x]
     for t in tries:
@@ -99,9 +114,8 @@ def parse_fixing(text: str):
 def parse_lenient(text: str):
     """The older way: the text, a fence anywhere in it, its outermost brackets if something stands before them."""
     raw = text.strip()
-    tries = [raw, *([m[1].strip()] if (m := ANY_FENCE.search(raw)) and m[1] else [])]
-    starts = [k for k in (raw.find("{"), raw.find("[")) if k >= 0]
-    if starts and min(starts) > 0 and (sliced := outermost(raw)):
+    tries = [raw, *([body] if (body := fenced_anywhere(raw)) else [])]
+    if (sliced := outermost(raw)) and raw[:1] not in ("{", "["):
         tries.append(sliced)
     for t in tries:
         try:
