@@ -16,6 +16,7 @@ from docweave.operators.cache import through_cache
 from docweave.operators.external import call_llm, call_ocr
 from docweave.operators.journal import Journal
 from docweave.plans import result
+from docweave.sources.images import upright
 from docweave.sources.scan import ParseOptions, missing, parse_files, scan_files
 from docweave.sources.store import shared_folder, stored
 
@@ -99,7 +100,8 @@ class DocEngine:
 
     def assemble(self, parts: DataFrame, detect: bool) -> DataFrame:
         """PARTS as path, raw, total, truncated, sheets_shown, calls, error_code, error_message: a row a file. parts is read several times; it should be stored."""
-        c, read = self.config, stored(self.read(parts, detect))
+        c = self.config
+        read = stored(self.read(upright(parts, c.image_max_long_edge), detect))
         some = lambda a: F.when(F.size(a) > 0, a)
         # One aggregate over all that was read; of embedded images only the calls count here, so a file without pages and images has none.
         shown, own = F.col("kind") != "embedded", lambda *c: F.collect_list(F.when(F.col("kind") != "embedded", F.struct(*c)))

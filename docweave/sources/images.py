@@ -8,7 +8,11 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.sources.store import shared_folder, stored, write_files
+
 LONG_EDGE = 2000
+#: A mark of images that are too large or not upright.
+UNFITTED = "unfitted"
 
 
 def size(content: bytes) -> tuple[int, int, int]:
@@ -125,7 +129,7 @@ def kind_of(content: bytes) -> str:
 
 
 def prepared(content: bytes, edge: int = LONG_EDGE) -> tuple[bytes, str]:
-    """An image as it is sent: a PNG within the long edge, its kind beside it. What cannot be decoded here (JPEG, rare PNGs) is sent as it is; see decoded()."""
+    """An image as it is sent: a PNG within the long edge, its kind beside it. What cannot be decoded here (JPEG, rare PNGs) stays as it is; see unfitted() and upright()."""
     from docweave.sources.writers import png
 
     width, height, turn = size(content)
@@ -139,6 +143,35 @@ def prepared(content: bytes, edge: int = LONG_EDGE) -> tuple[bytes, str]:
     return png(pixels.shape[1], pixels.shape[0], pixels.tobytes(), pixels.shape[2]), "image/png"
 
 
+def unfitted(content: bytes, edge: int = LONG_EDGE) -> bool:
+    """Whether an image is too large or not upright; False for what has no size that can be read."""
+    try:
+        width, height, turn = size(content)
+    except (ValueError, IndexError, struct.error):
+        return False
+    return max(width, height) > edge or turn != 1
+
+
+def upright(parts: DataFrame, edge: int = LONG_EDGE) -> DataFrame:
+    """parts (image, mime, value_type and others) where images marked as unfitted are upright PNGs within the long edge, as far as Spark can decode them; others stay.
+
+    Spark decodes files, so the images, each content once, are written into the shared folder and read from there
+    by its image source, in the tasks that have them; a part finds its image again by the hash of what it was.
+    """
+    marked = F.col("value_type") == UNFITTED
+    todo = parts.where(marked).select(F.sha2("image", 256).alias("key"), "image").dropDuplicates(["key"])
+    if todo.isEmpty():
+        return parts
+    spark = parts.sparkSession
+    folder = shared_folder(spark)
+    write_files(todo.select(F.concat(F.lit(f"{folder}/"), "key").alias("path"), F.col("image").alias("content"))).write.format("noop").mode("overwrite").save()
+    fit = decoded(spark, folder, edge=edge).select(F.regexp_extract("path", "([^/]*)$", 1).alias("__key"), F.col("image").alias("__png"), F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string")).alias("__size"))
+    fit = stored(fit)
+    names, there = parts.columns, F.col("__png").isNotNull()
+    new = {"image": F.coalesce("__png", "image"), "mime": F.when(there, F.lit("image/png")).otherwise(F.col("mime")), "ref": F.when(there & F.col("ref").isNotNull(), F.col("__size")).otherwise(F.col("ref")), "value_type": F.when(~marked | F.col("value_type").isNull(), F.col("value_type"))}
+    return parts.withColumn("__key", F.when(marked, F.sha2("image", 256))).join(fit, "__key", "left").select(*(new[c].alias(c) if c in new else F.col(c) for c in names))
+
+
 def decoded(spark: SparkSession, *paths: str, edge: int = LONG_EDGE) -> DataFrame:
     """path, width, height, image of PNG and JPEG files, upright and within the long edge, as PNG. Spark's image source decodes; the orientation comes from the file's head."""
     found = spark.read.format("image").option("dropInvalid", True).load(list(paths)).select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")

@@ -90,12 +90,16 @@ def expand_archives(found: DataFrame) -> DataFrame:
     return found.select("path", "content").mapInArrow(run, f"path string, origin string, entry string, sub int, content binary, file_hash string, length long, {ERROR}")
 
 
+#: Names that do not end in .zip, in any case, as a glob.
+NO_ARCHIVE = "{*[!pP],[pP],*[!iI][pP],[iI][pP],*[!zZ][iI][pP],[zZ][iI][pP],*[!.][zZ][iI][pP]}"
+
+
 def scan_files(spark: SparkSession, *paths: str) -> DataFrame:
     """Files at the paths with the entries of archives in their place, as expand_archives() gives them; archives are read by their entries."""
     zips = archives_at(spark, *paths)
-    none, archive = F.lit(None).cast("string"), F.lower("path").endswith(files.ARCHIVE_EXTENSION)
-    found = binary_files(spark, *paths).where(~archive)
-    own = found.select("path", F.col("path").alias("origin"), none.alias("entry"), F.lit(0).alias("sub"), "content", "file_hash", "length", none.alias("error_code"), none.alias("error_message"))
+    none = F.lit(None).cast("string")
+    own = binary_files(spark, *paths, pattern=NO_ARCHIVE)  # by name, before anything is read: an archive may be larger than a cell
+    own = own.select("path", F.col("path").alias("origin"), none.alias("entry"), F.lit(0).alias("sub"), "content", "file_hash", "length", none.alias("error_code"), none.alias("error_message"))
     return own.unionByName(read_archives(spark, zips)) if zips else own
 
 
@@ -103,6 +107,13 @@ def _row(path: str, kind: str, number: int = 0, **given) -> tuple:
     return tuple({"path": path, "kind": kind, "number": number, **given}.get(n) for n in NAMES)
 
 
+def _fit(image: bytes | None, options: ParseOptions) -> str | None:
+    """A mark for an image that only Spark's image source can make fit."""
+    from docweave.sources import images
+
+    return images.UNFITTED if image and images.unfitted(image, options.long_edge) else None
+
+
 def parse_one(path: str, content: bytes, options: ParseOptions = ParseOptions()) -> Iterator[tuple]:
     """The parts of a file (see PARTS)."""
     from docweave.functions.text import OCR_TEXT_THRESHOLD
@@ -120,7 +131,7 @@ def parse_one(path: str, content: bytes, options: ParseOptions = ParseOptions())
             for no in range(1, total + 1) if options.full_pages else pdf.select_pages(total, options.max_pages, options.page_ratio):
                 text = read.text(no - 1)
                 drawn = draw(read, no - 1, options.long_edge) if options.detect or len(text) < OCR_TEXT_THRESHOLD else None
-                yield _row(path, "page", no, text=text, total=total, image=drawn and drawn[0], mime=drawn and drawn[1])
+                yield _row(path, "page", no, text=text, total=total, image=drawn and drawn[0], mime=drawn and drawn[1], value_type=_fit(drawn and drawn[0], options))
         elif ext in (".xlsx", ".xls"):
             read = xlsx if ext == ".xlsx" else xls
             for k, name in enumerate(read.sheet_names(content), 1):
@@ -132,7 +143,7 @@ def parse_one(path: str, content: bytes, options: ParseOptions = ParseOptions())
         elif ext == ".docx":
             yield _row(path, "document", 1, text=docx.raw_text(content))
             for no, image in docx.images(content) if options.detect else ():
-                yield _row(path, "embedded", no, image=image, mime=images.kind_of(image))
+                yield _row(path, "embedded", no, image=image, mime=images.kind_of(image), value_type=_fit(image, options))
         elif ext == ".doc":
             try:
                 yield _row(path, "document", 1, text=doc.raw_text(content))
@@ -141,7 +152,7 @@ def parse_one(path: str, content: bytes, options: ParseOptions = ParseOptions())
         elif ext in (".jpg", ".jpeg", ".png"):
             width, height = images.fitted(*images.size(content), edge=options.long_edge)
             sent, mime = images.prepared(content, options.long_edge)
-            yield _row(path, "image", 1, ref=f"{width}x{height}", total=1, image=sent, mime=mime)
+            yield _row(path, "image", 1, ref=f"{width}x{height}", total=1, image=sent, mime=mime, value_type=_fit(sent, options))
         else:
             yield _row(path, "error", error_code=files.UNSUPPORTED, error_message=f"Unsupported file extension: {ext or '(none)'}")
     except pdf.Protected as e:
@@ -151,7 +162,7 @@ def parse_one(path: str, content: bytes, options: ParseOptions = ParseOptions())
 
 
 def parse_files(found: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
-    """found (path, content) as PARTS; ms is a file's time, on its last part. A file's parts are given on as they are found. One that fails has an error as its only part, or, after so many parts that some are given on already, as its last.
+    """found (path, content) as PARTS (an image's value_type says if it does not fit yet, see images.upright); ms is a file's time, on its last part. A file's parts are given on as they are found. One that fails has an error as its only part, or, after so many parts that some are given on already, as its last.
 
     Where found is a scan with file_hash, length and errors, each file has a part of kind file besides, with
     its hash as text and its length as ref, and what could not be opened is a part of kind error: so that

@@ -1,11 +1,11 @@
 """Totals by observation, result files, kinds of images, imports that must not be hidden."""
 
 import json
+import os
 import subprocess
 import sys
 
 import pytest
-from conftest import ROOT
 from fixtures import docx
 
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from docweave.plans.sinks import write_results
 from docweave.sources.images import kind_of
 from docweave.sources.store import stored
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):

@@ -8,7 +8,7 @@ from fixtures import zipped
 
 from pyspark.sql import functions as F
 
-from docweave.sources.scan import binary_files, expand_archives
+from docweave.sources.scan import binary_files, expand_archives, scan_files
 from docweave.sources.zip_source import NAMES, archives_at, read_archives
 
 
@@ -67,3 +67,12 @@ def test_larger_than_a_cell(spark, tmp_path):
             z.writestr(f"e{k}.bin", bytes(1 << 20))
     found = read_archives(spark, archives_at(spark, str(tmp_path)), task_bytes=4 << 20)
     assert found.rdd.getNumPartitions() == 10 and found.where(F.col("entry") == "e7.bin").select("length").first()[0] == 1 << 20
+
+
+def test_only_archives_are_left_out_by_name(spark, tmp_path):
+    names = ["a.zip", "b.ZIP", "c.Zip", "zip", "ip", "p", "x.zi", "azip", "x.zap", "x.tip", "x.pdf", "y.zip.md", "zipp", "z.gzip"]
+    for n in names:
+        (tmp_path / n).write_bytes(zipped({"e.md": "x"}) if n.lower().endswith(".zip") else b"x")
+    found = {r["path"].rsplit("/", 1)[1] for r in scan_files(spark, str(tmp_path)).collect()}
+    assert found == {f"{n}!e.md" if n.lower().endswith(".zip") else n for n in names}
+    assert scan_files(spark, str(tmp_path / "a.zip")).count() == 1 == scan_files(spark, str(tmp_path / "zip")).count()
