@@ -5,9 +5,15 @@ existing vocabulary, closed by an end. Pieces never cross white space, so the su
 words, and a word's sum is one forward recursion in log space over its lattice. The vocabulary's scores alone
 say which piece weighs more than which: its scores are ranks, and a weight is rank ** -exponent. The exponent,
 one number, is the likeliest for the pieces of the training texts as the vocabulary's own library segments
-them. (With a smaller share SCORES, the rest of a weight comes from the pieces' shares of the training texts.)
+them. With a smaller share `scores`, as in the query, the rest of a weight comes from the pieces' shares of the training texts.
 A character without a piece is spelled by its bytes, which weigh as little as the last piece.
 
+With `words` (the query's way) a token of the training texts is one more spelling of itself, a single arc over the
+whole word: a token's probability is (1 - known) * the lattice's sum + known * its share of the training tokens.
+known is what Good and Turing give for meeting a known token again, from the number of tokens seen once; it is never 1.
+The lattice's sums over all words and the end add up to at most 1 (a word begins with a piece that has the mark, goes
+on with pieces that have none, and stops with what is left), so this is a probability too. The pieces' weights stay as they are.
+
 Training counts words in each task (bounded memory), adds the counts up, and segments each distinct word
 once. Words with at least a share 1 / FREQUENT of all tokens, so never more than FREQUENT of them, and of at most
 FREQUENT_BYTES each, are broadcast with count and score, which executors compute. The documents are read once more: frequent words are looked up in the
@@ -36,6 +42,8 @@ FOLDS, HELD_OUT = 7, 2
 FREQUENT, FREQUENT_BYTES = 100_000, 64
 #: The share of the vocabulary's own scores in a piece's weight.
 SCORES = 1.0
+#: The same in the query: by the scores alone, words that training does not know are spelled some 4 powers of ten worse.
+QUERY_SCORES = 0.5
 #: Exponents that are possible.
 EXPONENTS = (0.0, 8.0)
 #: Distinct words that a task counts before it gives them on.
@@ -179,16 +187,32 @@ def piece_weights(counts: DataFrame, texts: int, path: str, scores: float = SCOR
     return {p: math.log(scores * w + (1 - scores) * n.get(p, 0) / total) for p, w in prior.items()}
 
 
-def lm_scores(docs: DataFrame, path: str | None = None, folds: int = FOLDS, held_out: int = HELD_OUT, frequent: int = FREQUENT, scores: float = SCORES, exponent: float | None = None) -> DataFrame:
-    """docs (doc_id, text) as doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def known_share(n: int, once: int) -> float:
+    """The share of tokens to come that training knows already, by Good and Turing; less than 1 whatever is counted."""
+    return (n - once) / (n + 1)
+
+
+def with_whole(ln, c, n: int, known: float):
+    """Logarithms of the lattice's sums with the token itself, counted c times of n, as one more spelling."""
+    import numpy as np
+
+    if not known:
+        return ln
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(ln + math.log1p(-known), np.log(np.asarray(c, np.float64) * (known / n)))
+
+
+def lm_scores(docs: DataFrame, path: str | None = None, folds: int = FOLDS, held_out: int = HELD_OUT, frequent: int = FREQUENT, scores: float = SCORES, exponent: float | None = None, words: bool = False) -> DataFrame:
+    """docs (doc_id, text) as doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. words: a training token is also a spelling of itself."""
     path = path or tokenizer_path("piece_bpe_32k.model")
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), F.coalesce(bucket_of("doc_id", folds) == held_out, F.lit(False)).alias("held_out"))
     train = docs.where(~F.col("held_out"))
     counts = stored(word_counts(train.select("doc_id", "text")))
     texts = train.count()
-    n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
+    n, v, once = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1)).first())
     n, v = n + texts, v + (texts > 0)
+    known = known_share(n, once + (texts == 1)) if words else 0.0
     logs = piece_weights(counts, texts, path, scores, exponent)
     weights, key = sc.broadcast(logs), uuid.uuid4().hex
 
@@ -199,6 +223,7 @@ def lm_scores(docs: DataFrame, path: str | None = None, folds: int = FOLDS, held
         model = model_of(key, lambda: weights.value)
         for batch in batches:
             lns = np.fromiter((model.word(w.encode()) for w in batch.column("word").to_pylist()), np.float64, batch.num_rows)
+            lns = with_whole(lns, batch.column("c").to_numpy(), n, known)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(lns)], ["word", "c", "ln"])
 
     with_score = "word string, c long, ln double"
@@ -213,7 +238,7 @@ def lm_scores(docs: DataFrame, path: str | None = None, folds: int = FOLDS, held
 
         names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "plus", "ln", "words", "times"]
         row, table_ = TaskContext.get().partitionId() << 40, tier_one.value
-        end = weights.value[END]
+        end = float(with_whole(weights.value[END], texts, n, known))
         for group in groups_of_text(arrow_rows(batches, "doc_id", "text", "held_out")):
             out: list[list] = [[] for _ in names]
             for doc, text, held in group:
@@ -242,8 +267,8 @@ def lm_scores(docs: DataFrame, path: str | None = None, folds: int = FOLDS, held
     # Each distinct rare word is scored once, whether training has it or only a held-out text.
     rest = counts.where(~is_frequent)
     unseen = rows.where("held_out").select(F.explode("words").alias("word")).distinct().join(rest, "word", "left_anti").withColumn("c", F.lit(0).cast("long"))
-    words = rest.select("word", "c").unionAll(unseen).mapInArrow(scored, with_score).withColumnRenamed("word", "w")
-    sums = rare.join(words, F.col("word") == F.col("w")).groupBy("row").agg(
+    each = rest.select("word", "c").unionAll(unseen).mapInArrow(scored, with_score).withColumnRenamed("word", "w")
+    sums = rare.join(each, F.col("word") == F.col("w")).groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("more_plus"), F.sum(F.col("k") * F.col("ln")).alias("more_ln")
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -254,4 +279,4 @@ def lm_scores(docs: DataFrame, path: str | None = None, folds: int = FOLDS, held
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return lm_scores(table(spark, sf_dir, "documents"), scores=QUERY_SCORES, words=True)

@@ -606,6 +606,34 @@ def test_lm_scores(spark, texts):
         assert r["score"] < 0
 
 
+def test_lm_scores_near_the_base(spark):
+    """Held-out rows score about as the base does; what is lost is the spelling of unknown words, for which the base has one probability for all."""
+    rows = [r for r in QUERIES["op9_lm_scoring"](spark, SF).collect() if r["held_out"]]
+    assert rows and all(np.isfinite(r["score"]) for r in rows)
+    assert sum(r["score"] for r in rows) > 1.5 * sum(r["base_score"] for r in rows)
+    known = [r for r in rows if r["n_known"] > 0.95 * r["n_tokens"]]
+    assert all(r["score"] > 1.3 * r["base_score"] for r in known)
+
+
+@pytest.mark.parametrize("frequent", [1, 10**6])
+def test_lm_whole_words(docs_of, frequent):
+    """A token of the training texts is a spelling of itself beside all others, with the share that Good and Turing give to known tokens."""
+    docs = docs_of(*[(k, f"the thexalumine of the {'once' * (k == 3)}") for k in range(14)])
+    plain = {r["doc_id"]: r for r in lm_scoring.lm_scores(docs, frequent=frequent, exponent=1.0).collect()}
+    whole = {r["doc_id"]: r for r in lm_scoring.lm_scores(docs, frequent=frequent, exponent=1.0, words=True).collect()}
+    train = [k for k in range(14) if not held(k, 7)]
+    n = whole[0]["train_tokens"]
+    known = lm_scoring.known_share(n, int(3 in train))
+    logs = {p: np.log(w) for p, w in lm_scoring.vocabulary(lm_scoring.tokenizer_path("piece_bpe_32k.model"), 1.0).items()}
+    model = lm_scoring.PieceModel(logs)
+    one = lambda w, c: np.log10((1 - known) * np.exp(model.word(w.encode())) + known * c / n)
+    c = len(train)
+    want = one("the", 2 * c) * 2 + one("thexalumine", c) + one("of", c) + np.log10((1 - known) * np.exp(logs[lm_scoring.END]) + known * c / n)
+    other = next(k for k in range(14) if k != 3)
+    assert whole[other]["score"] == pytest.approx(want, rel=1e-9) and plain[other]["score"] < whole[other]["score"]
+    assert lm_scoring.known_share(10, 10) == 0 and lm_scoring.known_share(10, 0) < 1
+
+
 @pytest.mark.parametrize("frequent", [1, 10**6])
 def test_lm_tiers_agree(docs_of, frequent):
     docs = docs_of(*[(k, f"the word{k % 5} of été \U0001f600 and {'x' * k}") for k in range(20)], (20, None), (21, ""), (21, ""))
