@@ -116,9 +116,10 @@ class ZipSource(DataSource):
 
 
 def archives_at(spark: SparkSession, *paths: str) -> list[tuple[str, int]]:
-    """Names and sizes of the archives at the paths (files or folders), as Spark's own file sources list them."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(list(paths)).select("path", "length")
-    return sorted((r["path"], r["length"]) for r in listed.toLocalIterator())
+    """Names and sizes of the archives at the paths (files or folders); the driver is given those of archives alone."""
+    from docweave.sources.scan import listed
+
+    return sorted((r["path"], r["length"]) for r in listed(spark, *paths, pattern="*.[zZ][iI][pP]").toLocalIterator())
 
 
 def read_archives(spark: SparkSession, found: list[tuple[str, int]], task_bytes: int = TASK_BYTES, entry: str | None = None) -> DataFrame:

@@ -110,3 +110,65 @@ def test_structure_with_cache(spark, tmp_path):
         answered = engine.structure(sources)
         assert answered.count() == 3 and {(r["k"], r["v"]) for r in engine.fields(answered).collect()} == {("mockField", "mock")}
     assert spark.read.parquet(str(tmp_path / "cache" / "answers")).count() == 3
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    """The driver has no list of the files, a task has its share of them; names, lengths and hashes are those of Spark's own reader."""
+    from pyspark.sql import functions as F
+
+    from docweave.sources.scan import TASK_FILES, binary_files, listed
+
+    for k in range(40):
+        (tmp_path / f"f{k}.txt").write_bytes(b"x" * k)
+    for name in (".hidden.txt", "_hidden.txt", "a b!.zip"):
+        (tmp_path / name).write_bytes(b"y")
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "f.txt").write_bytes(b"z")
+    found = binary_files(spark, str(tmp_path))
+    plain = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "length", "content", F.sha2("content", 256).alias("file_hash"))
+    assert sorted(found.where("length > 0").collect()) == sorted(plain.collect()) and found.count() == 41  # Spark passes over empty files
+    assert not found.inputFiles() or not any(f.endswith(".txt") for f in found.inputFiles())
+    assert 1 < found.rdd.getNumPartitions() <= 40 and TASK_FILES > 1
+    names = {r["path"].rsplit("/", 1)[1] for r in listed(spark, str(tmp_path), pattern="{*[!tT],*[!xX][tT]}").collect()}
+    assert names == {"a b!.zip"}
+    assert {r["path"] for r in listed(spark, f"{tmp_path}/f1?.txt").collect()} == {f"file:{tmp_path}/f{k}.txt" for k in range(10, 20)}
+    assert [r["length"] for r in listed(spark, str(tmp_path / "f7.txt")).collect()] == [7]
+    (tmp_path / "none").mkdir()
+    assert binary_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_many_files_are_one_batch(spark, tmp_path):
+    """Parts of small files go on together."""
+    from docweave.sources.scan import binary_files, parse_files
+
+    for k in range(64):
+        (tmp_path / f"f{k}.txt").write_bytes(b"x" * k)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    parts = parse_files(binary_files(spark, str(tmp_path)).coalesce(1))
+    assert [r["n"] for r in parts.mapInArrow(sizes, "n long").collect()] == [64] and sorted(len(r["text"]) for r in parts.collect()) == list(range(64))
+
+
+def test_images_are_decoded_by_tasks(spark, tmp_path, monkeypatch):
+    """Usual PNGs never reach the source whose driver lists them; what is none goes there, in rounds."""
+    from docweave.sources import images
+    from docweave.sources.writers import png
+
+    for k in range(6):
+        (tmp_path / f"f{k}.png").write_bytes(png(20 + k, 10))
+    asked = []
+    by_spark = images._by_spark
+    monkeypatch.setattr(images, "_by_spark", lambda *a, **b: asked.append(a[1]) or by_spark(*a, **b))
+    sizes = lambda: sorted((r["path"].rsplit("/", 1)[1], r["width"], r["height"]) for r in images.decoded(spark, str(tmp_path), edge=22).collect())
+    want = [(f"f{k}.png", *images.fitted(20 + k, 10, 1, 22)) for k in range(6)]
+    assert sizes() == want and not asked
+    monkeypatch.setattr(images, "ROUND", 2)
+    monkeypatch.setattr(images, "png_pixels", lambda content: None)
+    for name in ("no.png", "odd.jpg"):
+        (tmp_path / name).write_bytes(b"no image")
+    assert sizes() == want
