@@ -172,3 +172,20 @@ def test_images_are_decoded_by_tasks(spark, tmp_path, monkeypatch):
     for name in ("no.png", "odd.jpg"):
         (tmp_path / name).write_bytes(b"no image")
     assert sizes() == want
+
+
+@pytest.mark.parametrize("mb", [0, 6, 8, 17])
+def test_large_compound_files(mb):
+    """From 7 MB on the sectors of the table are more than the head has room for; from 15 MB on their list has several sectors."""
+    from docweave.sources.ole import Compound, compound
+
+    data = bytes(range(251)) * (mb * (1 << 20) // 251) + b"end"
+    assert Compound(compound({"Workbook": data, "Other": b"x" * 5000})).stream("Workbook")[: len(data)] == data
+
+
+def test_large_xls():
+    from docweave.sources import xls as xls_
+
+    rows = {name: [[k, f"{name} customer {k:030}", k % 7, k % 2 == 0] for k in range(30_000)] for name in ("A", "B", "C")}
+    found = list(xls_.cells(xls_.xls(rows)))
+    assert len(found) == 3 * 4 * 30_000 and found[-1].ref == "D30000" and found[-3].text == f"C customer {29_999:030}"
