@@ -76,3 +76,25 @@ def test_only_archives_are_left_out_by_name(spark, tmp_path):
     found = {r["path"].rsplit("/", 1)[1] for r in scan_files(spark, str(tmp_path)).collect()}
     assert found == {f"{n}!e.md" if n.lower().endswith(".zip") else n for n in names}
     assert scan_files(spark, str(tmp_path / "a.zip")).count() == 1 == scan_files(spark, str(tmp_path / "zip")).count()
+
+
+def test_zip_scan_partitions_do_not_grow_with_the_input(spark, monkeypatch):
+    """Archives of 600 MB are some partitions for each core, not one for each 16 KB."""
+    from docweave.plans import scan_queries
+
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def read(spark, found, task_bytes):
+        asked.append(task_bytes)
+        raise Asked
+
+    monkeypatch.setattr(scan_queries, "_zips", lambda spark, sf_dir: "")
+    monkeypatch.setattr(scan_queries, "read_archives", read)
+    for size in (1000, 600 << 20):
+        monkeypatch.setattr(scan_queries, "archives_at", lambda spark, path, size=size: [("file:/none/f1.zip", size)])
+        with pytest.raises(Asked):
+            scan_queries.zip_scan(spark, "")
+    assert asked[0] == 16_384 and (600 << 20) / asked[1] <= 5 * spark.sparkContext.defaultParallelism
