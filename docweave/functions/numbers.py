@@ -18,6 +18,11 @@ PRICES = (
 USD_TO_CNY = 7.2
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where value is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def round_half_up(x: Column, digits: int) -> Column:
     return F.floor(x * 10**digits + 0.5) / 10**digits
 
@@ -51,9 +56,13 @@ def mean_confidence(values: Column) -> Column:
 
 def bbox(points: Column) -> Column:
     """[x, y, width, height] of array<struct(x, y)>, null without points."""
-    good = F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    x, y = F.transform(good, lambda p: p["x"]), F.transform(good, lambda p: p["y"])
-    return F.when(F.size(good) > 0, F.array(F.array_min(x), F.array_min(y), F.array_max(x) - F.array_min(x), F.array_max(y) - F.array_min(y)))
+
+    def around(good: Column) -> Column:
+        x, y = F.transform(good, lambda p: p["x"]), F.transform(good, lambda p: p["y"])
+        ends = F.struct(F.array_min(x).alias("x"), F.array_min(y).alias("y"), F.array_max(x).alias("x_end"), F.array_max(y).alias("y_end"))
+        return F.when(F.size(good) > 0, let(ends, lambda e: F.array(e["x"], e["y"], e["x_end"] - e["x"], e["y_end"] - e["y"])))
+
+    return let(F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull()), around)
 
 
 def upper_median(values: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docweave.functions import numbers
+from docweave.functions.numbers import let
 from docweave.functions.text import escape_markdown, escape_table_cell, trim
 
 # Fixed names of the vendor's JSON. A word's box comes in several shapes, so it is read as text first.
@@ -19,11 +20,6 @@ BLOCK_PREFIX = "aliyun-"
 BLOCKS = "array<struct<block_id:string,text:string,bbox:array<double>,confidence:double>>"
 
 
-def let(value: Column, body) -> Column:
-    """body(value), where value is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def or_none(a: Column, kind: str) -> Column:
     return F.coalesce(a, F.array().cast(f"array<{kind}>"))
 
@@ -31,10 +27,11 @@ def or_none(a: Column, kind: str) -> Column:
 def reply_data(reply: Column) -> Column:
     """The data of a reply (REPLY): what its body holds under Data or data, as an object or as JSON text; other text becomes its content."""
     body = F.coalesce(F.get_json_object(reply, "$.body"), reply)
-    data = F.coalesce(F.get_json_object(body, "$.Data"), F.get_json_object(body, "$.data"))
+    data = let(body, lambda b: F.coalesce(F.get_json_object(b, "$.Data"), F.get_json_object(b, "$.data")))
+    in_braces = lambda s: F.startswith(s, F.lit("{")) & F.endswith(s, F.lit("}"))
 
     def read(raw: Column) -> Column:
-        is_object = F.startswith(trim(raw), F.lit("{")) & F.endswith(trim(raw), F.lit("}")) & F.try_parse_json(raw).isNotNull()
+        is_object = (in_braces(raw) | let(trim(raw), in_braces)) & F.try_parse_json(raw).isNotNull()
         as_content = F.to_json(F.struct(raw.alias("content")))
         return F.from_json(F.when(is_object, raw).when(raw.isNotNull(), as_content).otherwise(F.lit("{}")), REPLY)
 
@@ -43,12 +40,16 @@ def reply_data(reply: Column) -> Column:
 
 def box_of(word: Column) -> Column:
     """[x, y, width, height] of a word: from a rectangle, from points {x, y} or from points [x, y]; null if none can be used."""
-    raw = F.coalesce(word["position"], word["pos"], word["points"])
-    flat = F.from_json(raw, "struct<x:double,y:double,width:double,height:double>")
-    whole = F.array(flat["x"], flat["y"], flat["width"], flat["height"])
-    pairs = F.transform(F.from_json(raw, "array<array<double>>"), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
-    points = F.when(raw.rlike(r"^\s*\[\s*\["), pairs).otherwise(F.from_json(raw, "array<struct<x:double,y:double>>"))
-    return F.when(raw.rlike(r"^\s*\{"), F.when(~F.exists(whole, lambda v: v.isNull()), whole)).otherwise(numbers.bbox(points))
+
+    def rectangle(flat: Column) -> Column:
+        return let(F.array(flat["x"], flat["y"], flat["width"], flat["height"]), lambda whole: F.when(~F.exists(whole, lambda v: v.isNull()), whole))
+
+    def read(raw: Column) -> Column:
+        pairs = F.transform(F.from_json(raw, "array<array<double>>"), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+        points = F.when(raw.rlike(r"^\s*\[\s*\["), pairs).otherwise(F.from_json(raw, "array<struct<x:double,y:double>>"))
+        return F.when(raw.rlike(r"^\s*\{"), let(F.from_json(raw, "struct<x:double,y:double,width:double,height:double>"), rectangle)).otherwise(numbers.bbox(points))
+
+    return let(F.coalesce(word["position"], word["pos"], word["points"]), read)
 
 
 def blocks(data: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.functions import vendor
-from docweave.functions.numbers import mean_confidence
+from docweave.functions.numbers import let, mean_confidence
 from docweave.functions.text import escape_markdown, group_lines, trim
 
 #: A line takes words whose top is within this share of the mean height of its median top, at least MIN_STEP.
 HEIGHT_SHARE, MIN_STEP = 0.65, 8.0
 WIDTH_SHARE, MIN_GAP = 0.8, 24.0
+#: Pages of up to so many words are laid out word by word, others by numpy; words that are Python values at once; lines that are held before they are given on.
+SMALL_PAGE, WORDS, LINES = 48, 100_000, 50_000
 WHITE = " \t\n\r\f\v\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 LINE_END, BLANK_RUN, ODD = re.compile(r"\r?\n"), re.compile(rf"[{WHITE}]+"), re.compile(rf"[|{WHITE}]")
 
@@ -53,6 +56,46 @@ def shown(line: list[tuple]) -> str:
     return BLANK_RUN.sub(" ", "".join(out)).strip(WHITE)
 
 
+def _plain_lines(x, y, w, h, words: list[str]) -> tuple[list[int], list[str]]:
+    """The lines of a page without odd words: their sizes and texts. Numbers are numpy arrays."""
+    import numpy as np
+
+    order = np.lexsort((x, y))
+    reach = max(MIN_STEP, HEIGHT_SHARE * float(np.maximum(h, 1.0).mean()))
+    starts = np.array(line_starts(y[order].tolist(), reach))
+    line = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
+    order = order[np.lexsort((np.arange(len(order)), x[order], line))]
+    wide = np.maximum(MIN_GAP, WIDTH_SHARE * np.add.reduceat(np.maximum(w[order], 1.0), starts) / np.diff(np.r_[starts, len(order)]))
+    right = x[order] + w[order]
+    gap = np.r_[False, x[order][1:] - right[:-1] > wide[line[1:]]]
+    gap[starts] = False
+    parts = [f" {words[k]}" if g else words[k] for k, g in zip(order.tolist(), gap.tolist(), strict=True)]
+    ends = [*starts.tolist(), len(parts)]
+    return [b - a for a, b in zip(ends, ends[1:])], ["".join(parts[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+def _laid_out(batch) -> Iterator[tuple[list[int], list[str]]]:
+    """The sizes and texts of the lines of each page of an Arrow batch with the arrays x, y, w, h, text."""
+    cut = batch.column("text").offsets.to_numpy()
+    own_words, numbers = batch.column("text").values, {c: batch.column(c) for c in "xywh"}
+    # Of arrays without missing numbers the values are taken as they lie; the k-th page's begin at its offset.
+    whole = all(v.null_count == 0 and v.values.null_count == 0 and (v.offsets.to_numpy() == cut).all() for v in numbers.values())
+    values = {c: v.values.to_numpy(zero_copy_only=False) for c, v in numbers.items()} if whole else {}
+    start, words = int(cut[0]), []  # some pages' words as Python values, from the word start on
+    for k in range(batch.num_rows):
+        a, z = int(cut[k]), int(cut[k + 1])
+        if z > start + len(words):
+            # As many pages more as have WORDS words, one at least.
+            start, end = a, max(z, int(cut[max(k + 1, int(cut.searchsorted(a + WORDS, "right")) - 1)]))
+            words = own_words.slice(a, end - a).to_pylist()
+        own = words[a - start : z - start]
+        if whole and len(own) > SMALL_PAGE and None not in own and "" not in own and ODD.search("\x00".join(own)) is None:
+            yield _plain_lines(*(values[c][a:z] for c in "xywh"), own)
+        else:
+            found = lines_of(list(zip(*(values[c][a:z].tolist() if whole else v[k].as_py() or [] for c, v in numbers.items()), own, strict=True)))
+            yield [len(line) for line in found], [shown(line) for line in found]
+
+
 def page_lines(pages: DataFrame, keys: list[str]) -> DataFrame:
     """pages (keys, and the arrays x, y, w, h, text of their words) as keys, line_no, n_words, line.
 
@@ -62,65 +105,60 @@ def page_lines(pages: DataFrame, keys: list[str]) -> DataFrame:
     schema = T.StructType([*(pages.schema[k] for k in keys), T.StructField("line_no", T.IntegerType()), T.StructField("n_words", T.LongType()), T.StructField("line", T.StringType())])
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        def plain_lines(x, y, w, h, words):
-            """The lines of a page without odd words: their sizes and texts. Numbers are numpy arrays."""
-            order = np.lexsort((x, y))
-            reach = max(MIN_STEP, HEIGHT_SHARE * float(np.maximum(h, 1.0).mean()))
-            starts = np.array(line_starts(y[order].tolist(), reach))
-            line = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
-            order = order[np.lexsort((np.arange(len(order)), x[order], line))]
-            wide = np.maximum(MIN_GAP, WIDTH_SHARE * np.add.reduceat(np.maximum(w[order], 1.0), starts) / np.diff(np.r_[starts, len(order)]))
-            right = x[order] + w[order]
-            gap = np.r_[False, x[order][1:] - right[:-1] > wide[line[1:]]]
-            gap[starts] = False
-            parts = [f" {words[k]}" if g else words[k] for k, g in zip(order.tolist(), gap.tolist(), strict=True)]
-            ends = [*starts.tolist(), len(parts)]
-            return [b - a for a, b in zip(ends, ends[1:])], ["".join(parts[a:b]) for a, b in zip(ends, ends[1:])]
+        def given(batch, at, no, n, text):
+            rows = pa.array(at, pa.int64())
+            return pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in keys), pa.array(no, pa.int32()), pa.array(n, pa.int64()), pa.array(text, pa.string())], schema.names)
 
         for batch in batches:
             at, no, n, text = [], [], [], []
-            # Of arrays without missing numbers the values are taken as they lie; the k-th page's begin at its offset.
-            cut = batch.column("text").offsets.to_numpy()
-            words = batch.column("text").values.to_pylist()
-            numbers = {c: batch.column(c) for c in "xywh"}
-            whole = all(v.null_count == 0 and v.values.null_count == 0 and (v.offsets.to_numpy() == cut).all() for v in numbers.values())
-            values = {c: v.values.to_numpy(zero_copy_only=False) for c, v in numbers.items()} if whole else {}
-            for k in range(batch.num_rows):
-                a, z = int(cut[k]), int(cut[k + 1])
-                own = words[a:z]
-                if whole and own and None not in own and "" not in own and ODD.search("\x00".join(own)) is None:
-                    sizes, lines = plain_lines(*(values[c][a:z] for c in "xywh"), own)
-                else:
-                    found = lines_of(list(zip(*(v[k].as_py() or [] for v in numbers.values()), own, strict=True)))
-                    sizes, lines = [len(line) for line in found], [shown(line) for line in found]
+            for k, (sizes, lines) in enumerate(_laid_out(batch)):
                 at += [k] * len(sizes)
                 no += range(1, len(sizes) + 1)
                 n += sizes
                 text += lines
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in keys), pa.array(no, pa.int32()), pa.array(n, pa.int64()), pa.array(text, pa.string())], schema.names)
+                if len(at) >= LINES:
+                    yield given(batch, at, no, n, text)
+                    at, no, n, text = [], [], [], []
+            if at:
+                yield given(batch, at, no, n, text)
 
     return pages.select(*keys, "x", "y", "w", "h", "text").mapInArrow(run, schema)
 
 
+def with_lines(pages: DataFrame) -> DataFrame:
+    """pages (anything, and the arrays x, y, w, h, text of their words) with lines, an array of each page's lines that are not empty, in place of the words: a row stays a row, so what else it has need not be joined again."""
+    others = [c for c in pages.columns if c not in ("x", "y", "w", "h", "text")]
+    schema = T.StructType([*(pages.schema[c] for c in others), T.StructField("lines", T.ArrayType(T.StringType()))])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lines = pa.array([[line for line in lines if line] for _, lines in _laid_out(batch)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), lines], schema.names)
+
+    return pages.mapInArrow(run, schema)
+
+
 def block_lines(found: Column) -> Column:
     """The words of blocks as x, y, w, h, text arrays in one struct, for page_lines; blocks without a box are left out."""
-    placed = F.filter(found, lambda b: b["bbox"].isNotNull())
-    part = lambda k: F.transform(placed, lambda b: F.get(b["bbox"], F.lit(k)))
-    return F.struct(part(0).alias("x"), part(1).alias("y"), part(2).alias("w"), part(3).alias("h"), F.transform(placed, lambda b: b["text"]).alias("text"))
+
+    def parts(placed: Column) -> Column:
+        part = lambda k: F.transform(placed, lambda b: F.get(b["bbox"], F.lit(k)))
+        return F.struct(part(0).alias("x"), part(1).alias("y"), part(2).alias("w"), part(3).alias("h"), F.transform(placed, lambda b: b["text"]).alias("text"))
+
+    return let(F.filter(found, lambda b: b["bbox"].isNotNull()), parts)
 
 
 def vendor_pages(replies: DataFrame, keys: list[str], reply: str = "reply") -> DataFrame:
     """Replies of the cloud OCR (a row each, told apart by keys) as keys, text, blocks, avg_confidence."""
-    read = replies.withColumn("__data", vendor.reply_data(F.col(reply))).withColumn("blocks", vendor.blocks(F.col("__data")))
-    read = read.withColumns({"__tables": vendor.tables(F.col("__data")), "__structured": vendor.structured(F.col("__data")), "__content": F.col("__data.content")})
-    lines = page_lines(read.select(*keys, F.inline(F.array(block_lines(F.col("blocks"))))), keys).where("line <> ''")
-    placed = lines.groupBy(*keys).agg(group_lines(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])).alias("__placed"))
-    both = read.select(*keys, "blocks", "__tables", "__structured", "__content").join(placed, keys, "left")
-    text = extracted_text(F.col("__tables"), F.col("__structured"), F.col("__placed"), F.col("__content"), F.transform("blocks", lambda b: b["text"]))
+    data = F.col("__data")
+    read = replies.select(*keys, vendor.reply_data(F.col(reply)).alias("__data"))
+    read = read.select(*keys, vendor.blocks(data).alias("blocks"), vendor.tables(data).alias("__tables"), vendor.structured(data).alias("__structured"), F.col("__data.content").alias("__content"))
+    both = with_lines(read.select(*keys, "blocks", "__tables", "__structured", "__content", F.inline(F.array(block_lines(F.col("blocks"))))))
+    text = extracted_text(F.col("__tables"), F.col("__structured"), group_lines(F.col("lines")), F.col("__content"), F.transform("blocks", lambda b: b["text"]))
     return both.select(*keys, text.alias("text"), "blocks", mean_confidence(F.transform("blocks", lambda b: b["confidence"])).alias("avg_confidence"))
 
 

@@ -38,8 +38,8 @@ def _words(spark, sf_dir):
     sure = F.when(k % 3 == 0, F.concat(F.lit('"prob":'), (F.col("l_quantity") + 50).cast("string"))).when(k % 3 == 1, F.concat(F.lit('"confidence":'), (F.col("l_quantity") / 100).cast("string"))).otherwise(F.lit('"other":1'))
     name = F.when(k % 2 == 0, F.lit('"word":')).otherwise(F.lit('"text":'))
     one = F.concat(F.lit("{"), name, bare(word), F.lit(","), box, F.lit(","), sure, F.lit("}"))
-    # One row a line of the order, the first by its keys.
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")))
+    # One row a line of the order, the first by its keys. An order's rows come together once, before they are JSON.
+    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")))
     whole = lines.groupBy("l_orderkey").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", one.alias("json")))), lambda x: x["json"]), ","), F.lit("]")).alias("words"))
     data = F.concat(F.lit('{"prism_wordsInfo":'), F.col("words"), F.lit("}"))
     # The data comes as an object, or as JSON text; with a body around it, or without.

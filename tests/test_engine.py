@@ -403,3 +403,48 @@ def test_cli_structure(run, folder, tmp_path):
 
 def test_cli_schema(run):
     assert run("schema")[1]["title"] == "ParseResult"
+
+
+def test_vendor_pages_read_each_reply_once(spark):
+    """No reply is read for its words and again for the rest: nothing is shuffled or joined, and a row stays a row."""
+    from docweave.operators import layout
+
+    word = lambda t, x, y: f'{{"word":"{t}","pos":[{{"x":{x},"y":{y}}},{{"x":{x + 40},"y":{y + 10}}}]}}'
+    replies = [
+        (1, f'{{"Data":{{"prism_wordsInfo":[{word("b", 60, 1)},{word("a", 0, 0)},{word("c", 0, 40)}]}}}}'),
+        (2, '{"data":" one\\n\\ntwo "}'),
+        (2, None),
+        (3, '{"Data":{"prism_wordsInfo":[{"word":"x","position":{"x":1,"y":2,"width":3}},{"word":"y"}]}}'),
+    ]
+    found = layout.vendor_pages(spark.createDataFrame(replies, "k int, reply string"), ["k"])
+    assert sorted((r["k"], r["text"]) for r in found.collect()) == [(1, "ab\nc"), (2, ""), (2, "one\ntwo"), (3, "x\ny")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert plan.count("MapInArrow") == 1
+
+
+def test_page_layout_in_words_and_in_numbers(spark, monkeypatch):
+    """Small pages and large ones, many words or few of them as Python values: the lines are the same, and few are held."""
+    import random
+
+    from docweave.operators import layout
+
+    some = random.Random(5)
+    pages = []
+    for k in range(40):
+        n = some.choice([0, 1, 3, 30, 48, 49, 200])
+        pages.append((k, *([float(some.randrange(300)) for _ in range(n)] for _ in "xy"), [40.0] * n, [10.0] * n, [some.choice(["a", "bc", "d|e", "", "f g"] if k % 2 else ["a", "bc"]) for _ in range(n)]))
+    want = sorted((k, no, len(line), layout.shown(line)) for k, *columns in pages for no, line in enumerate(layout.lines_of(list(zip(*columns, strict=True))), 1))
+    frame = spark.createDataFrame(pages, "k int, x array<double>, y array<double>, w array<double>, h array<double>, text array<string>").coalesce(1)
+    assert sorted(map(tuple, layout.page_lines(frame, ["k"]).collect())) == want
+    shown = {r["k"]: r["lines"] for r in layout.with_lines(frame).collect()}
+    assert shown == {k: [line for j, _, _, line in want if j == k and line] for k in range(40)}
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([dict(zip(("k", "x", "y", "w", "h", "text"), p, strict=True)) for p in pages])
+    monkeypatch.setattr(layout, "WORDS", 60)
+    again = [(p[0], no, n, line) for p, (sizes, lines) in zip(pages, layout._laid_out(batch), strict=True) for no, (n, line) in enumerate(zip(sizes, lines, strict=True), 1)]
+    assert sorted(again) == want
+    part = list(layout._laid_out(batch.slice(10, 20)))
+    assert [len(x) for x, _ in part] == [sum(1 for r in want if r[0] == k) for k in range(10, 30)]
