@@ -172,8 +172,9 @@ class DocEngine:
         # What a call sets belongs to the key, and the name too as far as it says the format.
         shape = files.fingerprint({"config": self.config.fingerprint, "full_pages": full_pages, "detect": detect})
         key = files.cache_key(F.col("file_hash"), F.concat_ws("|", F.lit(shape), files.extension(F.col("path"))))
-        seen = stored(scanned.drop("content").withColumn("cache_key", key))
-        keyed = scanned.where("error_message is null").withColumn("cache_key", key)
+        # What is asked of the files here is asked several times, mostly without their contents: they are opened once.
+        seen = stored(scanned.withColumn("cache_key", key))
+        keyed = seen.where("error_message is null")
 
         def compute(todo: DataFrame) -> DataFrame:
             one = todo.select(F.concat("cache_key", files.extension(F.col("path"))).alias("path"), "content")

@@ -448,3 +448,35 @@ def test_page_layout_in_words_and_in_numbers(spark, monkeypatch):
     assert sorted(again) == want
     part = list(layout._laid_out(batch.slice(10, 20)))
     assert [len(x) for x, _ in part] == [sum(1 for r in want if r[0] == k) for k in range(10, 30)]
+
+
+def test_files_are_dealt_over_folders_and_opened_once(spark, tmp_path):
+    """Many files do not share one folder, whose lock tasks would wait for, and a name has one place; through a cache each file is opened once."""
+    import os
+
+    from docweave.config import resolve
+    from docweave.plans.engine import DocEngine
+    from docweave.plans.scan_queries import _texts
+    from docweave.sources.scan import listed
+
+    folders = _texts(spark, "/root/testdata/sf0.001")
+    sizes = [len(os.listdir(f)) for f in folders]
+    assert len(folders) == 16 and sum(sizes) == 200 and max(sizes) < 40
+    assert listed(spark, *folders).rdd.getNumPartitions() == 8
+
+    opened = str(tmp_path / "opened")
+
+    def noted(batches):
+        for batch in batches:
+            with open(opened, "a") as f:
+                f.writelines(f"{p}\n" for p in batch.column("path").to_pylist())
+            yield batch
+
+    engine = DocEngine(spark, resolve({}, mode="mock", cache_dir=str(tmp_path / "cache")))
+    scanned = engine.scan(folders)
+    for hits in (0, 200):
+        open(opened, "w").close()
+        found = engine.parsed(scanned.mapInArrow(noted, scanned.schema)).select("ok", "cache_hit").collect()
+        assert len(found) == 200 and all(r["ok"] for r in found) and sum(r["cache_hit"] for r in found) == hits
+        paths = open(opened).read().split("\n")[:-1]
+        assert len(paths) == len(set(paths)) == 200
