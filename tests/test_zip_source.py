@@ -98,3 +98,35 @@ def test_zip_scan_partitions_do_not_grow_with_the_input(spark, monkeypatch):
         with pytest.raises(Asked):
             scan_queries.zip_scan(spark, "")
     assert asked[0] == 16_384 and (600 << 20) / asked[1] <= 5 * spark.sparkContext.defaultParallelism
+
+
+def test_archives_and_workbooks_larger_than_memory(tmp_path):
+    """Entries and rows go to the stream as they come, and a path is read in place: of 64 MB of entries (and of 60,000 rows) a few are held."""
+    import tracemalloc
+    import zipfile
+
+    from pyarrow import fs
+
+    from docweave.sources import xlsx
+    from docweave.sources.scan import ZipEntriesAt
+    from docweave.sources.writers import XlsxWriter
+
+    system, at = fs.LocalFileSystem(), str(tmp_path)
+    tracemalloc.start()
+    with system.open_output_stream(f"{at}/a.zip") as stream, zipfile.ZipFile(stream, "w") as z:
+        for k in range(64):
+            z.writestr(zipfile.ZipInfo(f"e{k:02}.txt"), bytes([k]) * (1 << 20))
+    assert list(ZipEntriesAt().eval(f"file:{at}/a.zip")) == [(f"e{k:02}.txt", 1 << 20) for k in range(64)]
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.reset_peak()
+    with system.open_output_stream(f"{at}/a.xlsx") as stream:
+        book = XlsxWriter(stream)
+        for k in range(60_000):
+            book.row("A & B" if k < 40_000 else "C", [k, f"text <{k}>", None, k % 2 == 0, ""], ["A1:B1"])
+        book.close()
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
+    content = open(f"{at}/a.xlsx", "rb").read()
+    assert xlsx.sheet_names(content) == ["A & B", "C"] and list(xlsx.merged_ranges(content)) == [("A & B", "A1:B1"), ("C", "A1:B1")]
+    found = list(xlsx.cells(content))
+    assert len(found) == 180_000 and [(c.sheet, c.ref, c.kind, c.text) for c in found[-3:]] == [("C", "A20000", "number", "59999"), ("C", "B20000", "string", "text <59999>"), ("C", "D20000", "boolean", "false")]
