@@ -201,7 +201,8 @@ GRID_SQL = "(SELECT l_orderkey, l_linenumber AS r, k AS c, CASE k WHEN 0 THEN CA
 @query("ocr_table_grid", f"SELECT l_orderkey, concat(max(head), string_agg(line, chr(10) ORDER BY r)) AS body FROM (SELECT l_orderkey, r, '' AS head, concat('| ', max(text) FILTER (c = 0), ' | ', replace(max(text) FILTER (c = 2), '|', '\\|'), ' |', CASE WHEN r = min(r) OVER (PARTITION BY l_orderkey) THEN E'\\n| --- | --- |' ELSE '' END) AS line FROM {GRID_SQL} GROUP BY l_orderkey, r) GROUP BY l_orderkey")
 def ocr_table_grid(spark, sf_dir):
     put = F.array(F.col("l_partkey").cast("string"), F.lit(""), F.concat("l_returnflag", F.lit("|"), "l_linestatus"))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_returnflag", "l_linestatus")))
+    # An order's rows come together once: both groupings that follow, and the table's own, find them there.
+    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_returnflag", "l_linestatus")))
     cells = lines.select("l_orderkey", F.col("l_linenumber").alias("row_start"), F.posexplode(put).alias("col_start", "text")).withColumn("seq", F.lit(0))
     return layout.table_markdown(cells, ["l_orderkey"])
 

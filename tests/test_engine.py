@@ -480,3 +480,12 @@ def test_files_are_dealt_over_folders_and_opened_once(spark, tmp_path):
         assert len(found) == 200 and all(r["ok"] for r in found) and sum(r["cache_hit"] for r in found) == hits
         paths = open(opened).read().split("\n")[:-1]
         assert len(paths) == len(set(paths)) == 200
+
+
+def test_rows_of_an_order_are_shuffled_once(spark):
+    """Lines, words and cells of an order come together in one exchange, before they are JSON or cells."""
+    from docweave.plans.all_queries import QUERIES
+
+    for name in ("ocr_table_grid", "ocr_blocks", "ocr_vendor_pages"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan, name
