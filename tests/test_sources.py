@@ -154,6 +154,25 @@ def test_many_files_are_one_batch(spark, tmp_path):
     assert [r["n"] for r in parts.mapInArrow(sizes, "n long").collect()] == [64] and sorted(len(r["text"]) for r in parts.collect()) == list(range(64))
 
 
+def test_files_are_opened_where_they_are_parsed(spark, tmp_path, monkeypatch):
+    """Contents never go from worker to worker in batches: a worker makes and writes a file, or opens and parses it. The parts are those of contents that were read before."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from docweave.plans.all_queries import QUERIES
+    from docweave.sources.scan import binary_files, dealt, parse_files
+
+    for name, content in (("a.pdf", pdf(PAGES)), ("b c.docx", docx(["One", "Two"])), ("d%.txt", b"text"), ("e.pdf", b"no pdf"), ("f.bin", b"?"), ("g.txt", b"")):
+        (tmp_path / name).write_bytes(content)
+    rows = lambda found: sorted(map(tuple, parse_files(found).drop("ms").collect()), key=str)
+    assert rows(dealt(spark, str(tmp_path))) == rows(binary_files(spark, str(tmp_path))) and len(rows(dealt(spark, str(tmp_path)))) == 8
+    schemas = []
+    own = DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, schema, *a, **b: schemas.append(schema) or own(self, f, schema, *a, **b))
+    found = QUERIES["pdf_scan_limits"](spark, "/root/testdata/sf0.001")
+    assert len(schemas) == 3 and not any("content binary" in s for s in schemas)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_images_are_decoded_by_tasks(spark, tmp_path, monkeypatch):
     """Usual PNGs never reach the source whose driver lists them; what is none goes there, in rounds."""
     from docweave.sources import images
