@@ -56,9 +56,9 @@ class DocEngine:
     def llm(self):
         return self._llm or llm_backend(self.config)
 
-    def scan(self, paths: list[str]) -> DataFrame:
-        """The files at the paths with archives opened: path, origin, entry, sub, content, file_hash, length, error."""
-        found = scan_files(self.spark, *paths)
+    def scan(self, paths: list[str], contents: bool = True) -> DataFrame:
+        """The files at the paths with archives opened: path, origin, entry, sub, content, file_hash, length, error. Without contents, files are opened where they are parsed."""
+        found = scan_files(self.spark, *paths, contents=contents)
         return found.coalesce(self.config.file_concurrency) if self.config.file_concurrency else found
 
     def options(self, full_pages: bool, detect: bool) -> ParseOptions:
@@ -194,7 +194,7 @@ class DocEngine:
         if not there:
             empty = self.spark.createDataFrame([], f"path string, ok boolean, {result.RESULT}, markdown string, error_code string, error_message string")
             return empty.unionByName(lost, allowMissingColumns=True)
-        rows = self.parsed(self.scan(there), full_pages, detect, force)
+        rows = self.parsed(self.scan(there, contents=bool(self.config.cache_dir)), full_pages, detect, force)
         name = files.base_name(files.inner_name(F.col("path")))
         rows = rows.withColumns({"markdown": self.shown(name), "extracted": none, "parse_failed": F.lit(False)})
         if prompt is not None:

@@ -159,18 +159,25 @@ def test_files_are_opened_where_they_are_parsed(spark, tmp_path, monkeypatch):
     from pyspark.sql.classic.dataframe import DataFrame
 
     from docweave.plans.all_queries import QUERIES
-    from docweave.sources.scan import binary_files, dealt, parse_files
+    from docweave.sources.scan import binary_files, dealt, parse_files, scan_files
 
     for name, content in (("a.pdf", pdf(PAGES)), ("b c.docx", docx(["One", "Two"])), ("d%.txt", b"text"), ("e.pdf", b"no pdf"), ("f.bin", b"?"), ("g.txt", b"")):
         (tmp_path / name).write_bytes(content)
     rows = lambda found: sorted(map(tuple, parse_files(found).drop("ms").collect()), key=str)
     assert rows(dealt(spark, str(tmp_path))) == rows(binary_files(spark, str(tmp_path))) and len(rows(dealt(spark, str(tmp_path)))) == 8
+    (tmp_path / "h.zip").write_bytes(zipped({"in.md": "# inside"}))
+    (tmp_path / "i.zip").write_bytes(zipped({"../x.md": "y"}))
+    named = scan_files(spark, str(tmp_path), contents=False)
+    assert rows(named) == rows(scan_files(spark, str(tmp_path))) and named.where("content is not null").count() == 1
     schemas = []
     own = DataFrame.mapInArrow
     monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, schema, *a, **b: schemas.append(schema) or own(self, f, schema, *a, **b))
     found = QUERIES["pdf_scan_limits"](spark, "/root/testdata/sf0.001")
     assert len(schemas) == 3 and not any("content binary" in s for s in schemas)
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    schemas.clear()
+    QUERIES["pdf_results"](spark, "/root/testdata/sf0.001")
+    assert schemas and not any("content binary" in s for s in schemas)
 
 
 def test_images_are_decoded_by_tasks(spark, tmp_path, monkeypatch):
