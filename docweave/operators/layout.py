@@ -127,6 +127,19 @@ def page_lines(pages: DataFrame, keys: list[str]) -> DataFrame:
     return pages.select(*keys, "x", "y", "w", "h", "text").mapInArrow(run, schema)
 
 
+def _parts(batch, most: int) -> Iterator[tuple[int, list[tuple[list[int], list[str]]]]]:
+    """The pages of _laid_out some at a time, with the place of the first of them: as many as have most lines, or all that are left."""
+    first, pages, held = 0, [], 0
+    for page in _laid_out(batch):
+        pages.append(page)
+        held += len(page[0])
+        if held >= most:
+            yield first, pages
+            first, pages, held = first + len(pages), [], 0
+    if pages:
+        yield first, pages
+
+
 def with_lines(pages: DataFrame) -> DataFrame:
     """pages (anything, and the arrays x, y, w, h, text of their words) with lines, an array of each page's lines that are not empty, in place of the words: a row stays a row, so what else it has need not be joined again."""
     others = [c for c in pages.columns if c not in ("x", "y", "w", "h", "text")]
@@ -136,8 +149,9 @@ def with_lines(pages: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            lines = pa.array([[line for line in lines if line] for _, lines in _laid_out(batch)], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), lines], schema.names)
+            for first, part in _parts(batch, LINES):
+                lines = pa.array([[line for line in lines if line] for _, lines in part], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(part)) for c in others), lines], schema.names)
 
     return pages.mapInArrow(run, schema)
 

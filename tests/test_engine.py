@@ -450,6 +450,30 @@ def test_page_layout_in_words_and_in_numbers(spark, monkeypatch):
     assert [len(x) for x, _ in part] == [sum(1 for r in want if r[0] == k) for k in range(10, 30)]
 
 
+def test_lines_are_given_on_in_parts(spark, monkeypatch):
+    """However many pages a batch has, few lines are held: both ways out give them on in parts, with each page's other columns beside them."""
+    import pyarrow as pa
+
+    pages = []
+    for k in range(60):
+        n = (0, 1, 5, 2)[k % 4] if k != 30 else 60
+        blocks = None if k % 6 == 5 else [{"id": None if j % 2 else f"{k}-{j}", "at": [float(k), float(j)]} for j in range(k % 3)]
+        pages.append((k, f"name {k}" if k % 5 else None, blocks, [0.0] * n, [20.0 * j for j in range(n)], [40.0] * n, [10.0] * n, [f"w{k}.{j}" for j in range(n)]))
+    want = [[f"w{p[0]}.{j}" for j in range(len(p[3]))] for p in pages]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("k", "name", "blocks", "x", "y", "w", "h", "text"), p, strict=True)) for p in pages])
+    parts = list(layout._parts(batch, 7))
+    assert [lines for _, part in parts for _, lines in part] == want
+    assert [first for first, _ in parts] == [sum(len(part) for _, part in parts[:i]) for i in range(len(parts))]
+    assert all(sum(len(lines) for _, lines in part[:-1]) < 7 for _, part in parts) and len(parts) > 10
+    assert list(layout._parts(batch.slice(0, 0), 7)) == []
+
+    frame = spark.createDataFrame(pages, "k int, name string, blocks array<struct<id: string, at: array<double>>>, x array<double>, y array<double>, w array<double>, h array<double>, text array<string>").coalesce(1)
+    monkeypatch.setattr(layout, "LINES", 7)
+    sent = layout.with_lines(frame).collect()
+    assert sorted((r["k"], r["name"], r["blocks"] and [b.asDict() for b in r["blocks"]], r["lines"]) for r in sent) == [(p[0], p[1], p[2], lines) for p, lines in zip(pages, want, strict=True)]
+    assert sorted((r["k"], r["line_no"], r["line"]) for r in layout.page_lines(frame, ["k"]).collect()) == [(k, no, line) for k, lines in enumerate(want) for no, line in enumerate(lines, 1)]
+
+
 def test_files_are_dealt_over_folders_and_opened_once(spark, tmp_path):
     """Many files do not share one folder, whose lock tasks would wait for, and a name has one place; through a cache each file is opened once."""
     import os
