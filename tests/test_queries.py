@@ -42,3 +42,13 @@ def test_entry(spark):
 
     assert {r["format"] for r in __spark_entry__.entry(spark).collect()} == {"pdf", "jpg", "png", "xlsx", "xls", "doc", "docx", "text", "error"}
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+def test_text_layer_of_odd_texts(spark, tmp_path):
+    """Blanks of other kinds at the ends stay, texts without a word have no row, rows that share an id are one layer."""
+    texts = [(1, "\ta b\r"), (2, None), (3, ""), (4, "   "), (5, "\n"), (6, "　a "), (7, " \n a  b c d e f\n "), (None, "no id"), (8, "x y z"), (8, "x y z"), (9, "p q r s t u"), (9, "m n"), (None, "no id"), (9, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["text_layer"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(ORACLE_SQL["text_layer"]).df()
+    assert len(want) == 7 and rows(found, ["doc_id", "layer"]) == rows(want, ["doc_id", "layer"])
