@@ -52,3 +52,21 @@ def test_text_layer_of_odd_texts(spark, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = con.sql(ORACLE_SQL["text_layer"]).df()
     assert len(want) == 7 and rows(found, ["doc_id", "layer"]) == rows(want, ["doc_id", "layer"])
+
+
+def test_a_nation_of_more_rows_than_a_sheet(spark, tmp_path):
+    """The rows beyond are in the region's next books; nothing is lost, and no sheet has more than its room."""
+    from docweave.plans import scan_queries
+
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT c.* REPLACE (i AS c_custkey, i % 2 AS c_nationkey) FROM range(140000) t(i) JOIN (SELECT *, row_number() OVER () - 1 AS n FROM '{SF}/customer.parquet') c ON n = i % 100) TO '{tmp_path}/customer.parquet' (FORMAT PARQUET)")
+    con.sql(f"COPY (FROM '{SF}/nation.parquet') TO '{tmp_path}/nation.parquet' (FORMAT PARQUET)")
+    for t in ("customer", "nation"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    QUERIES["xls_scan"](spark, str(tmp_path)).write.parquet(str(tmp_path / "found"))
+    con.sql(f"CREATE TABLE want AS {ORACLE_SQL['xls_scan']}")
+    con.sql(f"CREATE TABLE found AS SELECT region, sheet, ref, value_type, value FROM '{tmp_path}/found/*.parquet'")
+    assert con.sql("SELECT max(CAST(substr(ref, 2) AS INTEGER)) FROM found").fetchall() == [(70_000,)]
+    assert con.sql("(FROM want EXCEPT ALL FROM found) UNION ALL (FROM found EXCEPT ALL FROM want)").fetchall() == []
+    few = scan_queries._legacy_cells(spark, SF, 7).toPandas()
+    assert rows(few, ["ref", "region", "sheet", "value"]) == rows(scan_queries.xls_scan(spark, SF).toPandas(), ["ref", "region", "sheet", "value"])
