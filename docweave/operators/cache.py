@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.sources.store import exists, hadoop_path, stored
+from docweave.sources.store import DENSE, discard, exists, hadoop_path, stored, written
 
 #: Leading characters of a key that name its folder, and the folder's column.
 PREFIX, FOLDER = 1, "key_prefix"
@@ -47,7 +47,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "cache_ke
 def append(rows: DataFrame, path: str, key: str = "cache_key") -> None:
     """Keeps rows, a file a folder, in order of the key and with a Bloom filter of them."""
     filed = rows.withColumn(FOLDER, folder_of(F.col(key))).repartition(FOLDER).sortWithinPartitions(FOLDER, key)
-    filed.write.mode("append").partitionBy(FOLDER).option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
+    filed.write.mode("append").partitionBy(FOLDER).option("compression", DENSE).option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
 
 
 def latest(kept: DataFrame, key: str = "cache_key") -> DataFrame:
@@ -81,15 +81,17 @@ def through_cache(rows: DataFrame, path: str, compute: Callable[[DataFrame], Dat
     an earlier run only rows that are good (all without a condition) are hits, so a failed call is made again.
     If the cache cannot be written, what was computed is given all the same, with cache_failed true. A
     result's file columns are the caller's to join again, so a hit shows the name of this run's file and not
-    that of an earlier one.
+    that of an earlier one. What compute stored on its way is deleted when its result is stored.
     """
     spark, run = rows.sparkSession, uuid.uuid4().hex
     good = F.lit(True) if good is None else good
     earlier = None
     if not force and exists(spark, path):
-        earlier = stored(latest(lookup(spark, path, stored(rows.select(key).distinct()), key).where(good), key))
+        earlier = stored(latest(lookup(spark, path, stored(rows.select(key).distinct()), key).where(good), key), DENSE)
     todo = (rows if earlier is None else split_by_cache(rows, earlier.select(key), key)[1]).dropDuplicates([key])
-    new, failed = stored(compute(todo).withColumns({"kept_at": F.current_timestamp(), "run": F.lit(run)})), False
+    begun, computed = written(), compute(todo).withColumns({"kept_at": F.current_timestamp(), "run": F.lit(run)})
+    done, new, failed = written(), stored(computed, DENSE), False
+    discard(spark, begun, done)
     try:
         append(new, path, key)
     except Exception:

@@ -17,8 +17,8 @@ from docweave.operators.external import call_llm, call_ocr
 from docweave.operators.journal import Journal
 from docweave.plans import result
 from docweave.sources.images import upright
-from docweave.sources.scan import ParseOptions, missing, parse_files, scan_files
-from docweave.sources.store import shared_folder, stored
+from docweave.sources.scan import ParseOptions, hashed, missing, parse_files, scan_files, tasks_of
+from docweave.sources.store import DENSE, shared_folder, stored
 
 OCR_FAILED = "ERR_OCR_FAILED"
 FALLBACK, CACHE_FAILED = "llm-json-parse-failed-fallback-to-text", "cache-write-failed"
@@ -56,9 +56,9 @@ class DocEngine:
     def llm(self):
         return self._llm or llm_backend(self.config)
 
-    def scan(self, paths: list[str], contents: bool = True) -> DataFrame:
-        """The files at the paths with archives opened: path, origin, entry, sub, content, file_hash, length, error. Without contents, files are opened where they are parsed."""
-        found = scan_files(self.spark, *paths, contents=contents)
+    def scan(self, paths: list[str]) -> DataFrame:
+        """The files at the paths with archives opened: path, origin, entry, sub, content, file_hash, length, error. Files that are no entries are only named; they are opened where they are hashed or parsed."""
+        found = scan_files(self.spark, *paths, contents=False)
         return found.coalesce(self.config.file_concurrency) if self.config.file_concurrency else found
 
     def options(self, full_pages: bool, detect: bool) -> ParseOptions:
@@ -172,15 +172,17 @@ class DocEngine:
         # What a call sets belongs to the key, and the name too as far as it says the format.
         shape = files.fingerprint({"config": self.config.fingerprint, "full_pages": full_pages, "detect": detect})
         key = files.cache_key(F.col("file_hash"), F.concat_ws("|", F.lit(shape), files.extension(F.col("path"))))
-        # What is asked of the files here is asked several times, mostly without their contents: they are opened once.
-        seen = stored(scanned.withColumn("cache_key", key))
+        # What is asked of the files here is asked several times: they are hashed once. Contents are not copied; what the cache lacks is opened again.
+        seen = stored(hashed(scanned).withColumn("cache_key", key))
         keyed = seen.where("error_message is null")
+        tasks = tasks_of(keyed)
 
         def compute(todo: DataFrame) -> DataFrame:
-            one = todo.select(F.concat("cache_key", files.extension(F.col("path"))).alias("path"), "content")
-            return self.assemble(stored(parse_files(one, options)), detect).withColumn("cache_key", F.regexp_replace("path", r"\.[^.]*\z", "")).drop("path")
+            one = todo.select(F.concat("cache_key", files.extension(F.col("path"))).alias("path"), "content", F.col("path").alias("at"), "file_hash").repartition(tasks)
+            whole = self.assemble(stored(parse_files(one, options), DENSE), detect).withColumn("cache_key", F.regexp_replace("path", r"\.[^.]*\z", "")).drop("path")
+            return whole.withColumn("plain", F.when(F.col("plain").isNotNull(), F.lit("")))  # a plain text is its full text, which is kept once
 
-        found = through_cache(keyed, f"{self.config.cache_dir.rstrip('/')}/results", compute, force=force, good=F.col("ok"))
+        found = through_cache(keyed, f"{self.config.cache_dir.rstrip('/')}/results", compute, force=force, good=F.col("ok")).withColumn("plain", F.when(F.col("plain").isNotNull(), F.col("raw.full_text")))
         good = seen.where("error_message is null").select("path", "file_hash", "length", "cache_key").join(found, "cache_key").drop("cache_key")
         bad = seen.where("error_message is not null").select("path", F.lit(False).alias("ok"), "error_code", "error_message", F.lit(False).alias("truncated"), F.lit(False).alias("cache_hit"), F.lit(False).alias("cache_failed"), F.array().cast(f"array<{CALL}>").alias("calls"))
         return good.unionByName(bad, allowMissingColumns=True)
@@ -194,7 +196,7 @@ class DocEngine:
         if not there:
             empty = self.spark.createDataFrame([], f"path string, ok boolean, {result.RESULT}, markdown string, error_code string, error_message string")
             return empty.unionByName(lost, allowMissingColumns=True)
-        rows = self.parsed(self.scan(there, contents=bool(self.config.cache_dir)), full_pages, detect, force)
+        rows = self.parsed(self.scan(there), full_pages, detect, force)
         name = files.base_name(files.inner_name(F.col("path")))
         rows = rows.withColumns({"markdown": self.shown(name), "extracted": none, "parse_failed": F.lit(False)})
         if prompt is not None:

@@ -67,3 +67,30 @@ def test_compaction(spark, tmp_path):
     assert kept > 90 and spark.read.parquet(path).count() == 30
     assert through(rows(spark, 0, 30), path, "y")[0] == before | {k: (f"y {k}", False) for k in (9, 19, 29)}
     assert cache.compact(spark, str(tmp_path / "none")) == 0
+
+
+def test_a_text_is_kept_once(spark, tmp_path):
+    """A cached run leaves one copy of a text in the shared folder and one in the cache, not contents, parts and a second name for the text."""
+    from docweave.config import resolve
+    from docweave.plans.engine import DocEngine
+    from docweave.sources.store import run_folder
+
+    for k in range(20):
+        (tmp_path / f"t{k}.md").write_text(f"the very text {k}")
+    engine = DocEngine(spark, resolve({}, mode="mock", cache_dir=str(tmp_path / "cache")))
+    tables = lambda: {d for d in glob.glob(f"{run_folder(spark)}/*") if glob.glob(f"{d}/*.parquet")}
+    copies = lambda *folders: sum(str(r).count("the very text") for d in folders for r in spark.read.parquet(d).collect())
+    for hit in (False, True):
+        before = tables()
+        found = engine.parsed(engine.scan([str(tmp_path)]))
+        assert copies(*(tables() - before)) == 20 and copies(str(tmp_path / "cache" / "results")) == 20
+        assert {(r["plain"], r["raw"]["full_text"], r["ok"], r["cache_hit"]) for r in found.collect()} == {(t, t, True, hit) for t in (f"the very text {k}" for k in range(20))}
+
+
+def test_a_file_that_changes_is_an_error(spark, tmp_path):
+    """What is parsed must be what was hashed; else a key would keep another content's result."""
+    from docweave.sources.scan import parse_files
+
+    (tmp_path / "a.md").write_text("new")
+    known = spark.createDataFrame([("k.md", None, str(tmp_path / "a.md"), h) for h in ("no", "11507a0e2f5e69d5dfa40a62a1bd7b6ee57e6bcd85c67c9b8431b36fff21c437")], "path string, content binary, at string, file_hash string")
+    assert sorted((r["kind"], r["text"]) for r in parse_files(known).collect()) == [("error", None), ("text", "new")]
